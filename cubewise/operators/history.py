@@ -62,10 +62,16 @@ def top_items(cube: DataFrame, item: str, grain: str, n: int, year: int | None =
     Columns: ``[party,] <grain>, [rank,] <item>, total``.
     """
     _check_grain(grain)
-    keys = ["party", grain]
+    # Group by the cube's whole period key (year and month/week), as the cube
+    # itself is grouped: the sum then reuses the cube aggregate's hash
+    # partitioning instead of shuffling again, and months of different years
+    # never merge when no year is given.
+    keys = ["party", "year"] if grain == "year" else ["party", "year", grain]
     totals = item_totals(_restrict(cube, year, party), item, keys, measure)
     best = top_n(totals, keys, "total", item, n)
     cols = [] if party is not None else [F.col("party")]
+    if grain != "year" and year is None:
+        cols.append(F.col("year").cast("long").alias("year"))
     cols.append(F.col(grain).cast("long").alias(grain))
     if ranked:
         cols.append(F.col("rank").cast("long").alias("rank"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import FAMILIES, LATEST, LIVE_ITEMS, LIVE_MEAN, LIVE_SUM
@@ -35,6 +35,38 @@ GRAINS = ("year", "month", "week")
 LIVE_GROUPS = (LIVE_SUM, LIVE_MEAN, LIVE_ITEMS)
 
 
+# Hourly live cubes: collection -> (measure name, item name or None).
+LIVE_CUBES = {
+    "metricsByHourAndParty": ("count", None),
+    "mediaUsageRunningByHourAndParty": ("count", None),
+    "sentimentRunningByHourAndParty": ("sentiment", None),
+    "mostActiveRunningByHourAndParty": ("count", "username"),
+    "sourceRunningByHourAndParty": ("count", "source"),
+    "hashtagsByHourAndParty": ("count", "hashtag"),
+}
+
+
+def live_definition(collection: str) -> tuple[Column, str, Column | None, str | None]:
+    """(aggregate, measure name, item expression, item name) of an hourly cube
+    over event posts; shared by the batch builder and the streaming job."""
+    name, item_name = LIVE_CUBES[collection]
+    k = F.get_json_object(F.col("props"), "$.k")
+    measure = {
+        "mediaUsageRunningByHourAndParty": F.sum(F.when(F.col("value") > 50, 1).otherwise(0)),
+        "sentimentRunningByHourAndParty": F.avg("value"),
+    }.get(collection, F.count(F.lit(1)))
+    item = {"username": F.col("user_id"), "source": k, "hashtag": k.cast("long") % 10}.get(item_name)
+    return measure, name, item, item_name
+
+
+def live_cube(events: DataFrame, collection: str) -> DataFrame:
+    """Batch hourly cube ``collection`` from event posts."""
+    measure, name, item, item_name = live_definition(collection)
+    if item is None:
+        return B.hourly_cube(events, measure, name)
+    return B.hourly_item_cube(events, item, item_name)
+
+
 class TableCubes:
     """Cube collections computed from the raw tables under ``base``."""
 
@@ -64,20 +96,9 @@ class TableCubes:
             "mostTaggedUsers": lambda g, w: B.item_cube(self.lines(w), g, F.col("l_suppkey"), "taggedUser"),
             "urls": lambda g, w: B.item_cube(self.lines(w, "p_name"), g, F.col("p_name"), "url"),
         }
-        k = F.get_json_object(F.col("props"), "$.k")
         self._live: dict[str, Callable[[Window | None], DataFrame]] = {
-            "metricsByHourAndParty": lambda w: B.hourly_cube(self.events(w), F.count(F.lit(1))),
-            "mediaUsageRunningByHourAndParty": lambda w: B.hourly_cube(
-                self.events(w), F.sum(F.when(F.col("value") > 50, 1).otherwise(0))),
-            "sentimentRunningByHourAndParty": lambda w: B.hourly_cube(
-                self.events(w), F.avg("value"), name="sentiment"),
-            "mostActiveRunningByHourAndParty": lambda w: B.hourly_item_cube(
-                self.events(w), F.col("user_id"), "username"),
-            "sourceRunningByHourAndParty": lambda w: B.hourly_item_cube(self.events(w), k, "source"),
-            "hashtagsByHourAndParty": lambda w: B.hourly_item_cube(
-                self.events(w), k.cast("long") % 10, "hashtag"),
-            "lastTweets": lambda w: B.latest_lists(self.events(w), "event_id"),
-        }
+            name: (lambda w, _name=name: live_cube(self.events(w), _name)) for name in LIVE_CUBES}
+        self._live["lastTweets"] = lambda w: B.latest_lists(self.events(w), "event_id")
 
     # -- raw posts -------------------------------------------------------
     def _read(self, name: str, cols: list[str]) -> DataFrame:

@@ -57,22 +57,34 @@ def hourly_item_cube(posts: DataFrame, item: Column, item_name: str) -> DataFram
             .agg(F.count(F.lit(1)).cast("double").alias("count")))
 
 
-def latest_lists(posts: DataFrame, post_id: str, n: int = LATEST_LIST_LENGTH,
-                 combined: str = COMBINED_KEY) -> DataFrame:
-    """The ``n`` newest post ids per party and over all parties (key ``combined``).
-
-    Columns ``key, tweetIds`` with ids oldest first. Per party this is a
-    ``row_number() <= n`` window (partial group limit before the shuffle); the
-    combined list is a global top-n (``orderBy().limit()``, planned as a
-    per-partition top-n plus a merge of n rows per partition), so the key
-    holding every post never becomes one group.
+def newest_rows(posts: DataFrame, post_id: str, n: int = LATEST_LIST_LENGTH,
+                combined: str = COMBINED_KEY) -> DataFrame:
+    """``key, ts, oid``: the newest ``n`` posts per party and over all parties.
+
+    Per party this is a ``row_number() <= n`` window (partial group limit
+    before the shuffle); the combined list is a global top-n
+    (``orderBy().limit()``, planned as a per-partition top-n plus a merge of n
+    rows per partition), so the key holding every post never becomes one group.
     """
     rows = posts.select(F.col("party").alias("key"), F.col("ts"), F.col(post_id).alias("oid"))
-    newest = [F.col("ts").desc(), F.col("oid").desc()]
-    per_party = (rows.withColumn("_rn", F.row_number().over(Window.partitionBy("key").orderBy(*newest)))
-                 .where(F.col("_rn") <= n).drop("_rn"))
-    overall = rows.orderBy(*newest).limit(n).withColumn("key", F.lit(combined))
-    both = per_party.unionByName(overall)
+    overall = rows.orderBy(F.col("ts").desc(), F.col("oid").desc()).limit(n).withColumn("key", F.lit(combined))
+    return keep_newest(rows, n).unionByName(overall)
+
+
+def keep_newest(rows: DataFrame, n: int) -> DataFrame:
+    """The newest ``n`` of ``key, ts, oid`` rows per key."""
+    w = Window.partitionBy("key").orderBy(F.col("ts").desc(), F.col("oid").desc())
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def lists_from_rows(rows: DataFrame) -> DataFrame:
+    """``key, tweetIds`` with ids oldest first; at most n rows per key are gathered."""
     oldest_first = F.sort_array(F.collect_list(F.struct("ts", "oid")))
-    return both.groupBy("key").agg(
-        F.transform(oldest_first, lambda e: e["oid"].cast("string")).alias("tweetIds"))
+    return rows.groupBy("key").agg(F.transform(oldest_first, lambda e: e["oid"].cast("string")).alias("tweetIds"))
+
+
+def latest_lists(posts: DataFrame, post_id: str, n: int = LATEST_LIST_LENGTH,
+                 combined: str = COMBINED_KEY) -> DataFrame:
+    """The ``n`` newest post ids per party and over all parties (key ``combined``):
+    ``key, tweetIds``, oldest first."""
+    return lists_from_rows(newest_rows(posts, post_id, n, combined))
