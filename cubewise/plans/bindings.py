@@ -101,27 +101,27 @@ class TableCubes:
         self._live["lastTweets"] = lambda w: B.latest_lists(self.events(w), "event_id")
 
     # -- raw posts -------------------------------------------------------
-    def _read(self, name: str, cols: list[str]) -> DataFrame:
+    def read(self, name: str, cols: list[str]) -> DataFrame:
         return read_table(self.spark, self.base, name, cols)
 
     def orders(self, window: Window | None = None, *extra: str) -> DataFrame:
         """Orders as posts: ``o_orderkey, party, ts[, extra]``, restricted to ``window``."""
-        o = self._read("orders", ["o_orderkey", "o_orderpriority", "o_orderdate", *extra])
+        o = self.read("orders", ["o_orderkey", "o_orderpriority", "o_orderdate", *extra])
         if window is not None:
             o = o.where(in_window("o_orderdate", window))
         return o.withColumnRenamed("o_orderpriority", "party").withColumnRenamed("o_orderdate", "ts")
 
     def lines(self, window: Window | None = None, part_col: str | None = None) -> DataFrame:
         """Lines of the orders in ``window``: ``party, ts, l_suppkey[, part_col]``."""
-        li = self._read("lineitem", ["l_orderkey", "l_suppkey"] + (["l_partkey"] if part_col else []))
+        li = self.read("lineitem", ["l_orderkey", "l_suppkey"] + (["l_partkey"] if part_col else []))
         rows = li.join(self.orders(window), li["l_orderkey"] == F.col("o_orderkey"))
         if part_col:
-            part = self._read("part", ["p_partkey", part_col])
+            part = self.read("part", ["p_partkey", part_col])
             rows = rows.join(part, rows["l_partkey"] == part["p_partkey"])
         return rows
 
     def order_stats(self, window: Window | None = None, name_length: bool = False,
-                    keep_lineless: bool = False) -> DataFrame:
+                    keep_lineless: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
         """One row per order with its line statistics.
 
         Lines are reduced to one row per order before the join with orders
@@ -130,20 +130,20 @@ class TableCubes:
         combined. ``keep_lineless`` keeps orders without lines (left join,
         null statistics) for per-order measures.
         """
-        li = self._read("lineitem", ["l_orderkey", "l_quantity", "l_discount"] + (["l_partkey"] if name_length else []))
+        li = self.read("lineitem", ["l_orderkey", "l_quantity", "l_discount"] + (["l_partkey"] if name_length else []))
         aggs = [F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
                 F.sum(F.col("l_discount") * 100).alias("sum_disc100")]
         if name_length:
-            part = self._read("part", ["p_partkey", "p_name"])
+            part = self.read("part", ["p_partkey", "p_name"])
             li = li.join(part, li["l_partkey"] == part["p_partkey"])
             aggs.append(F.sum(F.length("p_name")).alias("sum_name_len"))
         per_order = li.groupBy("l_orderkey").agg(*aggs)
         how = "left" if keep_lineless else "inner"
-        return self.orders(window).join(per_order, F.col("o_orderkey") == per_order["l_orderkey"], how)
+        return self.orders(window, *extra).join(per_order, F.col("o_orderkey") == per_order["l_orderkey"], how)
 
     def events(self, window: Window | None = None) -> DataFrame:
         """Events as posts: ``party`` = event type, ``ts``, ids, value, props."""
-        e = self._read("events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+        e = self.read("events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
         if window is not None:
             e = e.where(in_window("ts", window))
         return e.withColumnRenamed("event_type", "party")
@@ -180,25 +180,11 @@ class StoredCubes:
         return read_cube(self.spark, self.path(collection, grain))
 
 
-def build_all(source: TableCubes, root: str) -> list[str]:
-    """Write every cube collection under ``root`` (the batch feed jobs).
-
-    Historic cubes are partitioned by year, hourly cubes by (year, month,
-    day); the latest lists are one small table. Each write is an independent
-    job whose tasks are retried on executor loss.
-    """
-    target = StoredCubes(source.spark, root)
-    written = []
-    for collection, grain in source.collections():
-        df = source.cube(collection, grain)
-        if collection == "lastTweets":
-            parts: tuple[str, ...] = ()
-            df.write.mode("overwrite").parquet(target.path(collection))
-        else:
-            parts = HISTORIC_PARTITIONS if grain else LIVE_PARTITIONS
-            write_cube(df, target.path(collection, grain), parts)
-        written.append(target.path(collection, grain))
-    return written
+def build_all(source: TableCubes, root: str, parallel: int = 4) -> list[str]:
+    """Write every cube collection under ``root`` (see :mod:`cubewise.plans.build`)."""
+    from .build import build_all as _build
+
+    return _build(source, root, parallel)
 
 
 def families_reading(collection: str) -> list[str]:

@@ -33,11 +33,14 @@ def nest_id(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
 def write_cube(df: DataFrame, path: str, partition_by: tuple[str, ...] = HISTORIC_PARTITIONS, mode: str = "overwrite") -> None:
     """Write a flat cube as Parquet, partitioned for pruning.
 
-    With dynamic partition overwrite a rebuild of some periods replaces only
-    those partitions. Each task writes its own files and commits through the
-    output committer, so a lost executor only re-runs its tasks.
+    The ``rebalance`` hint clusters rows by the partition columns (few files
+    per partition) and lets AQE split an oversized partition, such as a hot
+    year or day, over several tasks and merge small ones. With dynamic
+    partition overwrite a rebuild of some periods replaces only those
+    partitions. Each task writes its own files and commits through the output
+    committer, so a lost executor only re-runs its tasks.
     """
-    (df.repartition(*[F.col(c) for c in partition_by])
+    (df.hint("rebalance", *partition_by)
        .write.mode(mode)
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by)
