@@ -21,16 +21,11 @@ def pad2(c: str | Column) -> Column:
     return F.lpad(col.cast("string"), 2, "0")
 
 
-def to_nested_json(df: DataFrame, keys: list[str], value: str | Column, pad: tuple[str, ...] = ()) -> DataFrame:
-    """Fold ``keys`` into nested maps around ``value``.
-
-    Returns ``(key, json)`` with one row per distinct value of ``keys[0]``;
-    ``json`` is ``{"<key>": {...}}``. Keys listed in ``pad`` are written with
-    two digits. Rows whose innermost key is null (an empty-filled day) yield
-    an empty map at that level.
-    """
-    if not keys:
-        raise ValueError("need at least one key")
+def nest_maps(df: DataFrame, keys: list[str], value: str | Column, pad: tuple[str, ...] = ()) -> DataFrame:
+    """Fold ``keys[1:]`` into nested maps around ``value``: one row per
+    ``keys[0]`` with the nested map in column ``_v``. Keys listed in ``pad``
+    are written with two digits; rows whose innermost key is null (an
+    empty-filled day) give an empty map at that level."""
     val = F.col(value) if isinstance(value, str) else value
     key_cols = {k: (pad2(k) if k in pad else F.col(k).cast("string")) for k in keys}
     cur = df.select(*[key_cols[k].alias(k) for k in keys], val.alias("_v"))
@@ -39,9 +34,36 @@ def to_nested_json(df: DataFrame, keys: list[str], value: str | Column, pad: tup
         entry = F.when(F.col(inner).isNotNull(), F.struct(F.col(inner), F.col("_v")))
         cur = cur.groupBy(*outer).agg(
             F.map_from_entries(F.filter(F.collect_list(entry), lambda e: e.isNotNull())).alias("_v"))
+    return cur
+
+
+def to_nested_json(df: DataFrame, keys: list[str], value: str | Column, pad: tuple[str, ...] = (),
+                   wrap: bool = True) -> DataFrame:
+    """Nested JSON documents, one row ``(key, json)`` per value of ``keys[0]``.
+
+    With ``wrap`` the document is ``{"<key>": {...}}``; without it, just the
+    inner object (for results already restricted to one key).
+    """
+    if not keys:
+        raise ValueError("need at least one key")
+    top = keys[0]
+    cur = nest_maps(df, keys, value, pad)
+    doc = F.create_map(F.col(top), F.col("_v")) if wrap else F.col("_v")
+    return cur.select(F.col(top).alias("key"), F.to_json(doc).alias("json"))
+
+
+def to_ordered_pairs_json(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
+    """``[{"<k1>": {...}}, ...]`` per value of ``keys[0]``: the entries of the
+    second key as single-key objects in ascending numeric order (a list of
+    pairs rather than one object). The list is bounded by the number of
+    periods."""
+    if len(keys) < 2:
+        raise ValueError("need a top key and a listed key")
     top = keys[0]
-    return cur.select(F.col(top).alias("key"),
-                      F.to_json(F.create_map(F.col(top), F.col("_v"))).alias("json"))
+    cur = nest_maps(df, keys, value)
+    numbered = F.transform(F.map_keys("_v"), lambda k: F.struct(k.cast("long").alias("n"), k.alias("k")))
+    pairs = F.transform(F.sort_array(numbered), lambda e: F.create_map(e["k"], F.col("_v")[e["k"]]))
+    return cur.select(F.col(top).alias("key"), F.to_json(pairs).alias("json"))
 
 
 def entries_json(df: DataFrame, key: str, value: str | Column) -> DataFrame:

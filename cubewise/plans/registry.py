@@ -55,11 +55,24 @@ def route_specs() -> list[RouteSpec]:
     return [RouteSpec(f, s, _params(f, s)) for f in FAMILIES for s in f.shapes]
 
 
+# Routes also registered in their JSON document shape (``<key>__json``): a
+# value-per-month answer, a one-party ranked list and an empty-filled month.
+JSON_ROUTES = ("countTweetByMonth__year_month", "mostUsedHashtags__year_month_party", "liveSource__month")
+
+
 def registered_queries() -> dict:
-    """``key -> (spark, sf_dir) -> DataFrame`` for every route."""
+    """``key -> (spark, sf_dir) -> DataFrame`` for every route, plus the JSON
+    document form of :data:`JSON_ROUTES` (``key, json`` rows)."""
+    from .documents import route_json
+
     out = {}
     for spec in route_specs():
         def run(spark: SparkSession, sf_dir: str, _spec: RouteSpec = spec) -> DataFrame:
             return _spec.run(TableCubes(spark, sf_dir))
         out[spec.key] = run
+    for spec in route_specs():
+        if spec.key in JSON_ROUTES:
+            def run_json(spark: SparkSession, sf_dir: str, _spec: RouteSpec = spec) -> DataFrame:
+                return route_json(TableCubes(spark, sf_dir), _spec.family.name, _spec.shape, **_spec.params)
+            out[f"{spec.key}__json"] = run_json
     return out
