@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import FAMILIES, LATEST, LIVE_ITEMS, LIVE_MEAN, LIVE_SUM
 from ..functions.calendar import Window, in_window
-from ..sources.cubes import HISTORIC_PARTITIONS, LIVE_PARTITIONS, read_cube, write_cube
+from ..sources.cubes import flatten_id
 from ..sources.tables import read_table
 from . import cubes as B
 
@@ -164,20 +164,40 @@ class TableCubes:
 
 
 class StoredCubes:
-    """Cube collections read from ``root/<collection name>`` (written by :func:`build_all`)."""
-
-    def __init__(self, spark: SparkSession, root: str):
+    """Cube collections read back from storage.
+
+    By default ``root/<collection name>`` as Parquet (the layout written by
+    :func:`build_all`). Any Spark source works: ``fmt`` and ``options`` go
+    to ``spark.read``; a connector that addresses a collection by an option
+    instead of a path (a document store, say) gets the collection name in
+    the option named ``collection_option``. Documents whose keys sit in an
+    ``_id`` struct are flattened on read.
+    """
+
+    def __init__(self, spark: SparkSession, root: str = "", fmt: str = "parquet",
+                 options: dict[str, str] | None = None, collection_option: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.fmt = fmt
+        self.options = dict(options or {})
+        self.collection_option = collection_option
+
+    @staticmethod
+    def name(collection: str, grain: str | None = None) -> str:
+        return collection if grain is None else f"{collection}By{grain.capitalize()}"
 
     def path(self, collection: str, grain: str | None = None) -> str:
-        name = collection if grain is None else f"{collection}By{grain.capitalize()}"
-        return f"{self.root}/{name}"
+        return f"{self.root}/{self.name(collection, grain)}"
 
     def cube(self, collection: str, grain: str | None = None, window: Window | None = None) -> DataFrame:
         # The route's own key predicates (year / month / day) become partition
         # filters on the stored layout; the raw-time window has no column here.
-        return read_cube(self.spark, self.path(collection, grain))
+        reader = self.spark.read.format(self.fmt).options(**self.options)
+        if self.collection_option:
+            df = reader.option(self.collection_option, self.name(collection, grain)).load()
+        else:
+            df = reader.load(self.path(collection, grain))
+        return flatten_id(df)
 
 
 def build_all(source: TableCubes, root: str, parallel: int = 4) -> list[str]:
