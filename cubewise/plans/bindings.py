@@ -73,6 +73,7 @@ class TableCubes:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
         self._historic: dict[str, Callable[[str, Window | None], DataFrame]] = {
             "countTotal": lambda g, w: B.measure_cube(self.orders(w), g, F.count(F.lit(1))),
             "avgReplies": lambda g, w: B.measure_cube(
@@ -102,7 +103,15 @@ class TableCubes:
 
     # -- raw posts -------------------------------------------------------
     def read(self, name: str, cols: list[str]) -> DataFrame:
-        return read_table(self.spark, self.base, name, cols)
+        """Columns ``cols`` of table ``name``. The table's frame is made once per
+        instance, so its file listing is done once, not per query."""
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.base, name)
+        return self._tables[name].select(*cols)
+
+    def refresh(self) -> None:
+        """Forget table handles (after the tables' files changed)."""
+        self._tables.clear()
 
     def orders(self, window: Window | None = None, *extra: str) -> DataFrame:
         """Orders as posts: ``o_orderkey, party, ts[, extra]``, restricted to ``window``."""
@@ -181,6 +190,7 @@ class StoredCubes:
         self.fmt = fmt
         self.options = dict(options or {})
         self.collection_option = collection_option
+        self._frames: dict[tuple[str, str | None], DataFrame] = {}
 
     @staticmethod
     def name(collection: str, grain: str | None = None) -> str:
@@ -190,14 +200,25 @@ class StoredCubes:
         return f"{self.root}/{self.name(collection, grain)}"
 
     def cube(self, collection: str, grain: str | None = None, window: Window | None = None) -> DataFrame:
-        # The route's own key predicates (year / month / day) become partition
-        # filters on the stored layout; the raw-time window has no column here.
-        reader = self.spark.read.format(self.fmt).options(**self.options)
-        if self.collection_option:
-            df = reader.option(self.collection_option, self.name(collection, grain)).load()
-        else:
-            df = reader.load(self.path(collection, grain))
-        return flatten_id(df)
+        """The collection as a flat frame. The frame is made once per instance
+        (a handle, no data is cached): schema and partition listing are
+        resolved on first use, and every later route reuses them. The
+        route's own key predicates (year / month / day) become partition
+        filters on the stored layout; the raw-time ``window`` has no column
+        here and is not needed."""
+        key = (collection, grain)
+        if key not in self._frames:
+            reader = self.spark.read.format(self.fmt).options(**self.options)
+            if self.collection_option:
+                df = reader.option(self.collection_option, self.name(collection, grain)).load()
+            else:
+                df = reader.load(self.path(collection, grain))
+            self._frames[key] = flatten_id(df)
+        return self._frames[key]
+
+    def refresh(self) -> None:
+        """Forget collection handles (after the cubes were rewritten)."""
+        self._frames.clear()
 
 
 def build_all(source: TableCubes, root: str, parallel: int = 4) -> list[str]:

@@ -60,6 +60,19 @@ def route_specs() -> list[RouteSpec]:
 JSON_ROUTES = ("countTweetByMonth__year_month", "mostUsedHashtags__year_month_party", "liveSource__month")
 
 
+_SOURCES: dict[tuple[int, str], TableCubes] = {}
+
+
+def table_cubes(spark: SparkSession, sf_dir: str) -> TableCubes:
+    """One TableCubes per session and folder, so table handles (and their file
+    listings) are shared by all registered queries."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    cached = _SOURCES.get(key)
+    if cached is None or cached.spark is not spark:
+        cached = _SOURCES[key] = TableCubes(spark, sf_dir)
+    return cached
+
+
 def registered_queries() -> dict:
     """``key -> (spark, sf_dir) -> DataFrame`` for every route, plus the JSON
     document form of :data:`JSON_ROUTES` (``key, json`` rows)."""
@@ -68,11 +81,11 @@ def registered_queries() -> dict:
     out = {}
     for spec in route_specs():
         def run(spark: SparkSession, sf_dir: str, _spec: RouteSpec = spec) -> DataFrame:
-            return _spec.run(TableCubes(spark, sf_dir))
+            return _spec.run(table_cubes(spark, sf_dir))
         out[spec.key] = run
     for spec in route_specs():
         if spec.key in JSON_ROUTES:
             def run_json(spark: SparkSession, sf_dir: str, _spec: RouteSpec = spec) -> DataFrame:
-                return route_json(TableCubes(spark, sf_dir), _spec.family.name, _spec.shape, **_spec.params)
+                return route_json(table_cubes(spark, sf_dir), _spec.family.name, _spec.shape, **_spec.params)
             out[f"{spec.key}__json"] = run_json
     return out

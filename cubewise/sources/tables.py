@@ -1,8 +1,11 @@
-"""Raw table reads (Parquet) with explicit projection.
-
-Every read names the columns it needs so the scan's ReadSchema carries only
-those; filters written on the returned frame are pushed into the Parquet
-reader by Catalyst.
+"""Raw table reads (Parquet) with explicit schema and projection.
+
+Tables the library reads are read with a declared schema: no footer-reading
+schema-inference job per read (one per table per query otherwise), and a
+drifted file fails loudly instead of silently changing types. Every read
+names the columns it needs so the scan's ReadSchema carries only those;
+filters written on the returned frame are pushed into the Parquet reader by
+Catalyst.
 """
 
 from __future__ import annotations
@@ -15,6 +18,19 @@ TABLES = (
 )
 
 
+# Schemas of the tables the cube feed jobs read (dates are wall-clock
+# timestamps without zone, stored as Parquet TIMESTAMP(isAdjustedToUTC=false)).
+SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table_path(base: str, name: str) -> str:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
@@ -22,5 +38,6 @@ def table_path(base: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, base: str, name: str, columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
-    df = spark.read.parquet(table_path(base, name))
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    df = reader.parquet(table_path(base, name))
     return df.select(*columns) if columns else df

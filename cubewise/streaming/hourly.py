@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.cubes import LIVE_PARTITIONS, write_cube
+from ..sources.tables import SCHEMAS
 
 HOUR_KEYS = ("party", "year", "month", "day", "hour")
 
@@ -79,7 +80,7 @@ def compact_hourly_cube(spark: SparkSession, log_path: str, cube_path: str, meas
     write_cube(read_hourly_cube(spark, log_path, measure, item), cube_path, LIVE_PARTITIONS)
 
 
-EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+EVENT_SCHEMA = SCHEMAS["events"]
 
 
 def read_event_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
