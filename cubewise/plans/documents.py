@@ -55,7 +55,9 @@ def shape_json(df: DataFrame, family_name: str, shape: str, party: str | None =
 
 
 def route_json(cubes, family_name: str, shape: str, *, year: int | None = None, party: str | None = None,
-               as_of: dt.date | str | None = None) -> DataFrame:
-    """``(key, json)`` rows of one route, in the original service's document shape."""
+               as_of: dt.date | str | None = None, ordered: bool = False) -> DataFrame:
+    """``(key, json)`` rows of one route, in the original service's document
+    shape; ``ordered`` sorts the documents by key (parties as strings)."""
     df = answer(cubes, family_name, shape, year=year, party=party, as_of=as_of)
-    return shape_json(df, family_name, shape, party)
+    docs = shape_json(df, family_name, shape, party)
+    return docs.orderBy("key") if ordered else docs

@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..catalog import (COMBINED_KEY, COUNT, LATEST, LIVE_ITEMS, LIVE_MEAN, LIVE_MONTH_TOP_N, LIVE_SUM, RANKED,
                        UNRANKED, check_party, family)
@@ -38,9 +39,38 @@ def historic_shape(shape: str) -> tuple[str, bool, bool]:
     return table[shape]
 
 
+ORDER_KEYS = ("party", "key", "year", "month", "week", "day", "rank", "n")
+
+
+def in_route_order(df: DataFrame) -> DataFrame:
+    """Sort a long answer the way the original service lists it: party as a
+    string, then periods and ranks as numbers (so month 2 precedes 10), then
+    items by descending total."""
+    cols = [F.col(c).asc() for c in ORDER_KEYS if c in df.columns]
+    for value in ("total", "value", "mean"):
+        if value in df.columns:
+            cols.append(F.col(value).desc())
+    cols += [F.col(c).asc() for c in df.columns if c not in ORDER_KEYS and c not in ("total", "value", "mean")]
+    return df.orderBy(*cols)
+
+
 def answer(cubes, family_name: str, shape: str, *, year: int | None = None, party: str | None = None,
-           as_of: dt.date | str | None = None, allowed_parties: tuple[str, ...] | None = None) -> DataFrame:
-    """The long-format answer of one route over ``cubes`` (TableCubes or StoredCubes)."""
+           as_of: dt.date | str | None = None, allowed_parties: tuple[str, ...] | None = None,
+           ordered: bool = False) -> DataFrame:
+    """The long-format answer of one route over ``cubes`` (TableCubes or StoredCubes).
+
+    ``ordered`` sorts the (small) answer with :func:`in_route_order`; leave it
+    off when the consumer does not need an order, as a sort adds a range
+    exchange. ``allowed_parties`` restricts one-party routes to a list (for
+    the original data set, ``catalog.PARTIES``).
+    """
+    df = _answer(cubes, family_name, shape, year=year, party=party, as_of=as_of,
+                 allowed_parties=allowed_parties)
+    return in_route_order(df) if ordered else df
+
+
+def _answer(cubes, family_name: str, shape: str, *, year: int | None, party: str | None,
+            as_of: dt.date | str | None, allowed_parties: tuple[str, ...] | None) -> DataFrame:
     fam = family(family_name)
     if shape not in fam.shapes:
         raise ValueError(f"{family_name} has shapes {fam.shapes}, not {shape!r}")

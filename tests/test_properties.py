@@ -68,3 +68,28 @@ def test_day_routes_agree_with_month_routes(spark):
     day = dict(rows(answer(raw, "liveMediaUsage", "day", as_of=AS_OF)))
     month = answer(raw, "liveMediaUsage", "month", as_of=AS_OF).where(F.col("day") == AS_OF.day)
     assert day == dict(rows(month.select("party", "total")))
+
+
+def test_ordered_answers_follow_route_order(spark):
+    raw = _raw(spark)
+    out = answer(raw, "mostUsedHashtags", "year_month", year=1997, ordered=True).collect()
+    keys = [(r.party, r.month, r.rank) for r in out]
+    assert keys == sorted(keys)
+    months = [r.month for r in answer(raw, "countTweetByMonth", "year_month_party", year=1997,
+                                      party="1-URGENT", ordered=True).collect()]
+    assert months == sorted(months) and 10 in months and months.index(2) < months.index(10)
+
+
+def test_party_allow_list(spark):
+    import pytest
+
+    from cubewise.catalog import PARTIES
+
+    raw = _raw(spark)
+    with pytest.raises(ValueError):
+        answer(raw, "countTotalRunning", "day_party", party="click", as_of=AS_OF, allowed_parties=PARTIES)
+    assert answer(raw, "countTotalRunning", "day_party", party="click", as_of=AS_OF).count() == 1
+    with pytest.raises(ValueError):
+        answer(raw, "countTotalRunning", "day_party", as_of=AS_OF)
+    with pytest.raises(ValueError):
+        answer(raw, "countTweetByMonth", "year_month", party="x")
