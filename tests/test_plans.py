@@ -62,3 +62,25 @@ def test_aggregates_are_partial_before_shuffle(raw):
 def test_line_stats_are_combined_per_order_before_the_join(raw):
     p = plan(SPECS["averagelikestweet__all"].run(raw))
     assert "partial_sum(l_quantity" in p
+
+
+def test_year_routes_prune_lineitem_with_a_runtime_filter_at_scale(spark, raw):
+    """With tables too large to broadcast (as at scale), the year-filtered
+    orders build a bloom filter that is applied at the lineitem scan, below
+    the per-order aggregate and the part join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "10KB"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for key in ("averageTweetLength__year_month", "mostUsedHashtags__year_month_party"):
+            p = plan(SPECS[key].run(raw))
+            assert "might_contain" in p and "bloom_filter_agg(xxhash64(o_orderkey" in p, key
+            assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p, key
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
