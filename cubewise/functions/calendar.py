@@ -68,10 +68,15 @@ def month_window(as_of: dt.date | str | None) -> Window:
     return start, end
 
 
-def in_window(ts: str | Column, window: Window | None) -> Column | None:
+def in_window(ts: str | Column, window: Window | None, ts_type: str = "timestamp_ntz") -> Column | None:
     """Half-open range predicate on a timestamp column, in a form Parquet row
-    group statistics can use (plain comparisons against literals)."""
+    group statistics can use (plain comparisons against literals).
+
+    The bounds are wall-clock strings cast to ``ts_type``: for a
+    ``timestamp_ntz`` column no time zone takes part, whatever the session or
+    process zone is (a Python ``datetime`` literal would go through both)."""
     if window is None:
         return None
     c = F.col(ts) if isinstance(ts, str) else ts
-    return (c >= F.lit(window[0])) & (c < F.lit(window[1]))
+    lo, hi = (F.lit(w.isoformat(sep=" ")).cast(ts_type) for w in window)
+    return (c >= lo) & (c < hi)
