@@ -1,8 +1,7 @@
 """Structured Streaming feed jobs for the live cubes and latest lists."""
 
-from .hourly import (compact_hourly_cube, hourly_updates, live_updates, read_event_stream, read_hourly_cube,
-                     start_hourly_cube)
+from .hourly import hourly_updates, live_updates, read_event_stream, start_hourly_cube, upsert_hours
 from .latest import read_latest_lists, start_latest_lists
 
-__all__ = ["compact_hourly_cube", "hourly_updates", "live_updates", "read_event_stream", "read_hourly_cube",
-           "start_hourly_cube", "read_latest_lists", "start_latest_lists"]
+__all__ = ["hourly_updates", "live_updates", "read_event_stream", "start_hourly_cube", "upsert_hours",
+           "read_latest_lists", "start_latest_lists"]

@@ -2,29 +2,35 @@
 
 The stream groups posts by a 1-hour event-time window (plus party, and the
 item for item cubes) under a watermark, in update mode: every micro-batch
-emits the hours whose value changed, with the hour's value over all data seen
-so far. State for an hour is dropped once the watermark passes its end; a
-post older than the watermark is late and not counted (the watermark delay is
-the late-data rule, chosen by the caller).
-
-Sink: an upsert log. ``foreachBatch`` writes the batch's rows to
-``<path>/batch_id=<id>`` with overwrite, so a retried batch replaces its own
-output and the result stays exactly-once with the checkpoint. Readers take
-the newest version of each key (:func:`read_hourly_cube`), an aggregate with
-partial aggregation, so the log can be read at any time and compacted into
-the partitioned batch layout by :func:`compact_hourly_cube`.
+emits the hours whose value changed, each with its value over all data seen
+so far (an absolute value, not a delta). State for an hour is dropped once
+the watermark passes its end; a post older than the watermark is late and is
+not counted (the watermark delay is the late-data rule, chosen by the caller).
+
+Sink: an upsert into the cube itself, stored partitioned by (year, month,
+day) like the batch cube. ``foreachBatch`` reads only the day partitions the
+batch touches, keeps their rows the batch does not update, adds the batch's
+rows, checkpoints the result to the shared checkpoint folder (the overwrite
+must not read what it replaces) and overwrites just those day partitions
+(dynamic partition overwrite). Because the batch carries absolute values, a
+retried batch produces the same cube. Storage stays the size of the cube and
+readers see a normal partitioned cube; nothing grows with the number of
+micro-batches.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.cubes import LIVE_PARTITIONS, write_cube
+from ..session import checkpoint_dir
+from ..sources.cubes import LIVE_PARTITIONS, read_cube, write_cube
 from ..sources.tables import SCHEMAS
 
 HOUR_KEYS = ("party", "year", "month", "day", "hour")
+EVENT_SCHEMA = SCHEMAS["events"]
 
 
 def as_event_time(posts: DataFrame, ts: str = "ts") -> DataFrame:
@@ -51,13 +57,36 @@ def hourly_updates(posts: DataFrame, measure: Column, name: str = "count", item:
     return agg.select(*out, F.col(name))
 
 
+def upsert_hours(batch: DataFrame, path: str, keys: list[str]) -> None:
+    """Merge ``batch`` (absolute values per key) into the cube at ``path``."""
+    spark = batch.sparkSession
+    checkpoint_dir(spark)  # the shared folder for the reliable checkpoint below
+    try:
+        current = read_cube(spark, path)
+    except AnalysisException:
+        current = None
+    if current is None:
+        merged = batch
+    else:
+        days = batch.select(*LIVE_PARTITIONS).distinct()
+        touched = current.join(days, list(LIVE_PARTITIONS), "left_semi")
+        kept = touched.join(batch.select(*keys), keys, "left_anti")
+        merged = kept.select(*[F.col(c).cast(batch.schema[c].dataType) for c in batch.columns]).unionByName(batch)
+    write_cube(merged.checkpoint(), path, LIVE_PARTITIONS)
+
+
 def start_hourly_cube(updates: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
                       query_name: str | None = None) -> StreamingQuery:
-    """Run ``updates`` into the upsert log at ``path``."""
+    """Run ``updates`` (from :func:`hourly_updates`) into the cube at ``path``."""
     base = path.rstrip("/")
+    keys = [c for c in updates.columns if c not in ("count", "sentiment")]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+        batch = batch.persist()
+        try:
+            upsert_hours(batch, base, keys)
+        finally:
+            batch.unpersist()
 
     writer = (updates.writeStream.outputMode("update").foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint))
@@ -67,22 +96,6 @@ def start_hourly_cube(updates: DataFrame, path: str, checkpoint: str, trigger: d
     return writer.start()
 
 
-def read_hourly_cube(spark: SparkSession, path: str, measure: str = "count", item: str | None = None) -> DataFrame:
-    """The current cube from the upsert log: newest version of every key."""
-    keys = list(HOUR_KEYS) + ([item] if item else [])
-    log = spark.read.parquet(path)
-    return log.groupBy(*keys).agg(F.max_by(F.col(measure), F.col("batch_id")).alias(measure))
-
-
-def compact_hourly_cube(spark: SparkSession, log_path: str, cube_path: str, measure: str = "count",
-                        item: str | None = None) -> None:
-    """Rewrite the log's current state as a (year, month, day)-partitioned cube."""
-    write_cube(read_hourly_cube(spark, log_path, measure, item), cube_path, LIVE_PARTITIONS)
-
-
-EVENT_SCHEMA = SCHEMAS["events"]
-
-
 def read_event_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Event posts arriving as Parquet files in ``folder``: ``party`` = event type."""
     reader = spark.readStream.schema(EVENT_SCHEMA)

@@ -1,13 +1,17 @@
 """Latest-items lists as a Structured Streaming job.
 
 State is the newest ``n`` posts per key (each party and ``combined``), kept
-as rows ``key, ts, oid`` in versions ``<path>/batch_id=<id>``. Each
-micro-batch reduces its own posts to the newest ``n`` per key (a partial
-group limit, and a global top-n for ``combined``), unions them with the
-previous version and keeps the newest ``n`` per key again. The version is
-written with overwrite under the batch id, so a retried batch rewrites the
-same version from the same inputs. Nothing grows with the stream: a version
-holds at most ``n`` rows per key.
+as rows ``key, ts, oid, batch_id``. Each micro-batch reduces its own posts to
+the newest ``n`` per key (a partial group limit, and a global top-n for
+``combined``), unions them with the previous state and keeps the newest ``n``
+per key again.
+
+State lives in two slots, ``<path>/slot=0`` and ``<path>/slot=1``: batch
+``i`` reads the newest state older than ``i`` from either slot and writes
+slot ``i % 2`` with overwrite. A failed or retried batch can only damage the
+slot it writes, never the one holding its input, so a retry rebuilds the
+same state. Storage and reads stay at two small versions however long the
+stream runs.
 """
 
 from __future__ import annotations
@@ -20,15 +24,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ..catalog import LATEST_LIST_LENGTH
 from ..plans.cubes import keep_newest, lists_from_rows, newest_rows
 
+SLOTS = 2
 
-def _previous(spark: SparkSession, base: str, batch_id: int) -> DataFrame | None:
+
+def _state(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete state version (older than ``before`` if given)."""
     try:
         versions = spark.read.parquet(base)
     except AnalysisException:
         return None
-    older = versions.where(F.col("batch_id") < batch_id)
+    if before is not None:
+        versions = versions.where(F.col("batch_id") < before)
     last = Window.partitionBy("key").orderBy(F.col("batch_id").desc())
-    return (older.withColumn("_v", F.dense_rank().over(last)).where(F.col("_v") == 1)
+    return (versions.withColumn("_v", F.dense_rank().over(last)).where(F.col("_v") == 1)
             .select("key", "ts", "oid"))
 
 
@@ -38,9 +46,10 @@ def start_latest_lists(posts: DataFrame, path: str, checkpoint: str, post_id: st
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         fresh = newest_rows(batch, post_id, n)
-        prev = _previous(batch.sparkSession, base, batch_id)
+        prev = _state(batch.sparkSession, base, before=batch_id)
         merged = fresh if prev is None else keep_newest(prev.unionByName(fresh), n)
-        merged.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+        (merged.withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").parquet(f"{base}/slot={batch_id % SLOTS}"))
 
     writer = posts.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
@@ -48,7 +57,7 @@ def start_latest_lists(posts: DataFrame, path: str, checkpoint: str, post_id: st
 
 def read_latest_lists(spark: SparkSession, path: str) -> DataFrame:
     """``key, tweetIds`` (oldest first) from the newest state version."""
-    versions = spark.read.parquet(path)
-    last = Window.partitionBy("key").orderBy(F.col("batch_id").desc())
-    rows = versions.withColumn("_v", F.dense_rank().over(last)).where(F.col("_v") == 1)
-    return lists_from_rows(rows.select("key", "ts", "oid"))
+    state = _state(spark, path.rstrip("/"))
+    if state is None:
+        raise FileNotFoundError(f"no latest-list state under {path}")
+    return lists_from_rows(state)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from cubewise.plans.bindings import LIVE_CUBES, StoredCubes, TableCubes, build_all
 from cubewise.plans.registry import route_specs
-from cubewise.streaming import (compact_hourly_cube, live_updates, read_event_stream, read_hourly_cube,
-                                read_latest_lists, start_hourly_cube, start_latest_lists)
+from cubewise.sources.cubes import read_cube
+from cubewise.streaming import (live_updates, read_event_stream, read_latest_lists, start_hourly_cube,
+                                start_latest_lists, upsert_hours)
 from tests.conftest import SF_SMALL, rows
 
 
@@ -46,35 +47,49 @@ def event_chunks(tmp_path_factory):
 
 @pytest.mark.parametrize("collection", sorted(LIVE_CUBES))
 def test_hourly_stream_equals_batch(spark, scratch, event_chunks, collection):
-    measure, item = LIVE_CUBES[collection]
     stream = read_event_stream(spark, event_chunks, max_files_per_trigger=1)
-    q = start_hourly_cube(live_updates(stream, collection, watermark="2 hours"),
-                          os.path.join(scratch, "log"), os.path.join(scratch, "ckpt"),
-                          trigger={"availableNow": True})
+    cube_path = os.path.join(scratch, "cube")
+    q = start_hourly_cube(live_updates(stream, collection, watermark="2 hours"), cube_path,
+                          os.path.join(scratch, "ckpt"), trigger={"availableNow": True})
     q.awaitTermination(300)
     assert q.exception() is None
-    got = read_hourly_cube(spark, os.path.join(scratch, "log"), measure, item)
     want = TableCubes(spark, SF_SMALL).cube(collection)
     cols = want.columns
+    got = read_cube(spark, cube_path).select(*[F.col(c).cast(want.schema[c].dataType) for c in cols])
     r = lambda df: [tuple(round(v, 9) if isinstance(v, float) else v for v in t) for t in rows(df.select(*cols))]
     assert r(got) == r(want)
-    compact_hourly_cube(spark, os.path.join(scratch, "log"), os.path.join(scratch, "cube"), measure, item)
-    assert spark.read.parquet(os.path.join(scratch, "cube")).count() == want.count()
+    # the sink is the partitioned cube itself: one folder per day, nothing per micro-batch
+    days = {d for d in os.listdir(os.path.join(cube_path, "year=2024", "month=1")) if d.startswith("day=")}
+    assert len(days) == want.select("day").distinct().count()
+
+
+def test_hourly_upsert_is_idempotent(spark, scratch):
+    path = os.path.join(scratch, "cube")
+    keys = ["party", "year", "month", "day", "hour"]
+    schema = "party string, year bigint, month bigint, day bigint, hour bigint, count double"
+    first = spark.createDataFrame([("a", 2024, 1, 1, 0, 1.0), ("a", 2024, 1, 2, 5, 2.0)], schema)
+    upsert_hours(first, path, keys)
+    update = spark.createDataFrame([("a", 2024, 1, 2, 5, 7.0), ("b", 2024, 1, 2, 6, 1.0)], schema)
+    upsert_hours(update, path, keys)
+    once = rows(read_cube(spark, path).select(*keys, "count"))
+    upsert_hours(update, path, keys)  # a retried batch
+    assert rows(read_cube(spark, path).select(*keys, "count")) == once == [
+        ("a", 2024, 1, 1, 0, 1.0), ("a", 2024, 1, 2, 5, 7.0), ("b", 2024, 1, 2, 6, 1.0)]
 
 
 def test_latest_stream_equals_batch(spark, scratch, event_chunks):
     stream = read_event_stream(spark, event_chunks, max_files_per_trigger=1)
-    q = start_latest_lists(stream, os.path.join(scratch, "lists"), os.path.join(scratch, "ckpt"),
-                           trigger={"availableNow": True})
+    lists = os.path.join(scratch, "lists")
+    q = start_latest_lists(stream, lists, os.path.join(scratch, "ckpt"), trigger={"availableNow": True})
     q.awaitTermination(300)
     assert q.exception() is None
-    got = rows(read_latest_lists(spark, os.path.join(scratch, "lists")))
+    got = rows(read_latest_lists(spark, lists))
     want = rows(TableCubes(spark, SF_SMALL).cube("lastTweets"))
     assert got == want
-    versions = spark.read.parquet(os.path.join(scratch, "lists")).select("batch_id").distinct().count()
-    assert versions == 3
-    assert spark.read.parquet(os.path.join(scratch, "lists")).groupBy("batch_id", "key").count() \
-        .agg(F.max("count")).first()[0] <= 15
+    state = spark.read.parquet(lists)
+    assert sorted(os.listdir(lists)) == ["slot=0", "slot=1"]  # three batches, two slots
+    assert state.agg(F.max("batch_id")).first()[0] == 2
+    assert state.groupBy("batch_id", "key").count().agg(F.max("count")).first()[0] <= 15
 
 
 def test_cubes_as_id_documents_in_another_format(spark, scratch):
