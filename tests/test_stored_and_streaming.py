@@ -113,3 +113,38 @@ def test_cubes_as_id_documents_in_another_format(spark, scratch):
     specs = {s.key: s for s in route_specs()}
     for key in keys:
         assert rows(specs[key].run(stored)) == rows(specs[key].run(raw)), key
+
+
+def test_watermark_decides_late_posts(spark, scratch):
+    """Posts older than the watermark are not counted; late posts within it are.
+
+    Spark judges late rows against the watermark of the previous batch, so the
+    watermark raised by batch 1 filters from batch 3 on."""
+    import datetime as dt
+
+    import pyarrow as pa
+
+    folder = os.path.join(scratch, "late")
+    os.makedirs(folder)
+    day = dt.datetime(2024, 1, 15)
+    batches = [
+        [day.replace(hour=10, minute=5), day.replace(hour=10, minute=40)],   # hour 10
+        [day.replace(hour=14, minute=0)],                                    # watermark -> 12:00
+        [day.replace(hour=14, minute=10)],
+        [day.replace(hour=11, minute=30), day.replace(hour=12, minute=30)],  # 11:30 too late, 12:30 in time
+    ]
+    for i, times in enumerate(batches):
+        table = pa.table({"event_id": pa.array(range(i * 10, i * 10 + len(times)), pa.int64()),
+                          "ts": pa.array(times, pa.timestamp("us")),
+                          "user_id": pa.array([1] * len(times), pa.int64()),
+                          "event_type": ["click"] * len(times), "value": [1.0] * len(times),
+                          "props": ['{"k": 1}'] * len(times)})
+        pq.write_table(table, os.path.join(folder, f"part-{i}.parquet"))
+    stream = read_event_stream(spark, folder, max_files_per_trigger=1)
+    cube_path = os.path.join(scratch, "cube")
+    q = start_hourly_cube(live_updates(stream, "metricsByHourAndParty", watermark="2 hours"), cube_path,
+                          os.path.join(scratch, "ckpt"), trigger={"availableNow": True})
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = {r.hour: r["count"] for r in read_cube(spark, cube_path).collect()}
+    assert got == {10: 2.0, 12: 1.0, 14: 2.0}
