@@ -26,11 +26,12 @@ def _check_grain(grain: str) -> None:
 
 
 def _restrict(cube: DataFrame, year: int | None, party: str | None) -> DataFrame:
-    if year is not None:
-        cube = cube.where(F.col("year") == F.lit(year))
-    if party is not None:
-        cube = cube.where(F.col("party") == F.lit(party))
-    return cube
+    conds = ([F.col("year") == F.lit(year)] if year is not None else []) + \
+            ([F.col("party") == F.lit(party)] if party is not None else [])
+    if not conds:
+        return cube
+    cond = conds[0] if len(conds) == 1 else conds[0] & conds[1]
+    return cube.where(cond)
 
 
 def period_values(cube: DataFrame, grain: str = "year", year: int | None = None, party: str | None = None,

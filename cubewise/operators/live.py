@@ -22,18 +22,20 @@ from .history import item_totals
 from .topn import leader, top_n
 
 
-def on_day(cube: DataFrame, as_of: dt.date | str | None) -> DataFrame:
-    y, m, d = today_parts(as_of)
-    return cube.where((F.col("year") == y) & (F.col("month") == m) & (F.col("day") == d))
+def _where(cube: DataFrame, cond, party: str | None) -> DataFrame:
+    return cube.where(cond if party is None else cond & (F.col("party") == F.lit(party)))
 
 
-def in_month(cube: DataFrame, as_of: dt.date | str | None) -> DataFrame:
-    y, m = month_parts(as_of)
-    return cube.where((F.col("year") == y) & (F.col("month") == m))
+def on_day(cube: DataFrame, as_of: dt.date | str | None, party: str | None = None) -> DataFrame:
+    """Rows of the ``as_of`` day (of one party if given)."""
+    y, m, d = today_parts(as_of)
+    return _where(cube, (F.col("year") == y) & (F.col("month") == m) & (F.col("day") == d), party)
 
 
-def _party(cube: DataFrame, party: str | None) -> DataFrame:
-    return cube if party is None else cube.where(F.col("party") == F.lit(party))
+def in_month(cube: DataFrame, as_of: dt.date | str | None, party: str | None = None) -> DataFrame:
+    """Rows of the ``as_of`` month (of one party if given)."""
+    y, m = month_parts(as_of)
+    return _where(cube, (F.col("year") == y) & (F.col("month") == m), party)
 
 
 def _round(c, digits: int | None):
@@ -47,14 +49,14 @@ def day_total(cube: DataFrame, as_of: dt.date | str | None, measure: str = "coun
     Summing hour totals and then the hours equals one sum (associativity), so
     a single partial + final aggregate does it.
     """
-    today = _party(on_day(cube, as_of), party)
+    today = on_day(cube, as_of, party)
     return today.groupBy("party").agg(F.sum(F.col(measure).cast("double")).alias("total"))
 
 
 def day_mean(cube: DataFrame, as_of: dt.date | str | None, measure: str = "sentiment",
              party: str | None = None, digits: int | None = 6) -> DataFrame:
     """Unweighted mean of today's cube rows, per party: ``party, mean``."""
-    today = _party(on_day(cube, as_of), party)
+    today = on_day(cube, as_of, party)
     return today.groupBy("party").agg(_round(F.avg(F.col(measure).cast("double")), digits).alias("mean"))
 
 
@@ -67,7 +69,7 @@ def month_by_day(cube: DataFrame, as_of: dt.date | str | None, measure: str = "c
         raise ValueError("how must be 'sum' or 'mean'")
     name = "total" if how == "sum" else "mean"
     agg = F.sum if how == "sum" else F.avg
-    month = _party(in_month(cube, as_of), party)
+    month = in_month(cube, as_of, party)
     daily = month.groupBy("party", "day").agg(agg(F.col(measure).cast("double")).alias(name))
     filled = zero_fill_days(daily, name, as_of)
     value = _round(F.col(name), digits) if how == "mean" else F.col(name)
@@ -78,7 +80,7 @@ def month_by_day(cube: DataFrame, as_of: dt.date | str | None, measure: str = "c
 def day_leader(cube: DataFrame, item: str, as_of: dt.date | str | None, party: str | None = None,
                measure: str = "count") -> DataFrame:
     """Today's item with the largest summed measure, per party: ``party, <item>``."""
-    today = _party(on_day(cube, as_of), party)
+    today = on_day(cube, as_of, party)
     return leader(item_totals(today, item, ["party"], measure), ["party"], item, "total")
 
 
@@ -86,7 +88,7 @@ def month_top_items(cube: DataFrame, item: str, as_of: dt.date | str | None, n:
                     party: str | None = None, measure: str = "count") -> DataFrame:
     """Top ``n`` items per (party, day) this month; a day without rows gets one
     row with null item and total: ``[party,] day, <item>, total``."""
-    month = _party(in_month(cube, as_of), party)
+    month = in_month(cube, as_of, party)
     totals = item_totals(month, item, ["party", "day"], measure)
     best = top_n(totals, ["party", "day"], "total", item, n).drop("rank")
     filled = empty_fill_days(best, item, "total", as_of)

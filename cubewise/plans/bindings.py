@@ -102,12 +102,16 @@ class TableCubes:
         self._live["lastTweets"] = lambda w: B.latest_lists(self.events(w), "event_id")
 
     # -- raw posts -------------------------------------------------------
-    def read(self, name: str, cols: list[str]) -> DataFrame:
-        """Columns ``cols`` of table ``name``. The table's frame is made once per
-        instance, so its file listing is done once, not per query."""
+    def table(self, name: str) -> DataFrame:
+        """Table ``name``. Its frame is made once per instance, so its file
+        listing is done once, not per query."""
         if name not in self._tables:
             self._tables[name] = read_table(self.spark, self.base, name)
-        return self._tables[name].select(*cols)
+        return self._tables[name]
+
+    def read(self, name: str, cols: list[str]) -> DataFrame:
+        """Columns ``cols`` of table ``name``."""
+        return self.table(name).select(*cols)
 
     def refresh(self) -> None:
         """Forget table handles (after the tables' files changed)."""
@@ -115,10 +119,9 @@ class TableCubes:
 
     def orders(self, window: Window | None = None, *extra: str) -> DataFrame:
         """Orders as posts: ``o_orderkey, party, ts[, extra]``, restricted to ``window``."""
-        o = self.read("orders", ["o_orderkey", "o_orderpriority", "o_orderdate", *extra])
-        if window is not None:
-            o = o.where(in_window("o_orderdate", window))
-        return o.withColumnRenamed("o_orderpriority", "party").withColumnRenamed("o_orderdate", "ts")
+        o = self.table("orders").select("o_orderkey", F.col("o_orderpriority").alias("party"),
+                                        F.col("o_orderdate").alias("ts"), *extra)
+        return o if window is None else o.where(in_window("ts", window))
 
     def lines(self, window: Window | None = None, part_col: str | None = None) -> DataFrame:
         """Lines of the orders in ``window``: ``party, ts, l_suppkey[, part_col]``."""
@@ -152,10 +155,9 @@ class TableCubes:
 
     def events(self, window: Window | None = None) -> DataFrame:
         """Events as posts: ``party`` = event type, ``ts``, ids, value, props."""
-        e = self.read("events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
-        if window is not None:
-            e = e.where(in_window("ts", window))
-        return e.withColumnRenamed("event_type", "party")
+        e = self.table("events").select("event_id", "ts", "user_id", F.col("event_type").alias("party"),
+                                        "value", "props")
+        return e if window is None else e.where(in_window("ts", window))
 
     # -- cubes -----------------------------------------------------------
     def cube(self, collection: str, grain: str | None = None, window: Window | None = None) -> DataFrame:
