@@ -1,28 +1,29 @@
-"""The batch feed job: every cube collection from few passes over raw data.
+"""The batch feed job: every cube collection from one pass per raw source.
 
 Deriving each of the 46 collections from raw rows on its own would join and
-scan lineitem-sized data dozens of times. Instead the job computes a handful
-of *bases* at the finest grain any collection needs (a calendar day, or an
-hour for live cubes), with additive measures only (sums and counts), writes
-them to the shared folder (which also cuts lineage: a lost executor re-reads
-a base instead of re-running the joins), and rolls every collection up from
-them. Means are finished at the end as a sum divided by a count, which is
-exactly the mean over the underlying rows.
-
-Passes over raw data:
-
-1. orders with per-order line statistics (lineitem joined to part, reduced
-   to one row per order first) -> ``order_day``: party x day measures; the
-   seven value cubes and the weekday item cube roll up from it;
-2. orders -> ``customer_day``: party x day x customer counts;
-3. lines of orders with part attributes -> ``line_items_day``: brand, name
-   and supplier counts per party x day, as three grouping sets of one
-   aggregate (one scan, partial aggregation per set);
-4. events -> ``event_hour``: count, count above 50, value sum per party x hour;
-   the three hourly value cubes and the hour-of-day item cube roll up from it;
-5. events -> ``event_items_hour``: user, source and source-mod-10 counts per
-   party x hour, again as grouping sets;
-6. events -> the latest lists (a bounded top-n per key).
+scan lineitem-sized data dozens of times. Instead the job reads each raw
+source once, into a *base* at the finest grain any collection needs (a
+calendar day, or an hour for live cubes). Each base is a single aggregate
+over ``GROUPING SETS``, so one scan and one shuffle of partial aggregates
+serve several cubes. Only additive measures (sums and counts) are kept. The
+bases are written to the shared folder, which also cuts lineage: a lost
+executor re-reads a base instead of re-running the joins. Every collection is
+then rolled up from them; means are finished at the end as a sum divided by
+a count, which is exactly the mean over the underlying rows.
+
+Bases (grouping sets in brackets):
+
+- ``lines``: lineitem joined to orders and (left) to part, which is the only
+  pass over lineitem, shuffled twice (on the order key, then the part key).
+  Sets: [party, date] with line count, quantity, discount and name-length
+  sums and the number of lines with a part; [party, date, has_part, brand];
+  [party, date, has_part, name]; [party, date, supplier].
+- ``orders``: sets [party, date] with order and status-F counts, and
+  [party, date, customer].
+- ``events``: sets [party, hour] with event count, count above 50 and value
+  sum; and [party, hour, user], [party, hour, source], [party, hour, source
+  mod 10].
+- the latest lists, a bounded top-n per key, straight from events.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ from . import cubes as B
 from .bindings import StoredCubes, TableCubes
 
 GRAINS = ("year", "month", "week")
+HOUR = ["party", "year", "month", "day", "hour"]
+LINE_ITEMS = ["hashtag", "url", "taggedUser"]
+ORDER_ITEMS = ["user"]
+EVENT_ITEMS = ["username", "source", "hashtag"]
 
 
 def _period(grain: str) -> list[Column]:
@@ -54,60 +59,69 @@ def _write_base(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def order_day_base(src: TableCubes) -> DataFrame:
-    stats = src.order_stats(name_length=True, keep_lineless=True, extra=("o_orderstatus",))
-    return stats.groupBy("party", F.to_date("ts").alias("date")).agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f_orders"),
-        F.sum(F.coalesce(F.col("n_lines"), F.lit(0))).alias("lines"),
-        F.sum("sum_qty").alias("qty"),
-        F.sum("sum_disc100").alias("disc100"),
-        F.sum("sum_name_len").alias("name_len"))
+def _flags(items: list[str]) -> list[Column]:
+    """``g_<item>`` is 0 on the rows of the sets grouped by that item."""
+    return [F.grouping(item).alias(f"g_{item}") for item in items]
 
 
-def item_sets(rows: DataFrame, keys: list[str], items: list[str]) -> DataFrame:
-    """Counts per ``keys`` + each item, as grouping sets of one aggregate:
-    one scan, one partial aggregate, one shuffle for all the item cubes.
-    ``g_<item>`` is 0 on the rows of that item's set."""
-    sets = [[*keys, item] for item in items]
-    return rows.groupingSets(sets, *keys, *items).agg(
-        F.count(F.lit(1)).cast("double").alias("count"),
-        *[F.grouping(item).alias(f"g_{item}") for item in items])
+def _only(base: DataFrame, item: str | None, items: list[str]) -> DataFrame:
+    """Rows of the set grouped by ``item`` (for None: the set grouped by no item)."""
+    cond = F.lit(True)
+    for other in items:
+        cond = cond & (F.col(f"g_{other}") == (0 if other == item else 1))
+    return base.where(cond)
 
 
-def line_items_day_base(src: TableCubes) -> DataFrame:
-    li = src.read("lineitem", ["l_orderkey", "l_partkey", "l_suppkey"])
+def lines_base(src: TableCubes) -> DataFrame:
+    li = src.read("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount"])
     part = src.read("part", ["p_partkey", "p_brand", "p_name"])
     rows = (li.join(src.orders(), li["l_orderkey"] == F.col("o_orderkey"))
-            .join(part, li["l_partkey"] == part["p_partkey"])
-            .select("party", F.to_date("ts").alias("date"), F.col("p_brand").alias("hashtag"),
-                    F.col("p_name").alias("url"), F.col("l_suppkey").cast("string").alias("taggedUser")))
-    return item_sets(rows, ["party", "date"], ["hashtag", "url", "taggedUser"])
-
-
-def event_hour_base(src: TableCubes) -> DataFrame:
-    return src.events().groupBy(F.col("party"), *B.hour_keys()).agg(
-        F.count(F.lit(1)).cast("double").alias("events"),
-        F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).cast("double").alias("media"),
-        F.sum("value").alias("value_sum"))
+            .join(part, li["l_partkey"] == part["p_partkey"], "left")
+            .select("party", F.to_date("ts").alias("date"), F.col("p_partkey").isNotNull().alias("has_part"),
+                    F.col("p_brand").alias("hashtag"), F.col("p_name").alias("url"),
+                    F.col("l_suppkey").cast("string").alias("taggedUser"), "l_quantity", "l_discount",
+                    F.length("p_name").alias("name_len")))
+    keys = ["party", "date"]
+    sets = [keys, keys + ["has_part", "hashtag"], keys + ["has_part", "url"], keys + ["taggedUser"]]
+    return rows.groupingSets(sets, *keys, "has_part", *LINE_ITEMS).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("l_quantity").alias("qty"),
+        F.sum(F.col("l_discount") * 100).alias("disc100"),
+        F.sum("name_len").alias("name_len"),
+        F.sum(F.col("has_part").cast("int")).alias("parted"),
+        *_flags(LINE_ITEMS))
+
+
+def orders_base(src: TableCubes) -> DataFrame:
+    rows = src.orders(None, "o_orderstatus", "o_custkey").select(
+        "party", F.to_date("ts").alias("date"), "o_orderstatus", F.col("o_custkey").cast("string").alias("user"))
+    keys = ["party", "date"]
+    return rows.groupingSets([keys, keys + ["user"]], *keys, *ORDER_ITEMS).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f_orders"),
+        *_flags(ORDER_ITEMS))
 
 
-def event_items_hour_base(src: TableCubes) -> DataFrame:
+def events_base(src: TableCubes) -> DataFrame:
     k = F.get_json_object(F.col("props"), "$.k")
     rows = src.events().select("party", *B.hour_keys(), F.col("user_id").cast("string").alias("username"),
-                               k.alias("source"), (k.cast("long") % 10).cast("string").alias("hashtag"))
-    return item_sets(rows, ["party", "year", "month", "day", "hour"], ["username", "source", "hashtag"])
+                               k.alias("source"), (k.cast("long") % 10).cast("string").alias("hashtag"), "value")
+    return rows.groupingSets([HOUR] + [HOUR + [i] for i in EVENT_ITEMS], *HOUR, *EVENT_ITEMS).agg(
+        F.count(F.lit(1)).cast("double").alias("events"),
+        F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).cast("double").alias("media"),
+        F.sum("value").alias("value_sum"),
+        *_flags(EVENT_ITEMS))
 
 
-# Value cubes rolled up from the order-day base: collection -> (measure, keep-row condition).
+# Value cubes rolled up from the day base: collection -> (measure, keep-row condition).
 def _value_measures() -> dict[str, tuple[Column, Column | None]]:
-    lines = F.sum("lines")
+    lines = F.sum(F.coalesce(F.col("lines"), F.lit(0)))
     return {
         "countTotal": (F.sum("orders"), None),
         "avgReplies": (lines / F.sum("orders"), None),
-        "avgLikes": (F.sum("qty") / lines, lines > 0),
-        "avgRetweets": (F.sum("disc100") / lines, lines > 0),
-        "avgTweetLength": (F.sum("name_len") / lines, lines > 0),
+        "avgLikes": (F.sum("qty") / F.sum("lines"), F.sum("lines") > 0),
+        "avgRetweets": (F.sum("disc100") / F.sum("lines"), F.sum("lines") > 0),
+        "avgTweetLength": (F.sum("name_len") / F.sum("parted"), F.sum("parted") > 0),
         "mediaUsage": (F.sum("f_orders") * 100.0 / F.sum("orders"), None),
         "totalReplies": (lines, None),
     }
@@ -122,12 +136,10 @@ def value_cube(order_day: DataFrame, collection: str, grain: str) -> DataFrame:
     return out.where("_keep").drop("_keep") if keep is not None else out
 
 
-def item_rollup(base: DataFrame, item: str, grain: str, weight: str = "count", item_expr: Column | None = None) -> DataFrame:
-    """Roll a day-level base up to ``grain``; rows of a grouping-set base are
-    picked by the set's flag (``g_<item> = 0``), so null items still count."""
-    rows = base if item_expr is None else base.withColumn(item, item_expr)
-    if f"g_{item}" in base.columns:
-        rows = rows.where(F.col(f"g_{item}") == 0)
+def item_rollup(rows: DataFrame, item: str, grain: str, weight: str, item_expr: Column | None = None) -> DataFrame:
+    """Sum ``weight`` of day-level rows by (party, period, item)."""
+    if item_expr is not None:
+        rows = rows.withColumn(item, item_expr)
     return (rows.groupBy("party", *_period(grain), F.col(item).cast("string").alias(item))
             .agg(F.sum(weight).cast("double").alias("count")))
 
@@ -136,39 +148,42 @@ def build_all(src: TableCubes, root: str, parallel: int = 4) -> list[str]:
     """Write all 46 collections under ``root`` (layout read by :class:`StoredCubes`)."""
     target = StoredCubes(src.spark, root)
     bases = os.path.join(root.rstrip("/"), "_base")
-    order_day = _write_base(order_day_base(src), f"{bases}/order_day")
-    customer_day = _write_base(
-        src.orders(None, "o_custkey").groupBy("party", F.to_date("ts").alias("date"),
-                                              F.col("o_custkey").cast("string").alias("user"))
-        .agg(F.count(F.lit(1)).cast("double").alias("count")), f"{bases}/customer_day")
-    line_items = _write_base(line_items_day_base(src), f"{bases}/line_items_day")
-    event_hour = _write_base(event_hour_base(src), f"{bases}/event_hour")
-    event_items = _write_base(event_items_hour_base(src), f"{bases}/event_items_hour")
+    lines = _write_base(lines_base(src), f"{bases}/lines")
+    orders = _write_base(orders_base(src), f"{bases}/orders")
+    events = _write_base(events_base(src), f"{bases}/events")
+
+    line_day = _only(lines, None, LINE_ITEMS).select("party", "date", "lines", "qty", "disc100", "name_len", "parted")
+    # both sides hold one row per party and day, the size of a day cube
+    order_day = (_only(orders, None, ORDER_ITEMS).select("party", "date", "orders", "f_orders")
+                 .join(line_day, ["party", "date"], "left"))
+    event_hour = _only(events, None, EVENT_ITEMS)
+    event_day = event_hour.withColumn("date", F.make_date("year", "month", "day"))
+    with_part = F.col("has_part")
 
     jobs: list[tuple[DataFrame, str, str | None]] = []
 
     def put(df: DataFrame, collection: str, grain: str | None) -> None:
         jobs.append((df, collection, grain))
 
-    event_day = event_hour.withColumn("date", F.make_date("year", "month", "day"))
     for grain in GRAINS:
         for collection in _value_measures():
             put(value_cube(order_day, collection, grain), collection, grain)
         put(item_rollup(order_day, "weekday", grain, "orders", F.date_format("date", "EEEE")), "mostTweetsDay", grain)
-        put(item_rollup(customer_day, "user", grain), "mostActiveUsers", grain)
-        put(item_rollup(line_items, "hashtag", grain), "hashtags", grain)
-        put(item_rollup(line_items, "url", grain), "urls", grain)
-        put(item_rollup(line_items, "taggedUser", grain), "mostTaggedUsers", grain)
+        put(item_rollup(_only(orders, "user", ORDER_ITEMS), "user", grain, "orders"), "mostActiveUsers", grain)
+        put(item_rollup(_only(lines, "hashtag", LINE_ITEMS).where(with_part), "hashtag", grain, "lines"),
+            "hashtags", grain)
+        put(item_rollup(_only(lines, "url", LINE_ITEMS).where(with_part), "url", grain, "lines"), "urls", grain)
+        put(item_rollup(_only(lines, "taggedUser", LINE_ITEMS), "taggedUser", grain, "lines"),
+            "mostTaggedUsers", grain)
         put(item_rollup(event_day, "hour", grain, "events", F.col("hour")), "mostTweetsTime", grain)
 
-    hour_keys = ["party", "year", "month", "day", "hour"]
-    put(event_hour.select(*hour_keys, F.col("events").alias("count")), "metricsByHourAndParty", None)
-    put(event_hour.select(*hour_keys, F.col("media").alias("count")), "mediaUsageRunningByHourAndParty", None)
-    put(event_hour.select(*hour_keys, (F.col("value_sum") / F.col("events")).alias("sentiment")),
+    put(event_hour.select(*HOUR, F.col("events").alias("count")), "metricsByHourAndParty", None)
+    put(event_hour.select(*HOUR, F.col("media").alias("count")), "mediaUsageRunningByHourAndParty", None)
+    put(event_hour.select(*HOUR, (F.col("value_sum") / F.col("events")).alias("sentiment")),
         "sentimentRunningByHourAndParty", None)
     for item, collection in (("username", "mostActiveRunningByHourAndParty"),
                              ("source", "sourceRunningByHourAndParty"), ("hashtag", "hashtagsByHourAndParty")):
-        put(event_items.where(F.col(f"g_{item}") == 0).select(*hour_keys, item, "count"), collection, None)
+        put(_only(events, item, EVENT_ITEMS).select(*HOUR, item, F.col("events").alias("count")), collection, None)
 
     def write(job: tuple[DataFrame, str, str | None]) -> str:
         df, collection, grain = job
@@ -188,4 +203,5 @@ def build_all(src: TableCubes, root: str, parallel: int = 4) -> list[str]:
 
 
 def read_base(spark, root: str, name: str) -> DataFrame:
+    """A written base (``lines``, ``orders`` or ``events``) for ad-hoc rollups."""
     return read_cube(spark, os.path.join(root.rstrip("/"), "_base", name))
