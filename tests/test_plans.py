@@ -84,3 +84,16 @@ def test_year_routes_prune_lineitem_with_a_runtime_filter_at_scale(spark, raw):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_feed_job_bases_scan_each_raw_table_once(raw):
+    from cubewise.plans.build import events_base, lines_base, orders_base
+
+    for base, table, other in ((lines_base, "lineitem.parquet", "orders.parquet"),
+                               (orders_base, "orders.parquet", None), (events_base, "events.parquet", None)):
+        p = plan(base(raw))
+        scans = [line for line in p.split("\n") if "FileScan parquet" in line]
+        assert sum(table in s for s in scans) == 1, (table, scans)
+        if other:
+            assert sum(other in s for s in scans) == 1
+        assert "Expand" in p  # grouping sets: one aggregate serves several cubes
