@@ -25,14 +25,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import FAMILIES, LATEST, LIVE_ITEMS, LIVE_MEAN, LIVE_SUM
 from ..functions.calendar import Window, in_window
 from ..sources.cubes import flatten_id
 from ..sources.tables import read_table
 from . import cubes as B
 
 GRAINS = ("year", "month", "week")
-LIVE_GROUPS = (LIVE_SUM, LIVE_MEAN, LIVE_ITEMS)
 
 
 # Hourly live cubes: collection -> (measure name, item name or None).
@@ -230,8 +228,4 @@ def build_all(source: TableCubes, root: str, parallel: int = 4) -> list[str]:
     return _build(source, root, parallel)
 
 
-def families_reading(collection: str) -> list[str]:
-    return [f.name for f in FAMILIES if f.cube == collection]
-
-
-__all__ = ["TableCubes", "StoredCubes", "build_all", "families_reading", "LATEST", "LIVE_GROUPS"]
+__all__ = ["TableCubes", "StoredCubes", "build_all", "live_cube", "live_definition", "LIVE_CUBES"]
