@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import day_spine
@@ -32,11 +32,22 @@ def zero_fill_days(daily: DataFrame, value: str, as_of: dt.date | str, fill: flo
 
 def empty_fill_days(rows: DataFrame, item: str, value: str, as_of: dt.date | str, party: str = "party") -> DataFrame:
     """``rows`` has any number of (party, day, item, value) rows; add one row
-    with null item and value for each day of the month a party has no row."""
-    present = rows.groupBy(party).agg(F.collect_set(F.col("day").cast("long")).alias("_days"))
-    empty = (present.select(party, "_days", F.explode(day_spine(as_of)).alias("day"))
-             .where(~F.array_contains(F.col("_days"), F.col("day")))
-             .select(party, "day",
-                     F.lit(None).cast("string").alias(item),
-                     F.lit(None).cast("double").alias(value)))
-    return rows.select(party, F.col("day").cast("long").alias("day"), item, value).unionByName(empty)
+    with null item and value for each day of the month a party has no row.
+
+    One pass, no second branch over ``rows``: a window over the party gives
+    every row its party's set of days (the rows of one party are at most the
+    per-day top-N times 31 days), and the party's first row also emits the
+    missing days through the same ``explode``."""
+    day = F.col("day").cast("long")
+    tagged = rows.select(
+        party, day.alias("day"), item, value,
+        F.collect_set(day).over(Window.partitionBy(party)).alias("_days"),
+        F.row_number().over(Window.partitionBy(party).orderBy(day, F.col(item))).alias("_first"))
+    own = F.array(F.struct(F.col("day"), F.col(item), F.col(value)))
+    missing = F.transform(
+        F.filter(day_spine(as_of), lambda d: ~F.array_contains(F.col("_days"), d)),
+        lambda d: F.struct(d.alias("day"), F.lit(None).cast("string").alias(item),
+                           F.lit(None).cast("double").alias(value)))
+    entries = F.when(F.col("_first") == 1, F.concat(own, missing)).otherwise(own)
+    return tagged.select(party, F.explode(entries).alias("_r")).select(
+        party, F.col("_r.day").alias("day"), F.col(f"_r.{item}").alias(item), F.col(f"_r.{value}").alias(value))
