@@ -115,14 +115,17 @@ def events_base(src: TableCubes) -> DataFrame:
 
 # Value cubes rolled up from the day base: collection -> (measure, keep-row condition).
 def _value_measures() -> dict[str, tuple[Column, Column | None]]:
+    # try_divide: a group without lines (or without parts) gives null, not an
+    # ANSI division error; the keep condition then drops it, as the per-route
+    # definitions (inner joins) do.
     lines = F.sum(F.coalesce(F.col("lines"), F.lit(0)))
     return {
         "countTotal": (F.sum("orders"), None),
-        "avgReplies": (lines / F.sum("orders"), None),
-        "avgLikes": (F.sum("qty") / F.sum("lines"), F.sum("lines") > 0),
-        "avgRetweets": (F.sum("disc100") / F.sum("lines"), F.sum("lines") > 0),
-        "avgTweetLength": (F.sum("name_len") / F.sum("parted"), F.sum("parted") > 0),
-        "mediaUsage": (F.sum("f_orders") * 100.0 / F.sum("orders"), None),
+        "avgReplies": (F.try_divide(lines, F.sum("orders")), None),
+        "avgLikes": (F.try_divide(F.sum("qty"), F.sum("lines")), F.sum("lines") > 0),
+        "avgRetweets": (F.try_divide(F.sum("disc100"), F.sum("lines")), F.sum("lines") > 0),
+        "avgTweetLength": (F.try_divide(F.sum("name_len"), F.sum("parted")), F.sum("parted") > 0),
+        "mediaUsage": (F.try_divide(F.sum("f_orders") * 100.0, F.sum("orders")), None),
         "totalReplies": (lines, None),
     }
 
@@ -179,7 +182,7 @@ def build_all(src: TableCubes, root: str, parallel: int = 4) -> list[str]:
 
     put(event_hour.select(*HOUR, F.col("events").alias("count")), "metricsByHourAndParty", None)
     put(event_hour.select(*HOUR, F.col("media").alias("count")), "mediaUsageRunningByHourAndParty", None)
-    put(event_hour.select(*HOUR, (F.col("value_sum") / F.col("events")).alias("sentiment")),
+    put(event_hour.select(*HOUR, F.try_divide(F.col("value_sum"), F.col("events")).alias("sentiment")),
         "sentimentRunningByHourAndParty", None)
     for item, collection in (("username", "mostActiveRunningByHourAndParty"),
                              ("source", "sourceRunningByHourAndParty"), ("hashtag", "hashtagsByHourAndParty")):
