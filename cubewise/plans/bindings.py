@@ -221,11 +221,11 @@ class StoredCubes:
         self._frames.clear()
 
 
-def build_all(source: TableCubes, root: str, parallel: int = 4) -> list[str]:
+def build_all(source: TableCubes, root: str, parallel: int = 4, since=None) -> list[str]:
     """Write every cube collection under ``root`` (see :mod:`cubewise.plans.build`)."""
     from .build import build_all as _build
 
-    return _build(source, root, parallel)
+    return _build(source, root, parallel, since)
 
 
 __all__ = ["TableCubes", "StoredCubes", "build_all", "live_cube", "live_definition", "LIVE_CUBES"]

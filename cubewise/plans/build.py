@@ -28,12 +28,17 @@ Bases (grouping sets in brackets):
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog import LATEST_LIST_LENGTH
+from ..functions.calendar import Window
+from ..session import checkpoint_dir
 from ..sources.cubes import HISTORIC_PARTITIONS, LIVE_PARTITIONS, read_cube, write_cube
 from . import cubes as B
 from .bindings import StoredCubes, TableCubes
@@ -54,8 +59,12 @@ def _period(grain: str) -> list[Column]:
     return keys
 
 
-def _write_base(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+def _write_base(df: DataFrame, path: str, dynamic: bool) -> DataFrame:
+    """Write a base partitioned by year; an incremental build replaces only
+    the years it recomputed."""
+    if "year" not in df.columns:
+        df = df.withColumn("year", F.year("date").cast("long"))
+    write_cube(df, path, ("year",), dynamic=dynamic)
     return df.sparkSession.read.parquet(path)
 
 
@@ -72,10 +81,10 @@ def _only(base: DataFrame, item: str | None, items: list[str]) -> DataFrame:
     return base.where(cond)
 
 
-def lines_base(src: TableCubes) -> DataFrame:
+def lines_base(src: TableCubes, window: Window | None = None) -> DataFrame:
     li = src.read("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount"])
     part = src.read("part", ["p_partkey", "p_brand", "p_name"])
-    rows = (li.join(src.orders(), li["l_orderkey"] == F.col("o_orderkey"))
+    rows = (li.join(src.orders(window), li["l_orderkey"] == F.col("o_orderkey"))
             .join(part, li["l_partkey"] == part["p_partkey"], "left")
             .select("party", F.to_date("ts").alias("date"), F.col("p_partkey").isNotNull().alias("has_part"),
                     F.col("p_brand").alias("hashtag"), F.col("p_name").alias("url"),
@@ -92,8 +101,8 @@ def lines_base(src: TableCubes) -> DataFrame:
         *_flags(LINE_ITEMS))
 
 
-def orders_base(src: TableCubes) -> DataFrame:
-    rows = src.orders(None, "o_orderstatus", "o_custkey").select(
+def orders_base(src: TableCubes, window: Window | None = None) -> DataFrame:
+    rows = src.orders(window, "o_orderstatus", "o_custkey").select(
         "party", F.to_date("ts").alias("date"), "o_orderstatus", F.col("o_custkey").cast("string").alias("user"))
     keys = ["party", "date"]
     return rows.groupingSets([keys, keys + ["user"]], *keys, *ORDER_ITEMS).agg(
@@ -102,9 +111,9 @@ def orders_base(src: TableCubes) -> DataFrame:
         *_flags(ORDER_ITEMS))
 
 
-def events_base(src: TableCubes) -> DataFrame:
+def events_base(src: TableCubes, window: Window | None = None) -> DataFrame:
     k = F.get_json_object(F.col("props"), "$.k")
-    rows = src.events().select("party", *B.hour_keys(), F.col("user_id").cast("string").alias("username"),
+    rows = src.events(window).select("party", *B.hour_keys(), F.col("user_id").cast("string").alias("username"),
                                k.alias("source"), (k.cast("long") % 10).cast("string").alias("hashtag"), "value")
     return rows.groupingSets([HOUR] + [HOUR + [i] for i in EVENT_ITEMS], *HOUR, *EVENT_ITEMS).agg(
         F.count(F.lit(1)).cast("double").alias("events"),
@@ -147,13 +156,26 @@ def item_rollup(rows: DataFrame, item: str, grain: str, weight: str, item_expr:
             .agg(F.sum(weight).cast("double").alias("count")))
 
 
-def build_all(src: TableCubes, root: str, parallel: int = 4) -> list[str]:
-    """Write all 46 collections under ``root`` (layout read by :class:`StoredCubes`)."""
+def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | None = None) -> list[str]:
+    """Write all 46 collections under ``root`` (layout read by :class:`StoredCubes`).
+
+    With ``since``, the build is incremental: raw rows are read only from the
+    first day of ``since``'s year on (the window reaches the scans), the
+    bases and cubes of those years are recomputed and replace just their
+    partitions (dynamic overwrite), and the latest lists merge the new posts
+    into the stored ones. Without it, everything is rebuilt and replaced.
+    """
     target = StoredCubes(src.spark, root)
     bases = os.path.join(root.rstrip("/"), "_base")
-    lines = _write_base(lines_base(src), f"{bases}/lines")
-    orders = _write_base(orders_base(src), f"{bases}/orders")
-    events = _write_base(events_base(src), f"{bases}/events")
+    window = None if since is None else (dt.datetime(since.year, 1, 1), dt.datetime(9999, 1, 1))
+    dynamic = since is not None
+    lines = _write_base(lines_base(src, window), f"{bases}/lines", dynamic)
+    orders = _write_base(orders_base(src, window), f"{bases}/orders", dynamic)
+    events = _write_base(events_base(src, window), f"{bases}/events", dynamic)
+    if since is not None:  # roll up only the recomputed years (partition pruning on the bases)
+        lines, orders, events = (b.where(F.col("year") >= since.year) for b in (lines, orders, events))
+    # day bases: the year partition column is re-derived from ``date`` by each rollup
+    lines, orders = lines.drop("year"), orders.drop("year")
 
     line_day = _only(lines, None, LINE_ITEMS).select("party", "date", "lines", "qty", "disc100", "name_len", "parted")
     # both sides hold one row per party and day, the size of a day cube
@@ -191,7 +213,7 @@ def build_all(src: TableCubes, root: str, parallel: int = 4) -> list[str]:
     def write(job: tuple[DataFrame, str, str | None]) -> str:
         df, collection, grain = job
         path = target.path(collection, grain)
-        write_cube(df, path, HISTORIC_PARTITIONS if grain else LIVE_PARTITIONS)
+        write_cube(df, path, HISTORIC_PARTITIONS if grain else LIVE_PARTITIONS, dynamic=dynamic)
         return path
 
     # The rollups read small bases; running their jobs side by side keeps the
@@ -199,12 +221,30 @@ def build_all(src: TableCubes, root: str, parallel: int = 4) -> list[str]:
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         written = list(pool.map(write, jobs))
 
-    lists = target.path("lastTweets")
-    src.cube("lastTweets").write.mode("overwrite").parquet(lists)
-    written.append(lists)
+    written.append(_write_latest(src, target, f"{bases}/latest", window))
     return written
 
 
+def _write_latest(src: TableCubes, target: StoredCubes, base: str, window: Window | None) -> str:
+    """The latest lists, kept as rows (key, ts, oid) so an incremental build
+    can merge new posts into them: at most n rows per key on either side."""
+    spark = src.spark
+    rows = B.newest_rows(src.events(window), "event_id")
+    if window is not None:
+        try:
+            stored = spark.read.parquet(base)
+        except AnalysisException:
+            stored = None
+        if stored is not None:
+            checkpoint_dir(spark)  # shared folder: the merge must not read what it overwrites
+            merged = stored.select("key", "ts", "oid").unionByName(rows).dropDuplicates(["key", "oid"])
+            rows = B.keep_newest(merged, LATEST_LIST_LENGTH).checkpoint()
+    rows.write.mode("overwrite").parquet(base)
+    lists = target.path("lastTweets")
+    B.lists_from_rows(spark.read.parquet(base)).write.mode("overwrite").parquet(lists)
+    return lists
+
+
 def read_base(spark, root: str, name: str) -> DataFrame:
     """A written base (``lines``, ``orders`` or ``events``) for ad-hoc rollups."""
     return read_cube(spark, os.path.join(root.rstrip("/"), "_base", name))

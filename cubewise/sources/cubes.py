@@ -30,19 +30,21 @@ def nest_id(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
     return df.select(F.struct(*keys).alias("_id"), *rest)
 
 
-def write_cube(df: DataFrame, path: str, partition_by: tuple[str, ...] = HISTORIC_PARTITIONS, mode: str = "overwrite") -> None:
+def write_cube(df: DataFrame, path: str, partition_by: tuple[str, ...] = HISTORIC_PARTITIONS, mode: str = "overwrite",
+               dynamic: bool = True) -> None:
     """Write a flat cube as Parquet, partitioned for pruning.
 
     The ``rebalance`` hint clusters rows by the partition columns (few files
     per partition) and lets AQE split an oversized partition, such as a hot
     year or day, over several tasks and merge small ones. With dynamic
-    partition overwrite a rebuild of some periods replaces only those
-    partitions. Each task writes its own files and commits through the output
-    committer, so a lost executor only re-runs its tasks.
+    partition overwrite (``dynamic``) a rebuild of some periods replaces only
+    those partitions; a static overwrite replaces the whole cube. Each task
+    writes its own files and commits through the output committer, so a lost
+    executor only re-runs its tasks.
     """
     (df.hint("rebalance", *partition_by)
        .write.mode(mode)
-       .option("partitionOverwriteMode", "dynamic")
+       .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
        .partitionBy(*partition_by)
        .parquet(path))
 
