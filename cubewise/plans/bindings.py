@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import Window, in_window
-from ..sources.cubes import flatten_id
+from ..catalog import COUNT, FAMILIES
+from ..sources.cubes import assert_unique, flatten_id
 from ..sources.tables import read_table
 from . import cubes as B
 
 GRAINS = ("year", "month", "week")
+VALUE_CUBES = {f.cube for f in FAMILIES if f.group == COUNT}
 
 
 # Hourly live cubes: collection -> (measure name, item name or None).
@@ -180,16 +182,20 @@ class StoredCubes:
     to ``spark.read``; a connector that addresses a collection by an option
     instead of a path (a document store, say) gets the collection name in
     the option named ``collection_option``. Documents whose keys sit in an
-    ``_id`` struct are flattened on read.
+    ``_id`` struct are flattened on read. With ``verify_keys``, a value cube
+    (one value per party and period) is checked for duplicate keys when it is
+    first opened, one aggregate per collection.
     """
 
     def __init__(self, spark: SparkSession, root: str = "", fmt: str = "parquet",
-                 options: dict[str, str] | None = None, collection_option: str | None = None):
+                 options: dict[str, str] | None = None, collection_option: str | None = None,
+                 verify_keys: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
         self.fmt = fmt
         self.options = dict(options or {})
         self.collection_option = collection_option
+        self.verify_keys = verify_keys
         self._frames: dict[tuple[str, str | None], DataFrame] = {}
 
     @staticmethod
@@ -213,7 +219,12 @@ class StoredCubes:
                 df = reader.option(self.collection_option, self.name(collection, grain)).load()
             else:
                 df = reader.load(self.path(collection, grain))
-            self._frames[key] = flatten_id(df)
+            df = flatten_id(df)
+            if self.verify_keys and collection in VALUE_CUBES:
+                # value routes read one value per key and never sum: check a
+                # cube from elsewhere once, when it is first opened
+                assert_unique(df, ["party", "year"] + ([grain] if grain != "year" else []))
+            self._frames[key] = df
         return self._frames[key]
 
     def refresh(self) -> None:

@@ -179,3 +179,20 @@ def test_incremental_build_equals_full_build(spark, scratch):
     full, inc = StoredCubes(spark, full_root), StoredCubes(spark, inc_root)
     for spec in route_specs():
         assert rows(spec.run(inc)) == rows(spec.run(full)), spec.key
+
+
+def test_stored_value_cube_keys_are_verified(spark, scratch):
+    import pytest
+
+    from cubewise.sources.cubes import write_cube
+
+    stored = StoredCubes(spark, scratch, verify_keys=True)
+    dup = spark.createDataFrame([("CDU", 2021, 1, 1.0), ("CDU", 2021, 1, 2.0)],
+                                "party string, year bigint, month bigint, count double")
+    write_cube(dup, stored.path("countTotal", "month"))
+    with pytest.raises(ValueError):
+        stored.cube("countTotal", "month")
+    ok = spark.createDataFrame([("CDU", 2021, 1, 1.0), ("SPD", 2021, 1, 2.0)],
+                               "party string, year bigint, week bigint, count double")
+    write_cube(ok, stored.path("countTotal", "week"))
+    assert stored.cube("countTotal", "week").count() == 2
