@@ -196,3 +196,16 @@ def test_stored_value_cube_keys_are_verified(spark, scratch):
                                "party string, year bigint, week bigint, count double")
     write_cube(ok, stored.path("countTotal", "week"))
     assert stored.cube("countTotal", "week").count() == 2
+
+
+def test_command_line_build_and_route(spark, scratch):
+    import json
+
+    from cubewise.__main__ import main
+
+    cubes, out = os.path.join(scratch, "cubes"), os.path.join(scratch, "answer")
+    main(["build", "--tables", SF_SMALL, "--cubes", cubes])
+    main(["route", "--cubes", cubes, "--family", "liveSource", "--shape", "month_party", "--party", "click",
+          "--as-of", "2024-01-15", "--out", out])
+    (doc,) = [json.loads(r.value) for r in spark.read.text(out).collect()]
+    assert len(doc) == 31 and doc["31"] == {}
