@@ -62,16 +62,21 @@ def main() -> None:
     for spec in warm:
         run(spec.run(raw))
 
-    queries = {}
-    for spec in specs:
-        queries[spec.key] = round(statistics.median(timed(lambda: run(spec.run(raw))) for _ in range(repeat)), 4)
+    errors: dict[str, str] = {}
+
+    def median_time(key: str, make) -> float | None:
+        try:
+            return round(statistics.median(timed(lambda: run(make())) for _ in range(repeat)), 4)
+        except Exception as exc:  # keep measuring the other routes; report the failure
+            errors[key] = f"{type(exc).__name__}: {str(exc)[:200]}"
+            return None
+
+    queries = {spec.key: median_time(spec.key, lambda spec=spec: spec.run(raw)) for spec in specs}
 
     scratch = os.path.join(checkpoint_dir(spark, tempfile.mkdtemp(prefix="cubewise-bench-")), "cubes")
     build_sec = timed(lambda: build_all(raw, scratch))
     stored = StoredCubes(spark, scratch)
-    served = {}
-    for spec in specs:
-        served[spec.key] = round(statistics.median(timed(lambda: run(spec.run(stored))) for _ in range(repeat)), 4)
+    served = {spec.key: median_time("served:" + spec.key, lambda spec=spec: spec.run(stored)) for spec in specs}
 
     clients = int(os.environ.get("BENCH_CLIENTS", "4"))
     with ThreadPoolExecutor(max_workers=clients) as pool:
@@ -80,19 +85,20 @@ def main() -> None:
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({
         "metric": "sum of median route seconds, end to end from raw tables",
-        "value": round(sum(queries.values()), 3),
+        "value": round(sum(v for v in queries.values() if v is not None), 3),
         "unit": "sec",
         "queries": queries,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
         "routes": len(queries),
         "cube_build_sec": round(build_sec, 3),
-        "served_total_sec": round(sum(served.values()), 3),
+        "served_total_sec": round(sum(v for v in served.values() if v is not None), 3),
         "served": served,
         "concurrent_clients": clients,
         "concurrent_wall_sec": round(concurrent_sec, 3),
         "concurrent_routes_per_sec": round(len(specs) / concurrent_sec, 2),
         "spark": spark.version,
+        "errors": errors,
     }))
     spark.stop()
 
