@@ -74,6 +74,7 @@ class TableCubes:
         self.spark = spark
         self.base = base.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
+        self._cubes: dict[tuple, DataFrame] = {}
         self._historic: dict[str, Callable[[str, Window | None], DataFrame]] = {
             "countTotal": lambda g, w: B.measure_cube(self.orders(w), g, F.count(F.lit(1))),
             "avgReplies": lambda g, w: B.measure_cube(
@@ -114,8 +115,9 @@ class TableCubes:
         return self.table(name).select(*cols)
 
     def refresh(self) -> None:
-        """Forget table handles (after the tables' files changed)."""
+        """Forget table and cube handles (after the tables' files changed)."""
         self._tables.clear()
+        self._cubes.clear()
 
     def orders(self, window: Window | None = None, *extra: str) -> DataFrame:
         """Orders as posts: ``o_orderkey, party, ts[, extra]``, restricted to ``window``."""
@@ -161,13 +163,20 @@ class TableCubes:
 
     # -- cubes -----------------------------------------------------------
     def cube(self, collection: str, grain: str | None = None, window: Window | None = None) -> DataFrame:
-        if collection in self._historic:
-            if grain not in GRAINS:
-                raise ValueError(f"historic cube {collection!r} needs a grain in {GRAINS}")
-            return self._historic[collection](grain, window)
-        if collection in self._live:
-            return self._live[collection](window)
-        raise KeyError(f"unknown cube collection {collection!r}")
+        """The cube as a lazy frame over the raw tables. The frame (a plan, no
+        data) is made once per (collection, grain, window), so every route on
+        the same cube reuses its analysed plan."""
+        key = (collection, grain, window)
+        if key not in self._cubes:
+            if collection in self._historic:
+                if grain not in GRAINS:
+                    raise ValueError(f"historic cube {collection!r} needs a grain in {GRAINS}")
+                self._cubes[key] = self._historic[collection](grain, window)
+            elif collection in self._live:
+                self._cubes[key] = self._live[collection](window)
+            else:
+                raise KeyError(f"unknown cube collection {collection!r}")
+        return self._cubes[key]
 
     def collections(self) -> list[tuple[str, str | None]]:
         """Every (collection base, grain) pair the families read: 39 historic + 7 live."""
