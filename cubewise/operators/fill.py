@@ -19,15 +19,19 @@ from pyspark.sql import functions as F
 from ..functions.calendar import day_spine
 
 
-def zero_fill_days(daily: DataFrame, value: str, as_of: dt.date | str, fill: float = 0.0, party: str = "party") -> DataFrame:
-    """``daily`` has one row per (party, day); return one row per party and day
-    of the month, with ``fill`` where a day has no row."""
+def zero_fill_days(daily: DataFrame, value: str, as_of: dt.date | str, fill: float = 0.0, party: str = "party",
+                   flag: bool = False) -> DataFrame:
+    """``daily`` has one row per (party, day) of one month; return one row per
+    party and day of the month, with ``fill`` where a day has no row (and, with
+    ``flag``, a boolean ``filled`` telling such days apart)."""
     per_party = daily.groupBy(party).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("day").cast("long"), F.col(value)))).alias("_by_day"))
     spine = per_party.select(party, "_by_day", F.explode(day_spine(as_of)).alias("day"))
-    return spine.select(
-        party, "day",
-        F.coalesce(F.col("_by_day")[F.col("day")], F.lit(fill).cast("double")).alias(value))
+    found = F.col("_by_day")[F.col("day")]
+    cols = [party, "day", F.coalesce(found, F.lit(fill).cast("double")).alias(value)]
+    if flag:
+        cols.append((~F.map_contains_key(F.col("_by_day"), F.col("day"))).alias("filled"))
+    return spine.select(*cols)
 
 
 def empty_fill_days(rows: DataFrame, item: str, value: str, as_of: dt.date | str, party: str = "party") -> DataFrame:

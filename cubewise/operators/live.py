@@ -61,20 +61,22 @@ def day_mean(cube: DataFrame, as_of: dt.date | str | None, measure: str = "senti
 
 
 def month_by_day(cube: DataFrame, as_of: dt.date | str | None, measure: str = "count", how: str = "sum",
-                 party: str | None = None, digits: int | None = 6) -> DataFrame:
+                 party: str | None = None, digits: int | None = 6, flag_filled: bool = False) -> DataFrame:
     """Daily sums (``how="sum"``, column ``total``) or unweighted daily means of
     the cube rows (``how="mean"``, column ``mean``) for every day of the month,
-    0.0 where a day has no row: ``[party,] day, total|mean``."""
+    0.0 where a day has no row: ``[party,] day, total|mean``. With
+    ``flag_filled`` a boolean ``filled`` column marks those days (a filled 0.0
+    mean is otherwise indistinguishable from a neutral one)."""
     if how not in ("sum", "mean"):
         raise ValueError("how must be 'sum' or 'mean'")
     name = "total" if how == "sum" else "mean"
     agg = F.sum if how == "sum" else F.avg
     month = in_month(cube, as_of, party)
     daily = month.groupBy("party", "day").agg(agg(F.col(measure).cast("double")).alias(name))
-    filled = zero_fill_days(daily, name, as_of)
+    filled = zero_fill_days(daily, name, as_of, flag=flag_filled)
     value = _round(F.col(name), digits) if how == "mean" else F.col(name)
     cols = [] if party is not None else [F.col("party")]
-    return filled.select(*cols, "day", value.alias(name))
+    return filled.select(*cols, "day", value.alias(name), *(["filled"] if flag_filled else []))
 
 
 def day_leader(cube: DataFrame, item: str, as_of: dt.date | str | None, party: str | None = None,

@@ -76,3 +76,12 @@ def test_month_top_items_limits_and_empty_fills(spark):
     assert len(empty) == 30 and all(r.source is None and r.total is None for r in empty)
     one = month_top_items(cube, "source", "2024-01-31", n=3, party="CDU")
     assert one.columns == ["day", "source", "total"] and one.count() == 3 + 30
+
+
+def test_filled_days_can_be_flagged(spark):
+    cube = spark.createDataFrame([("CDU", 2024, 1, 3, 0, 0.0), ("CDU", 2024, 1, 4, 0, 0.5)], MEAN)
+    out = month_by_day(cube, "2024-01-15", measure="sentiment", how="mean", flag_filled=True)
+    assert out.columns == ["party", "day", "mean", "filled"]
+    got = {r.day: (r.mean, r.filled) for r in out.collect()}
+    assert got[3] == (0.0, False) and got[4] == (0.5, False) and got[5] == (0.0, True) and len(got) == 31
+    assert month_by_day(cube, "2024-01-15", measure="sentiment", how="mean").columns == ["party", "day", "mean"]
