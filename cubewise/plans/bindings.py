@@ -33,6 +33,7 @@ from . import cubes as B
 
 GRAINS = ("year", "month", "week")
 VALUE_CUBES = {f.cube for f in FAMILIES if f.group == COUNT}
+MAX_CUBE_PLANS = 512
 
 
 # Hourly live cubes: collection -> (measure name, item name or None).
@@ -168,6 +169,8 @@ class TableCubes:
         the same cube reuses its analysed plan."""
         key = (collection, grain, window)
         if key not in self._cubes:
+            if len(self._cubes) >= MAX_CUBE_PLANS:  # windows change over time: keep the newest plans
+                self._cubes.pop(next(iter(self._cubes)))
             if collection in self._historic:
                 if grain not in GRAINS:
                     raise ValueError(f"historic cube {collection!r} needs a grain in {GRAINS}")
