@@ -97,3 +97,10 @@ def test_feed_job_bases_scan_each_raw_table_once(raw):
         if other:
             assert sum(other in s for s in scans) == 1
         assert "Expand" in p  # grouping sets: one aggregate serves several cubes
+
+
+def test_latest_list_routes_read_only_what_they_need(raw):
+    one = plan(SPECS["liveTweets__party"].run(raw))
+    assert "EqualTo(event_type,click)" in one and "TakeOrderedAndProject" not in one
+    combined = plan(SPECS["liveTweets__all"].run(raw))
+    assert "TakeOrderedAndProject(limit=15" in combined
