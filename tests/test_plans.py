@@ -104,3 +104,11 @@ def test_latest_list_routes_read_only_what_they_need(raw):
     assert "EqualTo(event_type,click)" in one and "TakeOrderedAndProject" not in one
     combined = plan(SPECS["liveTweets__all"].run(raw))
     assert "TakeOrderedAndProject(limit=15" in combined
+
+
+def test_one_party_filter_reaches_the_scan(raw):
+    for key, pushed in (("countTweetByMonth__year_month_party", "EqualTo(o_orderpriority,1-URGENT)"),
+                        ("mostUsedUrls__party", "EqualTo(o_orderpriority,1-URGENT)"),
+                        ("liveSource__day_party", "EqualTo(event_type,click)"),
+                        ("liveSentiment__month_party", "EqualTo(event_type,click)")):
+        assert pushed in plan(SPECS[key].run(raw)), key
