@@ -21,6 +21,7 @@ or aggregate.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,12 @@ def live_cube(events: DataFrame, collection: str) -> DataFrame:
     return B.hourly_item_cube(events, item, item_name)
 
 
+class CubeSource(Protocol):
+    """Anything that hands out cube collections as flat frames."""
+
+    def cube(self, collection: str, grain: str | None = None, window: Window | None = None) -> DataFrame: ...
+
+
 class TableCubes:
     """Cube collections computed from the raw tables under ``base``."""
 
@@ -251,4 +258,4 @@ def build_all(source: TableCubes, root: str, parallel: int = 4, since=None) -> l
     return _build(source, root, parallel, since)
 
 
-__all__ = ["TableCubes", "StoredCubes", "build_all", "live_cube", "live_definition", "LIVE_CUBES"]
+__all__ = ["CubeSource", "TableCubes", "StoredCubes", "build_all", "live_cube", "live_definition", "LIVE_CUBES"]

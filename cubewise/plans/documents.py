@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import COUNT, LATEST, LIVE_ITEMS, LIVE_MEAN, LIVE_SUM, RANKED, family
 from ..functions.shape import entries_json, to_nested_json, to_ordered_pairs_json
+from .bindings import CubeSource
 from .routes import answer, historic_shape
 
 
@@ -54,7 +55,7 @@ def shape_json(df: DataFrame, family_name: str, shape: str, party: str | None =
     return to_nested_json(df, keys, value)
 
 
-def route_json(cubes, family_name: str, shape: str, *, year: int | None = None, party: str | None = None,
+def route_json(cubes: CubeSource, family_name: str, shape: str, *, year: int | None = None, party: str | None = None,
                as_of: dt.date | str | None = None, ordered: bool = False) -> DataFrame:
     """``(key, json)`` rows of one route, in the original service's document
     shape; ``ordered`` sorts the documents by key (parties as strings)."""

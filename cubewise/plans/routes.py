@@ -23,6 +23,7 @@ from ..functions.calendar import day_window, month_window, year_window
 from ..operators.history import all_time_top_items, period_values, top_items
 from ..operators.latest import latest_items
 from ..operators.live import day_leader, day_mean, day_total, month_by_day, month_top_items
+from .bindings import CubeSource
 
 
 def historic_shape(shape: str) -> tuple[str, bool, bool]:
@@ -54,7 +55,7 @@ def in_route_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*cols)
 
 
-def answer(cubes, family_name: str, shape: str, *, year: int | None = None, party: str | None = None,
+def answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None = None, party: str | None = None,
            as_of: dt.date | str | None = None, allowed_parties: tuple[str, ...] | None = None,
            ordered: bool = False) -> DataFrame:
     """The long-format answer of one route over ``cubes`` (TableCubes or StoredCubes).
@@ -69,7 +70,7 @@ def answer(cubes, family_name: str, shape: str, *, year: int | None = None, part
     return in_route_order(df) if ordered else df
 
 
-def _answer(cubes, family_name: str, shape: str, *, year: int | None, party: str | None,
+def _answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None, party: str | None,
             as_of: dt.date | str | None, allowed_parties: tuple[str, ...] | None) -> DataFrame:
     fam = family(family_name)
     if shape not in fam.shapes:
