@@ -209,3 +209,16 @@ def test_command_line_build_and_route(spark, scratch):
           "--as-of", "2024-01-15", "--out", out])
     (doc,) = [json.loads(r.value) for r in spark.read.text(out).collect()]
     assert len(doc) == 31 and doc["31"] == {}
+
+
+def test_stored_live_day_route_reads_one_day_partition(spark, scratch):
+    from cubewise.sources.cubes import LIVE_PARTITIONS, write_cube
+
+    raw = TableCubes(spark, SF_SMALL)
+    stored = StoredCubes(spark, os.path.join(scratch, "c"))
+    write_cube(raw.cube("metricsByHourAndParty"), stored.path("metricsByHourAndParty"), LIVE_PARTITIONS)
+    spec = {s.key: s for s in route_specs()}["countTotalRunning__day_party"]
+    df = spec.run(stored)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in p and "(day" in p and "= 15)" in p and "(month" in p
+    assert rows(df) == rows(spec.run(raw))
