@@ -68,13 +68,19 @@ def upsert_hours(batch: DataFrame, path: str, keys: list[str]) -> None:
     if current is None:
         merged = batch
     else:
-        days = batch.select(*LIVE_PARTITIONS).distinct()
-        touched = current.join(days, list(LIVE_PARTITIONS), "left_semi")
-        kept = touched.join(batch.select(*keys), keys, "left_anti")
+        kept = touched_days(current, batch).join(batch.select(*keys), keys, "left_anti")
         merged = kept.select(*[F.col(c).cast(batch.schema[c].dataType) for c in batch.columns]).unionByName(batch)
     write_cube(merged.checkpoint(), path, LIVE_PARTITIONS)
 
 
+def touched_days(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of the stored cube in the day partitions ``batch`` touches: a semi
+    join on the partition columns, which Spark turns into dynamic partition
+    pruning of the cube scan (only those days' files are read)."""
+    days = batch.select(*LIVE_PARTITIONS).distinct()
+    return current.join(days, list(LIVE_PARTITIONS), "left_semi")
+
+
 def start_hourly_cube(updates: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
                       query_name: str | None = None) -> StreamingQuery:
     """Run ``updates`` (from :func:`hourly_updates`) into the cube at ``path``."""

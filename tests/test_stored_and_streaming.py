@@ -222,3 +222,16 @@ def test_stored_live_day_route_reads_one_day_partition(spark, scratch):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in p and "(day" in p and "= 15)" in p and "(month" in p
     assert rows(df) == rows(spec.run(raw))
+
+
+def test_upsert_reads_only_touched_day_partitions(spark, scratch):
+    from cubewise.sources.cubes import LIVE_PARTITIONS, write_cube
+    from cubewise.streaming.hourly import touched_days
+
+    cube = TableCubes(spark, SF_SMALL).cube("metricsByHourAndParty")
+    path = os.path.join(scratch, "cube")
+    write_cube(cube, path, LIVE_PARTITIONS)
+    batch = cube.where("day = 15 AND hour = 3")
+    touched = touched_days(read_cube(spark, path), batch)
+    assert {r.day for r in touched.collect()} == {15}
+    assert "dynamicpruningexpression" in touched._jdf.queryExecution().executedPlan().toString()
