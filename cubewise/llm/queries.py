@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import near_dedup, packing, token_counts
 
 QUERIES = {
+    "op1_pack": packing.op1,
     "op5_near_dedup": near_dedup.op5,
+    "op8_token_counts": token_counts.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {}
