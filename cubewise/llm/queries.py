@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, token_counts
+from . import chat, decontaminate, language_id, licenses, near_dedup, packing, quality, token_counts
 
 QUERIES = {
     "op1_pack": packing.op1,
+    "op2_licenses": licenses.op2,
+    "op3_language": language_id.op3,
+    "op4_decontaminate": decontaminate.op4,
     "op5_near_dedup": near_dedup.op5,
     "op8_token_counts": token_counts.op8,
+    "op9_chat": chat.op9,
+    "op10_quality": quality.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_chat": chat.ORACLE,
+}
