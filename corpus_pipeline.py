@@ -9,10 +9,14 @@ from cubewise.llm.scratch import Scratch, read_table
 
 #: Each stage takes (spark, docs, sf_dir) and returns the next one's docs.
 STAGES = [
-    ("near_dedup", stages.near_dedup),
+    ("quality", stages.quality_filter),
+    ("near_duplicates", stages.near_duplicates),
+    ("repeated_passages", stages.repeated_passages),
+    ("benchmark_passages", stages.benchmark_passages),
+    ("pack", stages.pack),
 ]
 
-#: The stages hash, learn and search; SQL cannot express them.
+#: The stages learn, hash and search; SQL cannot express them.
 ORACLE_SQL = None
 
 

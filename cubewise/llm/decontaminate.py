@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, read_table
+from .scratch import Scratch, few, read_table
 from .words import word_array
 
 WIDTH = 10
@@ -26,6 +26,8 @@ WIDTH = 10
 RAREST = 2
 #: Up to this many words (of bounded length) an index vocabulary is sent to all executors; beyond it, postings are shuffled.
 SMALL = 100_000
+#: Up to this many rare words are written into the plan.
+LITERAL = 20_000
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -37,17 +39,19 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
         .distinct().select("item_id", "words", F.xxhash64("words").alias("window"))
 
 
-def _few(df: DataFrame, most: int) -> DataFrame:
-    """``df`` as a broadcast side if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def postings(docs: DataFrame, terms: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc, word, at, around`` for every place of ``terms(word)`` in
     ``docs(doc, words)``; ``around`` holds the words from ``width - 1`` before
-    to ``width - 1`` after it, null beyond the text's ends."""
-    # a posting's own words are cut out after the join, so that only kept places carry any
-    places = docs.select("doc", "words", F.posexplode("words").alias("at", "word")).join(terms, "word")
+    to ``width - 1`` after it, null beyond the text's ends.
+
+    Up to ``LITERAL`` terms are looked up inside the word array, so that only
+    kept places leave it; more are joined."""
+    listed = [r["word"] for r in terms.limit(LITERAL + 1).collect()]
+    if len(listed) <= LITERAL:
+        hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: h["word"].isin(listed))
+        places = docs.select("doc", "words", F.explode(hits).alias("hit")).select("doc", "words", "hit.word", "hit.at")
+    else:
+        places = docs.select("doc", "words", F.posexplode("words").alias("at", "word")).join(few(terms, SMALL), "word")
     around = F.transform(F.sequence(F.col("at") - (width - 1), F.col("at") + (width - 1)), lambda i: F.get("words", i))
     return places.select("doc", "word", "at", around.alias("around"))
 
@@ -70,7 +74,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width
 
     wins = scratch.save(windows(benchmark, width))
     unique = wins.select("window", "words").distinct()
-    vocabulary = _few(unique.select(F.explode("words").alias("word")).distinct(), SMALL)
+    vocabulary = few(unique.select(F.explode("words").alias("word")).distinct(), SMALL)
     counts = texts.select(F.explode("words").alias("word")).join(vocabulary, "word").groupBy("word").count()
     in_windows = unique.select("window", F.posexplode("words").alias("offset", "word")).join(counts, "word", "left") \
         .withColumn("count", F.coalesce("count", F.lit(0)))
@@ -81,8 +85,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width
                         .join(unique, "window").select("window", "words", "word", "offset", "list"))
     lists = F.least(F.size("words"), F.lit(RAREST))
 
-    index = scratch.save(postings(texts, _few(rare.select("word").distinct(), SMALL), width))
-    shifted = index.join(_few(rare, SMALL), "word").select("doc", "window", "words", "list", (F.col("at") - F.col("offset")).alias("start"), "offset", "around")
+    index = scratch.save(postings(texts, rare.select("word").distinct(), width))
+    shifted = index.join(few(rare, SMALL), "word").select("doc", "window", "words", "list", (F.col("at") - F.col("offset")).alias("start"), "offset", "around")
     here = F.slice("around", width - F.col("offset"), F.size("words"))
     # the first list's posting carries the verdict on the whole phrase
     candidates = shifted.groupBy("doc", "window", "start").agg(
@@ -100,7 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width
 
     # proximity: the second rarest word of a window among the words around its rarest
     second = rare.where("list = 2").select("window", F.col("word").alias("other"))
-    near = index.join(_few(rare.where("list = 1").join(second, "window").select("window", "words", "word", "offset", "other"), SMALL), "word") \
+    near = index.join(few(rare.where("list = 1").join(second, "window").select("window", "words", "word", "offset", "other"), SMALL), "word") \
         .where(F.array_contains("around", F.col("other")) & (F.slice("around", width - F.col("offset"), F.size("words")) != F.col("words"))) \
         .select("doc", "at").distinct().groupBy("doc").agg(F.count("*").alias("n_near"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .components import connected_components
-from .scratch import Scratch, read_table
+from .scratch import Scratch, few, read_table
 
 #: Expected members of a block; two blocks at most meet in one row.
 BLOCK = 512
@@ -201,8 +201,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, cfg: NearDup = NearDup())
     leaders = in_bands.groupBy("band", "value").agg(
         F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = scratch.save(in_bands.join(leaders, ["band", "value"]))
-    suspects = members.select("id").distinct()
-    texts = scratch.save(base.where("text is not null").join(suspects.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi"))
+    suspects = few(scratch.save(members.select(F.col("id").alias("doc_id")).distinct()))
+    texts = scratch.save(base.where("text is not null").join(suspects, "doc_id", "left_semi"))
     stars = members.where("id <> leader").select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
     links = scratch.save(_confirmed(texts, _likely_pairs(stars, light, cfg), scratch, cfg).unionByName(_same_id(named, classes)))
     comps = scratch.save(connected_components(links, scratch))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, licenses, near_dedup, packing, quality, token_counts
+from . import chat, decontaminate, language_id, licenses, near_dedup, packing, passages, quality, token_counts, vector_search
 
 QUERIES = {
     "op1_pack": packing.op1,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_language": language_id.op3,
     "op4_decontaminate": decontaminate.op4,
     "op5_near_dedup": near_dedup.op5,
+    "op6_vector_search": vector_search.op6,
+    "op7_passages": passages.op7,
     "op8_token_counts": token_counts.op8,
     "op9_chat": chat.op9,
     "op10_quality": quality.op10,

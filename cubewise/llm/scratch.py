@@ -13,6 +13,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -66,5 +67,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` as a broadcast side if it has at most ``most`` (narrow) rows;
+    larger ones are left for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

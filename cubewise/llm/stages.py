@@ -1,21 +1,60 @@
 """Pipeline stages: ``(spark, docs, sf_dir) -> DataFrame``, each one operator
-applied to a table with the columns of ``documents``."""
+applied to a table with the columns of ``documents``. Every stage but the
+last returns those columns. Rows with a null id or text pass the filters that
+cannot judge them; rows that share a doc_id are one document and stay or go
+together."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_dedup import NearDup, near_duplicates
-from .scratch import Scratch
+from . import decontaminate, near_dedup, packing, passages, quality
+from .scratch import Scratch, few, read_table
 
 #: Similarity of near-duplicates in the pipeline, in percent.
 PERCENT = 80
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the
-    smallest doc_id. Documents without words are in no group and stay."""
-    found = near_duplicates(docs, Scratch(spark, "near-dedup"), NearDup(percent=PERCENT, hashes=150))
-    gone = found.where("not kept").select("doc_id").distinct()
+def _without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    gone = few(scratch.save(gone.where("doc_id is not null").select("doc_id").distinct()))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from ``labels``, predicts
+    to be bad go."""
+    scratch = Scratch(spark, "quality")
+    scores = quality.quality_scores(docs, read_table(spark, sf_dir, "labels"), scratch)
+    return _without(docs, scores.where("predicted = 0"), scratch)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the
+    smallest doc_id (one of its rows, if it is repeated as a whole). Documents
+    without words are in no group and stay."""
+    scratch = Scratch(spark, "near-dedup")
+    found = near_dedup.near_duplicates(docs, scratch, near_dedup.NearDup(percent=PERCENT, hashes=300))
+    return _without(docs, found.where("not kept"), scratch)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of more than 50 words that an earlier document holds are cut
+    out; n_chars follows the text."""
+    out = passages.without_repeats(docs, Scratch(spark, "passages"))
+    if "n_chars" not in out.columns:
+        return out
+    kind = out.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a ``benchmark`` item go."""
+    scratch = Scratch(spark, "decontaminate")
+    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), scratch)
+    return _without(docs, found.where("contaminated"), scratch)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents in training sequences."""
+    return packing.pack_documents(docs, Scratch(spark, "packing"))
