@@ -33,7 +33,7 @@ END = 2
 CAPACITY = 1024
 #: Fillings tried around one largest length, and search steps beyond the first descent.
 FILLINGS = 24
-STEPS = 400
+STEPS = 100
 REMEMBERED = 300_000
 
 # ---------------------------------------------------------------- bin completion

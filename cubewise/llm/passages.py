@@ -216,13 +216,13 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     document are none. An empty table gives no rows."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     windows = base.mapInArrow(_windows, "key long, doc_id long, place long, kind byte")
-    group = Window.partitionBy("kind", "key").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first(F.struct("doc_id", "place")).over(group)
+    # leaders are minima combined before the shuffle; a join of hot groups can be split, a window over them could not
+    leaders = windows.groupBy("kind", "key").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
 
     def reach(place, bits: int):
         return F.shiftright(place, bits).bitwiseAND(F.lit(65535))
 
-    paired = scratch.save(windows.withColumn("first", first).where("doc_id <> first.doc_id").select(
+    paired = scratch.save(windows.join(leaders, ["kind", "key"]).where("doc_id <> first.doc_id").select(
         F.col("first.doc_id").alias("leader"), "doc_id", F.shiftright("first.place", 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y"),
         F.col("kind").cast("int").alias("kind"), reach(F.col("place"), 16).cast("int").alias("left"), reach(F.col("place"), 0).cast("int").alias("right"),
         (F.least(reach(F.col("place"), 16), reach(F.col("first.place"), 16)) + F.least(reach(F.col("place"), 0), reach(F.col("first.place"), 0)) + 1 >= SHINGLES).alias("room")))
@@ -240,8 +240,9 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     open_seeds = verified.where("n_words = 0").select("doc_id", "start_word").unionByName(cramped).groupBy("doc_id").agg(F.collect_set("start_word").alias("seeds"))
     runs = texts.join(open_seeds, "doc_id").select("text", "doc_id", "seeds").mapInArrow(_all_runs, "key long, doc_id long, start long")
-    run_group = Window.partitionBy("key").orderBy("doc_id", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    exact = runs.withColumn("first", F.first(F.struct("doc_id", "start")).over(run_group)).where("doc_id <> first.doc_id") \
+    runs = scratch.save(runs)
+    firsts = runs.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
+    exact = runs.join(firsts, "key").where("doc_id <> first.doc_id") \
         .select("doc_id", F.col("start").alias("start_word"), F.lit(LEAST_WORDS).cast("long").alias("n_words"),
                 F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_word"), F.lit(1.0).alias("similarity"))
     # runs that continue each other become one passage

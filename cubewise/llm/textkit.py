@@ -8,8 +8,6 @@ from one running sum over the buffer, then mixed.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -35,27 +33,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(BASE), -1, 2**64))
-    up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
-    for table, b in ((up, BASE), (down, inverse)):
-        table[0] = 1
-        done = 1
-        factor = int(b)  # b ** done
-        while done < n:
-            k = min(done, n - done)
-            np.multiply(table[:k], np.uint64(factor), out=table[done:done + k])
-            factor = factor * factor % 2**64
-            done += k
-    return up, down
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _power_table(b: int, n: int) -> np.ndarray:
+    """b ** 0 to b ** (n - 1) modulo 2**64, from a table that only grows."""
+    table = _TABLES.get(b)
+    if table is None or len(table) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        table = np.ones(size, np.uint64)
+        done, factor = 1, b  # factor: b ** done
+        while done < size:
+            np.multiply(table[:done], np.uint64(factor), out=table[done:2 * done])
+            done, factor = 2 * done, factor * factor % 2**64
+        _TABLES[b] = table
+    return table[:n]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 16
-    while size < n:
-        size *= 2
-    return _powers(size)
+    """Powers of ``BASE`` and of its inverse."""
+    return _power_table(int(BASE), n), _power_table(pow(int(BASE), -1, 2**64), n)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
