@@ -34,7 +34,7 @@ CAPACITY = 1024
 #: Fillings tried around one largest length, and search steps beyond the first descent.
 FILLINGS = 24
 STEPS = 100
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 # ---------------------------------------------------------------- bin completion
 
@@ -229,7 +229,7 @@ class ByteTokens:
         for c in [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]:
             kinds[c] = 3
         self.kinds = kinds
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def _begins(self, code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin, as the file's pattern cuts them: a
@@ -259,8 +259,9 @@ class ByteTokens:
                         begins[p + size] = True
         return begins
 
-    def ids_of(self, word: str) -> np.ndarray:
-        return np.array(self.core._encode_single_piece(word.encode()), np.uint32)
+    def ids_of(self, word: str) -> bytes:
+        """Ids of one pre-token, as unsigned 32-bit numbers."""
+        return np.array(self.core._encode_single_piece(word.encode()), np.uint32).tobytes()
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n+1 offsets of texts into them; a null text is empty."""
@@ -295,8 +296,8 @@ class ByteTokens:
             pieces.append(ids)
         if len(known) > REMEMBERED:
             known.clear()
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        table = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        table = np.frombuffer(b"".join(pieces), np.uint32)
         table_at = np.concatenate(([0], np.cumsum(sizes)))
         index = words.indices.to_numpy()
         count = sizes[index]

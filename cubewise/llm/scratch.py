@@ -19,11 +19,16 @@ from ..session import checkpoint_dir
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's own default: texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
 
 
 def ship_code(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers, as ``--py-files``
-    does, once per application: workers need not have it installed."""
+    does, once per application: workers need not have it installed. Also
+    bounds the rows of an Arrow batch."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

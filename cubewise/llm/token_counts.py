@@ -22,7 +22,7 @@ from .scratch import read_table, ship_code
 
 MARK = "▁"
 #: Counts of merged pre-tokens that a worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 MODEL = "piece_bpe_32k.model"
 
 
