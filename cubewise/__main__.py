@@ -2,7 +2,7 @@
 
     python -m cubewise build --tables DIR --cubes ROOT [--since YYYY-MM-DD]
     python -m cubewise route --cubes ROOT --family NAME --shape SHAPE
-                             [--year Y] [--party P] [--as-of YYYY-MM-DD] --out PATH
+                             [--year Y] [--party P] [--as-of YYYY-MM-DD] [--allow PARTY ...] --out PATH
 
 ``build`` runs the feed job (full, or incremental from ``--since``).
 ``route`` answers one route from the stored cubes and writes its JSON
@@ -34,6 +34,8 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--year", type=int)
     r.add_argument("--party")
     r.add_argument("--as-of", type=dt.date.fromisoformat)
+    r.add_argument("--allow", action="append", metavar="PARTY",
+                   help="a party that one-party routes may ask for (repeat; default: any)")
     r.add_argument("--out", required=True)
     args = parser.parse_args(argv)
 
@@ -43,7 +45,8 @@ def main(argv: list[str] | None = None) -> None:
             print(path)
     else:
         docs = route_json(StoredCubes(spark, args.cubes), args.family, args.shape, year=args.year,
-                          party=args.party, as_of=args.as_of, ordered=True)
+                          party=args.party, as_of=args.as_of, ordered=True,
+                          allowed_parties=tuple(args.allow) if args.allow else None)
         docs.select("json").write.mode("overwrite").text(args.out)
 
 

@@ -24,14 +24,16 @@ def pad2(c: str | Column) -> Column:
 def nest_maps(df: DataFrame, keys: list[str], value: str | Column, pad: tuple[str, ...] = ()) -> DataFrame:
     """Fold ``keys[1:]`` into nested maps around ``value``: one row per
     ``keys[0]`` with the nested map in column ``_v``. Keys listed in ``pad``
-    are written with two digits; rows whose innermost key is null (an
-    empty-filled day) give an empty map at that level."""
+    are written with two digits. A row whose innermost key and value are both
+    null (an empty-filled day) gives an empty map at that level; a null key
+    that has a value is an error (``NULL_MAP_KEY``), never left out: see
+    ``sources.cubes.known_keys`` for dropping such rows on purpose."""
     val = F.col(value) if isinstance(value, str) else value
     key_cols = {k: (pad2(k) if k in pad else F.col(k).cast("string")) for k in keys}
     cur = df.select(*[key_cols[k].alias(k) for k in keys], val.alias("_v"))
     for i in range(len(keys) - 1, 0, -1):
         outer, inner = keys[:i], keys[i]
-        entry = F.when(F.col(inner).isNotNull(), F.struct(F.col(inner), F.col("_v")))
+        entry = F.when(F.col(inner).isNotNull() | F.col("_v").isNotNull(), F.struct(F.col(inner), F.col("_v")))
         cur = cur.groupBy(*outer).agg(
             F.map_from_entries(F.filter(F.collect_list(entry), lambda e: e.isNotNull())).alias("_v"))
     return cur

@@ -35,9 +35,9 @@ def _restrict(cube: DataFrame, year: int | None, party: str | None) -> DataFrame
 
 
 def period_values(cube: DataFrame, grain: str = "year", year: int | None = None, party: str | None = None,
-                  measure: str = "count", digits: int | None = 6) -> DataFrame:
-    """Value per (party, period), read straight from a count cube (rounded to
-    ``digits`` places, see ``functions.numbers.stable_round``).
+                  measure: str = "count", digits: int | None = None) -> DataFrame:
+    """Value per (party, period), read straight from a count cube as stored
+    (rounded to ``digits`` places if given, see ``functions.numbers.stable_round``).
 
     The cube holds one row per key; no aggregation happens here (a duplicate
     key is a cube defect, see ``sources.cubes.duplicate_keys``).

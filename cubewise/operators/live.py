@@ -54,14 +54,14 @@ def day_total(cube: DataFrame, as_of: dt.date | str | None, measure: str = "coun
 
 
 def day_mean(cube: DataFrame, as_of: dt.date | str | None, measure: str = "sentiment",
-             party: str | None = None, digits: int | None = 6) -> DataFrame:
+             party: str | None = None, digits: int | None = None) -> DataFrame:
     """Unweighted mean of today's cube rows, per party: ``party, mean``."""
     today = on_day(cube, as_of, party)
     return today.groupBy("party").agg(_round(F.avg(F.col(measure).cast("double")), digits).alias("mean"))
 
 
 def month_by_day(cube: DataFrame, as_of: dt.date | str | None, measure: str = "count", how: str = "sum",
-                 party: str | None = None, digits: int | None = 6, flag_filled: bool = False) -> DataFrame:
+                 party: str | None = None, digits: int | None = None, flag_filled: bool = False) -> DataFrame:
     """Daily sums (``how="sum"``, column ``total``) or unweighted daily means of
     the cube rows (``how="mean"``, column ``mean``) for every day of the month,
     0.0 where a day has no row: ``[party,] day, total|mean``. With

@@ -25,10 +25,11 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.calendar import Window, in_window
 from ..catalog import COUNT, FAMILIES
-from ..sources.cubes import assert_unique, flatten_id
+from ..sources.cubes import assert_unique, flatten_id, known_keys
 from ..sources.tables import read_table
 from . import cubes as B
 
@@ -193,6 +194,10 @@ class TableCubes:
         return [(c, g) for c in self._historic for g in GRAINS] + [(c, None) for c in self._live]
 
 
+#: Key columns of stored cubes whose nulls are checked (periods are partition columns).
+ITEM_KEYS = {"party", "key"} | {f.item for f in FAMILIES if getattr(f, "item", None)}
+
+
 class StoredCubes:
     """Cube collections read back from storage.
 
@@ -203,19 +208,23 @@ class StoredCubes:
     the option named ``collection_option``. Documents whose keys sit in an
     ``_id`` struct are flattened on read. With ``verify_keys``, a value cube
     (one value per party and period) is checked for duplicate keys when it is
-    first opened, one aggregate per collection.
+    first opened, one aggregate per collection. Rows with a null key (a party
+    or item that is missing) are an error when a route reads them; with
+    ``on_null="drop"`` they are left out, with ``"keep"`` they are answered as
+    null items.
     """
 
     def __init__(self, spark: SparkSession, root: str = "", fmt: str = "parquet",
                  options: dict[str, str] | None = None, collection_option: str | None = None,
-                 verify_keys: bool = False):
+                 verify_keys: bool = False, on_null: str = "error"):
         self.spark = spark
         self.root = root.rstrip("/")
         self.fmt = fmt
         self.options = dict(options or {})
         self.collection_option = collection_option
         self.verify_keys = verify_keys
-        self._frames: dict[tuple[str, str | None], DataFrame] = {}
+        self.on_null = on_null
+        self._schemas: dict[tuple[str, str | None], StructType] = {}
 
     @staticmethod
     def name(collection: str, grain: str | None = None) -> str:
@@ -225,30 +234,33 @@ class StoredCubes:
         return f"{self.root}/{self.name(collection, grain)}"
 
     def cube(self, collection: str, grain: str | None = None, window: Window | None = None) -> DataFrame:
-        """The collection as a flat frame. The frame is made once per instance
-        (a handle, no data is cached): schema and partition listing are
-        resolved on first use, and every later route reuses them. The
-        route's own key predicates (year / month / day) become partition
-        filters on the stored layout; the raw-time ``window`` has no column
-        here and is not needed."""
+        """The collection as a flat frame, listed anew on every call: a route
+        asked after a rebuild reads the new files through the same instance.
+        Only the schema is kept from the first use, so that later calls infer
+        nothing. The route's own key predicates (year / month / day) become
+        partition filters on the stored layout; the raw-time ``window`` has no
+        column here and is not needed."""
         key = (collection, grain)
-        if key not in self._frames:
-            reader = self.spark.read.format(self.fmt).options(**self.options)
-            if self.collection_option:
-                df = reader.option(self.collection_option, self.name(collection, grain)).load()
-            else:
-                df = reader.load(self.path(collection, grain))
-            df = flatten_id(df)
+        reader = self.spark.read.format(self.fmt).options(**self.options)
+        if key in self._schemas:
+            reader = reader.schema(self._schemas[key])
+        if self.collection_option:
+            df = reader.option(self.collection_option, self.name(collection, grain)).load()
+        else:
+            df = reader.load(self.path(collection, grain))
+        first, self._schemas[key] = key not in self._schemas, df.schema
+        df = flatten_id(df)
+        df = known_keys(df, [c for c in df.columns if c in ITEM_KEYS], self.on_null)
+        if first:
             if self.verify_keys and collection in VALUE_CUBES:
                 # value routes read one value per key and never sum: check a
                 # cube from elsewhere once, when it is first opened
                 assert_unique(df, ["party", "year"] + ([grain] if grain != "year" else []))
-            self._frames[key] = df
-        return self._frames[key]
+        return df
 
     def refresh(self) -> None:
-        """Forget collection handles (after the cubes were rewritten)."""
-        self._frames.clear()
+        """Forget the schemas (after cubes were rewritten with other columns)."""
+        self._schemas.clear()
 
 
 def build_all(source: TableCubes, root: str, parallel: int = 4, since=None) -> list[str]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from ..catalog import (COMBINED_KEY, COUNT, LATEST, LATEST_LIST_LENGTH, LIVE_ITEMS, LIVE_MEAN, LIVE_MONTH_TOP_N,
                        LIVE_SUM, RANKED)
 from ..functions.calendar import days_in_month, month_parts, today_parts
-from .registry import RouteSpec, route_specs
+from .registry import RouteSpec, json_specs, route_specs
 from .routes import historic_shape
 
 ORDERS = ("(SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority AS party, o_orderdate AS ts "
@@ -167,5 +167,30 @@ def route_sql(spec: RouteSpec) -> str:
     return _historic(spec)
 
 
+def json_sql(spec: RouteSpec) -> str:
+    """The entries of a route's documents: keys as text, from the outside in."""
+    fam, shape = spec.family, spec.shape
+    top = [] if shape.endswith("party") else ["party"]
+    value = "total"
+    if fam.group == LATEST:
+        keys, value = ["key", "n"], "tweet_id"
+    elif shape == "legislatur":
+        keys = ["party", fam.item]
+    elif fam.group in (LIVE_SUM, LIVE_MEAN, LIVE_ITEMS):
+        by_day = shape.startswith("day")
+        keys = ["party"] if by_day else [*top, "day", *([fam.item] if fam.group == LIVE_ITEMS else [])]
+        value = "mean" if fam.group == LIVE_MEAN else fam.item if fam.group == LIVE_ITEMS and by_day else "total"
+    else:
+        grain = "month" if "month" in shape else "week" if "week" in shape else "year"
+        inner = {COUNT: [], RANKED: ["rank", fam.item]}.get(fam.group, [fam.item])
+        keys = [*top, grain, *inner]
+        if fam.group == COUNT:
+            value = "value"
+    padded = [f"lpad(CAST({k} AS VARCHAR), 2, '0')" if fam.group == COUNT and k in ("month", "week") else f'CAST("{k}" AS VARCHAR)'
+              for k in keys]
+    cols = ", ".join(f"{c} AS k{i}" for i, c in enumerate(padded, 1))
+    return f'SELECT {cols}, "{value}" AS value FROM ({route_sql(spec)}) answer'
+
+
 def registered_sql() -> dict[str, str]:
-    return {spec.key: route_sql(spec) for spec in route_specs()}
+    return {spec.key: route_sql(spec) for spec in route_specs()} | {f"{spec.key}__json": json_sql(spec) for spec in json_specs()}

@@ -21,6 +21,9 @@ EVENT_YEAR = 2024
 EVENT_PARTY = "click"
 AS_OF = dt.date(2024, 1, 15)
 
+# Places that registered answers are rounded to, so that two engines agree.
+ORACLE_DIGITS = 6
+
 EVENT_FAMILIES = ("mosttweetstime",)
 
 
@@ -35,7 +38,7 @@ class RouteSpec:
         return f"{self.family.name}__{self.shape}"
 
     def run(self, cubes) -> DataFrame:
-        return answer(cubes, self.family.name, self.shape, **self.params)
+        return answer(cubes, self.family.name, self.shape, digits=ORACLE_DIGITS, **self.params)
 
 
 def _params(fam: Family, shape: str) -> dict:
@@ -55,9 +58,15 @@ def route_specs() -> list[RouteSpec]:
     return [RouteSpec(f, s, _params(f, s)) for f in FAMILIES for s in f.shapes]
 
 
-# Routes also registered in their JSON document shape (``<key>__json``): a
-# value-per-month answer, a one-party ranked list and an empty-filled month.
-JSON_ROUTES = ("countTweetByMonth__year_month", "mostUsedHashtags__year_month_party", "liveSource__month")
+# One family of each answer group is also registered in its JSON document
+# form (``<key>__json``), for every shape; the documents are parsed back, so
+# that their content can be compared.
+JSON_FAMILIES = ("countTweetByMonth", "mostUsedHashtags", "mostUsedHashtagsCloud", "countTotalRunning", "liveSentiment",
+                 "liveSource", "liveTweets")
+
+
+def json_specs() -> list[RouteSpec]:
+    return [s for s in route_specs() if s.family.name in JSON_FAMILIES]
 
 
 _SOURCES: dict[tuple[int, str], TableCubes] = {}
@@ -74,18 +83,18 @@ def table_cubes(spark: SparkSession, sf_dir: str) -> TableCubes:
 
 
 def registered_queries() -> dict:
-    """``key -> (spark, sf_dir) -> DataFrame`` for every route, plus the JSON
-    document form of :data:`JSON_ROUTES` (``key, json`` rows)."""
-    from .documents import route_json
+    """``key -> (spark, sf_dir) -> DataFrame`` for every route, plus the
+    parsed JSON documents of :data:`JSON_FAMILIES`."""
+    from .documents import document_rows, route_json
 
     out = {}
     for spec in route_specs():
         def run(spark: SparkSession, sf_dir: str, _spec: RouteSpec = spec) -> DataFrame:
             return _spec.run(table_cubes(spark, sf_dir))
         out[spec.key] = run
-    for spec in route_specs():
-        if spec.key in JSON_ROUTES:
-            def run_json(spark: SparkSession, sf_dir: str, _spec: RouteSpec = spec) -> DataFrame:
-                return route_json(table_cubes(spark, sf_dir), _spec.family.name, _spec.shape, **_spec.params)
-            out[f"{spec.key}__json"] = run_json
+    for spec in json_specs():
+        def run_json(spark: SparkSession, sf_dir: str, _spec: RouteSpec = spec) -> DataFrame:
+            docs = route_json(table_cubes(spark, sf_dir), _spec.family.name, _spec.shape, digits=ORACLE_DIGITS, **_spec.params)
+            return document_rows(docs, _spec.family.name, _spec.shape)
+        out[f"{spec.key}__json"] = run_json
     return out

@@ -57,21 +57,22 @@ def in_route_order(df: DataFrame) -> DataFrame:
 
 def answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None = None, party: str | None = None,
            as_of: dt.date | str | None = None, allowed_parties: tuple[str, ...] | None = None,
-           ordered: bool = False) -> DataFrame:
+           ordered: bool = False, digits: int | None = None) -> DataFrame:
     """The long-format answer of one route over ``cubes`` (TableCubes or StoredCubes).
 
     ``ordered`` sorts the (small) answer with :func:`in_route_order`; leave it
     off when the consumer does not need an order, as a sort adds a range
     exchange. ``allowed_parties`` restricts one-party routes to a list (for
-    the original data set, ``catalog.PARTIES``).
+    the original data set, ``catalog.PARTIES``). Values and means are given
+    as they are; ``digits`` rounds them, for comparing engines.
     """
     df = _answer(cubes, family_name, shape, year=year, party=party, as_of=as_of,
-                 allowed_parties=allowed_parties)
+                 allowed_parties=allowed_parties, digits=digits)
     return in_route_order(df) if ordered else df
 
 
 def _answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None, party: str | None,
-            as_of: dt.date | str | None, allowed_parties: tuple[str, ...] | None) -> DataFrame:
+            as_of: dt.date | str | None, allowed_parties: tuple[str, ...] | None, digits: int | None) -> DataFrame:
     fam = family(family_name)
     if shape not in fam.shapes:
         raise ValueError(f"{family_name} has shapes {fam.shapes}, not {shape!r}")
@@ -89,7 +90,7 @@ def _answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None
         when = year if needs_year else None
         cube = cubes.cube(fam.cube, grain, year_window(year) if needs_year else None)
         if fam.group == COUNT:
-            return period_values(cube, grain, when, who, measure=fam.measure)
+            return period_values(cube, grain, when, who, measure=fam.measure, digits=digits)
         if shape == "legislatur":
             return all_time_top_items(cube, fam.item, fam.n, measure=fam.measure)
         return top_items(cube, fam.item, grain, fam.n, when, who, ranked=fam.group == RANKED,
@@ -102,8 +103,8 @@ def _answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None
             return day_total(cube, as_of, fam.measure, who) if by_day else \
                 month_by_day(cube, as_of, fam.measure, "sum", who)
         if fam.group == LIVE_MEAN:
-            return day_mean(cube, as_of, fam.measure, who) if by_day else \
-                month_by_day(cube, as_of, fam.measure, "mean", who)
+            return day_mean(cube, as_of, fam.measure, who, digits) if by_day else \
+                month_by_day(cube, as_of, fam.measure, "mean", who, digits)
         return day_leader(cube, fam.item, as_of, who) if by_day else \
             month_top_items(cube, fam.item, as_of, LIVE_MONTH_TOP_N, who)
 

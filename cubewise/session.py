@@ -53,12 +53,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
 
     On a cluster this setting names storage every executor can reach and is
     the only place scratch tables go. It is set here only when the session
-    has none (local runs and tests): then ``fallback`` or a fresh local
-    folder is used and registered with the context.
+    has none: then ``fallback`` is used and registered with the context, or,
+    with a local master only, a fresh local folder. On a cluster an unset
+    folder is an error: a driver's own disk is no shared folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not fallback and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = fallback or tempfile.mkdtemp(prefix="cubewise-ckpt-")
     os.makedirs(path, exist_ok=True)
     spark.sparkContext.setCheckpointDir(path)

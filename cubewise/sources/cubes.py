@@ -54,6 +54,27 @@ def read_cube(spark: SparkSession, path: str) -> DataFrame:
     return flatten_id(spark.read.parquet(path))
 
 
+def known_keys(cube: DataFrame, keys: list[str] | tuple[str, ...], on_null: str = "error") -> DataFrame:
+    """``cube`` without null keys: a row that has one is an error when it is
+    read (``on_null="error"``) or left out (``"drop"``); ``"keep"`` leaves the
+    cube as it is. Count such rows beforehand with :func:`null_key_rows`."""
+    if on_null not in ("error", "drop", "keep"):
+        raise ValueError("on_null must be 'error', 'drop' or 'keep'")
+    if on_null == "keep" or not keys:
+        return cube
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    if on_null == "error":
+        known = F.when(known, F.lit(True)).otherwise(F.raise_error(F.lit(f"null key among {', '.join(keys)}")).cast("boolean"))
+    return cube.where(known)
+
+
+def null_key_rows(cube: DataFrame, keys: list[str] | tuple[str, ...]) -> int:
+    """How many rows have a null key."""
+    return cube.count() - known_keys(cube, keys, "drop").count()
+
+
 def duplicate_keys(cube: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
     """Key combinations present more than once.
 

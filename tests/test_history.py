@@ -26,7 +26,8 @@ def test_period_values_filters_and_drops_party(spark):
 
 def test_period_values_rounds_means(spark):
     cube = spark.createDataFrame([("CDU", 2021, 1, 1 / 3)], COUNT_MONTH)
-    assert period_values(cube, "month", year=2021).first().value == 0.333333
+    assert period_values(cube, "month", year=2021, digits=6).first().value == 0.333333
+    assert period_values(cube, "month", year=2021).first().value == 1 / 3  # as stored by default
 
 
 def test_duplicate_cube_keys_are_reported(spark):
