@@ -40,17 +40,18 @@ BLOCK = 512
 class NearDup:
     """``percent``: links have 100 * intersection >= percent * union.
 
-    ``hashes`` permutations give 2 * ``hashes`` values, cut into bands of
-    ``rows``. With 200 and 8: 50 bands; a pair at 0.85 misses all of them with
-    probability 1e-7 (300 and 8 at 0.8: 1e-6). The agreement of 400 values has
-    a standard deviation of 0.018 there; ``slack`` is more than five of them.
+    ``hashes`` permutations give 2 * ``hashes`` values; ``bands`` of ``rows``
+    values are taken from them. A pair at 0.85 misses all of 50 bands of 8 with
+    probability 1e-7 (75 bands at 0.8: 1e-6). The agreement of 800 values has
+    a standard deviation of 0.013 there; ``slack`` is more than five of them.
     """
 
     percent: int = 85
     words: int = 5
-    hashes: int = 200
+    hashes: int = 400
+    bands: int = 50
     rows: int = 8
-    slack: float = 0.1
+    slack: float = 0.07
 
 
 @lru_cache
@@ -103,7 +104,7 @@ def _sketch(cfg: NearDup):
                     keys.append(pa.array(key, mask=~full))
                 sig = np.zeros((j - i, 2 * cfg.hashes), np.uint32)
                 sig[full] = signatures(sh, at, cfg.hashes)
-                per = sig.shape[1] // cfg.rows
+                per = cfg.bands
                 bands = np.zeros((j - i, per), np.uint64)
                 for c in range(cfg.rows):  # the values of a band come from permutations that lie apart
                     bands = bands * K.BASE + sig[:, c * per:(c + 1) * per]
@@ -204,7 +205,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, cfg: NearDup = NearDup())
     suspects = few(scratch.save(members.select(F.col("id").alias("doc_id")).distinct()))
     texts = scratch.save(base.where("text is not null").join(suspects, "doc_id", "left_semi"))
     stars = members.where("id <> leader").select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
-    links = scratch.save(_confirmed(texts, _likely_pairs(stars, light, cfg), scratch, cfg).unionByName(_same_id(named, classes)))
+    tested = scratch.save(_likely_pairs(stars, light, cfg))
+    links = scratch.save(_confirmed(texts, tested, cfg).unionByName(_same_id(named, classes)))
     comps = scratch.save(connected_components(links, scratch))
 
     # What the stars leave: buckets whose members are not in one component.
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, cfg: NearDup = NearDup())
         .withColumn("side", F.when(F.col("mine") == F.col("lo"), 0).otherwise(1))
     blocks = rest.groupBy("band", "value", "lo", "hi").agg(F.collect_list(F.struct("side", "lo", "hi", "id", "comp", "n", "sig")).alias("members"))
     cross = blocks.where("size(members) > 1").select("members").mapInArrow(_across(cfg), "u long, v long").distinct()
-    more = scratch.save(_confirmed(texts, cross, scratch, cfg))
+    more = scratch.save(_confirmed(texts, scratch.save(cross.join(tested, ["u", "v"], "left_anti")), cfg))
     comps = scratch.save(connected_components(links.unionByName(more), scratch))
 
     of_class = classes.select("k1", "k2", "id").join(comps, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id"))
@@ -231,10 +233,9 @@ def _likely_pairs(pairs: DataFrame, light: DataFrame, cfg: NearDup) -> DataFrame
     return pairs.join(left, "u").join(right, "v").mapInArrow(_likely(cfg), "u long, v long")
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, scratch: Scratch, cfg: NearDup) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, cfg: NearDup) -> DataFrame:
     """The pairs whose full texts hold the link. Pairs are the small side, yet
     no side is broadcast: both grow with the corpus."""
-    pairs = scratch.save(pairs)
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("ut")).hint("merge"), "u") \
         .join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("vt")).hint("merge"), "v")
     return both.mapInArrow(_confirm(cfg), "u long, v long")

@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest doc_id (one of its rows, if it is repeated as a whole). Documents
     without words are in no group and stay."""
     scratch = Scratch(spark, "near-dedup")
-    found = near_dedup.near_duplicates(docs, scratch, near_dedup.NearDup(percent=PERCENT, hashes=300))
+    found = near_dedup.near_duplicates(docs, scratch, near_dedup.NearDup(percent=PERCENT, bands=75, slack=0.08))
     return _without(docs, found.where("not kept"), scratch)
 
 
