@@ -139,7 +139,8 @@ def _columns(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _across(cfg: NearDup):
-    """Likely pairs between different components, in one pair of blocks."""
+    """Likely pairs between different components, in one pair of blocks. A
+    pair that shares several bands is given in the first of them only."""
     least = cfg.percent / 100 - cfg.slack
 
     def run(batches):
@@ -151,8 +152,10 @@ def _across(cfg: NearDup):
                 if not left or not right:
                     continue
                 ids, comps, sizes, sigs = _columns(right)
+                values, band = np.array([m["bands"] for m in right], np.int64), members[0]["band"]
                 for x in left:
                     near = np.flatnonzero((comps != x["comp"]) & (100 * np.minimum(sizes, x["n"]) >= cfg.percent * np.maximum(sizes, x["n"])))
+                    near = near[(values[near] == np.array(x["bands"], np.int64)).argmax(axis=1) == band] if len(near) else near
                     near = near[_agreement(sigs[near], np.frombuffer(x["sig"], np.uint8)) >= least] if len(near) else near
                     us.append(np.minimum(ids[near], x["id"]))
                     vs.append(np.maximum(ids[near], x["id"]))
@@ -212,12 +215,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, cfg: NearDup = NearDup())
     # What the stars leave: buckets whose members are not in one component.
     placed = members.join(comps, "id", "left").select("band", "value", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = placed.groupBy("band", "value").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b")
-    rest = placed.join(mixed.select("band", "value", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), ["band", "value"]).join(light, "id")
+    rest = placed.join(mixed.select("band", "value", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), ["band", "value"]).join(classes.select("id", "n", "sig", "bands"), "id")
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")) \
         .withColumn("side", F.when(F.col("mine") == F.col("lo"), 0).otherwise(1))
-    blocks = rest.groupBy("band", "value", "lo", "hi").agg(F.collect_list(F.struct("side", "lo", "hi", "id", "comp", "n", "sig")).alias("members"))
+    blocks = rest.groupBy("band", "value", "lo", "hi").agg(F.collect_list(F.struct("side", "lo", "hi", "band", "id", "comp", "n", "sig", "bands")).alias("members"))
     cross = blocks.where("size(members) > 1").select("members").mapInArrow(_across(cfg), "u long, v long").distinct()
     more = scratch.save(_confirmed(texts, scratch.save(cross.join(tested, ["u", "v"], "left_anti")), cfg))
     comps = scratch.save(connected_components(links.unionByName(more), scratch))
