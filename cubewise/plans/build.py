@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..catalog import LATEST_LIST_LENGTH
 from ..functions.calendar import Window
 from ..session import checkpoint_dir
-from ..sources.cubes import HISTORIC_PARTITIONS, LIVE_PARTITIONS, read_cube, write_cube
+from ..sources.cubes import HISTORIC_PARTITIONS, LIVE_PARTITIONS, clear_years, write_cube
 from . import cubes as B
 from .bindings import StoredCubes, TableCubes
 
@@ -48,6 +48,7 @@ HOUR = ["party", "year", "month", "day", "hour"]
 LINE_ITEMS = ["hashtag", "url", "taggedUser"]
 ORDER_ITEMS = ["user"]
 EVENT_ITEMS = ["username", "source", "hashtag"]
+TOTAL = "total"
 
 
 def _period(grain: str) -> list[Column]:
@@ -59,26 +60,32 @@ def _period(grain: str) -> list[Column]:
     return keys
 
 
-def _write_base(df: DataFrame, path: str, dynamic: bool) -> DataFrame:
-    """Write a base partitioned by year; an incremental build replaces only
-    the years it recomputed."""
+def _write_base(df: DataFrame, path: str, since: int | None) -> DataFrame:
+    """Write a base partitioned by year and grouping set; an incremental build
+    replaces all years from ``since`` on and returns only these."""
+    spark = df.sparkSession
     if "year" not in df.columns:
         df = df.withColumn("year", F.year("date").cast("long"))
-    write_cube(df, path, ("year",), dynamic=dynamic)
-    return df.sparkSession.read.parquet(path)
+    if since is not None:
+        clear_years(spark, path, since)
+    write_cube(df, path, ("year", "set") if "set" in df.columns else ("year",), dynamic=since is not None)
+    base = spark.read.parquet(path)
+    return base if since is None else base.where(F.col("year") >= since)
 
 
-def _flags(items: list[str]) -> list[Column]:
-    """``g_<item>`` is 0 on the rows of the sets grouped by that item."""
-    return [F.grouping(item).alias(f"g_{item}") for item in items]
+def _by_set(rows: DataFrame, keys: list[str], sets: list[list[str]], items: list[str], *aggs: Column) -> DataFrame:
+    """One aggregate over grouping sets: ``keys`` alone (set ``total``) and
+    with each of ``sets``. A set is named by the one of ``items`` it holds."""
+    extra = list(dict.fromkeys(c for s in sets for c in s))
+    out = rows.groupingSets([keys, *[keys + s for s in sets]], *keys, *extra).agg(
+        *aggs, *[F.grouping(item).alias(f"g_{item}") for item in items])
+    name = F.coalesce(*[F.when(F.col(f"g_{item}") == 0, item) for item in items], F.lit(TOTAL))
+    return out.withColumn("set", name).drop(*[f"g_{item}" for item in items])
 
 
-def _only(base: DataFrame, item: str | None, items: list[str]) -> DataFrame:
-    """Rows of the set grouped by ``item`` (for None: the set grouped by no item)."""
-    cond = F.lit(True)
-    for other in items:
-        cond = cond & (F.col(f"g_{other}") == (0 if other == item else 1))
-    return base.where(cond)
+def _only(base: DataFrame, item: str = TOTAL) -> DataFrame:
+    """Rows of one grouping set: a partition filter."""
+    return base.where(F.col("set") == item)
 
 
 def lines_base(src: TableCubes, window: Window | None = None) -> DataFrame:
@@ -90,36 +97,33 @@ def lines_base(src: TableCubes, window: Window | None = None) -> DataFrame:
                     F.col("p_brand").alias("hashtag"), F.col("p_name").alias("url"),
                     F.col("l_suppkey").cast("string").alias("taggedUser"), "l_quantity", "l_discount",
                     F.length("p_name").alias("name_len")))
-    keys = ["party", "date"]
-    sets = [keys, keys + ["has_part", "hashtag"], keys + ["has_part", "url"], keys + ["taggedUser"]]
-    return rows.groupingSets(sets, *keys, "has_part", *LINE_ITEMS).agg(
+    return _by_set(
+        rows, ["party", "date"], [["has_part", "hashtag"], ["has_part", "url"], ["taggedUser"]], LINE_ITEMS,
         F.count(F.lit(1)).alias("lines"),
         F.sum("l_quantity").alias("qty"),
         F.sum(F.col("l_discount") * 100).alias("disc100"),
         F.sum("name_len").alias("name_len"),
-        F.sum(F.col("has_part").cast("int")).alias("parted"),
-        *_flags(LINE_ITEMS))
+        F.sum(F.col("has_part").cast("int")).alias("parted"))
 
 
 def orders_base(src: TableCubes, window: Window | None = None) -> DataFrame:
     rows = src.orders(window, "o_orderstatus", "o_custkey").select(
         "party", F.to_date("ts").alias("date"), "o_orderstatus", F.col("o_custkey").cast("string").alias("user"))
-    keys = ["party", "date"]
-    return rows.groupingSets([keys, keys + ["user"]], *keys, *ORDER_ITEMS).agg(
+    return _by_set(
+        rows, ["party", "date"], [["user"]], ORDER_ITEMS,
         F.count(F.lit(1)).alias("orders"),
-        F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f_orders"),
-        *_flags(ORDER_ITEMS))
+        F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f_orders"))
 
 
 def events_base(src: TableCubes, window: Window | None = None) -> DataFrame:
     k = F.get_json_object(F.col("props"), "$.k")
     rows = src.events(window).select("party", *B.hour_keys(), F.col("user_id").cast("string").alias("username"),
                                k.alias("source"), (k.cast("long") % 10).cast("string").alias("hashtag"), "value")
-    return rows.groupingSets([HOUR] + [HOUR + [i] for i in EVENT_ITEMS], *HOUR, *EVENT_ITEMS).agg(
+    return _by_set(
+        rows, HOUR, [[i] for i in EVENT_ITEMS], EVENT_ITEMS,
         F.count(F.lit(1)).cast("double").alias("events"),
         F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).cast("double").alias("media"),
-        F.sum("value").alias("value_sum"),
-        *_flags(EVENT_ITEMS))
+        F.sum("value").alias("value_sum"))
 
 
 # Value cubes rolled up from the day base: collection -> (measure, keep-row condition).
@@ -160,28 +164,27 @@ def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | No
     """Write all 46 collections under ``root`` (layout read by :class:`StoredCubes`).
 
     With ``since``, the build is incremental: raw rows are read only from the
-    first day of ``since``'s year on (the window reaches the scans), the
-    bases and cubes of those years are recomputed and replace just their
-    partitions (dynamic overwrite), and the latest lists merge the new posts
-    into the stored ones. Without it, everything is rebuilt and replaced.
+    first day of ``since``'s year on (the window reaches the scans of orders
+    and events), the bases and cubes of those years are recomputed and replace
+    just their partitions, also those left without rows, and the latest lists
+    merge the window's posts into the stored ones. Without it, everything is
+    rebuilt and replaced.
     """
     target = StoredCubes(src.spark, root)
     bases = os.path.join(root.rstrip("/"), "_base")
     window = None if since is None else (dt.datetime(since.year, 1, 1), dt.datetime(9999, 1, 1))
-    dynamic = since is not None
-    lines = _write_base(lines_base(src, window), f"{bases}/lines", dynamic)
-    orders = _write_base(orders_base(src, window), f"{bases}/orders", dynamic)
-    events = _write_base(events_base(src, window), f"{bases}/events", dynamic)
-    if since is not None:  # roll up only the recomputed years (partition pruning on the bases)
-        lines, orders, events = (b.where(F.col("year") >= since.year) for b in (lines, orders, events))
-    # day bases: the year partition column is re-derived from ``date`` by each rollup
-    lines, orders = lines.drop("year"), orders.drop("year")
-
-    line_day = _only(lines, None, LINE_ITEMS).select("party", "date", "lines", "qty", "disc100", "name_len", "parted")
-    # both sides hold one row per party and day, the size of a day cube
-    order_day = (_only(orders, None, ORDER_ITEMS).select("party", "date", "orders", "f_orders")
-                 .join(line_day, ["party", "date"], "left"))
-    event_hour = _only(events, None, EVENT_ITEMS)
+    first = None if since is None else since.year
+    lines = _write_base(lines_base(src, window), f"{bases}/lines", first)
+    orders = _write_base(orders_base(src, window), f"{bases}/orders", first)
+    events = _write_base(events_base(src, window), f"{bases}/events", first)
+    # one row per party and day, the size of a day cube: written once, as 24 rollups read it
+    line_day = _only(lines).select("party", "date", "lines", "qty", "disc100", "name_len", "parted")
+    order_day = _write_base(_only(orders).select("party", "date", "orders", "f_orders").join(line_day, ["party", "date"], "left"),
+                            f"{bases}/order_day", first)
+    # the year partition column is re-derived from ``date`` by each rollup
+    lines, orders, order_day = lines.drop("year"), orders.drop("year"), order_day.drop("year")
+
+    event_hour = _only(events)
     event_day = event_hour.withColumn("date", F.make_date("year", "month", "day"))
     with_part = F.col("has_part")
 
@@ -194,11 +197,11 @@ def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | No
         for collection in _value_measures():
             put(value_cube(order_day, collection, grain), collection, grain)
         put(item_rollup(order_day, "weekday", grain, "orders", F.date_format("date", "EEEE")), "mostTweetsDay", grain)
-        put(item_rollup(_only(orders, "user", ORDER_ITEMS), "user", grain, "orders"), "mostActiveUsers", grain)
-        put(item_rollup(_only(lines, "hashtag", LINE_ITEMS).where(with_part), "hashtag", grain, "lines"),
+        put(item_rollup(_only(orders, "user"), "user", grain, "orders"), "mostActiveUsers", grain)
+        put(item_rollup(_only(lines, "hashtag").where(with_part), "hashtag", grain, "lines"),
             "hashtags", grain)
-        put(item_rollup(_only(lines, "url", LINE_ITEMS).where(with_part), "url", grain, "lines"), "urls", grain)
-        put(item_rollup(_only(lines, "taggedUser", LINE_ITEMS), "taggedUser", grain, "lines"),
+        put(item_rollup(_only(lines, "url").where(with_part), "url", grain, "lines"), "urls", grain)
+        put(item_rollup(_only(lines, "taggedUser"), "taggedUser", grain, "lines"),
             "mostTaggedUsers", grain)
         put(item_rollup(event_day, "hour", grain, "events", F.col("hour")), "mostTweetsTime", grain)
 
@@ -208,12 +211,14 @@ def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | No
         "sentimentRunningByHourAndParty", None)
     for item, collection in (("username", "mostActiveRunningByHourAndParty"),
                              ("source", "sourceRunningByHourAndParty"), ("hashtag", "hashtagsByHourAndParty")):
-        put(_only(events, item, EVENT_ITEMS).select(*HOUR, item, F.col("events").alias("count")), collection, None)
+        put(_only(events, item).select(*HOUR, item, F.col("events").alias("count")), collection, None)
 
     def write(job: tuple[DataFrame, str, str | None]) -> str:
         df, collection, grain = job
         path = target.path(collection, grain)
-        write_cube(df, path, HISTORIC_PARTITIONS if grain else LIVE_PARTITIONS, dynamic=dynamic)
+        if first is not None:
+            clear_years(src.spark, path, first)
+        write_cube(df, path, HISTORIC_PARTITIONS if grain else LIVE_PARTITIONS, dynamic=first is not None)
         return path
 
     # The rollups read small bases; running their jobs side by side keeps the
@@ -226,25 +231,26 @@ def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | No
 
 
 def _write_latest(src: TableCubes, target: StoredCubes, base: str, window: Window | None) -> str:
-    """The latest lists, kept as rows (key, ts, oid) so an incremental build
-    can merge new posts into them: at most n rows per key on either side."""
-    spark = src.spark
-    rows = B.newest_rows(src.events(window), "event_id")
-    if window is not None:
-        try:
-            stored = spark.read.parquet(base)
-        except AnalysisException:
-            stored = None
-        if stored is not None:
-            checkpoint_dir(spark)  # shared folder: the merge must not read what it overwrites
-            merged = stored.select("key", "ts", "oid").unionByName(rows).dropDuplicates(["key", "oid"])
-            rows = B.keep_newest(merged, LATEST_LIST_LENGTH).checkpoint()
+    """The latest lists, kept as rows (key, ts, oid), at most n per key. An
+    incremental build keeps the stored rows before its window and adds the
+    window's; where a full list is short then (posts have gone), the rows
+    beyond it were never stored, and the lists are built from all posts."""
+    spark, n = src.spark, LATEST_LIST_LENGTH
+    try:
+        stored = spark.read.parquet(base) if window is not None else None
+    except AnalysisException:
+        stored = None
+    rows = B.newest_rows(src.events(None if stored is None else window), "event_id")
+    if stored is not None:
+        checkpoint_dir(spark)  # shared folder: the merge must not read what it overwrites
+        before = stored.where(F.col("ts") < F.lit(window[0]).cast(stored.schema["ts"].dataType)).select("key", "ts", "oid")
+        rows = B.keep_newest(before.unionByName(rows), n).checkpoint()
+        had = stored.groupBy("key").agg(F.count("oid").alias("had"))
+        have = rows.groupBy("key").agg(F.count("oid").alias("have"))
+        short = had.join(have, "key", "left").where((F.col("had") >= n) & (F.coalesce("have", F.lit(0)) < n))
+        if not short.isEmpty():
+            rows = B.newest_rows(src.events(None), "event_id")
     rows.write.mode("overwrite").parquet(base)
     lists = target.path("lastTweets")
     B.lists_from_rows(spark.read.parquet(base)).write.mode("overwrite").parquet(lists)
     return lists
-
-
-def read_base(spark, root: str, name: str) -> DataFrame:
-    """A written base (``lines``, ``orders`` or ``events``) for ad-hoc rollups."""
-    return read_cube(spark, os.path.join(root.rstrip("/"), "_base", name))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..catalog import COMBINED_KEY, LATEST_LIST_LENGTH
 
@@ -39,8 +40,19 @@ def measure_cube(posts: DataFrame, grain: str, measure: Column, name: str = "cou
     return posts.groupBy(F.col("party"), *period_keys(grain)).agg(measure.cast("double").alias(name))
 
 
+def one_row_per_item(posts: DataFrame, item: Column) -> tuple[DataFrame, Column]:
+    """``posts`` and ``item`` as they are, or, where ``item`` is an array (a
+    post's hashtags, say), one row for each entry. Null and empty arrays have
+    no row; an entry that a post repeats counts each time."""
+    if isinstance(posts.select(item.alias("item")).schema["item"].dataType, ArrayType):
+        return posts.withColumn("_item", F.explode(item)), F.col("_item")
+    return posts, item
+
+
 def item_cube(posts: DataFrame, grain: str, item: Column, item_name: str, weight: Column | None = None) -> DataFrame:
-    """Post count (or summed ``weight``) per (party, period, item)."""
+    """Post count (or summed ``weight``) per (party, period, item); ``item``
+    may be an array of items."""
+    posts, item = one_row_per_item(posts, item)
     agg = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (posts.groupBy(F.col("party"), *period_keys(grain), item.cast("string").alias(item_name))
             .agg(agg.cast("double").alias("count")))
@@ -52,7 +64,8 @@ def hourly_cube(posts: DataFrame, measure: Column, name: str = "count") -> DataF
 
 
 def hourly_item_cube(posts: DataFrame, item: Column, item_name: str) -> DataFrame:
-    """Post count per (party, year, month, day, hour, item)."""
+    """Post count per (party, year, month, day, hour, item); ``item`` may be an array."""
+    posts, item = one_row_per_item(posts, item)
     return (posts.groupBy(F.col("party"), *hour_keys(), item.cast("string").alias(item_name))
             .agg(F.count(F.lit(1)).cast("double").alias("count")))
 

@@ -8,29 +8,40 @@ the watermark passes its end; a post older than the watermark is late and is
 not counted (the watermark delay is the late-data rule, chosen by the caller).
 
 Sink: an upsert into the cube itself, stored partitioned by (year, month,
-day) like the batch cube. ``foreachBatch`` reads only the day partitions the
-batch touches, keeps their rows the batch does not update, adds the batch's
-rows, checkpoints the result to the shared checkpoint folder (the overwrite
-must not read what it replaces) and overwrites just those day partitions
-(dynamic partition overwrite). Because the batch carries absolute values, a
-retried batch produces the same cube. Storage stays the size of the cube and
-readers see a normal partitioned cube; nothing grows with the number of
-micro-batches.
+day) like the batch cube. ``foreachBatch`` reads only the days between the
+batch's first and last day (a partition filter), keeps the rows of touched
+days that the batch does not update, and adds the batch's rows. The result is
+written to a staging folder inside the stream's checkpoint location, marked
+there with the batch's number, and then published: a dynamic overwrite of the
+touched day partitions. The cube is never read and replaced by one job. A
+batch that is retried after its staging was marked publishes the staged rows
+again and does not look at the cube, which a crash may have left with days
+missing; before the mark, the cube is as the previous batch left it. So one
+staging folder is enough, and storage stays the size of the cube and a batch.
+
+Adaptive execution is off inside a stream's batches, so the layout of the
+write is explicit: one task for each touched day, and several for a day of
+more than ``ROWS_PER_FILE`` rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.cubes import one_row_per_item
 from ..session import checkpoint_dir
-from ..sources.cubes import LIVE_PARTITIONS, read_cube, write_cube
+from ..sources.cubes import LIVE_PARTITIONS, read_cube
 from ..sources.tables import SCHEMAS
 
 HOUR_KEYS = ("party", "year", "month", "day", "hour")
 EVENT_SCHEMA = SCHEMAS["events"]
+#: Rows of one task and file of a published day.
+ROWS_PER_FILE = 2_000_000
 
 
 def as_event_time(posts: DataFrame, ts: str = "ts") -> DataFrame:
@@ -45,6 +56,8 @@ def hourly_updates(posts: DataFrame, measure: Column, name: str = "count", item:
                    item_name: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """Streaming hourly cube rows: ``party, year, month, day, hour[, item], <name>``."""
     posts = as_event_time(posts).withWatermark("ts", watermark)
+    if item is not None:
+        posts, item = one_row_per_item(posts, item)
     keys = [F.window("ts", "1 hour").alias("w"), F.col("party")]
     if item is not None:
         keys.append(item.cast("string").alias(item_name))
@@ -57,26 +70,57 @@ def hourly_updates(posts: DataFrame, measure: Column, name: str = "count", item:
     return agg.select(*out, F.col(name))
 
 
-def upsert_hours(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Merge ``batch`` (absolute values per key) into the cube at ``path``."""
+def upsert_hours(batch: DataFrame, path: str, keys: list[str], staging: str | None = None, batch_id: int = 0) -> None:
+    """Merge ``batch`` (absolute values per key) into the cube at ``path``.
+
+    ``staging`` belongs to one stream, whose batches ``batch_id`` numbers. A
+    call of its own, outside a stream, is staged in a new folder.
+    """
     spark = batch.sparkSession
-    checkpoint_dir(spark)  # the shared folder for the reliable checkpoint below
+    staging = staging or f"{checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    if _marked(spark, staging) != batch_id:
+        merged = merge_hours(batch, path, keys)
+        if merged is None:
+            return
+        merged.write.mode("overwrite").parquet(f"{staging}/rows")
+        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(f"{staging}/marked")
+    publish_days(spark.read.schema(batch.schema).parquet(f"{staging}/rows"), path)
+
+
+def _marked(spark: SparkSession, staging: str) -> int | None:
+    """Number of the batch whose rows lie in ``staging`` as a whole."""
     try:
-        current = read_cube(spark, path)
+        row = spark.read.schema("batch_id long").parquet(f"{staging}/marked").first()
     except AnalysisException:
-        current = None
-    if current is None:
-        merged = batch
-    else:
-        kept = touched_days(current, batch).join(batch.select(*keys), keys, "left_anti")
-        merged = kept.select(*[F.col(c).cast(batch.schema[c].dataType) for c in batch.columns]).unionByName(batch)
-    write_cube(merged.checkpoint(), path, LIVE_PARTITIONS)
+        return None
+    return row and row["batch_id"]
+
+
+def merge_hours(batch: DataFrame, path: str, keys: list[str]) -> DataFrame | None:
+    """All rows of the days that ``batch`` touches, after it; None if it is empty."""
+    day = F.make_date(*[F.col(c).cast("int") for c in LIVE_PARTITIONS])
+    first, last = batch.agg(F.min(day), F.max(day)).first()
+    if first is None:
+        return None
+    try:
+        current = read_cube(batch.sparkSession, path).where(day.between(F.lit(first), F.lit(last)))
+    except AnalysisException:
+        return batch
+    kept = touched_days(current, batch).join(batch.select(*keys), keys, "left_anti")
+    return kept.select(*[F.col(c).cast(batch.schema[c].dataType) for c in batch.columns]).unionByName(batch)
+
+
+def publish_days(rows: DataFrame, path: str) -> None:
+    """Replace the day partitions of ``rows`` in the cube at ``path``."""
+    largest = rows.groupBy(*LIVE_PARTITIONS).count().agg(F.max("count")).first()[0] or 1
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in LIVE_PARTITIONS]), F.lit(-(-largest // ROWS_PER_FILE)))
+    (rows.repartition(*LIVE_PARTITIONS, salt).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*LIVE_PARTITIONS).parquet(path))
 
 
 def touched_days(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of the stored cube in the day partitions ``batch`` touches: a semi
-    join on the partition columns, which Spark turns into dynamic partition
-    pruning of the cube scan (only those days' files are read)."""
+    join on the partition columns."""
     days = batch.select(*LIVE_PARTITIONS).distinct()
     return current.join(days, list(LIVE_PARTITIONS), "left_semi")
 
@@ -84,13 +128,14 @@ def touched_days(current: DataFrame, batch: DataFrame) -> DataFrame:
 def start_hourly_cube(updates: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
                       query_name: str | None = None) -> StreamingQuery:
     """Run ``updates`` (from :func:`hourly_updates`) into the cube at ``path``."""
-    base = path.rstrip("/")
+    base, staging = path.rstrip("/"), f"{checkpoint.rstrip('/')}/staged"
     keys = [c for c in updates.columns if c not in ("count", "sentiment")]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            upsert_hours(batch, base, keys)
+            batch.count()  # moves the stream's state on, also where rows staged before are published again
+            upsert_hours(batch, base, keys, staging, batch_id)
         finally:
             batch.unpersist()
 

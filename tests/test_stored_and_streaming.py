@@ -235,3 +235,95 @@ def test_upsert_reads_only_touched_day_partitions(spark, scratch):
     touched = touched_days(read_cube(spark, path), batch)
     assert {r.day for r in touched.collect()} == {15}
     assert "dynamicpruningexpression" in touched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_incremental_build_after_removed_and_moved_events(spark, scratch):
+    """Events from 25 January on go, others move to another day: an incremental
+    build answers every event route as a full one does."""
+    import datetime as dt
+
+    from tests.oracle_compare import TABLES
+
+    changed = os.path.join(scratch, "changed")
+    os.makedirs(changed)
+    events = pq.read_table(f"{SF_SMALL}/events.parquet").to_pandas()
+    events = events[events.ts < "2024-01-25"].copy()
+    late = events.ts >= "2024-01-23"
+    events.loc[late, "ts"] -= dt.timedelta(days=20)
+    pq.write_table(pa.Table.from_pandas(events, preserve_index=False), os.path.join(changed, "events.parquet"), coerce_timestamps="us")
+    for name in TABLES:
+        if name != "events":
+            os.symlink(f"{SF_SMALL}/{name}.parquet", os.path.join(changed, f"{name}.parquet"))
+    full_root, inc_root = os.path.join(scratch, "full"), os.path.join(scratch, "inc")
+    build_all(TableCubes(spark, SF_SMALL), inc_root)
+    build_all(TableCubes(spark, changed), inc_root, since=dt.date(2024, 1, 1))
+    build_all(TableCubes(spark, changed), full_root)
+    full, inc = StoredCubes(spark, full_root), StoredCubes(spark, inc_root)
+    for collection, grain in (("metricsByHourAndParty", None), ("sourceRunningByHourAndParty", None),
+                              ("mostTweetsTime", "month"), ("lastTweets", None)):
+        assert rows(inc.cube(collection, grain)) == rows(full.cube(collection, grain)), collection
+
+
+def test_rollups_read_one_grouping_set(spark, scratch):
+    from cubewise.plans.build import _only, _write_base, lines_base
+
+    base = _write_base(lines_base(TableCubes(spark, SF_SMALL)), os.path.join(scratch, "lines"), None)
+    p = _only(base, "hashtag")._jdf.queryExecution().executedPlan().toString()
+    assert "(set" in p.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_stream_sink_prunes_stages_once_and_survives_a_crash(spark, scratch, event_chunks, monkeypatch):
+    from cubewise.streaming import hourly
+
+    plans, folders, failed = [], [], []
+    merge, publish = hourly.merge_hours, hourly.publish_days
+    path, checkpoint = os.path.join(scratch, "cube"), os.path.join(scratch, "ckpt")
+
+    def merged(batch, *args):
+        out = merge(batch, *args)
+        if out is not None:  # else a batch without rows, at the end
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    def crashing(rows_, to):
+        folders.append(sorted(os.listdir(os.path.join(checkpoint, "staged"))))
+        if len(folders) == 2:  # a day is gone when the job dies
+            day = rows_.select("day").first()["day"]
+            for name in os.listdir(os.path.join(to, "year=2024", "month=1", f"day={day}")):
+                os.remove(os.path.join(to, "year=2024", "month=1", f"day={day}", name))
+            failed.append(day)
+            raise RuntimeError("lost")
+        publish(rows_, to)
+
+    monkeypatch.setattr(hourly, "merge_hours", merged)
+    monkeypatch.setattr(hourly, "publish_days", crashing)
+    for fails in (True, False):
+        stream = read_event_stream(spark, event_chunks, max_files_per_trigger=1)
+        q = start_hourly_cube(live_updates(stream, "metricsByHourAndParty", watermark="2 hours"), path, checkpoint,
+                              trigger={"availableNow": True})
+        if fails:
+            with pytest.raises(Exception, match="lost"):
+                q.awaitTermination(300)
+        else:
+            q.awaitTermination(300)
+            assert q.exception() is None
+    assert failed and len(plans) == 3  # the retried batch came from its staging
+    assert all("make_date" in p[p.index("PartitionFilters: ["):].split("PushedFilters")[0] for p in plans[1:])
+    assert set(map(tuple, folders)) == {("marked", "rows")}
+    got = read_cube(spark, path)
+    want = TableCubes(spark, SF_SMALL).cube("metricsByHourAndParty")
+    assert rows(got.select(*want.columns)) == rows(want)
+    for day in os.listdir(os.path.join(path, "year=2024", "month=1")):
+        files = [f for f in os.listdir(os.path.join(path, "year=2024", "month=1", day)) if f.endswith(".parquet")]
+        assert len(files) == 1
+
+
+def test_array_items_count_each_entry(spark):
+    from cubewise.plans.cubes import hourly_item_cube, item_cube
+
+    posts = spark.sql("""select * from values ('a', timestamp'2024-01-02 03:00:00', array('x', 'y', 'x')),
+                         ('a', timestamp'2024-01-02 03:30:00', array('y')), ('a', timestamp'2024-01-02 04:00:00', array()),
+                         ('b', timestamp'2024-01-02 04:00:00', null) as t(party, ts, tags)""")
+    assert rows(item_cube(posts, "month", F.col("tags"), "hashtag")) == [("a", 2024, 1, "x", 2.0), ("a", 2024, 1, "y", 2.0)]
+    assert rows(hourly_item_cube(posts, F.col("tags"), "hashtag")) == [
+        ("a", 2024, 1, 2, 3, "x", 2.0), ("a", 2024, 1, 2, 3, "y", 2.0)]
