@@ -9,7 +9,7 @@ about two in ``SHINGLES`` positions remain.
 Passages that agree share windows of the same minimum. Windows meet by
 
 * the minimum under further hash functions (near-duplicates: a pair of texts
-  must meet under at least two minima), and
+  must meet under at least two of ``MINIMA``), and
 * under the first hash function, the minimum with the 23 shingles after or
   before it: a passage of ``SHINGLES`` equal shingles holds at least one of
   the two, wherever its minimum lies, so no exact repeat is missed.
@@ -38,9 +38,9 @@ LEAST_WORDS = 51
 SHINGLES = LEAST_WORDS - WORDS + 1
 SIDE = SHINGLES // 2
 #: Further hash functions, whose minima alone are compared.
-MINIMA = 2
-#: Share of equal shingles at which two aligned passages are 0.8 similar: m / (2n - m) >= 0.8.
-EQUAL = 8 / 9
+MINIMA = 6
+#: Shingles within which an alignment goes on after a break, on any diagonal.
+BAND = 32
 
 
 def _texts(column):
@@ -119,14 +119,66 @@ def _windows(batches):
                                       names=["key", "doc_id", "place", "kind"])
 
 
-def _region(same: np.ndarray, seed: int) -> tuple[int, int]:
-    """The widest stretch around ``seed`` that stays similar on either side and ends in equal shingles."""
-    gain = same - EQUAL
-    right = np.cumsum(gain[seed:])
-    b = np.flatnonzero((right >= 0) & same[seed:].astype(bool))
-    left = np.cumsum(gain[seed::-1])
-    a = np.flatnonzero((left >= 0) & same[seed::-1].astype(bool))
-    return (seed - int(a[-1]), seed + int(b[-1]) + 1) if len(a) and len(b) else (seed, seed)
+def _aligned(x: np.ndarray, y: np.ndarray, beyond: int) -> list[tuple[int, int, int]]:
+    """Runs (start in x, start in y, shingles) of equal shingles, in order,
+    from the start of x and y on. After a break the nearest equal shingles
+    within ``BAND`` go on, on the same or a neighbouring diagonal, else the
+    next ones on the same diagonal, as long as a stretch that ends there
+    (with ``beyond`` shingles on the other side) can be similar."""
+    runs, i, j, m = [], 0, 0, 0
+    while i < len(x) and j < len(y):
+        n, part = min(len(x) - i, len(y) - j), 64
+        size = 0
+        while size < n:
+            end = min(n, size + part)
+            unequal = x[i + size:i + end] != y[j + size:j + end]
+            if unequal.any():
+                size += int(unequal.argmax())
+                break
+            size, part = end, 4 * part
+        if size:
+            runs.append((i, j, size))
+            i, j, m = i + size, j + size, m + size
+        if 9 * m - 4 * (i + j) + min(len(x) - i, len(y) - j) + beyond < 0:
+            break
+        p, q = np.nonzero(x[i:i + BAND, None] == y[None, j:j + BAND])
+        if len(p):
+            k = int(np.argmin((np.maximum(p, q) << 32) | abs(p - q)))
+            i, j = i + int(p[k]), j + int(q[k])
+        else:
+            n = min(len(x) - i, len(y) - j)
+            equal = np.flatnonzero(x[i:i + n] == y[j:j + n])
+            if not len(equal):
+                break
+            i, j = i + int(equal[0]), j + int(equal[0])
+    return runs
+
+
+def _stretch(x: np.ndarray, y: np.ndarray, cx: int, cy: int) -> tuple[int, int, int, float] | None:
+    """The widest stretch around a seed that is similar over both sides
+    together: (start in y, shingles, start in x, similarity)."""
+    if not (0 <= cx < len(x) and 0 <= cy < len(y)) or x[cx] != y[cy]:
+        return None
+    right = _aligned(x[cx:], y[cy:], min(cx, cy))
+    left = _aligned(x[cx::-1], y[cy::-1], sum(n for *_, n in right))
+    a, b = np.array(left, np.int64), np.array(right, np.int64)
+    m = np.cumsum(b[:, 2])
+    ends = 9 * m - 4 * (b[:, 0] + b[:, 1] + 2 * b[:, 2])  # m / (nx + ny - m) >= 0.8, as 9 m - 4 (nx + ny) >= 0
+    own = np.cumsum(a[:, 2]) - 1  # the seed is in both sides
+    starts = 9 * own - 4 * (a[:, 0] + a[:, 1] + 2 * a[:, 2] - 2)
+    best = np.maximum.accumulate(ends[::-1])  # of the ends from the last one on
+    at = len(ends) - 1 - np.searchsorted(best, -starts)
+    ok = np.flatnonzero(at >= 0)
+    if not len(ok):
+        return None
+    nx, ny = ((b[at[ok], k] + b[at[ok], 2]) + (a[ok, k] + a[ok, 2] - 1) for k in (0, 1))
+    k = int(np.argmax(ny))
+    if min(int(nx[k]), int(ny[k])) < SHINGLES:
+        return None
+    s = int(a[ok[k], 1] + a[ok[k], 2]) - 1
+    t = int(a[ok[k], 0] + a[ok[k], 2]) - 1
+    common = int(m[at[ok[k]]] + own[ok[k]])
+    return cy - s, int(ny[k]), cx - t, common / (int(nx[k]) + int(ny[k]) - common)
 
 
 def passages_of(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int, int, int]]):
@@ -135,20 +187,12 @@ def passages_of(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int, i
     reach left, reach right)`` of equal shingles that are not settled: no
     passage covers all runs of ``SHINGLES`` around them within their window."""
     found: list[tuple[int, int, int, float]] = []
-    cache: dict[int, np.ndarray] = {}
     for cx, cy, *_ in sorted(set(seeds)):
-        d = cy - cx
-        if any(s <= cy < s + n and s - sx == d for s, n, sx, _ in found):
+        if any(s <= cy < s + n and sx <= cx < sx + n and abs(s - sx - cy + cx) < BAND for s, n, sx, _ in found):
             continue
-        lo, hi = max(0, -d), min(len(x), len(y) - d)
-        if d not in cache:
-            cache[d] = (x[lo:hi] == y[lo + d:hi + d]).astype(np.int8) if hi > lo else np.zeros(0, np.int8)
-        same = cache[d]
-        if lo <= cx < hi and same[cx - lo]:
-            a, b = _region(same, cx - lo)
-            if b - a >= SHINGLES:
-                m = int(same[a:b].sum())
-                found.append((lo + a + d, b - a, lo + a, m / (2 * (b - a) - m)))
+        passage = _stretch(x, y, cx, cy)
+        if passage:
+            found.append(passage)
 
     def settled(c: int, left: int, right: int) -> bool:
         return any(s <= c - min(left, SHINGLES - 1) and c + min(right, SHINGLES - 1) < s + n for s, n, _, _ in found)
@@ -206,8 +250,8 @@ def _all_runs(batches):
 def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Passages of more than 50 words of ``docs(doc_id long, text)`` that
     repeat in a document of smaller id: ``doc_id, start_word, n_words,
-    source_id, source_word, similarity`` (of aligned shingles; 1 is an exact
-    repeat). Words are runs of anything but ASCII white space, compared with
+    source_id, source_word, similarity`` (shingles in common, in order, of
+    those of both passages; 1 is an exact repeat). Words are runs of anything but ASCII white space, compared with
     A-Z in lower case. The first document that holds a passage has no row for
     it.
 
@@ -229,7 +273,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     seeds = paired.where("room").select("leader", "doc_id", F.struct("x", "y", "kind", "left", "right").alias("seed"))
     cramped = paired.where("not room and kind = 0").select("doc_id", F.col("y").cast("long").alias("start_word"))
     pairs = scratch.save(seeds.groupBy("leader", "doc_id").agg(F.collect_set("seed").alias("seeds"))
-                         .where(F.exists("seeds", lambda s: s["kind"] == 0) | (F.size("seeds") >= 2)))
+                         .where(F.exists("seeds", lambda s: s["kind"] == 0) | (F.size(F.array_distinct(F.transform("seeds", lambda s: s["kind"]))) >= 2)))
 
     named = pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).unionByName(cramped.select("doc_id"))
     suspects = few(scratch.save(named.distinct()))

@@ -89,6 +89,43 @@ def test_exact_passages_are_all_found(spark):
     assert sum(line in (t or "") for t in cut.values()) == 1 and cut[10] == texts[0] and None in cut.values()
 
 
+def covered(found, doc_id, start, n):
+    """Share of the words start to start + n that passages of doc_id hold."""
+    own = {k for r in found if r.doc_id == doc_id for k in range(r.start_word, r.start_word + r.n_words)}
+    return len(own & set(range(start, start + n))) / n
+
+
+def shingle_set(w):
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
+def test_recall_of_near_passages(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    texts, planted = [], []
+    for n in range(600):
+        base = [word() for _ in range(rng.randint(51, 120))]
+        copy, k = list(base), (12, len(base) // 2)[n % 2]
+        if n % 3 == 0:
+            copy[k] = word()
+        elif n % 3 == 1:
+            copy.insert(k, word())
+        else:
+            del copy[k]
+        texts += [" ".join([word() for _ in range(rng.randint(0, 80))] + x + [word() for _ in range(40)]) for x in (base, copy)]
+        x, y = shingle_set(base), shingle_set(copy)
+        if len(copy) >= 51 and len(x & y) >= 0.8 * len(x | y):  # by brute force
+            planted.append((2 * n + 11, texts[-1].split().index(copy[0]), len(copy)))
+    found = passages.repeated_passages(frame(spark, texts), Scratch(spark, "t")).collect()
+    by_doc = {}
+    for r in found:
+        assert r.source_id < r.doc_id and r.n_words >= 51 and r.similarity >= 0.8
+        by_doc.setdefault(r.doc_id, []).append(r)
+    recall = sum(covered(by_doc.get(d, []), d, a, n) >= 0.9 for d, a, n in planted) / len(planted)
+    print(f"recall {recall:.4f} of {len(planted)} near passages")
+    assert recall >= 0.97
+
+
 def test_decontamination_against_plain_search(spark):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("abcd") for _ in range(3)) for _ in range(60)]
