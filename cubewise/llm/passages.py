@@ -16,7 +16,9 @@ Passages that agree share windows of the same minimum. Windows meet by
 
 In each group the first text is the leader, the others are paired with it if
 their windows' intervals leave room for a passage (an interval join), and the
-pairs are verified on the texts. Windows that met by equal shingles but are
+pairs are verified on the texts. Where a minimum is not covered by a verified
+passage then, its text is compared with all others of the group, in blocks,
+by the shingles of their windows. Windows that met by equal shingles but are
 not covered by a verified passage as far as they reach may still repeat in a
 third text: they are resolved exactly, by all their runs of ``SHINGLES``
 shingles.
@@ -41,6 +43,11 @@ SIDE = SHINGLES // 2
 MINIMA = 6
 #: Shingles within which an alignment goes on after a break, on any diagonal.
 BAND = 32
+#: Two passages of at least ``SHINGLES`` that are 0.8 similar have so many in common: m / (2n - m) >= 0.8.
+LEAST_COMMON = -(-8 * SHINGLES // 9)
+#: Shingles kept on either side of a place whose group is compared in blocks, and rows of a block, about.
+REACH = 2 * SHINGLES
+BLOCK = 1024
 
 
 def _texts(column):
@@ -228,6 +235,74 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=NAMES)
 
 
+def _surroundings(batches):
+    """For each place of a text's ``members`` the shingles of its window, at
+    most ``REACH`` on either side, and the place of the minimum among them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            rows = []
+            for sh, doc, members in zip(_shingles_of(part.column("text")), part.column("doc_id").to_pylist(), part.column("members").to_pylist()):
+                low = sh.astype(np.uint32)
+                for m in members:
+                    c = m["place"] >> 32
+                    a = c - min(m["place"] >> 16 & 65535, REACH)
+                    b = c + min(m["place"] & 65535, REACH) + 1
+                    if b - a >= SHINGLES:
+                        rows.append((m["kind"], m["key"], doc, c, c - a, m["open"], low[a:b].tobytes()))
+            kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)],
+                                  names=["kind", "key", "doc_id", "place", "centre", "open", "around"])
+
+
+def _partners(table: pa.Table) -> list[tuple]:
+    """For each open place of one block the first smaller document of the
+    block that repeats it, most common shingles first: (leader, doc_id, x, y,
+    kind, key). One partner is enough, for it reports the place."""
+    docs, places, centres, asks, gives = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "place", "centre", "asks", "gives"))
+    if not asks.any() or docs.min() == docs.max():
+        return []
+    around = [np.frombuffer(b, np.uint32) for b in table.column("around").to_pylist()]
+    starts = np.concatenate(([0], np.cumsum([len(a) for a in around])))
+    values, which = np.unique(np.concatenate(around), return_inverse=True)
+    kind, key = table.column("kind")[0].as_py(), table.column("key")[0].as_py()
+    out, held = [], np.zeros(len(values), bool)
+    for y in np.flatnonzero(asks):
+        own = which[starts[y]:starts[y + 1]]
+        held[own] = True
+        common = np.add.reduceat(held[which], starts[:-1])
+        held[own] = False
+        others = np.flatnonzero((common >= LEAST_COMMON) & gives & (docs < docs[y]))
+        for x in others[np.lexsort((docs[others], -common[others]))]:
+            if _stretch(around[x], around[y], int(centres[x]), int(centres[y])):
+                out.append((int(docs[x]), int(docs[y]), int(places[x]), int(places[y]), kind, key))
+                break
+    return out
+
+
+def _in_blocks(batches):
+    """Partners within each block; rows come sorted by block."""
+    names = ["kind", "key", "a", "b"]
+    rest = None
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64()]
+
+    def given(rows):
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["leader", "doc_id", "x", "y", "kind", "key"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        block = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names])
+        cuts = [0, *(np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1).tolist()]
+        rows = [r for i, j in zip(cuts, cuts[1:]) for r in _partners(table.slice(i, j - i).combine_chunks())]
+        rest = table.slice(cuts[-1])
+        yield given(rows)
+    if rest is not None:
+        yield given(_partners(rest.combine_chunks()))
+
+
 def _all_runs(batches):
     """Every run of ``SHINGLES`` shingles that holds an open seed: its hash, text and start."""
     for batch in batches:
@@ -247,6 +322,41 @@ def _all_runs(batches):
         yield pa.record_batch([pa.array(cat[0].view(np.int64)), pa.array(cat[1], pa.int64()), pa.array(cat[2], pa.int64())], names=["key", "doc_id", "start"])
 
 
+def _beyond_leaders(base: DataFrame, windows: DataFrame, paired: DataFrame, verified: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs that no leader is in, and their texts. Places of minima that no
+    verified passage covers are open; they are compared with all members of
+    their groups, in blocks, unless the leader was the only other one."""
+    known = verified.where("n_words > 0").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("known"))
+
+    def uncovered(place):
+        return ~F.coalesce(F.exists("known", lambda k: (k["start_word"] <= place) & (place < k["start_word"] + k["n_words"] - (WORDS - 1))), F.lit(False))
+
+    left = paired.where("kind > 0 and size > 2").join(known, "doc_id", "left").where(uncovered(F.col("y")))
+    keys = few(scratch.save(left.select(F.col("kind").cast("byte").alias("kind"), "key", "size").distinct()))
+    members = windows.join(keys, ["kind", "key"]).join(known, "doc_id", "left") \
+        .select("doc_id", F.struct("kind", "key", "place", uncovered(F.shiftright("place", 32)).alias("open")).alias("member")) \
+        .groupBy("doc_id").agg(F.collect_list("member").alias("members"))
+    # a doc_id on several rows gives the surroundings of each; places beyond a text's end are left out
+    around = members.join(base, "doc_id").mapInArrow(_surroundings, "kind byte, key long, doc_id long, place long, centre int, open boolean, around binary")
+    around = scratch.save(around)
+    sizes = around.groupBy("kind", "key").agg(F.count("*").alias("n"), F.count(F.when(F.col("open"), 1)).alias("n_open")).where("n > 1 and n_open > 0")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "place"), blocks).cast("int")
+    # a: the block of the open places that are compared, b: that of the members they are compared with
+    dealt = around.join(sizes, ["kind", "key"]).withColumn("own", own).withColumn("all", F.sequence(F.lit(0), blocks - 1))
+    asking = F.when(F.col("open"), F.transform("all", lambda b: F.struct(F.col("own").alias("a"), b.alias("b"), F.lit(True).alias("asks"), (b == F.col("own")).alias("gives"))))
+    giving = F.transform(F.filter("all", lambda a: ~F.col("open") | (a != F.col("own"))),
+                         lambda a: F.struct(a.alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"), F.lit(True).alias("gives")))
+    dealt = dealt.withColumn("to", F.explode(F.concat(F.coalesce(asking, F.array().cast("array<struct<a:int,b:int,asks:boolean,gives:boolean>>")), giving))) \
+        .select("kind", "key", "doc_id", "place", "centre", "around", "to.*")
+    block = ["kind", "key", "a", "b"]
+    partners = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_in_blocks, "leader long, doc_id long, x long, y long, kind int, key long")
+    seed = F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "kind", F.lit(0).alias("left"), F.lit(0).alias("right"))
+    pairs = scratch.save(partners.groupBy("leader", "doc_id").agg(F.collect_set(seed).alias("seeds")))
+    named = few(scratch.save(pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).distinct()))
+    return pairs, scratch.save(base.join(named, "doc_id", "left_semi"))
+
+
 def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Passages of more than 50 words of ``docs(doc_id long, text)`` that
     repeat in a document of smaller id: ``doc_id, start_word, n_words,
@@ -261,14 +371,15 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     windows = base.mapInArrow(_windows, "key long, doc_id long, place long, kind byte")
     # leaders are minima combined before the shuffle; a join of hot groups can be split, a window over them could not
-    leaders = windows.groupBy("kind", "key").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
+    leaders = windows.groupBy("kind", "key").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("size")) \
+        .where("first.doc_id <> last")
 
     def reach(place, bits: int):
         return F.shiftright(place, bits).bitwiseAND(F.lit(65535))
 
     paired = scratch.save(windows.join(leaders, ["kind", "key"]).where("doc_id <> first.doc_id").select(
         F.col("first.doc_id").alias("leader"), "doc_id", F.shiftright("first.place", 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y"),
-        F.col("kind").cast("int").alias("kind"), reach(F.col("place"), 16).cast("int").alias("left"), reach(F.col("place"), 0).cast("int").alias("right"),
+        "key", "size", F.col("kind").cast("int").alias("kind"), reach(F.col("place"), 16).cast("int").alias("left"), reach(F.col("place"), 0).cast("int").alias("right"),
         (F.least(reach(F.col("place"), 16), reach(F.col("first.place"), 16)) + F.least(reach(F.col("place"), 0), reach(F.col("first.place"), 0)) + 1 >= SHINGLES).alias("room")))
     seeds = paired.where("room").select("leader", "doc_id", F.struct("x", "y", "kind", "left", "right").alias("seed"))
     cramped = paired.where("not room and kind = 0").select("doc_id", F.col("y").cast("long").alias("start_word"))
@@ -278,9 +389,13 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     named = pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).unionByName(cramped.select("doc_id"))
     suspects = few(scratch.save(named.distinct()))
     texts = scratch.save(base.join(suspects, "doc_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("xt")).hint("merge"), "leader") \
-        .join(texts.select("doc_id", F.col("text").alias("yt")).hint("merge"), "doc_id")
-    verified = scratch.save(both.mapInArrow(_verify, SCHEMA))
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("xt")).hint("merge"), "leader") \
+            .join(texts.select("doc_id", F.col("text").alias("yt")).hint("merge"), "doc_id")
+        return scratch.save(both.mapInArrow(_verify, SCHEMA))
+
+    verified = verify(pairs, texts)
+    more = verify(*_beyond_leaders(base, windows, paired, verified, scratch)).where("n_words > 0")
 
     open_seeds = verified.where("n_words = 0").select("doc_id", "start_word").unionByName(cramped).groupBy("doc_id").agg(F.collect_set("start_word").alias("seeds"))
     runs = texts.join(open_seeds, "doc_id").select("text", "doc_id", "seeds").mapInArrow(_all_runs, "key long, doc_id long, start long")
@@ -297,7 +412,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .groupBy("doc_id", "source_id", (F.col("start_word") - F.col("source_word")).alias("shift"), "part") \
         .agg(F.min("start_word").alias("start_word"), (F.max("start_word") - F.min("start_word") + LEAST_WORDS).alias("n_words"), F.min("source_word").alias("source_word")) \
         .select("doc_id", "start_word", "n_words", "source_id", "source_word", F.lit(1.0).alias("similarity"))
-    passages = verified.where("n_words > 0")
+    passages = verified.where("n_words > 0").unionByName(more)
     known = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("known"))
     inside = F.exists("known", lambda k: (k["start_word"] <= F.col("start_word")) & (F.col("start_word") + F.col("n_words") <= k["start_word"] + k["n_words"]))
     exact = exact.join(known, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).drop("known")

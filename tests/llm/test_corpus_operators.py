@@ -126,6 +126,24 @@ def test_recall_of_near_passages(spark):
     assert recall >= 0.97
 
 
+def test_passages_that_no_leader_is_in(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    texts = []
+    for _ in range(30):  # the last text repeats the fourth, and shares every minimum with the first three, but no passage
+        base = [word() for _ in range(55)]
+        copies = [list(base) for _ in range(4)]
+        for c, changed in zip(copies, [(9, 40), (14, 45), (20, 35), (27,)]):
+            for k in changed:
+                c[k] = word()
+        texts += [" ".join([word() for _ in range(50)] + x + [word() for _ in range(50)]) for x in (*copies, base)]
+    found = passages.repeated_passages(frame(spark, texts), Scratch(spark, "t")).collect()
+    assert all(r.source_id < r.doc_id for r in found)
+    done = sum(covered(found, k + 10, 50, 55) >= 0.9 for k in range(4, 150, 5))
+    print(f"{done} of 30 found")
+    assert done >= 29
+
+
 def test_decontamination_against_plain_search(spark):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("abcd") for _ in range(3)) for _ in range(60)]
