@@ -266,12 +266,12 @@ def _partners(table: pa.Table) -> list[tuple]:
     starts = np.concatenate(([0], np.cumsum([len(a) for a in around])))
     values, which = np.unique(np.concatenate(around), return_inverse=True)
     kind, key = table.column("kind")[0].as_py(), table.column("key")[0].as_py()
-    out, held = [], np.zeros(len(values), bool)
+    row = np.repeat(np.arange(len(around)), np.diff(starts))[np.argsort(which, kind="stable")]  # postings of each shingle
+    at = np.concatenate(([0], np.cumsum(np.bincount(which))))
+    out = []
     for y in np.flatnonzero(asks):
-        own = which[starts[y]:starts[y + 1]]
-        held[own] = True
-        common = np.add.reduceat(held[which], starts[:-1])
-        held[own] = False
+        own = np.unique(which[starts[y]:starts[y + 1]])
+        common = np.bincount(np.concatenate([row[at[v]:at[v + 1]] for v in own]), minlength=len(around))
         others = np.flatnonzero((common >= LEAST_COMMON) & gives & (docs < docs[y]))
         for x in others[np.lexsort((docs[others], -common[others]))]:
             if _stretch(around[x], around[y], int(centres[x]), int(centres[y])):
@@ -322,7 +322,7 @@ def _all_runs(batches):
         yield pa.record_batch([pa.array(cat[0].view(np.int64)), pa.array(cat[1], pa.int64()), pa.array(cat[2], pa.int64())], names=["key", "doc_id", "start"])
 
 
-def _beyond_leaders(base: DataFrame, windows: DataFrame, paired: DataFrame, verified: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verified: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs that no leader is in, and their texts. Places of minima that no
     verified passage covers are open; they are compared with all members of
     their groups, in blocks, unless the leader was the only other one."""
@@ -332,8 +332,8 @@ def _beyond_leaders(base: DataFrame, windows: DataFrame, paired: DataFrame, veri
         return ~F.coalesce(F.exists("known", lambda k: (k["start_word"] <= place) & (place < k["start_word"] + k["n_words"] - (WORDS - 1))), F.lit(False))
 
     left = paired.where("kind > 0 and size > 2").join(known, "doc_id", "left").where(uncovered(F.col("y")))
-    keys = few(scratch.save(left.select(F.col("kind").cast("byte").alias("kind"), "key", "size").distinct()))
-    members = windows.join(keys, ["kind", "key"]).join(known, "doc_id", "left") \
+    keys = few(scratch.save(left.select(F.col("kind").cast("byte").alias("kind"), "key").distinct()))
+    members = shared.join(keys, ["kind", "key"]).join(known, "doc_id", "left") \
         .select("doc_id", F.struct("kind", "key", "place", uncovered(F.shiftright("place", 32)).alias("open")).alias("member")) \
         .groupBy("doc_id").agg(F.collect_list("member").alias("members"))
     # a doc_id on several rows gives the surroundings of each; places beyond a text's end are left out
@@ -377,10 +377,11 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def reach(place, bits: int):
         return F.shiftright(place, bits).bitwiseAND(F.lit(65535))
 
-    paired = scratch.save(windows.join(leaders, ["kind", "key"]).where("doc_id <> first.doc_id").select(
+    shared = scratch.save(windows.join(leaders, ["kind", "key"]))
+    paired = shared.where("doc_id <> first.doc_id").select(
         F.col("first.doc_id").alias("leader"), "doc_id", F.shiftright("first.place", 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y"),
         "key", "size", F.col("kind").cast("int").alias("kind"), reach(F.col("place"), 16).cast("int").alias("left"), reach(F.col("place"), 0).cast("int").alias("right"),
-        (F.least(reach(F.col("place"), 16), reach(F.col("first.place"), 16)) + F.least(reach(F.col("place"), 0), reach(F.col("first.place"), 0)) + 1 >= SHINGLES).alias("room")))
+        (F.least(reach(F.col("place"), 16), reach(F.col("first.place"), 16)) + F.least(reach(F.col("place"), 0), reach(F.col("first.place"), 0)) + 1 >= SHINGLES).alias("room"))
     seeds = paired.where("room").select("leader", "doc_id", F.struct("x", "y", "kind", "left", "right").alias("seed"))
     cramped = paired.where("not room and kind = 0").select("doc_id", F.col("y").cast("long").alias("start_word"))
     pairs = scratch.save(seeds.groupBy("leader", "doc_id").agg(F.collect_set("seed").alias("seeds"))
@@ -395,10 +396,13 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return scratch.save(both.mapInArrow(_verify, SCHEMA))
 
     verified = verify(pairs, texts)
-    more = verify(*_beyond_leaders(base, windows, paired, verified, scratch)).where("n_words > 0")
+    more = verify(*_beyond_leaders(base, shared, paired, verified, scratch)).where("n_words > 0")
 
-    open_seeds = verified.where("n_words = 0").select("doc_id", "start_word").unionByName(cramped).groupBy("doc_id").agg(F.collect_set("start_word").alias("seeds"))
-    runs = texts.join(open_seeds, "doc_id").select("text", "doc_id", "seeds").mapInArrow(_all_runs, "key long, doc_id long, start long")
+    # every text of a group with an open place gives its runs around all its places of that key, the leader and settled texts too
+    open_at = verified.where("n_words = 0").select("doc_id", F.col("start_word").alias("y")).unionByName(cramped.withColumnRenamed("start_word", "y")).distinct()
+    open_keys = few(scratch.save(paired.where("kind = 0").join(open_at, ["doc_id", "y"], "left_semi").select("key").distinct()))
+    open_seeds = shared.where("kind = 0").join(open_keys, "key").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 32)).alias("seeds"))
+    runs = base.join(open_seeds, "doc_id").select("text", "doc_id", "seeds").mapInArrow(_all_runs, "key long, doc_id long, start long")
     runs = scratch.save(runs)
     firsts = runs.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
     exact = runs.join(firsts, "key").where("doc_id <> first.doc_id") \

@@ -144,6 +144,20 @@ def test_passages_that_no_leader_is_in(spark):
     assert done >= 29
 
 
+def test_exact_passages_behind_an_opening(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    texts = []
+    for _ in range(40):  # the first text holds most of the passage before the whole of it
+        passage = [word() for _ in range(51)]
+        first = [word() for _ in range(30)] + passage[:48] + [word() for _ in range(30)] + passage + [word() for _ in range(30)]
+        texts += [" ".join(first), " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])]
+    found = passages.repeated_passages(frame(spark, texts), Scratch(spark, "t")).collect()
+    done = sum(covered(found, k + 10, 30, 51) == 1 for k in range(1, 80, 2))
+    print(f"{done} of 40 found")
+    assert done == 40
+
+
 def test_decontamination_against_plain_search(spark):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("abcd") for _ in range(3)) for _ in range(60)]
