@@ -33,7 +33,7 @@ END = 2
 CAPACITY = 1024
 #: Fillings tried around one largest length, and search steps beyond the first descent.
 FILLINGS = 24
-STEPS = 100
+STEPS = 400
 REMEMBERED = 150_000
 
 # ---------------------------------------------------------------- bin completion
@@ -150,52 +150,81 @@ def pack(counts, capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
     """Patterns that use every piece once, in as few bins as the search finds.
 
     ``counts[n]`` pieces have length n (1 to capacity). The first descent
-    takes the best filling each time; then other fillings are tried, depth
-    first, within ``steps`` steps, and only where the waste so far leaves room
-    for fewer bins than the incumbent. A plan at the lower bound
-    ends the search.
+    takes the best filling each time, for as many bins as the counts allow;
+    from its end the search goes back and follows every kept filling, depth
+    first, for as many bins and for one, within ``steps`` steps. Then, from
+    the top of the first descent, other fillings of one bin are completed by
+    best-fit decreasing, within as many steps again. Only what wastes too
+    little to rule out fewer bins than the incumbent is followed. A plan at
+    the lower bound ends the search.
     """
     counts = np.asarray(counts, np.int64).copy()
     total = int((counts * np.arange(len(counts))).sum())
     bound = least_bins(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
-    budget = steps
 
-    def descend(counts: np.ndarray, done: list[Pattern], waste: int, first: bool) -> None:
-        nonlocal best, budget
-        while True:
-            have = np.flatnonzero(counts)
-            if not len(have):
-                if _bins(done) < _bins(best):
-                    best = list(done)
-                return
-            if _bins(best) <= bound or waste >= _bins(best) * capacity - total:
-                return  # every bin wasted as much as the incumbent does, all told
-            largest = int(have[-1])
-            fillings = _undominated(counts, largest, capacity, FILLINGS if not first else 8)
-            if not first and budget > 0:
-                for filling in fillings[1:3]:
-                    budget -= 1
-                    if budget <= 0 or _bins(best) <= bound:
-                        break
-                    lengths = (largest, *filling)
-                    after = counts.copy()
-                    values, need = np.unique(lengths, return_counts=True)
-                    after[values] -= need
-                    rest = best_fit_decreasing(after, capacity)
-                    if _bins(done) + 1 + _bins(rest) < _bins(best):
-                        best = [*done, Pattern(lengths, 1), *rest]
-            lengths = (largest, *fillings[0])
+    def moves(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
+        largest = int(np.flatnonzero(counts)[-1])
+        out = []
+        for filling in _undominated(counts, largest, capacity, most):
+            lengths = (largest, *filling)
             n = _times(counts, lengths)
-            values, need = np.unique(lengths, return_counts=True)
-            counts = counts.copy()
-            counts[values] -= need * n
-            done = [*done, Pattern(lengths, n)]
-            waste += n * (capacity - sum(lengths))
-
-    descend(counts, [], 0, True)
-    if _bins(best) > bound and steps:
-        descend(counts, [], 0, False)
+            out += [(lengths, n), (lengths, 1)] if n > 1 else [(lengths, 1)]
+        return out
+
+    def take(counts: np.ndarray, lengths: tuple[int, ...], n: int) -> np.ndarray:
+        values, need = np.unique(lengths, return_counts=True)
+        counts = counts.copy()
+        counts[values] -= need * n
+        return counts
+
+    def hopeless(waste: int) -> bool:
+        return waste > (_bins(best) - 1) * capacity - total
+
+    def offer(plan: list[Pattern]) -> None:
+        nonlocal best
+        if _bins(plan) < _bins(best):
+            best = plan
+
+    path: list[tuple[np.ndarray, list[Pattern], int]] = []
+    at, done, waste = counts, [], 0
+    stack: list[list] = []
+    while at.any() and not hopeless(waste) and _bins(best) > bound:
+        path.append((at, done, waste))
+        lengths, n = moves(at, 8)[0]
+        stack.append([at, done, waste, None, (lengths, n)])
+        at, done, waste = take(at, lengths, n), [*done, Pattern(lengths, n)], waste + n * (capacity - sum(lengths))
+    if not at.any():
+        offer(done)
+
+    budget = steps
+    while stack and budget > 0 and _bins(best) > bound:
+        frame = stack[-1]
+        at, done, waste, left, tried = frame
+        if left is None:
+            frame[3] = left = iter([m for m in moves(at, FILLINGS) if m != tried])
+        move = next(left, None)
+        if move is None or hopeless(waste):
+            stack.pop()
+            continue
+        budget -= 1
+        lengths, n = move
+        after, then, wasted = take(at, lengths, n), [*done, Pattern(lengths, n)], waste + n * (capacity - sum(lengths))
+        if hopeless(wasted):
+            continue
+        offer([*then, *best_fit_decreasing(after, capacity)])
+        if after.any():
+            stack.append([after, then, wasted, None, None])
+
+    budget = steps
+    for at, done, waste in path:
+        if budget <= 0 or _bins(best) <= bound or hopeless(waste):
+            break
+        for lengths in dict.fromkeys(m for m, _ in moves(at, FILLINGS)):
+            budget -= 1
+            if budget <= 0 or _bins(best) <= bound:
+                break
+            offer([*done, Pattern(lengths, 1), *best_fit_decreasing(take(at, lengths, 1), capacity)])
     return best
 
 

@@ -65,6 +65,17 @@ def test_plans_use_every_piece_once(lengths):
     assert sum(p.bins for p in plan) >= packing.least_bins(counts, 1024)
 
 
+def test_packing_goes_back_to_other_fillings():
+    rng, lengths = random.Random(50), []
+    while len(lengths) < 60:
+        a, b = rng.randint(20, 49), rng.randint(20, 49)
+        if 20 <= 100 - a - b:
+            lengths += [a, b, 100 - a - b]
+    counts = np.bincount(lengths, minlength=101)
+    assert sum(p.bins for p in packing.pack(counts, 100)) < sum(p.bins for p in packing.pack(counts, 100, steps=0))
+    assert sum(p.bins for p in packing.pack(counts, 100)) == 21
+
+
 def test_packed_sequences_have_no_gaps(spark):
     texts = ODD + ["word " * n for n in (10, 500, 1023, 3000)]
     rows = packing.pack_documents(frame(spark, texts), Scratch(spark, "t")).collect()
