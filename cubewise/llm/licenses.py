@@ -1,14 +1,15 @@
 """Licence scans with a positional index of rare words.
 
-Templates and key phrases are short word lists. Of each, the word that the
+Templates and key phrases are short word lists. Of a phrase, the word that the
 fewest documents hold (the highest inverse document frequency, counted over
-all documents) is its anchor. A file is searched only at the places of anchor
-words: the template postings of an anchor, shifted by its place in the
+all documents) is its anchor; of a template, its rarest words are, one more
+than may be missing. A file is searched only at the places of anchor words: the template postings of an anchor, shifted by its place in the
 template, give the starts to compare word by word. A phrase must stand there
 whole; a template must agree in ``COVER`` of its words, and its mandatory key
 phrases must have been found whole in the file.
 
-Every place of a phrase holds its anchor, so no place is missed.
+Every place of a phrase holds its anchor, and every place of a template one of
+its anchors where it should be, so no place is missed.
 """
 
 from __future__ import annotations
@@ -90,10 +91,10 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, templates=TEMPLAT
     found_in = document_frequencies(docs, vocabulary)
     anchors: dict[str, list[tuple[int, int]]] = {}
     for i, e in enumerate(table):
-        anchor = min(e.words, key=lambda w: (found_in[w], w))
-        for at, w in enumerate(e.words):
-            if w == anchor:
-                anchors.setdefault(w, []).append((i, at))
+        size = len(e.words)
+        missing = max(k for k in range(size) if (size - k) / size >= COVER) if e.needs else 0
+        for w, at in sorted(((w, at) for at, w in enumerate(e.words)), key=lambda p: (found_in[p[0]], p))[:missing + 1]:
+            anchors.setdefault(w, []).append((i, at))
 
     postings = F.create_map(*[x for w, ps in anchors.items() for x in (
         F.lit(w), F.array(*[F.struct(F.lit(i).alias("entry"), F.lit(at).alias("at")) for i, at in ps]))])

@@ -105,6 +105,18 @@ def test_licences_against_plain_search(spark):
     assert got[-2].labels == "mit" and got[-3].labels == "cc-by,cc-by-nc" and got[-2].score == 1.0
 
 
+def test_licences_with_any_word_altered(spark):
+    full = "permission is hereby granted free of charge to any person obtaining a copy of this software".split()
+    texts, keys = [], (*range(0, 4), *range(4, 7))
+    for k in range(len(full)):
+        texts.append(" ".join(["see", *full[:k], "zzz", *full[k + 1:]]))
+    got = licenses.license_scan(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["" if k in keys else "mit" for k in range(len(full))]
+    assert [(p.label, p.start) for r in got for p in r.places] == [("mit", 1)] * (len(full) - len(keys))
+    # half the agreement of a template without its key phrases
+    assert all(abs(r.score - (0.5 if k in keys else 1) * 15 / 16) < 1e-9 for k, r in enumerate(got))
+
+
 def test_chats_read_back(spark):
     rows = [(1, 2, "user", "a<|end|>\n[b]\\"), (1, 1, "user", None), (1, 3, "assistant", "</s>[INST]"), (1, 4, "assistant", "x"),
             (2, 1, "assistant", ""), (None, 1, None, "t"), (3, 1, "user\n<|text|>", "é\n")]
