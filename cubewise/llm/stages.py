@@ -2,7 +2,7 @@
 applied to a table with the columns of ``documents``. Every stage but the
 last returns those columns. Rows with a null id or text pass the filters that
 cannot judge them; rows that share a doc_id are one document and stay or go
-together."""
+together, but equal texts among them are reduced to one by ``near_duplicates``."""
 
 from __future__ import annotations
 
@@ -31,11 +31,21 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the
-    smallest doc_id (one of its rows, if it is repeated as a whole). Documents
-    without words are in no group and stay."""
+    smallest doc_id. Of rows that share a doc_id and a text one stays, also
+    where the doc_id is null; of equal rows but for other columns, the one
+    that sorts first. Documents without words are in no group and stay, their
+    repeated rows too."""
     scratch = Scratch(spark, "near-dedup")
     found = near_dedup.near_duplicates(docs, scratch, near_dedup.NearDup(percent=PERCENT, bands=75, slack=0.08))
-    return _without(docs, found.where("not kept"), scratch)
+    return _one_row(_without(docs, found.where("not kept"), scratch))
+
+
+def _one_row(docs: DataFrame) -> DataFrame:
+    """One of the rows of ``docs`` with the same doc_id and text."""
+    same = [F.col("doc_id"), F.sha2(F.col("text"), 256)]
+    # without words nothing is repeated: such rows are kept apart by a number of their own
+    alone = F.when(F.coalesce(F.col("text").rlike("[^\\x09-\\x0D ]"), F.lit(False)), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return docs.groupBy(*(c.alias(f"k{n}") for n, c in enumerate([*same, alone]))).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

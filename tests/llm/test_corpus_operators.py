@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from cubewise.llm import decontaminate, near_dedup, passages, vector_search
+from cubewise.llm import decontaminate, near_dedup, passages, stages, vector_search
 from cubewise.llm.components import connected_components
 from cubewise.llm.scratch import Scratch
 
@@ -204,6 +204,16 @@ def test_nearest_against_all_rows(spark):
     assert vector_search.nearest(df.limit(0), df, Scratch(spark, "t")).count() == 0
 
 
+def test_one_of_repeated_rows_stays(spark):
+    line = "one two three four five six seven eight"
+    rows = [(1, line), (1, line), (1, line + " other"), (2, "a b c d e f g h i"), (None, line), (None, line), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text or "") for r in stages._one_row(docs).collect()))
+    assert got == sorted([(1, line), (1, line + " other"), (2, rows[3][1]), (0, line), (0, ""), (3, ""), (3, "")])
+    hot = spark.createDataFrame([(7, line)] * 50 + [(8, "x y z")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in stages.near_duplicates(spark, hot, "").collect()) == [7, 8]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     scratch, before = Scratch(spark, "t"), docs.count()
