@@ -122,4 +122,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate")).drop("n_near")
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate"))

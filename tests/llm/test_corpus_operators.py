@@ -214,6 +214,30 @@ def test_one_of_repeated_rows_stays(spark):
     assert sorted(r.doc_id for r in stages.near_duplicates(spark, hot, "").collect()) == [7, 8]
 
 
+def test_op4_gives_proximity_matches(spark):
+    item = [f"w{n}" for n in range(10)]
+    rng = random.Random(11)
+    docs = [" ".join(["a", *item, "b"]), " ".join(["a", *item[:5], "zz", *item[5:], "b"]), "a b", " ".join(item[::-1]), None]
+    docs += [" ".join([item[k] for k in range(2, 10) for _ in range(2)]) for _ in range(3)]
+    rng.shuffle(docs)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    read = decontaminate.read_table
+    try:
+        decontaminate.read_table = lambda s, d, name: bench if name == "benchmark" else frame(spark, docs)
+        got = {r.doc_id: r for r in decontaminate.op4(spark, "").collect()}
+    finally:
+        decontaminate.read_table = read
+    counts = {w: sum(w in words(t) for t in docs) for w in item}
+    total = {w: sum(words(t).count(w) for t in docs) for w in item}
+    first, second = sorted(item, key=lambda w: (total[w], item.index(w)))[:2]
+    for i, t in enumerate(docs):  # by brute force: places of the rarest word with the second within the width, but not the phrase
+        w = words(t)
+        near = [k for k in range(len(w)) if w[k] == first and second in w[max(0, k - 10):k + 11]
+                and w[max(0, k - item.index(first)):k - item.index(first) + 10] != item]
+        assert got[i + 10].n_near == len(near)
+    assert counts[first] and sum(r.n_near for r in got.values()) > 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     scratch, before = Scratch(spark, "t"), docs.count()
