@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, licenses, near_dedup, packing, passages, quality, token_counts, vector_search
+from . import (
+    alignment,
+    chat,
+    decontaminate,
+    fim,
+    fingerprints,
+    language_id,
+    licenses,
+    near_dedup,
+    packing,
+    passages,
+    quality,
+    token_counts,
+    vector_search,
+)
 
 QUERIES = {
     "op1_pack": packing.op1,
@@ -15,8 +29,12 @@ QUERIES = {
     "op8_token_counts": token_counts.op8,
     "op9_chat": chat.op9,
     "op10_quality": quality.op10,
+    "op11_alignment": alignment.op11,
+    "op12_fingerprints": fingerprints.op12,
+    "op13_fill_in_middle": fim.op13,
 }
 
 ORACLE_SQL = {
     "op9_chat": chat.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
