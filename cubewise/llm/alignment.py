@@ -37,6 +37,12 @@ from .token_counts import MARK, MODEL, PieceCounter, tokenizer_path
 
 #: Pairs with at least a HOT-th of all (document, pair) rows are joined by broadcast.
 HOT = 100_000
+#: Links of a group beyond which equal ids are counted before they are joined.
+WIDE = 64
+#: A Spark task has a core of its own.
+THREADS = False
+#: Bytes of texts that are aligned together, about.
+CHUNK = 1 << 21
 #: Pairs whose counts a task holds before it gives them, and most pairs of a written row.
 HELD = 500_000
 ROW_PAIRS = 256
@@ -47,15 +53,19 @@ class PieceTokens(PieceCounter):
 
     def __init__(self, model_file: str):
         super().__init__(model_file)
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
         self.lone = self.model.piece_to_id(MARK)
 
-    def _of_words(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids, new = {}, words
-        self.ids.update(zip(new, self.model.encode(new, num_threads=1)))
-        return [self.ids[w] for w in words]
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each distinct pre-token, as 32-bit numbers."""
+        found = list(map(self.ids.get, words))
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.ids) + len(rest) > REMEMBERED:
+            self.ids = {}
+        for k, ids in zip(rest, self.model.encode([words[k] for k in rest], num_threads=1)):
+            # without characters: a space at the end of a text
+            found[k] = self.ids[words[k]] = np.array(ids or [self.lone], np.int32).tobytes()
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n+1 offsets of texts into them."""
@@ -63,7 +73,7 @@ class PieceTokens(PieceCounter):
         if not self.splits or not len(raw) or (raw == 0).any():  # a NUL is left to the library
             lists = self.model.encode(texts.fill_null("").to_pylist(), num_threads=1)
             at = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-            return np.fromiter((i for x in lists for i in x), np.int64, int(at[-1])), at
+            return np.fromiter((i for x in lists for i in x), np.int32, int(at[-1])), at
         space = raw == 0x20
         first = np.zeros(len(raw), bool)
         first[off[:-1][off[:-1] < off[1:]]] = True
@@ -76,8 +86,9 @@ class PieceTokens(PieceCounter):
         sizes = np.append(starts[1:], len(raw)) - starts - drop
         offsets = pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
         words = pa.StringArray.from_buffers(len(starts), offsets, pa.py_buffer(raw[keep])).dictionary_encode()
-        lists = [ids or [self.lone] for ids in self._of_words(words.dictionary.to_pylist())]  # a space at the end of a text
-        tokens = pa.array(lists, pa.list_(pa.int64())).take(words.indices)
+        lists = self._of_words(words.dictionary.to_pylist())
+        edge = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) // 4))).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.frombuffer(b"".join(lists), np.int32))).take(words.indices)
         at = np.concatenate(([0], np.cumsum(pc.list_value_length(tokens).to_numpy())))
         return tokens.flatten().to_numpy(), at[np.searchsorted(starts, off)]
 
@@ -154,7 +165,7 @@ class Aligned:
         base = np.zeros(self.n, np.int64)
         base[good] = off[:-1]
         a, b = (t.append_column("end", _segmented_ends(t, base)).append_column("at", pa.array(np.arange(t.num_rows))) for t in (a, b))
-        common = a.select(["doc", "end", "at"]).join(b.select(["doc", "end", "at"]), ["doc", "end"], join_type="inner", right_suffix="_b")
+        common = a.select(["doc", "end", "at"]).join(b.select(["doc", "end", "at"]), ["doc", "end"], join_type="inner", right_suffix="_b", use_threads=THREADS)
         self.a, group_doc = _grouped(a, common["at"])
         self.b, _ = _grouped(b, common["at_b"])
         self.group_doc = group_doc
@@ -164,10 +175,20 @@ class Aligned:
 
     def links(self) -> pa.Table:
         """``doc, a, b, links``: the different id pairs of each document and how often they are linked."""
-        sides = [t.group_by(["group", "id"]).aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"]) for t, name in ((self.a, "a"), (self.b, "b"))]
-        pairs = sides[0].join(sides[1], "group", join_type="inner")
+        group_a, group_b = (np.asarray(t["group"]) for t in (self.a, self.b))
+        n = len(self.group_doc)
+        wide = np.bincount(group_a, minlength=n) * np.bincount(group_b, minlength=n) > WIDE
+        sides = []
+        for t, group, name in ((self.a, group_a, "a"), (self.b, group_b, "b")):
+            ids = t.select(["group", "id"])
+            side = ids.append_column("n", pa.array(np.ones(len(group), np.int64)))
+            if wide.any():
+                many = ids.filter(pa.array(wide[group])).group_by(["group", "id"], use_threads=THREADS).aggregate([([], "count_all")])
+                side = pa.concat_tables([side.filter(pa.array(~wide[group])), many.rename_columns(["group", "id", "n"])])
+            sides.append(side.rename_columns(["group", name, f"n_{name}"]))
+        pairs = sides[0].join(sides[1], "group", join_type="inner", use_threads=THREADS)
         pairs = pa.table({"doc": pa.array(self.group_doc).take(pairs["group"]), "a": pairs["a"], "b": pairs["b"], "links": pc.multiply(pairs["n_a"], pairs["n_b"])})
-        return pairs.group_by(["doc", "a", "b"]).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
+        return pairs.group_by(["doc", "a", "b"], use_threads=THREADS).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
 
     def digests(self) -> list[str]:
         """sha256 of each document's groups, ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
@@ -228,7 +249,7 @@ def token_groups(docs: DataFrame, json_name: str = TOKENIZER, model: str = MODEL
     have a row each; other columns are ignored; an empty table gives no rows."""
     def run(batches):
         for batch in batches:
-            for i, j, _, _ in K.chunks(*K.buffers(batch.column(1)), 1 << 20):
+            for i, j, _, _ in K.chunks(*K.buffers(batch.column(1)), CHUNK):
                 part = batch.slice(i, j - i)
                 yield pa.record_batch([part.column(0), Aligned(part.column(1), *vocabularies(json_name, RANKS, model)).lists()], names=["doc_id", "groups"])
 
@@ -257,7 +278,7 @@ def _counted(json_name: str, model: str):
         return pa.record_batch([rows.take(pa.array(own)), *(pa.nulls(len(own), k) for k in (kind, *plain)), *lists], names=names)
 
     def merged(tables: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(tables).group_by(["a", "b"]).aggregate([("links", "sum")]).rename_columns(["a", "b", "links"])
+        return pa.concat_tables(tables).group_by(["a", "b"], use_threads=THREADS).aggregate([("links", "sum")]).rename_columns(["a", "b", "links"])
 
     def counts(held: pa.Table, kind: pa.DataType) -> pa.RecordBatch:
         return given(held, np.array([held.num_rows]), pa.nulls(1, pa.int64()), kind)
@@ -266,7 +287,7 @@ def _counted(json_name: str, model: str):
         held, kind = None, None
         for batch in batches:
             kind = batch.column(1).type
-            for i, j, _, _ in K.chunks(*K.buffers(batch.column(2)), 1 << 20):
+            for i, j, _, _ in K.chunks(*K.buffers(batch.column(2)), CHUNK):
                 part = batch.slice(i, j - i)
                 found = Aligned(part.column(2), *vocabularies(json_name, RANKS, model))
                 pairs = found.links()
@@ -276,7 +297,7 @@ def _counted(json_name: str, model: str):
                 yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c.astype(np.int64)) for c in numbers), pa.array(found.digests(), pa.string()),
                                        *(pa.nulls(found.n, k) for k in listed)], names=names)
                 yield given(pairs, found.per_doc(pairs["doc"]), part.column(0), kind)
-                own = pairs.group_by(["a", "b"]).aggregate([([], "count_all")]).rename_columns(["a", "b", "links"])
+                own = pairs.group_by(["a", "b"], use_threads=THREADS).aggregate([([], "count_all")]).rename_columns(["a", "b", "links"])
                 held = own if held is None else merged([held, own])
                 if held.num_rows > HELD:
                     yield counts(held, kind)
