@@ -58,18 +58,20 @@ class Scratch:
         ship_code(spark)
 
     def save(self, df: DataFrame) -> DataFrame:
-        """``df`` written once and read back."""
+        """``df`` written once (compressed well, as disk is what such tables cost) and read back."""
         self._n += 1
         path = f"{self.path}/{self._n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that :meth:`save` returned and that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that :meth:`save` returned and that nothing reads any more."""
+        jvm = self.spark._jvm
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
