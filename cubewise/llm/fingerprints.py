@@ -202,6 +202,23 @@ def merged(prints: DataFrame, by: list[str], column: str = "fingerprint") -> Dat
 
 _ROW = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 _ORDER = ["doc_id", "hash", "salt"]
+#: What a row is on its way: its text travels compressed.
+_PACKED = ["doc_id", "hash", "salt", "size", "packed"]
+_CODEC = ("zstd", 1)
+
+
+def _pack(batches):
+    """``doc_id, text, hash, salt`` with the text compressed."""
+    codec = pa.Codec(*_CODEC)
+    for batch in batches:
+        doc, texts, hashes, salts = batch.columns
+        raw = [t.encode() for t in texts.to_pylist()]
+        yield pa.record_batch([doc, hashes, salts, pa.array([len(t) for t in raw], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary())], names=_PACKED)
+
+
+def _unpacked(rows: pa.Table) -> list[str]:
+    codec = pa.Codec(*_CODEC)
+    return [codec.decompress(p, n, asbytes=True).decode() for p, n in zip(rows["packed"].to_pylist(), rows["size"].to_pylist())]
 
 
 def _replaced(text: str, following: str) -> str:
@@ -233,12 +250,13 @@ def _edits(batches):
 
 def _given(rows: pa.Table, loose: int) -> pa.RecordBatch:
     """All but the last of ``rows`` edited by the row after (loose 0), or the one row as it is."""
-    texts = rows["text"].combine_chunks().to_pylist()
-    n = len(texts) - 1 if not loose else 1
-    ids, hashes, salts = (rows[c].combine_chunks().slice(0, n) for c in _ORDER)
+    names = [*_ROW, "loose", *_PACKED[1:]]
+    n = rows.num_rows - 1 if not loose else 1
+    kept = [rows[c].combine_chunks().slice(0, n) for c in _PACKED]
+    mark = pa.array(np.full(n, loose, np.int32))
     if loose:
-        nulls = [pa.nulls(n, k) for k in (pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64())]
-        return pa.record_batch([ids, *nulls, pa.array([loose], pa.int32()), hashes, salts, pa.array(texts, pa.string())], names=[*_ROW, "loose", "hash", "salt", "text"])
+        return pa.record_batch([kept[0], *(pa.nulls(n, k) for k in (pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64())), mark, *kept[1:]], names=names)
+    texts = _unpacked(rows)
     changed = [_replaced(a, b) for a, b in zip(texts, texts[1:])]
     known = parts(pa.array(texts, pa.large_string()))
     prints = Prints.of(known, len(texts))
@@ -247,7 +265,7 @@ def _given(rows: pa.Table, loose: int) -> pa.RecordBatch:
     edited = own.edited(before, parts(pa.array(changed, pa.large_string())))
     columns = [pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
                pa.array(own.strings()), pa.array(edited.strings()), pa.array(likeness(own, edited)), pa.array(likeness(own, following))]
-    return pa.record_batch([ids, *columns, pa.array(np.zeros(n, np.int32)), hashes, salts, pa.nulls(n, pa.string())], names=[*_ROW, "loose", "hash", "salt", "text"])
+    return pa.record_batch([kept[0], *columns, mark, *kept[1:4], pa.nulls(n, pa.binary())], names=names)
 
 
 def _joined(batches):
@@ -284,9 +302,10 @@ def edited_fingerprints(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("salt"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash").asc(), F.col("salt").asc()]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, " \
-        "loose int, hash long, salt long, text string"
-    found = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_edits, schema))
+    numbers = "hash long, salt long, size long, packed binary"
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, loose int, {numbers}"
+    packed = rows.select("doc_id", "text", "hash", "salt").mapInArrow(_pack, f"doc_id {kind}, {numbers}")
+    found = scratch.save(packed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_edits, schema))
     ends = found.where("loose > 0").coalesce(1).sortWithinPartitions(*order, F.col("loose").asc())
     return found.where("loose = 0").select(_ROW).unionByName(ends.mapInArrow(_joined, schema).select(_ROW))
 
