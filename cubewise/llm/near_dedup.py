@@ -224,6 +224,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, cfg: NearDup = NearDup())
     cross = blocks.where("size(members) > 1").select("members").mapInArrow(_across(cfg), "u long, v long").distinct()
     more = scratch.save(_confirmed(texts, scratch.save(cross.join(tested, ["u", "v"], "left_anti")), cfg))
     comps = scratch.save(connected_components(links.unionByName(more), scratch))
+    scratch.drop(members, texts, tested, links, more)
 
     of_class = classes.select("k1", "k2", "id").join(comps, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id"))
     found = sketch.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")

@@ -14,22 +14,31 @@ Passages that agree share windows of the same minimum. Windows meet by
   before it: a passage of ``SHINGLES`` equal shingles holds at least one of
   the two, wherever its minimum lies, so no exact repeat is missed.
 
-In each group the first text is the leader, the others are paired with it if
-their windows' intervals leave room for a passage (an interval join), and the
-pairs are verified on the texts. Where a minimum is not covered by a verified
-passage then, its text is compared with all others of the group, in blocks,
-by the shingles of their windows. Windows that met by equal shingles but are
-not covered by a verified passage as far as they reach may still repeat in a
-third text: they are resolved exactly, by all their runs of ``SHINGLES``
-shingles.
+In each group the first text is the leader, and the others are paired with it.
+A pair's windows are rectangles, an interval of one text by an interval of the
+other. They are joined by a sweep along each band of diagonals: a place is
+kept where the rectangles of two functions at least share room for a passage
+that holds both minima, or where shingles are equal as far as a window with
+room reaches. Kept places are verified on the texts.
+
+Where a minimum is not covered by a verified passage then, its leader was not
+the right one. All windows of such groups meet again under two functions at
+once: within each text the same sweep joins the windows of every two
+functions that a passage can lie in, and their two minima together are the
+key of a new, far smaller group. Its members are compared in blocks, by the
+shingles of their windows. Windows that met by equal shingles but are not
+covered by a verified passage as far as they reach may still repeat in a third
+text: they are resolved exactly, by all their runs of ``SHINGLES`` shingles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
 from .scratch import Scratch, few, read_table
@@ -45,9 +54,26 @@ MINIMA = 6
 BAND = 32
 #: Two passages of at least ``SHINGLES`` that are 0.8 similar have so many in common: m / (2n - m) >= 0.8.
 LEAST_COMMON = -(-8 * SHINGLES // 9)
+#: Shingles that a window is known to reach to either side of its minimum.
+FAR = 255
 #: Shingles kept on either side of a place whose group is compared in blocks, and rows of a block, about.
 REACH = 2 * SHINGLES
 BLOCK = 1024
+#: Windows' shingles that are compared at a time.
+PAIRS = 4_000_000
+#: Passages that are broadcast to be cut out; more are shuffled.
+CUTS = 500_000
+
+
+def _place(centre, left, right):
+    """A window in one number: its minimum, and how far it reaches left and right (as far as ``FAR``)."""
+    return (centre << 16) | (np.minimum(left, FAR) << 8) | np.minimum(right, FAR)
+
+
+def _window(place):
+    """Centre, first and last shingle of a window."""
+    centre = place >> 16
+    return centre, centre - (place >> 8 & FAR), centre + (place & FAR)
 
 
 def _texts(column):
@@ -105,7 +131,7 @@ def _runs(sh: np.ndarray):
 
 
 def _windows(batches):
-    """key, doc_id, place (centre, reach left, reach right in one number), kind (0: equal shingles, else the hash function)."""
+    """key, doc_id, place (see :func:`_place`), kind (0: equal shingles, else the hash function)."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for i, _, _, sh, at in _texts(batch.column(1)):
@@ -114,7 +140,7 @@ def _windows(batches):
             for f in range(MINIMA + 1):
                 h = K.mix(sh + np.uint64(0x51ED270B * (f + 1)))
                 text, c, left, right = window_centres(h, at, SHINGLES)
-                place = ((c - at[text]) << 32) | (np.minimum(left, 65535) << 16) | np.minimum(right, 65535)
+                place = _place(c - at[text], left, right)
                 if f:
                     out.append((K.mix(h[c] + np.uint64(f)), text, place, f))
                     continue
@@ -126,12 +152,82 @@ def _windows(batches):
                                       names=["key", "doc_id", "place", "kind"])
 
 
-def _aligned(x: np.ndarray, y: np.ndarray, beyond: int) -> list[tuple[int, int, int]]:
+def _meetings(group: np.ndarray, kind: np.ndarray, centre: np.ndarray, sides: list[np.ndarray]):
+    """Sweep over windows sorted by ``group`` and ``centre``: pairs (i, j) of
+    windows of two functions whose intervals, on all ``sides``, share room for
+    a passage that holds both minima."""
+    views = [_window(s) for s in sides]
+    k = 1
+    while k < len(group):
+        i = np.flatnonzero((group[k:] == group[:-k]) & (centre[k:] - centre[:-k] < SHINGLES))
+        if not len(i):
+            return
+        j = i + k
+        ok = kind[i] != kind[j]
+        for c, first, last in views:
+            a, b = np.maximum(first[i], first[j]), np.minimum(last[i], last[j])
+            ok &= (b - a + 1 >= SHINGLES) & (a <= np.minimum(c[i], c[j])) & (np.maximum(c[i], c[j]) <= b)
+        yield i[ok], j[ok]
+        k += 1
+
+
+def _supported(batches):
+    """Pairs with the seeds that are worth verifying."""
+    for batch in batches:
+        seeds = batch.column("seeds")
+        flat = seeds.flatten()
+        px, py, kind = (flat.field(f).to_numpy().astype(np.int64) for f in ("px", "py", "kind"))
+        pair = pa.compute.list_parent_indices(seeds).to_numpy()
+        (cx, fx, lx), (cy, fy, ly) = _window(px), _window(py)
+        room = np.minimum(cx - fx, cy - fy) + np.minimum(lx - cx, ly - cy) + 1 >= SHINGLES
+        keep = room & (kind == 0)
+        minima = np.flatnonzero(room & (kind > 0))
+        for shift in (0, BAND):  # two seeds within BAND diagonals share a band of one of both
+            band = (cx - cy + shift + (1 << 40))[minima] // (2 * BAND)
+            own = minima[np.lexsort((cx[minima], band, pair[minima]))]
+            band = (cx - cy + shift + (1 << 40))[own] // (2 * BAND)
+            group = np.cumsum((np.diff(pair[own], prepend=-1) != 0) | (np.diff(band, prepend=-1) != 0))
+            for i, j in _meetings(group, kind[own], cx[own], [px[own], py[own]]):
+                keep[own[i]] = keep[own[j]] = True
+        size = np.bincount(pair[keep], minlength=batch.num_rows)
+        rows = pa.array(np.flatnonzero(size))
+        at = pa.array(np.concatenate(([0], np.cumsum(size[size > 0]))).astype(np.int32))
+        yield pa.record_batch([batch.column("leader").take(rows), batch.column("doc_id").take(rows), pa.ListArray.from_arrays(at, flat.filter(pa.array(keep)))],
+                              names=["leader", "doc_id", "seeds"])
+
+
+def _joint(batches):
+    """Of each text's ``members`` the windows of two functions that a passage
+    can lie in both of: key (of both minima), doc_id, place (the first
+    minimum, and the room around it), open (both are)."""
+    for batch in batches:
+        members = batch.column("members")
+        flat = members.flatten()
+        key, place, kind, opened = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("key", "place", "kind", "open"))
+        text = pa.compute.list_parent_indices(members).to_numpy()
+        centre = place >> 16
+        order = np.lexsort((kind, centre, text))
+        key, place, kind, opened, text, centre = (v[order] for v in (key, place, kind, opened, text, centre))
+        docs = batch.column("doc_id").to_numpy()
+        for i, j in _meetings(text, kind, centre, [place]):
+            low, high = (np.where(kind[i] < kind[j], a, b) for a, b in ((i, j), (j, i)))
+            both = K.mix(key[low].view(np.uint64) * K.BASE + key[high].view(np.uint64) + (kind[low] * 64 + kind[high]).astype(np.uint64))
+            (ci, fi, li), (_, fj, lj) = _window(place[i]), _window(place[j])
+            yield pa.record_batch([pa.array(both.view(np.int64)), pa.array(docs[text[i]]), pa.array(_place(ci, ci - np.maximum(fi, fj), np.minimum(li, lj) - ci)),
+                                   pa.array(opened[i] & opened[j])], names=["key", "doc_id", "place", "open"])
+
+
+def _hopeless(m: int, i: int, j: int, rest: int, beyond: int) -> bool:
+    """True if no stretch that ends beyond i and j, with m shingles in common
+    so far, can be similar: not with ``rest`` more, and ``beyond`` on the other side."""
+    return 9 * m - 4 * (i + j) + rest + beyond < 0  # m / (nx + ny - m) >= 0.8, as 9 m - 4 (nx + ny) >= 0
+
+
+def _aligned(x: np.ndarray, y: np.ndarray, beyond: int) -> tuple[list[tuple[int, int, int]], bool]:
     """Runs (start in x, start in y, shingles) of equal shingles, in order,
-    from the start of x and y on. After a break the nearest equal shingles
-    within ``BAND`` go on, on the same or a neighbouring diagonal, else the
-    next ones on the same diagonal, as long as a stretch that ends there
-    (with ``beyond`` shingles on the other side) can be similar."""
+    from the start of x and y on, and whether these are all. After a break the
+    nearest equal shingles within ``BAND`` go on, on the same or a neighbouring
+    diagonal, else the next ones on the same diagonal, as long as it is not hopeless."""
     runs, i, j, m = [], 0, 0, 0
     while i < len(x) and j < len(y):
         n, part = min(len(x) - i, len(y) - j), 64
@@ -146,8 +242,8 @@ def _aligned(x: np.ndarray, y: np.ndarray, beyond: int) -> list[tuple[int, int,
         if size:
             runs.append((i, j, size))
             i, j, m = i + size, j + size, m + size
-        if 9 * m - 4 * (i + j) + min(len(x) - i, len(y) - j) + beyond < 0:
-            break
+        if _hopeless(m, i, j, min(len(x) - i, len(y) - j), beyond):
+            return runs, False
         p, q = np.nonzero(x[i:i + BAND, None] == y[None, j:j + BAND])
         if len(p):
             k = int(np.argmin((np.maximum(p, q) << 32) | abs(p - q)))
@@ -158,20 +254,16 @@ def _aligned(x: np.ndarray, y: np.ndarray, beyond: int) -> list[tuple[int, int,
             if not len(equal):
                 break
             i, j = i + int(equal[0]), j + int(equal[0])
-    return runs
+    return runs, True
 
 
-def _stretch(x: np.ndarray, y: np.ndarray, cx: int, cy: int) -> tuple[int, int, int, float] | None:
+def _widest(x: np.ndarray, y: np.ndarray, cx: int, cy: int, a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float] | None:
     """The widest stretch around a seed that is similar over both sides
-    together: (start in y, shingles, start in x, similarity)."""
-    if not (0 <= cx < len(x) and 0 <= cy < len(y)) or x[cx] != y[cy]:
-        return None
-    right = _aligned(x[cx:], y[cy:], min(cx, cy))
-    left = _aligned(x[cx::-1], y[cy::-1], sum(n for *_, n in right))
-    a, b = np.array(left, np.int64), np.array(right, np.int64)
+    together: (start in y, shingles, start in x, similarity). ``a`` and ``b``
+    are the runs to the left and to the right, counted from the seed, which is in both."""
     m = np.cumsum(b[:, 2])
-    ends = 9 * m - 4 * (b[:, 0] + b[:, 1] + 2 * b[:, 2])  # m / (nx + ny - m) >= 0.8, as 9 m - 4 (nx + ny) >= 0
-    own = np.cumsum(a[:, 2]) - 1  # the seed is in both sides
+    ends = 9 * m - 4 * (b[:, 0] + b[:, 1] + 2 * b[:, 2])
+    own = np.cumsum(a[:, 2]) - 1
     starts = 9 * own - 4 * (a[:, 0] + a[:, 1] + 2 * a[:, 2] - 2)
     best = np.maximum.accumulate(ends[::-1])  # of the ends from the last one on
     at = len(ends) - 1 - np.searchsorted(best, -starts)
@@ -179,32 +271,106 @@ def _stretch(x: np.ndarray, y: np.ndarray, cx: int, cy: int) -> tuple[int, int,
     if not len(ok):
         return None
     nx, ny = ((b[at[ok], k] + b[at[ok], 2]) + (a[ok, k] + a[ok, 2] - 1) for k in (0, 1))
-    k = int(np.argmax(ny))
-    if min(int(nx[k]), int(ny[k])) < SHINGLES:
+    common = m[at[ok]] + own[ok]
+    wx, wy = np.maximum(nx, SHINGLES), np.maximum(ny, SHINGLES)  # shorter ones are widened by unequal shingles, as far as they stay similar
+    wide = np.flatnonzero((wx <= len(x)) & (wy <= len(y)) & (9 * common >= 4 * (wx + wy)))
+    if not len(wide):
         return None
-    s = int(a[ok[k], 1] + a[ok[k], 2]) - 1
-    t = int(a[ok[k], 0] + a[ok[k], 2]) - 1
-    common = int(m[at[ok[k]]] + own[ok[k]])
-    return cy - s, int(ny[k]), cx - t, common / (int(nx[k]) + int(ny[k]) - common)
+    k = wide[np.argmax(ny[wide])]
+    sy, sx = cy - int(a[ok[k], 1] + a[ok[k], 2]) + 1, cx - int(a[ok[k], 0] + a[ok[k], 2]) + 1
+    sy, sx = min(sy, len(y) - int(wy[k])), min(sx, len(x) - int(wx[k]))
+    return sy, int(wy[k]), sx, int(common[k]) / int(wx[k] + wy[k] - common[k])
+
 
+def _sides(x: np.ndarray, y: np.ndarray, cx: int, cy: int, whole: bool = False) -> tuple[np.ndarray, bool, np.ndarray, bool]:
+    """Runs to the left and to the right of a seed, and whether these are all (``whole``: they are)."""
+    more = 8 * (len(x) + len(y)) if whole else 0  # never hopeless
+    right, all_right = _aligned(x[cx:], y[cy:], min(cx, cy) + more)
+    left, all_left = _aligned(x[cx::-1], y[cy::-1], sum(n for *_, n in right) + more)
+    return np.array(left, np.int64), all_left, np.array(right, np.int64), all_right
 
-def passages_of(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int, int, int]]):
+
+def _stretch(x: np.ndarray, y: np.ndarray, cx: int, cy: int) -> tuple[int, int, int, float] | None:
+    """See :func:`_widest`; None if the seed is no equal shingle."""
+    if not (0 <= cx < len(x) and 0 <= cy < len(y)) or x[cx] != y[cy]:
+        return None
+    a, _, b, _ = _sides(x, y, cx, cy)
+    return _widest(x, y, cx, cy, a, b)
+
+
+class _Paths:
+    """Alignments of two texts that are known, so that seeds on one of them share it."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+        self.paths: list[tuple[np.ndarray, bool, bool]] = []  # runs in order, and whether all to the left and right are there
+        self.on: dict[int, list[tuple[int, int, int, int]]] = {}  # diagonal: first and last place in y of a run, its path and number
+
+    def stretch(self, cx: int, cy: int) -> tuple[int, int, int, float] | None:
+        x, y, known = self.x, self.y, False
+        for first, last, p, k in self.on.get(cx - cy, ()):
+            if first <= cy <= last:
+                runs, all_left, all_right = self.paths[p]
+                a, b = runs[k::-1].copy(), runs[k:].copy()
+                a[:, 0], a[:, 1] = cx - (a[:, 0] + a[:, 2] - 1), cy - (a[:, 1] + a[:, 2] - 1)
+                a[0] = 0, 0, cy - first + 1
+                b[:, 0] -= cx
+                b[:, 1] -= cy
+                b[0] = 0, 0, last - cy + 1
+                if all_right or self._enough(b, len(x) - cx, len(y) - cy, min(cx, cy)):
+                    if all_left or self._enough(a, cx + 1, cy + 1, int(b[:, 2].sum())):
+                        return _widest(x, y, cx, cy, a, b)
+                known = True
+        a, all_left, b, all_right = _sides(x, y, cx, cy, known)  # a second seed on one way: more may come, and the whole way is kept
+        runs = np.concatenate((a[:0:-1], b))
+        runs[:len(a) - 1, 0], runs[:len(a) - 1, 1] = cx - (a[:0:-1, 0] + a[:0:-1, 2] - 1), cy - (a[:0:-1, 1] + a[:0:-1, 2] - 1)
+        runs[len(a) - 1:, 0] += cx
+        runs[len(a) - 1:, 1] += cy
+        back = int(a[0, 2]) - 1  # the seed's own run lies on both sides
+        runs[len(a) - 1] -= back, back, -back
+        for k, (i, j, n) in enumerate(runs.tolist()):
+            self.on.setdefault(i - j, []).append((j, j + n - 1, len(self.paths), k))
+        self.paths.append((runs, all_left, all_right))
+        return _widest(x, y, cx, cy, a, b)
+
+    @staticmethod
+    def _enough(side: np.ndarray, nx: int, ny: int, beyond: int) -> bool:
+        """True if the side would have ended here for this seed too."""
+        i, j = (int(side[-1, k] + side[-1, 2]) for k in (0, 1))
+        return _hopeless(int(side[:, 2].sum()), i, j, min(nx - i, ny - j), beyond)
+
+
+def passages_of(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, kind: np.ndarray):
     """Verified passages of y that repeat in x, as (start in y, shingles,
-    start in x, similarity), and the seeds ``(place in x, place in y, kind,
-    reach left, reach right)`` of equal shingles that are not settled: no
-    passage covers all runs of ``SHINGLES`` around them within their window."""
+    start in x, similarity), and the places in y of seeds of equal shingles
+    (kind 0) that are not settled: no passage covers all runs of ``SHINGLES``
+    around them within their window. Seeds are windows of x and of y."""
     found: list[tuple[int, int, int, float]] = []
-    for cx, cy, *_ in sorted(set(seeds)):
+    tried: dict[int, int] = {}  # diagonal: last place in y of the equal shingles tried there; seeds come in order
+    paths = _Paths(x, y)
+    cx, cy = px >> 16, py >> 16
+    inside = (cx < len(x)) & (cy < len(y))
+    cx, cy = cx[inside], cy[inside]
+    equal = x[cx] == y[cy]
+    for cx, cy in sorted(set(zip(cx[equal].tolist(), cy[equal].tolist()))):
+        if tried.get(cx - cy, -1) >= cy:
+            continue
         if any(s <= cy < s + n and sx <= cx < sx + n and abs(s - sx - cy + cx) < BAND for s, n, sx, _ in found):
             continue
-        passage = _stretch(x, y, cx, cy)
+        first, last = max(0, cy - SHINGLES + 1), min(len(y), cy + SHINGLES) - 1
+        if any(s <= first and last < s + n for s, n, _, _ in found):  # all passages of SHINGLES around it are found, and longer ones have other seeds
+            continue
+        rest = x[cx:cx + len(y) - cy] != y[cy:cy + len(x) - cx]
+        tried[cx - cy] = cy + int(rest.argmax()) - 1 if rest.any() else len(y)  # an alignment goes through all of an equal run
+        passage = paths.stretch(cx, cy)
         if passage:
             found.append(passage)
-
-    def settled(c: int, left: int, right: int) -> bool:
-        return any(s <= c - min(left, SHINGLES - 1) and c + min(right, SHINGLES - 1) < s + n for s, n, _, _ in found)
-
-    return found, sorted({cy for _, cy, kind, left, right in seeds if kind == 0 and not settled(cy, left, right)})
+    c, low, high = _window(py[kind == 0])
+    low, high = np.maximum(low, c - SHINGLES + 1), np.minimum(high, c + SHINGLES - 1)
+    settled = np.zeros(len(c), bool)
+    for s, n, _, _ in found:
+        settled |= (s <= low) & (high < s + n)
+    return found, sorted(set(c[~settled].tolist()))
 
 
 def _shingles_of(texts) -> list[np.ndarray]:
@@ -218,8 +384,11 @@ def _verify(batches):
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             xs, ys = _shingles_of(part.column("xt")), _shingles_of(part.column("yt"))
-            for x, y, lead, doc, seeds in zip(xs, ys, part.column("leader").to_pylist(), part.column("doc_id").to_pylist(), part.column("seeds").to_pylist()):
-                found, rest = passages_of(x, y, [(s["x"], s["y"], s["kind"], s["left"], s["right"]) for s in seeds])
+            seeds = part.column("seeds")
+            flat, edge = seeds.flatten(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(seeds).to_numpy())))
+            px, py, kind = (flat.field(f).to_numpy() for f in ("px", "py", "kind"))
+            for x, y, lead, doc, i, j in zip(xs, ys, part.column("leader").to_pylist(), part.column("doc_id").to_pylist(), edge, edge[1:]):
+                found, rest = passages_of(x, y, px[i:j], py[i:j], kind[i:j])
                 rows += [(doc, s, n + WORDS - 1, lead, sx, sim) for s, n, sx, sim in found]
                 rows += [(doc, c, 0, lead, 0, 0.0) for c in rest]
         yield _batch(rows)
@@ -237,57 +406,116 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _surroundings(batches):
     """For each place of a text's ``members`` the shingles of its window, at
-    most ``REACH`` on either side, and the place of the minimum among them."""
+    most ``REACH`` on either side, and the place of the minimum among them.
+    ``content`` names both; the shingles are given once for each in a batch."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            rows = []
-            for sh, doc, members in zip(_shingles_of(part.column("text")), part.column("doc_id").to_pylist(), part.column("members").to_pylist()):
-                low = sh.astype(np.uint32)
-                for m in members:
-                    c = m["place"] >> 32
-                    a = c - min(m["place"] >> 16 & 65535, REACH)
-                    b = c + min(m["place"] & 65535, REACH) + 1
-                    if b - a >= SHINGLES:
-                        rows.append((m["kind"], m["key"], doc, c, c - a, m["open"], low[a:b].tobytes()))
-            kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)],
-                                  names=["kind", "key", "doc_id", "place", "centre", "open", "around"])
+        texts = _shingles_of(batch.column("text"))
+        members = batch.column("members")
+        flat = members.flatten()
+        text = pa.compute.list_parent_indices(members).to_numpy()
+        key, place = (flat.field(f).to_numpy() for f in ("key", "place"))
+        size = np.array([len(t) for t in texts], np.int64)
+        base = np.cumsum(size) - size
+        whole = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        c, first, last = _window(place)
+        first, last = np.maximum(first, c - REACH), np.minimum(last, c + REACH)
+        ok = np.flatnonzero((last - first + 1 >= SHINGLES) & (last < size[text]))
+        c, first, last, text, key = c[ok], first[ok], last[ok], text[ok], key[ok]
+        content = K.mix(_runs(whole)(base[text] + first, base[text] + last + 1) * K.BASE + key.view(np.uint64) + ((last - first) << 16 | (c - first)).astype(np.uint64))
+        once = np.zeros(len(ok), bool)
+        once[np.unique(content, return_index=True)[1]] = True
+        low = whole.astype("<u4")
+        length = np.where(once, last - first + 1, 0)
+        at = np.concatenate(([0], np.cumsum(length)))
+        data = low[np.repeat((base[text] + first) - at[:-1], length) + np.arange(at[-1])]
+        around = pa.Array.from_buffers(pa.large_binary(), len(ok), [pa.py_buffer(np.packbits(once, bitorder="little")), pa.py_buffer(4 * at), pa.py_buffer(data)])
+        yield pa.record_batch([pa.array(key), batch.column("doc_id").take(pa.array(text)), pa.array(c), pa.array((c - first).astype(np.int32)),
+                               flat.field("open").take(pa.array(ok)), pa.array(content.view(np.int64)), around.cast(pa.binary())],
+                              names=["key", "doc_id", "place", "centre", "open", "content", "around"])
+
+
+#: Of a similar passage's shingles, four fifths at least are in common; so some ``SHINGLES`` in a row have as many, none further off its diagonal than its unequal ones.
+DENSE = -(-4 * SHINGLES // 5)
+DRIFT = 2 * REACH // 9 + 1
+
+
+def _dense(around: list[np.ndarray], centres: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Pairs of windows that may hold a similar passage: a necessary test,
+    made for all pairs at once."""
+    width = 2 * REACH + 1
+    rows = np.unique(np.concatenate((xs, ys)))
+    padded = np.zeros((len(rows), width + 2 * DRIFT), np.int64)  # 0 is no shingle, minima stand in the middle
+    for k, r in enumerate(rows.tolist()):
+        a = DRIFT + REACH - int(centres[r])
+        padded[k, a:a + len(around[r])] = around[r].astype(np.int64) + 1
+    ok = np.zeros(len(xs), bool)
+    for i in range(0, len(xs), 4096):
+        x, y = padded[np.searchsorted(rows, xs[i:i + 4096])], padded[np.searchsorted(rows, ys[i:i + 4096])]
+        y = y[:, DRIFT:DRIFT + width]
+        found = np.zeros(y.shape, bool)
+        for shift in range(2 * DRIFT + 1):
+            found |= x[:, shift:shift + width] == y
+        run = np.cumsum(found & (y > 0), axis=1, dtype=np.int32)
+        ok[i:i + 4096] = (run[:, SHINGLES - 1:] - np.pad(run, ((0, 0), (1, 0)))[:, :width - SHINGLES + 1]).max(axis=1) >= DENSE
+    return ok
 
 
 def _partners(table: pa.Table) -> list[tuple]:
-    """For each open place of one block the first smaller document of the
-    block that repeats it, most common shingles first: (leader, doc_id, x, y,
-    kind, key). One partner is enough, for it reports the place."""
-    docs, places, centres, asks, gives = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "place", "centre", "asks", "gives"))
-    if not asks.any() or docs.min() == docs.max():
-        return []
+    """For each open content of a block one that repeats it: (content,
+    leader, x). Of all that do, the one whose first document is the smallest
+    serves all documents that hold the open content. Takes whole blocks,
+    numbered by ``block``."""
+    block, docs, places, centres, asks, gives, latest, contents = (
+        table.column(c).to_numpy() for c in ("block", "doc_id", "place", "centre", "asks", "gives", "latest", "content"))
     around = [np.frombuffer(b, np.uint32) for b in table.column("around").to_pylist()]
-    starts = np.concatenate(([0], np.cumsum([len(a) for a in around])))
-    values, which = np.unique(np.concatenate(around), return_inverse=True)
-    kind, key = table.column("kind")[0].as_py(), table.column("key")[0].as_py()
-    row = np.repeat(np.arange(len(around)), np.diff(starts))[np.argsort(which, kind="stable")]  # postings of each shingle
-    at = np.concatenate(([0], np.cumsum(np.bincount(which))))
+    values = np.concatenate(around).astype(np.uint64)
+    owner = np.repeat(np.arange(len(around)), [len(a) for a in around])
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    # the nth time a shingle stands in a window is a feature of its own: equal features count the intersection of multisets
+    new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(values, prepend=values[:1] + np.uint64(1)) != 0))
+    nth = np.arange(len(values)) - np.repeat(new, np.diff(np.append(new, len(values))))
+    feature = K.mix(K.mix(values << np.uint64(16) | nth.astype(np.uint64)) + block[owner].astype(np.uint64))
+    posted = np.argsort(feature, kind="stable")
+    begins = np.flatnonzero(np.diff(feature[posted], prepend=feature[posted[:1]] + np.uint64(1)))
+    size = np.diff(np.append(begins, len(feature)))
+    which = np.empty(len(feature), np.int64)
+    which[posted] = np.repeat(np.arange(len(begins)), size)
+    holder = owner[posted]
+    edge = np.searchsorted(owner, np.arange(len(around) + 1))
+    work = np.concatenate(([0], np.cumsum(size[which])))[edge]
     out = []
-    for y in np.flatnonzero(asks):
-        own = np.unique(which[starts[y]:starts[y + 1]])
-        common = np.bincount(np.concatenate([row[at[v]:at[v + 1]] for v in own]), minlength=len(around))
-        others = np.flatnonzero((common >= LEAST_COMMON) & gives & (docs < docs[y]))
-        for x in others[np.lexsort((docs[others], -common[others]))]:
-            if _stretch(around[x], around[y], int(centres[x]), int(centres[y])):
-                out.append((int(docs[x]), int(docs[y]), int(places[x]), int(places[y]), kind, key))
-                break
+    asking = np.flatnonzero(asks)
+    while len(asking):
+        n = max(1, min(int(np.searchsorted(np.cumsum(np.diff(work)[asking]), PAIRS)), PAIRS // len(around)))
+        some, asking = asking[:n], asking[n:]
+        own = np.concatenate([np.arange(edge[y], edge[y + 1]) for y in some])
+        times = size[which[own]]
+        near = holder[np.repeat(begins[which[own]] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        asker = np.repeat(np.repeat(np.arange(len(some)), edge[some + 1] - edge[some]), times)
+        common = np.bincount(asker * len(around) + near, minlength=len(some) * len(around)).reshape(len(some), len(around))
+        ys, xs = np.nonzero(common >= LEAST_COMMON)
+        fit = gives[xs] & (docs[xs] < latest[some[ys]])
+        ys, xs = some[ys[fit]], xs[fit]
+        fit = _dense(around, centres, xs, ys)
+        ys, xs = ys[fit], xs[fit]
+        order = np.lexsort((docs[xs], ys))
+        done = -1
+        for y, x in zip(ys[order].tolist(), xs[order].tolist()):
+            if y != done and _stretch(around[x], around[y], int(centres[x]), int(centres[y])):
+                out.append((int(contents[y]), int(docs[x]), int(places[x])))
+                done = y
     return out
 
 
 def _in_blocks(batches):
     """Partners within each block; rows come sorted by block."""
-    names = ["kind", "key", "a", "b"]
+    names = ["key", "a", "b"]
     rest = None
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64()]
 
-    def given(rows):
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["leader", "doc_id", "x", "y", "kind", "key"])
+    def given(table):
+        rows = _partners(table.combine_chunks()) if table.num_rows else []
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], names=["content", "leader", "x"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -295,12 +523,12 @@ def _in_blocks(batches):
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([rest, table]) if rest is not None else table
         block = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names])
-        cuts = [0, *(np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1).tolist()]
-        rows = [r for i, j in zip(cuts, cuts[1:]) for r in _partners(table.slice(i, j - i).combine_chunks())]
-        rest = table.slice(cuts[-1])
-        yield given(rows)
+        number = np.cumsum(np.append(True, (block[:, 1:] != block[:, :-1]).any(axis=0)))
+        cut = int(np.searchsorted(number, number[-1]))
+        yield given(table.slice(0, cut).append_column("block", pa.array(number[:cut])))
+        rest = table.slice(cut)
     if rest is not None:
-        yield given(_partners(rest.combine_chunks()))
+        yield given(rest.append_column("block", pa.array(np.zeros(rest.num_rows, np.int64))))
 
 
 def _all_runs(batches):
@@ -322,39 +550,55 @@ def _all_runs(batches):
         yield pa.record_batch([pa.array(cat[0].view(np.int64)), pa.array(cat[1], pa.int64()), pa.array(cat[2], pa.int64())], names=["key", "doc_id", "start"])
 
 
+_SEEDS = "array<struct<px:long,py:long,kind:int>>"
+
+
 def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verified: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs that no leader is in, and their texts. Places of minima that no
-    verified passage covers are open; they are compared with all members of
-    their groups, in blocks, unless the leader was the only other one."""
+    """Pairs that no leader is in, and their texts. Minima that no verified
+    passage covers are open, unless the leader was the only other one; their
+    groups meet again under two functions, and are compared in blocks."""
     known = verified.where("n_words > 0").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("known"))
 
     def uncovered(place):
-        return ~F.coalesce(F.exists("known", lambda k: (k["start_word"] <= place) & (place < k["start_word"] + k["n_words"] - (WORDS - 1))), F.lit(False))
+        at = F.shiftright(place, 16)
+        return ~F.coalesce(F.exists("known", lambda k: (k["start_word"] <= at) & (at < k["start_word"] + k["n_words"] - (WORDS - 1))), F.lit(False))
 
-    left = paired.where("kind > 0 and size > 2").join(known, "doc_id", "left").where(uncovered(F.col("y")))
-    keys = few(scratch.save(left.select(F.col("kind").cast("byte").alias("kind"), "key").distinct()))
-    members = shared.join(keys, ["kind", "key"]).join(known, "doc_id", "left") \
-        .select("doc_id", F.struct("kind", "key", "place", uncovered(F.shiftright("place", 32)).alias("open")).alias("member")) \
+    left = paired.where("kind > 0 and size > 2").join(known, "doc_id", "left").where(uncovered(F.col("py")))
+    keys = few(scratch.save(left.select("key").distinct()))
+    members = shared.where("kind > 0").join(keys, "key").join(known, "doc_id", "left") \
+        .select("doc_id", F.struct("kind", "key", "place", uncovered(F.col("place")).alias("open")).alias("member")) \
         .groupBy("doc_id").agg(F.collect_list("member").alias("members"))
+    joint = scratch.save(members.mapInArrow(_joint, "key long, doc_id long, place long, open boolean"))
+    groups = joint.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")).where("least < most")
+    met = joint.join(few(scratch.save(groups.select("key"))), "key") \
+        .groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open")).alias("members"))
     # a doc_id on several rows gives the surroundings of each; places beyond a text's end are left out
-    around = members.join(base, "doc_id").mapInArrow(_surroundings, "kind byte, key long, doc_id long, place long, centre int, open boolean, around binary")
+    around = met.join(base, "doc_id").mapInArrow(_surroundings, "key long, doc_id long, place long, centre int, open boolean, content long, around binary")
     around = scratch.save(around)
-    sizes = around.groupBy("kind", "key").agg(F.count("*").alias("n"), F.count(F.when(F.col("open"), 1)).alias("n_open")).where("n > 1 and n_open > 0")
+    scratch.drop(joint)
+    # windows of one content are compared once: its first document gives, all its open places ask
+    contents = scratch.save(around.groupBy("key", "content").agg(
+        F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("latest"), F.max("centre").alias("centre"), F.max("around").alias("around"))
+        .select("key", "content", "centre", "around", "first.*", "latest"))
+    sizes = contents.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("latest").alias("most")).where("least < most")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id", "place"), blocks).cast("int")
-    # a: the block of the open places that are compared, b: that of the members they are compared with
-    dealt = around.join(sizes, ["kind", "key"]).withColumn("own", own).withColumn("all", F.sequence(F.lit(0), blocks - 1))
-    asking = F.when(F.col("open"), F.transform("all", lambda b: F.struct(F.col("own").alias("a"), b.alias("b"), F.lit(True).alias("asks"), (b == F.col("own")).alias("gives"))))
-    giving = F.transform(F.filter("all", lambda a: ~F.col("open") | (a != F.col("own"))),
+    # a: the block of the open contents that are compared, b: that of the ones they are compared with
+    dealt = contents.join(sizes.select("key", "n"), "key").withColumn("own", own).withColumn("all", F.sequence(F.lit(0), blocks - 1))
+    opened = F.col("latest").isNotNull()
+    asking = F.when(opened, F.transform("all", lambda b: F.struct(F.col("own").alias("a"), b.alias("b"), F.lit(True).alias("asks"), (b == F.col("own")).alias("gives"))))
+    giving = F.transform(F.filter("all", lambda a: ~opened | (a != F.col("own"))),
                          lambda a: F.struct(a.alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"), F.lit(True).alias("gives")))
     dealt = dealt.withColumn("to", F.explode(F.concat(F.coalesce(asking, F.array().cast("array<struct<a:int,b:int,asks:boolean,gives:boolean>>")), giving))) \
-        .select("kind", "key", "doc_id", "place", "centre", "around", "to.*")
-    block = ["kind", "key", "a", "b"]
-    partners = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_in_blocks, "leader long, doc_id long, x long, y long, kind int, key long")
-    seed = F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "kind", F.lit(0).alias("left"), F.lit(0).alias("right"))
+        .select("key", "doc_id", "place", "centre", "around", "content", F.coalesce("latest", "doc_id").alias("latest"), "to.*")
+    block = ["key", "a", "b"]
+    partners = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_in_blocks, "content long, leader long, x long")
+    partners = partners.join(around.where("open").select("doc_id", F.col("place").alias("y"), "content"), "content").where("leader < doc_id")
+    seed = F.struct(F.shiftleft("x", 16).alias("px"), F.shiftleft("y", 16).alias("py"), F.lit(1).alias("kind"))
     pairs = scratch.save(partners.groupBy("leader", "doc_id").agg(F.collect_set(seed).alias("seeds")))
-    named = few(scratch.save(pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).distinct()))
-    return pairs, scratch.save(base.join(named, "doc_id", "left_semi"))
+    scratch.drop(around, contents)
+    ids = few(scratch.save(pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).distinct()))
+    return pairs, scratch.save(base.join(ids, "doc_id", "left_semi"))
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -369,41 +613,47 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     that share a doc_id are not compared with each other. Repeats within one
     document are none. An empty table gives no rows."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    windows = base.mapInArrow(_windows, "key long, doc_id long, place long, kind byte")
-    # leaders are minima combined before the shuffle; a join of hot groups can be split, a window over them could not
-    leaders = windows.groupBy("kind", "key").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("size")) \
-        .where("first.doc_id <> last")
+    windows = scratch.save(base.mapInArrow(_windows, "key long, doc_id long, place long, kind byte"))
+    # most windows are in one text: a pass over numbers alone, combined before the shuffle, tells the others
+    keys = windows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
+    keys = few(scratch.save(keys.where("leader <> last").select("key", "leader", "size")))
+    shared = scratch.save(windows.join(keys, "key"))
+    scratch.drop(windows)
+    # a join of hot groups can be split, a window over them could not
+    leading = shared.where("doc_id = leader").groupBy("key").agg(F.min("place").alias("px"))
+    paired = scratch.save(shared.where("doc_id <> leader").join(few(scratch.save(leading)), "key")
+                          .select("leader", "doc_id", "px", F.col("place").alias("py"), "key", "size", F.col("kind").cast("int").alias("kind")))
 
     def reach(place, bits: int):
-        return F.shiftright(place, bits).bitwiseAND(F.lit(65535))
-
-    shared = scratch.save(windows.join(leaders, ["kind", "key"]))
-    paired = shared.where("doc_id <> first.doc_id").select(
-        F.col("first.doc_id").alias("leader"), "doc_id", F.shiftright("first.place", 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y"),
-        "key", "size", F.col("kind").cast("int").alias("kind"), reach(F.col("place"), 16).cast("int").alias("left"), reach(F.col("place"), 0).cast("int").alias("right"),
-        (F.least(reach(F.col("place"), 16), reach(F.col("first.place"), 16)) + F.least(reach(F.col("place"), 0), reach(F.col("first.place"), 0)) + 1 >= SHINGLES).alias("room"))
-    seeds = paired.where("room").select("leader", "doc_id", F.struct("x", "y", "kind", "left", "right").alias("seed"))
-    cramped = paired.where("not room and kind = 0").select("doc_id", F.col("y").cast("long").alias("start_word"))
-    pairs = scratch.save(seeds.groupBy("leader", "doc_id").agg(F.collect_set("seed").alias("seeds"))
-                         .where(F.exists("seeds", lambda s: s["kind"] == 0) | (F.size(F.array_distinct(F.transform("seeds", lambda s: s["kind"]))) >= 2)))
-
-    named = pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).unionByName(cramped.select("doc_id"))
+        return F.shiftright(place, bits).bitwiseAND(F.lit(FAR))
+
+    room = F.least(reach(F.col("px"), 8), reach(F.col("py"), 8)) + F.least(reach(F.col("px"), 0), reach(F.col("py"), 0)) + 1 >= SHINGLES
+    cramped = paired.where("kind = 0").where(~room).select("doc_id", F.shiftright("py", 16).alias("start_word"))
+    seeds = paired.where(room).groupBy("leader", "doc_id").agg(F.collect_set(F.struct("px", "py", "kind")).alias("seeds"))
+    pairs = scratch.save(seeds.mapInArrow(_supported, f"leader long, doc_id long, seeds {_SEEDS}"))
+
+    named = pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id"))
     suspects = few(scratch.save(named.distinct()))
     texts = scratch.save(base.join(suspects, "doc_id", "left_semi"))
+
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("xt")).hint("merge"), "leader") \
             .join(texts.select("doc_id", F.col("text").alias("yt")).hint("merge"), "doc_id")
-        return scratch.save(both.mapInArrow(_verify, SCHEMA))
+        out = scratch.save(both.mapInArrow(_verify, SCHEMA))
+        scratch.drop(pairs, texts)
+        return out
 
     verified = verify(pairs, texts)
     more = verify(*_beyond_leaders(base, shared, paired, verified, scratch)).where("n_words > 0")
 
     # every text of a group with an open place gives its runs around all its places of that key, the leader and settled texts too
     open_at = verified.where("n_words = 0").select("doc_id", F.col("start_word").alias("y")).unionByName(cramped.withColumnRenamed("start_word", "y")).distinct()
-    open_keys = few(scratch.save(paired.where("kind = 0").join(open_at, ["doc_id", "y"], "left_semi").select("key").distinct()))
-    open_seeds = shared.where("kind = 0").join(open_keys, "key").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 32)).alias("seeds"))
+    exact_at = paired.where("kind = 0").withColumn("y", F.shiftright("py", 16))
+    open_keys = few(scratch.save(exact_at.join(open_at, ["doc_id", "y"], "left_semi").select("key").distinct()))
+    open_seeds = shared.where("kind = 0").join(open_keys, "key").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 16)).alias("seeds"))
     runs = base.join(open_seeds, "doc_id").select("text", "doc_id", "seeds").mapInArrow(_all_runs, "key long, doc_id long, start long")
     runs = scratch.save(runs)
+    scratch.drop(shared, paired)
     firsts = runs.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
     exact = runs.join(firsts, "key").where("doc_id <> first.doc_id") \
         .select("doc_id", F.col("start").alias("start_word"), F.lit(LEAST_WORDS).cast("long").alias("n_words"),
@@ -424,10 +674,11 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _cut(batches):
-    """Texts without the given stretches of words (and the white space after each)."""
+    """Rows whose texts lack the given stretches of words (and the white space after each)."""
     for batch in batches:
-        column = batch.schema.get_field_index("text")
-        texts, cuts = batch.column(column).to_pylist(), batch.column("cuts").to_pylist()
+        rows = batch.column("row")
+        names = [f.name for f in rows.type]
+        texts, cuts = rows.field("text").to_pylist(), batch.column("cuts").to_pylist()
         for n, (text, own) in enumerate(zip(texts, cuts)):
             if not own or text is None:
                 continue
@@ -439,20 +690,21 @@ def _cut(batches):
                 if a < b:
                     keep[starts[a]:(starts[b] if b < len(starts) else ends[b - 1])] = False
             texts[n] = raw[keep].tobytes().decode("utf-8", "surrogatepass")
-        names = [c for c in batch.schema.names if c != "cuts"]
-        yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
+        columns = [pa.array(texts, rows.type.field(c).type) if c == "text" else rows.field(c) for c in names]
+        yield pa.record_batch([pa.StructArray.from_arrays(columns, names)], names=["row"])
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with every repeated passage cut out of all documents but the
     first that holds it; other columns and documents stay as they are. Rows
     that share a doc_id are cut alike only where their texts are the same."""
-    found = scratch.save(repeated_passages(docs, scratch))
-    cuts = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("cuts"))
-    cuts = few(scratch.save(cuts.withColumnRenamed("doc_id", "cut_id")), 200_000)
-    joined = docs.join(cuts, docs["doc_id"] == F.col("cut_id"), "left").drop("cut_id")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_cut, kinds)
+    found = scratch.save(repeated_passages(docs, scratch).select("doc_id", "start_word", "n_words").distinct())
+    cuts = found.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("cuts"))
+    if found.limit(CUTS + 1).count() <= CUTS:  # two numbers each
+        cuts = F.broadcast(cuts)
+    rows = docs.select(F.struct("*").alias("row"))  # columns of any name stay apart from those here
+    joined = rows.join(cuts, F.col("row.doc_id") == F.col("cut_id"), "left").select("row", "cuts")
+    return joined.mapInArrow(_cut, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,20 +32,29 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the
     smallest doc_id. Of rows that share a doc_id and a text one stays, also
-    where the doc_id is null; of equal rows but for other columns, the one
-    that sorts first. Documents without words are in no group and stay, their
+    where the doc_id is null; of rows that differ in other columns only, always
+    the same one. Documents without words are in no group and stay, their
     repeated rows too."""
     scratch = Scratch(spark, "near-dedup")
     found = near_dedup.near_duplicates(docs, scratch, near_dedup.NearDup(percent=PERCENT, bands=75, slack=0.08))
-    return _one_row(_without(docs, found.where("not kept"), scratch))
-
-
-def _one_row(docs: DataFrame) -> DataFrame:
-    """One of the rows of ``docs`` with the same doc_id and text."""
-    same = [F.col("doc_id"), F.sha2(F.col("text"), 256)]
-    # without words nothing is repeated: such rows are kept apart by a number of their own
-    alone = F.when(F.coalesce(F.col("text").rlike("[^\\x09-\\x0D ]"), F.lit(False)), F.lit(-1)).otherwise(F.monotonically_increasing_id())
-    return docs.groupBy(*(c.alias(f"k{n}") for n, c in enumerate([*same, alone]))).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return _one_row(_without(docs, found.where("not kept"), scratch), scratch)
+
+
+def _one_row(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """One of the rows of ``docs`` with the same doc_id and text. Only rows
+    that repeat are moved: their digests are counted first."""
+    digest = F.sha2("row.text", 256)
+    rows = docs.select(F.struct("*").alias("row"))  # columns of any name and type
+    # without words nothing is repeated
+    worded = rows.where(F.coalesce(F.col("row.text").rlike("[^\\x09-\\x0D ]"), F.lit(False)))
+    keys = worded.groupBy(F.col("row.doc_id").alias("k"), digest.alias("d")).count().where("count > 1").select("k", "d")
+    keys = few((scratch or Scratch(docs.sparkSession, "one-row")).save(keys))
+    same = F.col("row.doc_id").eqNullSafe(F.col("k")) & (digest == F.col("d"))
+    alone = rows.join(keys, same, "left_anti")
+    # of rows that differ in other columns the one with the smallest digest of all its values
+    one = worded.join(keys, same, "left_semi").groupBy(F.col("row.doc_id").alias("k"), digest.alias("d")) \
+        .agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return alone.unionByName(one.select("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
