@@ -17,8 +17,10 @@ Window = tuple[dt.datetime, dt.datetime]
 
 
 def as_date(as_of: dt.date | str | None) -> dt.date:
+    """``as_of`` as a date; None is today in UTC, the zone that the session
+    defaults pin, whatever the driver's own zone is."""
     if as_of is None:
-        return dt.date.today()
+        return dt.datetime.now(dt.timezone.utc).date()
     if isinstance(as_of, dt.datetime):
         return as_of.date()
     if isinstance(as_of, dt.date):
@@ -68,9 +70,27 @@ def month_window(as_of: dt.date | str | None) -> Window:
     return start, end
 
 
-def in_window(ts: str | Column, window: Window | None, ts_type: str = "timestamp_ntz") -> Column | None:
-    """Half-open range predicate on a timestamp column, in a form Parquet row
-    group statistics can use (plain comparisons against literals).
+def day_windows(days: list[dt.date]) -> tuple[Window, ...]:
+    """Days as half-open windows, days in a row as one."""
+    out: list[Window] = []
+    for d in sorted(set(days)):
+        start = dt.datetime(d.year, d.month, d.day)
+        if out and out[-1][1] == start:
+            out[-1] = out[-1][0], start + dt.timedelta(days=1)
+        else:
+            out.append((start, start + dt.timedelta(days=1)))
+    return tuple(out)
+
+
+def each_window(window: Window | tuple[Window, ...]) -> tuple[Window, ...]:
+    """One window, or several, as several."""
+    return (window,) if isinstance(window[0], dt.datetime) else window
+
+
+def in_window(ts: str | Column, window: Window | tuple[Window, ...] | None, ts_type: str = "timestamp_ntz") -> Column | None:
+    """Half-open range predicate on a timestamp column (of any of several
+    windows), in a form Parquet row group statistics can use (plain
+    comparisons against literals).
 
     The bounds are wall-clock strings cast to ``ts_type``: for a
     ``timestamp_ntz`` column no time zone takes part, whatever the session or
@@ -78,5 +98,9 @@ def in_window(ts: str | Column, window: Window | None, ts_type: str = "timestamp
     if window is None:
         return None
     c = F.col(ts) if isinstance(ts, str) else ts
-    lo, hi = (F.lit(w.isoformat(sep=" ")).cast(ts_type) for w in window)
-    return (c >= lo) & (c < hi)
+    found = F.lit(False) if not window else None
+    for one in each_window(window) if window else ():
+        lo, hi = (F.lit(w.isoformat(sep=" ")).cast(ts_type) for w in one)
+        inside = (c >= lo) & (c < hi)
+        found = inside if found is None else found | inside
+    return found

@@ -31,6 +31,7 @@ from ..functions.calendar import Window, in_window
 from ..catalog import COUNT, FAMILIES
 from ..sources.cubes import assert_unique, flatten_id, known_keys
 from ..sources.tables import read_table
+from ..sources.versions import Collection, Manifest, Versions
 from . import cubes as B
 
 GRAINS = ("year", "month", "week")
@@ -164,6 +165,20 @@ class TableCubes:
         how = "left" if keep_lineless else "inner"
         return self.orders(window, *extra).join(per_order, F.col("o_orderkey") == per_order["l_orderkey"], how)
 
+    def order_times(self, window: Window | None = None) -> DataFrame:
+        """``o_orderkey, party, ts`` of the orders that lines belong to."""
+        return self.orders(window)
+
+    def line_rows(self, window: Window | None = None) -> DataFrame:
+        """Lines of the orders in ``window`` with all that cubes count: ``party,
+        ts, has_part, hashtag, url, l_suppkey, l_quantity, l_discount``."""
+        li = self.read("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount"])
+        part = self.read("part", ["p_partkey", "p_brand", "p_name"])
+        return (li.join(self.order_times(window), li["l_orderkey"] == F.col("o_orderkey"))
+                .join(part, li["l_partkey"] == part["p_partkey"], "left")
+                .select("party", "ts", F.col("p_partkey").isNotNull().alias("has_part"), F.col("p_brand").alias("hashtag"),
+                        F.col("p_name").alias("url"), "l_suppkey", "l_quantity", "l_discount"))
+
     def events(self, window: Window | None = None) -> DataFrame:
         """Events as posts: ``party`` = event type, ``ts``, ids, value, props."""
         e = self.table("events").select("event_id", "ts", "user_id", F.col("event_type").alias("party"),
@@ -194,29 +209,57 @@ class TableCubes:
         return [(c, g) for c in self._historic for g in GRAINS] + [(c, None) for c in self._live]
 
 
+class LateRows(TableCubes):
+    """Rows that came late, as tables of their own under ``base``: orders,
+    lineitem and events that the cubes do not hold yet, and parts. Late lines
+    of orders that are known already get their party and time from ``known``,
+    of which only ``days`` are read."""
+
+    def __init__(self, spark: SparkSession, base: str, known: TableCubes | None = None, days: tuple[Window, ...] = ()):
+        super().__init__(spark, base)
+        self.known, self.days = known, days
+
+    def order_times(self, window: Window | None = None) -> DataFrame:
+        late = self.orders(window).select("o_orderkey", "party", "ts")
+        if self.known is None or not self.days:
+            return late
+        before = self.known.orders(self.days).select("o_orderkey", "party", "ts")
+        before = before if window is None else before.where(in_window("ts", window))
+        return late.unionByName(before.join(late.select("o_orderkey"), "o_orderkey", "left_anti"))
+
+
 #: Key columns of stored cubes whose nulls are checked (periods are partition columns).
 ITEM_KEYS = {"party", "key"} | {f.item for f in FAMILIES if getattr(f, "item", None)}
+#: A mean is stored as a sum and a number, which later rows can be added to.
+SUM, NUMBER = "sum", "number"
 
 
 class StoredCubes:
     """Cube collections read back from storage.
 
-    By default ``root/<collection name>`` as Parquet (the layout written by
-    :func:`build_all`). Any Spark source works: ``fmt`` and ``options`` go
-    to ``spark.read``; a connector that addresses a collection by an option
-    instead of a path (a document store, say) gets the collection name in
-    the option named ``collection_option``. Documents whose keys sit in an
-    ``_id`` struct are flattened on read. With ``verify_keys``, a value cube
-    (one value per party and period) is checked for duplicate keys when it is
-    first opened, one aggregate per collection. Rows with a null key (a party
-    or item that is missing) are an error when a route reads them; with
+    By default the versions that :func:`build_all` published under ``root``:
+    every call answers from the newest one, as a whole, and what is read of a
+    version (its files, schemas, plans) is looked up once. :meth:`snapshot`
+    stays with one version. Rows that were added to a partition are merged
+    when read: counts are summed, and means, stored as a sum and a number, are
+    divided after both are summed.
+
+    Without published versions, a collection is the Parquet folder
+    ``root/<collection name>``. Any other Spark source works too: ``fmt`` and
+    ``options`` go to ``spark.read``; a connector that addresses a collection
+    by an option instead of a path (a document store, say) gets the collection
+    name in the option named ``collection_option``. Documents whose keys sit
+    in an ``_id`` struct are flattened on read. With ``verify_keys``, a value
+    cube (one value per party and period) is checked for duplicate keys when
+    it is first opened, one aggregate per collection. Rows with a null key (a
+    party or item that is missing) are an error when a route reads them; with
     ``on_null="drop"`` they are left out, with ``"keep"`` they are answered as
     null items.
     """
 
     def __init__(self, spark: SparkSession, root: str = "", fmt: str = "parquet",
                  options: dict[str, str] | None = None, collection_option: str | None = None,
-                 verify_keys: bool = False, on_null: str = "error"):
+                 verify_keys: bool = False, on_null: str = "error", version: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.fmt = fmt
@@ -224,7 +267,11 @@ class StoredCubes:
         self.collection_option = collection_option
         self.verify_keys = verify_keys
         self.on_null = on_null
+        self.version = version
+        self.versions = Versions(spark, root) if fmt == "parquet" and root and not collection_option else None
         self._schemas: dict[tuple[str, str | None], StructType] = {}
+        self._frames: dict[str, DataFrame] = {}
+        self._frames_of: int | None = None
 
     @staticmethod
     def name(collection: str, grain: str | None = None) -> str:
@@ -233,41 +280,77 @@ class StoredCubes:
     def path(self, collection: str, grain: str | None = None) -> str:
         return f"{self.root}/{self.name(collection, grain)}"
 
+    def snapshot(self) -> StoredCubes:
+        """The same collections as the newest version has them now, whatever is published later."""
+        manifest = self.versions and self.versions.newest()
+        if manifest is None:
+            raise FileNotFoundError(f"no version is published under {self.root}")
+        return StoredCubes(self.spark, self.root, verify_keys=self.verify_keys, on_null=self.on_null, version=manifest.number)
+
+    def _manifest(self) -> Manifest | None:
+        if self.versions is None:
+            return None
+        return self.versions.newest() if self.version is None else self.versions.at(self.version)
+
     def cube(self, collection: str, grain: str | None = None, window: Window | None = None) -> DataFrame:
-        """The collection as a flat frame, listed anew on every call: a route
-        asked after a rebuild reads the new files through the same instance.
-        Only the schema is kept from the first use, so that later calls infer
-        nothing. The route's own key predicates (year / month / day) become
-        partition filters on the stored layout; the raw-time ``window`` has no
-        column here and is not needed."""
+        """The collection as a flat frame, of the version that is newest at
+        the call. Unversioned folders are listed anew on every call, so that a
+        route asked after a rebuild reads the new files; only the schema is
+        kept from the first use. The route's own key predicates (year / month /
+        day) become partition filters on the stored layout; the raw-time
+        ``window`` has no column here and is not needed."""
+        name, manifest = self.name(collection, grain), self._manifest()
+        if manifest is not None and name in manifest.collections:
+            if self._frames_of != manifest.number:
+                self._frames, self._frames_of = {}, manifest.number
+            if name not in self._frames:
+                self._frames[name] = self._opened(merged(self.versions.frame(manifest, name), manifest.collections[name]), collection, grain, True)
+            return self._frames[name]
         key = (collection, grain)
         reader = self.spark.read.format(self.fmt).options(**self.options)
         if key in self._schemas:
             reader = reader.schema(self._schemas[key])
         if self.collection_option:
-            df = reader.option(self.collection_option, self.name(collection, grain)).load()
+            df = reader.option(self.collection_option, name).load()
         else:
             df = reader.load(self.path(collection, grain))
         first, self._schemas[key] = key not in self._schemas, df.schema
-        df = flatten_id(df)
+        return self._opened(flatten_id(df), collection, grain, first)
+
+    def _opened(self, df: DataFrame, collection: str, grain: str | None, first: bool) -> DataFrame:
         df = known_keys(df, [c for c in df.columns if c in ITEM_KEYS], self.on_null)
-        if first:
-            if self.verify_keys and collection in VALUE_CUBES:
-                # value routes read one value per key and never sum: check a
-                # cube from elsewhere once, when it is first opened
-                assert_unique(df, ["party", "year"] + ([grain] if grain != "year" else []))
+        if first and self.verify_keys and collection in VALUE_CUBES:
+            # value routes read one value per key and never sum: check a
+            # cube from elsewhere once, when it is first opened
+            assert_unique(df, ["party", "year"] + ([grain] if grain != "year" else []))
         return df
 
     def refresh(self) -> None:
-        """Forget the schemas (after cubes were rewritten with other columns)."""
+        """Forget schemas and plans (after cubes were rewritten with other columns)."""
         self._schemas.clear()
+        self._frames.clear()
+
+
+def merged(rows: DataFrame, held: Collection) -> DataFrame:
+    """Stored rows as a cube: one row per key, with its measure. Only a
+    collection that was added to needs an aggregate."""
+    measure = held.meta.get("measure")
+    if measure is None:
+        return rows
+    parts = [SUM, NUMBER] if held.meta.get("mean") else [measure]
+    keys = [c for c in rows.columns if c not in parts]
+    if held.added_to:
+        rows = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in parts))
+    if not held.meta.get("mean"):
+        return rows
+    return rows.where(F.col(NUMBER) > 0).select(*keys, (F.col(SUM) / F.col(NUMBER)).alias(measure))
 
 
-def build_all(source: TableCubes, root: str, parallel: int = 4, since=None) -> list[str]:
+def build_all(source: TableCubes, root: str, parallel: int = 4, since=None, days=None, event_days=None) -> list[str]:
     """Write every cube collection under ``root`` (see :mod:`cubewise.plans.build`)."""
     from .build import build_all as _build
 
-    return _build(source, root, parallel, since)
+    return _build(source, root, parallel, since, days, event_days)
 
 
-__all__ = ["CubeSource", "TableCubes", "StoredCubes", "build_all", "live_cube", "live_definition", "LIVE_CUBES"]
+__all__ = ["CubeSource", "TableCubes", "LateRows", "StoredCubes", "build_all", "live_cube", "live_definition", "LIVE_CUBES"]

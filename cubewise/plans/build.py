@@ -8,13 +8,13 @@ over ``GROUPING SETS``, so one scan and one shuffle of partial aggregates
 serve several cubes. Only additive measures (sums and counts) are kept. The
 bases are written to the shared folder, which also cuts lineage: a lost
 executor re-reads a base instead of re-running the joins. Every collection is
-then rolled up from them; means are finished at the end as a sum divided by
-a count, which is exactly the mean over the underlying rows.
+then rolled up from them. Means are stored as a sum and a number.
 
 Bases (grouping sets in brackets):
 
 - ``lines``: lineitem joined to orders and (left) to part, which is the only
-  pass over lineitem, shuffled twice (on the order key, then the part key).
+  pass over lineitem, shuffled twice (on the order key, then the part key;
+  not at all where the rows come from line facts).
   Sets: [party, date] with line count, quantity, discount and name-length
   sums and the number of lines with a part; [party, date, has_part, brand];
   [party, date, has_part, name]; [party, date, supplier].
@@ -24,24 +24,32 @@ Bases (grouping sets in brackets):
   sum; and [party, hour, user], [party, hour, source], [party, hour, source
   mod 10].
 - the latest lists, a bounded top-n per key, straight from events.
+
+Bases and collections are published together, as one version
+(:mod:`cubewise.sources.versions`): readers see the state before a build or
+after it. Three builds change a published version:
+
+- ``since``: all from a day's year on, from the raw rows of that time;
+- ``days`` and ``event_days``: raw rows of just these days are read, and the
+  cubes of their years are rolled up again from the bases;
+- :func:`add_rows`: late rows are counted by themselves and added to the
+  partitions of bases and cubes. No raw row that is counted already is read.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import LATEST_LIST_LENGTH
-from ..functions.calendar import Window
-from ..session import checkpoint_dir
-from ..sources.cubes import HISTORIC_PARTITIONS, LIVE_PARTITIONS, clear_years, write_cube
+from ..functions.calendar import Window, day_windows, in_window
+from ..sources.cubes import HISTORIC_PARTITIONS, LIVE_PARTITIONS
+from ..sources.versions import Draft, Scope, Versions
 from . import cubes as B
-from .bindings import StoredCubes, TableCubes
+from .bindings import NUMBER, SUM, StoredCubes, TableCubes
 
 GRAINS = ("year", "month", "week")
 HOUR = ["party", "year", "month", "day", "hour"]
@@ -60,19 +68,6 @@ def _period(grain: str) -> list[Column]:
     return keys
 
 
-def _write_base(df: DataFrame, path: str, since: int | None) -> DataFrame:
-    """Write a base partitioned by year and grouping set; an incremental build
-    replaces all years from ``since`` on and returns only these."""
-    spark = df.sparkSession
-    if "year" not in df.columns:
-        df = df.withColumn("year", F.year("date").cast("long"))
-    if since is not None:
-        clear_years(spark, path, since)
-    write_cube(df, path, ("year", "set") if "set" in df.columns else ("year",), dynamic=since is not None)
-    base = spark.read.parquet(path)
-    return base if since is None else base.where(F.col("year") >= since)
-
-
 def _by_set(rows: DataFrame, keys: list[str], sets: list[list[str]], items: list[str], *aggs: Column) -> DataFrame:
     """One aggregate over grouping sets: ``keys`` alone (set ``total``) and
     with each of ``sets``. A set is named by the one of ``items`` it holds."""
@@ -88,15 +83,10 @@ def _only(base: DataFrame, item: str = TOTAL) -> DataFrame:
     return base.where(F.col("set") == item)
 
 
-def lines_base(src: TableCubes, window: Window | None = None) -> DataFrame:
-    li = src.read("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount"])
-    part = src.read("part", ["p_partkey", "p_brand", "p_name"])
-    rows = (li.join(src.orders(window), li["l_orderkey"] == F.col("o_orderkey"))
-            .join(part, li["l_partkey"] == part["p_partkey"], "left")
-            .select("party", F.to_date("ts").alias("date"), F.col("p_partkey").isNotNull().alias("has_part"),
-                    F.col("p_brand").alias("hashtag"), F.col("p_name").alias("url"),
-                    F.col("l_suppkey").cast("string").alias("taggedUser"), "l_quantity", "l_discount",
-                    F.length("p_name").alias("name_len")))
+def lines_base(src: TableCubes, window: Window | tuple[Window, ...] | None = None) -> DataFrame:
+    rows = src.line_rows(window).select(
+        "party", F.to_date("ts").alias("date"), "has_part", "hashtag", "url", F.col("l_suppkey").cast("string").alias("taggedUser"),
+        "l_quantity", "l_discount", F.length("url").alias("name_len"))
     return _by_set(
         rows, ["party", "date"], [["has_part", "hashtag"], ["has_part", "url"], ["taggedUser"]], LINE_ITEMS,
         F.count(F.lit(1)).alias("lines"),
@@ -106,7 +96,7 @@ def lines_base(src: TableCubes, window: Window | None = None) -> DataFrame:
         F.sum(F.col("has_part").cast("int")).alias("parted"))
 
 
-def orders_base(src: TableCubes, window: Window | None = None) -> DataFrame:
+def orders_base(src: TableCubes, window: Window | tuple[Window, ...] | None = None) -> DataFrame:
     rows = src.orders(window, "o_orderstatus", "o_custkey").select(
         "party", F.to_date("ts").alias("date"), "o_orderstatus", F.col("o_custkey").cast("string").alias("user"))
     return _by_set(
@@ -115,7 +105,7 @@ def orders_base(src: TableCubes, window: Window | None = None) -> DataFrame:
         F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f_orders"))
 
 
-def events_base(src: TableCubes, window: Window | None = None) -> DataFrame:
+def events_base(src: TableCubes, window: Window | tuple[Window, ...] | None = None) -> DataFrame:
     k = F.get_json_object(F.col("props"), "$.k")
     rows = src.events(window).select("party", *B.hour_keys(), F.col("user_id").cast("string").alias("username"),
                                k.alias("source"), (k.cast("long") % 10).cast("string").alias("hashtag"), "value")
@@ -126,30 +116,28 @@ def events_base(src: TableCubes, window: Window | None = None) -> DataFrame:
         F.sum("value").alias("value_sum"))
 
 
-# Value cubes rolled up from the day base: collection -> (measure, keep-row condition).
+LINES, ORDERS, EVENTS, ORDER_DAY, LATEST = "_base/lines", "_base/orders", "_base/events", "_base/order_day", "_base/latest"
+
+
+# Value cubes rolled up from the day base: collection -> (sum, number it is divided by).
 def _value_measures() -> dict[str, tuple[Column, Column | None]]:
-    # try_divide: a group without lines (or without parts) gives null, not an
-    # ANSI division error; the keep condition then drops it, as the per-route
-    # definitions (inner joins) do.
-    lines = F.sum(F.coalesce(F.col("lines"), F.lit(0)))
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
     return {
-        "countTotal": (F.sum("orders"), None),
-        "avgReplies": (F.try_divide(lines, F.sum("orders")), None),
-        "avgLikes": (F.try_divide(F.sum("qty"), F.sum("lines")), F.sum("lines") > 0),
-        "avgRetweets": (F.try_divide(F.sum("disc100"), F.sum("lines")), F.sum("lines") > 0),
-        "avgTweetLength": (F.try_divide(F.sum("name_len"), F.sum("parted")), F.sum("parted") > 0),
-        "mediaUsage": (F.try_divide(F.sum("f_orders") * 100.0, F.sum("orders")), None),
-        "totalReplies": (lines, None),
+        "countTotal": (total("orders"), None),
+        "avgReplies": (total("lines"), total("orders")),
+        "avgLikes": (F.sum("qty"), total("lines")),
+        "avgRetweets": (F.sum("disc100"), total("lines")),
+        "avgTweetLength": (F.sum("name_len"), total("parted")),
+        "mediaUsage": (total("f_orders") * 100.0, total("orders")),
+        "totalReplies": (total("lines"), None),
     }
 
 
 def value_cube(order_day: DataFrame, collection: str, grain: str) -> DataFrame:
-    measure, keep = _value_measures()[collection]
-    aggs = [measure.cast("double").alias("count")]
-    if keep is not None:
-        aggs.append(keep.alias("_keep"))
-    out = order_day.groupBy("party", *_period(grain)).agg(*aggs)
-    return out.where("_keep").drop("_keep") if keep is not None else out
+    """A value cube as it is stored: its count, or the sum and number of its mean."""
+    total, number = _value_measures()[collection]
+    aggs = [total.cast("double").alias("count")] if number is None else [total.cast("double").alias(SUM), number.cast("double").alias(NUMBER)]
+    return order_day.groupBy("party", *_period(grain)).agg(*aggs)
 
 
 def item_rollup(rows: DataFrame, item: str, grain: str, weight: str, item_expr: Column | None = None) -> DataFrame:
@@ -160,97 +148,187 @@ def item_rollup(rows: DataFrame, item: str, grain: str, weight: str, item_expr:
             .agg(F.sum(weight).cast("double").alias("count")))
 
 
-def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | None = None) -> list[str]:
-    """Write all 46 collections under ``root`` (layout read by :class:`StoredCubes`).
+def _historic_jobs(lines: DataFrame, orders: DataFrame, order_day: DataFrame, grain: str):
+    """(rows, collection, grain, meta) of the cubes over orders and lines."""
+    count = {"measure": "count"}
+    for collection, (_, number) in _value_measures().items():
+        yield value_cube(order_day, collection, grain), collection, grain, count | ({"mean": True} if number is not None else {})
+    yield item_rollup(order_day.where("orders > 0"), "weekday", grain, "orders", F.date_format("date", "EEEE")), "mostTweetsDay", grain, count
+    yield item_rollup(_only(orders, "user"), "user", grain, "orders"), "mostActiveUsers", grain, count
+    yield item_rollup(_only(lines, "hashtag").where("has_part"), "hashtag", grain, "lines"), "hashtags", grain, count
+    yield item_rollup(_only(lines, "url").where("has_part"), "url", grain, "lines"), "urls", grain, count
+    yield item_rollup(_only(lines, "taggedUser"), "taggedUser", grain, "lines"), "mostTaggedUsers", grain, count
 
-    With ``since``, the build is incremental: raw rows are read only from the
-    first day of ``since``'s year on (the window reaches the scans of orders
-    and events), the bases and cubes of those years are recomputed and replace
-    just their partitions, also those left without rows, and the latest lists
-    merge the window's posts into the stored ones. Without it, everything is
-    rebuilt and replaced.
-    """
-    target = StoredCubes(src.spark, root)
-    bases = os.path.join(root.rstrip("/"), "_base")
-    window = None if since is None else (dt.datetime(since.year, 1, 1), dt.datetime(9999, 1, 1))
-    first = None if since is None else since.year
-    lines = _write_base(lines_base(src, window), f"{bases}/lines", first)
-    orders = _write_base(orders_base(src, window), f"{bases}/orders", first)
-    events = _write_base(events_base(src, window), f"{bases}/events", first)
-    # one row per party and day, the size of a day cube: written once, as 24 rollups read it
-    line_day = _only(lines).select("party", "date", "lines", "qty", "disc100", "name_len", "parted")
-    order_day = _write_base(_only(orders).select("party", "date", "orders", "f_orders").join(line_day, ["party", "date"], "left"),
-                            f"{bases}/order_day", first)
-    # the year partition column is re-derived from ``date`` by each rollup
-    lines, orders, order_day = lines.drop("year"), orders.drop("year"), order_day.drop("year")
-
-    event_hour = _only(events)
-    event_day = event_hour.withColumn("date", F.make_date("year", "month", "day"))
-    with_part = F.col("has_part")
-
-    jobs: list[tuple[DataFrame, str, str | None]] = []
-
-    def put(df: DataFrame, collection: str, grain: str | None) -> None:
-        jobs.append((df, collection, grain))
-
-    for grain in GRAINS:
-        for collection in _value_measures():
-            put(value_cube(order_day, collection, grain), collection, grain)
-        put(item_rollup(order_day, "weekday", grain, "orders", F.date_format("date", "EEEE")), "mostTweetsDay", grain)
-        put(item_rollup(_only(orders, "user"), "user", grain, "orders"), "mostActiveUsers", grain)
-        put(item_rollup(_only(lines, "hashtag").where(with_part), "hashtag", grain, "lines"),
-            "hashtags", grain)
-        put(item_rollup(_only(lines, "url").where(with_part), "url", grain, "lines"), "urls", grain)
-        put(item_rollup(_only(lines, "taggedUser"), "taggedUser", grain, "lines"),
-            "mostTaggedUsers", grain)
-        put(item_rollup(event_day, "hour", grain, "events", F.col("hour")), "mostTweetsTime", grain)
-
-    put(event_hour.select(*HOUR, F.col("events").alias("count")), "metricsByHourAndParty", None)
-    put(event_hour.select(*HOUR, F.col("media").alias("count")), "mediaUsageRunningByHourAndParty", None)
-    put(event_hour.select(*HOUR, F.try_divide(F.col("value_sum"), F.col("events")).alias("sentiment")),
-        "sentimentRunningByHourAndParty", None)
+
+def _hour_of_day_jobs(events: DataFrame, grain: str):
+    by_day = _only(events).withColumn("date", F.make_date("year", "month", "day"))
+    yield item_rollup(by_day, "hour", grain, "events", F.col("hour")), "mostTweetsTime", grain, {"measure": "count"}
+
+
+def _live_jobs(events: DataFrame):
+    """(rows, collection, None, meta) of the hourly cubes."""
+    hours, count = _only(events), {"measure": "count"}
+    yield hours.select(*HOUR, F.col("events").alias("count")), "metricsByHourAndParty", None, count
+    yield hours.select(*HOUR, F.col("media").alias("count")), "mediaUsageRunningByHourAndParty", None, count
+    yield (hours.select(*HOUR, F.col("value_sum").alias(SUM), F.col("events").alias(NUMBER)), "sentimentRunningByHourAndParty", None,
+           {"measure": "sentiment", "mean": True})
     for item, collection in (("username", "mostActiveRunningByHourAndParty"),
                              ("source", "sourceRunningByHourAndParty"), ("hashtag", "hashtagsByHourAndParty")):
-        put(_only(events, item).select(*HOUR, item, F.col("events").alias("count")), collection, None)
-
-    def write(job: tuple[DataFrame, str, str | None]) -> str:
-        df, collection, grain = job
-        path = target.path(collection, grain)
-        if first is not None:
-            clear_years(src.spark, path, first)
-        write_cube(df, path, HISTORIC_PARTITIONS if grain else LIVE_PARTITIONS, dynamic=first is not None)
-        return path
-
-    # The rollups read small bases; running their jobs side by side keeps the
-    # executors busy instead of paying each small job's latency in turn.
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        written = list(pool.map(write, jobs))
-
-    written.append(_write_latest(src, target, f"{bases}/latest", window))
-    return written
-
-
-def _write_latest(src: TableCubes, target: StoredCubes, base: str, window: Window | None) -> str:
-    """The latest lists, kept as rows (key, ts, oid), at most n per key. An
-    incremental build keeps the stored rows before its window and adds the
-    window's; where a full list is short then (posts have gone), the rows
-    beyond it were never stored, and the lists are built from all posts."""
-    spark, n = src.spark, LATEST_LIST_LENGTH
-    try:
-        stored = spark.read.parquet(base) if window is not None else None
-    except AnalysisException:
-        stored = None
-    rows = B.newest_rows(src.events(None if stored is None else window), "event_id")
-    if stored is not None:
-        checkpoint_dir(spark)  # shared folder: the merge must not read what it overwrites
-        before = stored.where(F.col("ts") < F.lit(window[0]).cast(stored.schema["ts"].dataType)).select("key", "ts", "oid")
-        rows = B.keep_newest(before.unionByName(rows), n).checkpoint()
-        had = stored.groupBy("key").agg(F.count("oid").alias("had"))
-        have = rows.groupBy("key").agg(F.count("oid").alias("have"))
-        short = had.join(have, "key", "left").where((F.col("had") >= n) & (F.coalesce("have", F.lit(0)) < n))
-        if not short.isEmpty():
-            rows = B.newest_rows(src.events(None), "event_id")
-    rows.write.mode("overwrite").parquet(base)
-    lists = target.path("lastTweets")
-    B.lists_from_rows(spark.read.parquet(base)).write.mode("overwrite").parquet(lists)
-    return lists
+        yield _only(events, item).select(*HOUR, item, F.col("events").alias("count")), collection, None, count
+
+
+def _with_year(base: DataFrame) -> DataFrame:
+    return base if "year" in base.columns else base.withColumn("year", F.year("date").cast("long"))
+
+
+def _order_day(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """One row per party and day, the size of a day cube: written once, as 24
+    rollups read it. Late lines may come without an order of their day."""
+    line_day = _only(lines).select("party", "date", "year", "lines", "qty", "disc100", "name_len", "parted")
+    return _only(orders).select("party", "date", "year", "orders", "f_orders").join(line_day, ["party", "date", "year"], "full")
+
+
+class _Build:
+    """One build: the parts of the new version that it writes."""
+
+    def __init__(self, src: TableCubes, root: str, parallel: int):
+        self.src, self.parallel = src, parallel
+        self.target = StoredCubes(src.spark, root)
+        self.draft: Draft = Versions(src.spark, root).draft()
+        self.written: list[str] = []
+
+    def base(self, name: str, rows: DataFrame, replaces: Scope | None, unchanged: Column | None = None, adds: bool = False) -> None:
+        """Write a base, by year and grouping set. Of a replaced year, rows
+        for which ``unchanged`` holds are taken from the version before."""
+        rows = _with_year(rows)
+        if unchanged is not None and name in self.draft.collections:
+            rows = rows.unionByName(self.draft.frame(name, replaces).where(unchanged).select(rows.columns))
+        self.draft.write(rows, name, ("year", "set") if "set" in rows.columns else ("year",), replaces, adds)
+
+    def rows(self, name: str, scope: Scope | None) -> DataFrame:
+        return self.draft.frame(name, scope)
+
+    def collections(self, jobs, replaces: dict[bool, Scope | None], adds: bool = False) -> None:
+        """Write collections; ``replaces`` is given for live and historic ones.
+        Rollups read small bases: running their jobs side by side keeps the
+        executors busy instead of paying each small job's latency in turn."""
+        def write(job) -> str:
+            rows, collection, grain, meta = job
+            live = grain is None
+            self.draft.write(rows, self.target.name(collection, grain), LIVE_PARTITIONS if live else HISTORIC_PARTITIONS, replaces[live], adds, meta)
+            return self.target.path(collection, grain)
+
+        with ThreadPoolExecutor(max_workers=self.parallel) as pool:
+            self.written += pool.map(write, jobs)
+
+    def latest(self, windows: tuple[Window, ...] | None, adds: bool = False) -> None:
+        """The latest lists, kept as rows (key, ts, oid), at most n per key. An
+        incremental build keeps the stored rows outside its windows and adds
+        those inside; where a full list is short then (posts have gone), the
+        rows beyond it were never stored, and the lists are built from all posts."""
+        n, src, draft = LATEST_LIST_LENGTH, self.src, self.draft
+        stored = draft.frame(LATEST) if LATEST in draft.collections and (windows is not None or adds) else None
+        rows = B.newest_rows(src.events(None if stored is None else windows), "event_id")
+        if stored is not None:
+            before = (stored if adds else stored.where(~in_window("ts", windows, stored.schema["ts"].dataType.simpleString()))).select("key", "ts", "oid")
+            rows = B.keep_newest(before.unionByName(rows), n)
+        draft.write(rows, LATEST)
+        if stored is not None and not adds:
+            had = stored.groupBy("key").agg(F.count("oid").alias("had"))
+            have = draft.frame(LATEST).groupBy("key").agg(F.count("oid").alias("have"))
+            short = had.join(have, "key", "left").where((F.col("had") >= n) & (F.coalesce("have", F.lit(0)) < n))
+            if not short.isEmpty():
+                draft.write(B.newest_rows(src.events(None), "event_id"), LATEST)
+        draft.write(B.lists_from_rows(draft.frame(LATEST)), "lastTweets")
+        self.written.append(self.target.path("lastTweets"))
+
+    def publish(self) -> list[str]:
+        self.draft.publish()
+        return self.written
+
+
+def _in_years(years: set[int]) -> Scope:
+    return lambda k: k["year"] in {str(y) for y in years}
+
+
+def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | None = None, days: list[dt.date] | None = None,
+              event_days: list[dt.date] | None = None) -> list[str]:
+    """Publish all 46 collections under ``root`` as one version (read by
+    :class:`StoredCubes`); the paths of those that were written.
+
+    With ``since``, raw rows are read only from the first day of ``since``'s
+    year on (the window reaches the scans of orders and events), and the bases
+    and cubes of those years are replaced, also where they have no rows any
+    more. With ``days`` (of orders) or ``event_days``, only raw rows of these
+    days are read; of their years, the bases keep the other days, and the
+    cubes are rolled up again from the bases. Neither reads raw lines of other
+    years where ``src`` has line facts (:class:`~cubewise.plans.facts.FactCubes`).
+    Without any, everything is rebuilt and replaced.
+    """
+    build = _Build(src, root, parallel)
+    if days is None and event_days is None:
+        windows = None if since is None else ((dt.datetime(since.year, 1, 1), dt.datetime(9999, 1, 1)),)
+        scope: Scope | None = None if since is None else lambda k: k["year"].isdigit() and int(k["year"]) >= since.year
+        build.base(LINES, lines_base(src, windows), scope)
+        build.base(ORDERS, orders_base(src, windows), scope)
+        build.base(EVENTS, events_base(src, windows), scope)
+        _roll_up(build, scope, scope, {True: scope, False: scope}, windows, windows)
+        return build.publish()
+    days, event_days = sorted(set(days or ())), sorted(set(event_days or ()))
+    years, event_years = {d.year for d in days}, {d.year for d in event_days}
+    windows, event_windows = day_windows(days), day_windows(event_days)
+    if days:
+        others = ~F.col("date").isin(days)
+        build.base(LINES, lines_base(src, windows), _in_years(years), others)
+        build.base(ORDERS, orders_base(src, windows), _in_years(years), others)
+    if event_days:
+        build.base(EVENTS, events_base(src, event_windows), _in_years(event_years), ~F.make_date("year", "month", "day").isin(event_days))
+    at = {(str(d.year), str(d.month), str(d.day)) for d in event_days}
+    live: Scope = lambda k: (k["year"], k["month"], k["day"]) in at
+    _roll_up(build, _in_years(years) if days else None, _in_years(event_years) if event_days else None, {True: live, False: None},
+             windows, event_windows, bool(days), event_days)
+    return build.publish()
+
+
+def _roll_up(build: _Build, scope: Scope | None, event_scope: Scope | None, replaces: dict[bool, Scope | None],
+             windows, event_windows, orders_too: bool = True, event_days: list[dt.date] | None = None) -> None:
+    """Write the cubes of the years in ``scope`` from the bases; of ``event_days`` only, the hourly ones."""
+    if orders_too:
+        lines, orders = build.rows(LINES, scope), build.rows(ORDERS, scope)
+        build.base(ORDER_DAY, _order_day(lines, orders), scope)
+        order_day = build.rows(ORDER_DAY, scope).drop("year")  # re-derived from the date by each rollup
+        jobs = [j for g in GRAINS for j in _historic_jobs(lines.drop("year"), orders.drop("year"), order_day, g)]
+        build.collections(jobs, {True: None, False: scope})
+    if event_days is None or event_days:
+        events = build.rows(EVENTS, event_scope)
+        build.collections([j for g in GRAINS for j in _hour_of_day_jobs(events, g)], {True: None, False: event_scope})
+        if event_days:
+            events = events.where(F.make_date("year", "month", "day").isin(event_days))
+        build.collections(list(_live_jobs(events)), replaces)
+        build.latest(event_windows)
+
+
+def add_rows(late: TableCubes, root: str, parallel: int = 4) -> list[str]:
+    """Publish a version with rows that came late added to it: ``late`` holds
+    just them (see :class:`~cubewise.plans.bindings.LateRows`).
+
+    Every base and cube is additive but the latest lists, which are merged and
+    cut again: what the late rows come to is written beside what is there, and
+    readers merge both. The work is that of the late rows; the next build of
+    their years makes one row of each key again.
+    """
+    build = _Build(late, root, parallel)
+    if build.draft.base.number == 0:
+        raise FileNotFoundError(f"no version is published under {root}")
+
+    def added(name: str, rows: DataFrame) -> DataFrame:
+        build.base(name, rows, None, adds=True)
+        return build.draft.own(name)
+
+    lines, orders, events = (added(n, b(late)) for n, b in ((LINES, lines_base), (ORDERS, orders_base), (EVENTS, events_base)))
+    order_day = added(ORDER_DAY, _order_day(lines, orders)).drop("year")
+    lines, orders = lines.drop("year"), orders.drop("year")
+    jobs = [j for g in GRAINS for j in (*_historic_jobs(lines, orders, order_day, g), *_hour_of_day_jobs(events, g))]
+    build.collections(jobs + list(_live_jobs(events)), {True: None, False: None}, adds=True)
+    build.latest(None, adds=True)
+    return build.publish()

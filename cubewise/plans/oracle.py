@@ -5,15 +5,89 @@ shortcuts (for example, line means are plain ``AVG`` over the joined lines
 here, while the Spark plan sums per order first). Same tiebreaks (total
 descending, item ascending), same rounding (means to 6 places) and the same
 column names and types as the Spark results.
+
+Nothing is taken from the rest of the library: families, cube and item names,
+each N, parameters and the calendar are stated here once more, so a change
+there shows as a difference.
 """
 
 from __future__ import annotations
 
-from ..catalog import (COMBINED_KEY, COUNT, LATEST, LATEST_LIST_LENGTH, LIVE_ITEMS, LIVE_MEAN, LIVE_MONTH_TOP_N,
-                       LIVE_SUM, RANKED)
-from ..functions.calendar import days_in_month, month_parts, today_parts
-from .registry import RouteSpec, json_specs, route_specs
-from .routes import historic_shape
+from typing import NamedTuple
+
+COUNT, RANKED, UNRANKED = "count", "ranked", "unranked"
+LIVE_SUM, LIVE_MEAN, LIVE_ITEMS, LATEST = "live sum", "live mean", "live items", "latest"
+
+
+class Family(NamedTuple):
+    name: str
+    group: str
+    cube: str
+    item: str | None = None
+    n: int | None = None
+    measure: str = "count"
+
+
+# The served families.
+FAMILIES = (
+    Family("countTweetByMonth", COUNT, "countTotal"),
+    Family("averageReply", COUNT, "avgReplies"),
+    Family("averagelikestweet", COUNT, "avgLikes"),
+    Family("averageTweetLength", COUNT, "avgTweetLength"),
+    Family("averageRetweetsTweet", COUNT, "avgRetweets"),
+    Family("mediausagetweets", COUNT, "mediaUsage"),
+    Family("totalReplies", COUNT, "totalReplies"),
+    Family("mostUsedHashtags", RANKED, "hashtags", "hashtag", 10),
+    Family("mostUsedHashtagsCloud", UNRANKED, "hashtags", "hashtag", 100),
+    Family("mosttweetsday", UNRANKED, "mostTweetsDay", "weekday", 7),
+    Family("mosttweetstime", UNRANKED, "mostTweetsTime", "hour", 24),
+    Family("mostActiveUser", RANKED, "mostActiveUsers", "user", 10),
+    Family("mostTaggedUser", RANKED, "mostTaggedUsers", "taggedUser", 10),
+    Family("mostUsedUrls", RANKED, "urls", "url", 10),
+    Family("countTotalRunning", LIVE_SUM, "metricsByHourAndParty"),
+    Family("liveMediaUsage", LIVE_SUM, "mediaUsageRunningByHourAndParty"),
+    Family("liveSentiment", LIVE_MEAN, "sentimentRunningByHourAndParty", measure="sentiment"),
+    Family("liveMostActiveUser", LIVE_ITEMS, "mostActiveRunningByHourAndParty", "username"),
+    Family("liveSource", LIVE_ITEMS, "sourceRunningByHourAndParty", "source"),
+    Family("liveHashtags", LIVE_ITEMS, "hashtagsByHourAndParty", "hashtag"),
+    Family("liveTweets", LATEST, "lastTweets"),
+)
+PERIODS = ("all", "party", "year_month", "year_week", "year_month_party", "year_week_party")
+DAYS = ("day", "day_party", "month", "month_party")
+SHAPES = {COUNT: PERIODS, RANKED: PERIODS, UNRANKED: (*PERIODS, "legislatur"), LIVE_SUM: DAYS, LIVE_MEAN: DAYS, LIVE_ITEMS: DAYS, LATEST: ("all", "party")}
+LIVE_MONTH_TOP_N = 10
+LATEST_LIST_LENGTH = 15
+COMBINED_KEY = "combined"
+JSON_FAMILIES = ("countTweetByMonth", "mostUsedHashtags", "mostUsedHashtagsCloud", "countTotalRunning", "liveSentiment", "liveSource", "liveTweets")
+# Parameters of the registered routes.
+YEAR, EVENT_YEAR = 1997, 2024
+PARTY, EVENT_PARTY = "1-URGENT", "click"
+DAY, MONTH, DAYS_IN_MONTH = 15, 1, 31
+
+
+class Route(NamedTuple):
+    family: Family
+    shape: str
+
+    @property
+    def key(self) -> str:
+        return f"{self.family.name}__{self.shape}"
+
+    @property
+    def params(self) -> dict:
+        events = self.family.group in (LIVE_SUM, LIVE_MEAN, LIVE_ITEMS, LATEST) or self.family.name == "mosttweetstime"
+        return {"party": EVENT_PARTY if events else PARTY, "year": EVENT_YEAR if events else YEAR}
+
+
+def routes() -> list[Route]:
+    return [Route(f, s) for f in FAMILIES for s in SHAPES[f.group]]
+
+
+def historic_shape(shape: str) -> tuple[str, bool, bool]:
+    """(grain, one year, one party)."""
+    grain = "month" if "month" in shape else "week" if "week" in shape else "year"
+    return grain, shape.startswith("year_"), shape.endswith("party")
+
 
 ORDERS = ("(SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority AS party, o_orderdate AS ts "
           "FROM orders) o")
@@ -81,7 +155,7 @@ def _where(*conds: str | None) -> str:
     return ("WHERE " + " AND ".join(conds)) if conds else ""
 
 
-def _historic(spec: RouteSpec) -> str:
+def _historic(spec: Route) -> str:
     fam, shape, p = spec.family, spec.shape, spec.params
     grain, needs_year, needs_party = historic_shape(shape)
     cube = historic_cube_sql(fam.cube, grain)
@@ -104,13 +178,13 @@ def _historic(spec: RouteSpec) -> str:
             f"SELECT {', '.join(cols)} FROM r WHERE rank <= {fam.n}")
 
 
-def _live(spec: RouteSpec) -> str:
+def _live(spec: Route) -> str:
     fam, shape, p = spec.family, spec.shape, spec.params
     one = shape.endswith("party")
     party = f"party = {lit(p['party'])}" if one else None
     cube = live_cube_sql(fam.cube)
     if shape.startswith("day"):
-        y, m, d = today_parts(p["as_of"])
+        y, m, d = EVENT_YEAR, MONTH, DAY
         where = _where(f"year = {y}", f"month = {m}", f"day = {d}", party)
         if fam.group == LIVE_SUM:
             return f"WITH cube AS ({cube}) SELECT party, SUM(count) AS total FROM cube {where} GROUP BY party"
@@ -122,8 +196,7 @@ def _live(spec: RouteSpec) -> str:
                 f"t AS (SELECT party, {item}, SUM(count) AS total FROM cube {where} GROUP BY ALL), "
                 f"r AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY total DESC, {item} ASC) AS rn "
                 f"FROM t) SELECT party, {item} FROM r WHERE rn = 1")
-    y, m = month_parts(p["as_of"])
-    n_days = days_in_month(p["as_of"])
+    y, m, n_days = EVENT_YEAR, MONTH, DAYS_IN_MONTH
     where = _where(f"year = {y}", f"month = {m}", party)
     head = "" if one else "s.party, "
     spine_of = (lambda src: f"spine AS (SELECT q.party, CAST(d.range AS BIGINT) AS day "
@@ -149,7 +222,7 @@ def _live(spec: RouteSpec) -> str:
             f"WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.party = s.party AND t.day = s.day)")
 
 
-def _latest(spec: RouteSpec) -> str:
+def _latest(spec: Route) -> str:
     key = spec.params["party"] if spec.shape == "party" else COMBINED_KEY
     return ("WITH p AS (SELECT event_type AS key, ts, event_id FROM events "
             f"UNION ALL SELECT {lit(COMBINED_KEY)} AS key, ts, event_id FROM events), "
@@ -159,7 +232,7 @@ def _latest(spec: RouteSpec) -> str:
             f"WHERE n <= {LATEST_LIST_LENGTH} AND key = {lit(key)}")
 
 
-def route_sql(spec: RouteSpec) -> str:
+def route_sql(spec: Route) -> str:
     if spec.family.group == LATEST:
         return _latest(spec)
     if spec.family.group in (LIVE_SUM, LIVE_MEAN, LIVE_ITEMS):
@@ -167,7 +240,7 @@ def route_sql(spec: RouteSpec) -> str:
     return _historic(spec)
 
 
-def json_sql(spec: RouteSpec) -> str:
+def json_sql(spec: Route) -> str:
     """The entries of a route's documents: keys as text, from the outside in."""
     fam, shape = spec.family, spec.shape
     top = [] if shape.endswith("party") else ["party"]
@@ -193,4 +266,40 @@ def json_sql(spec: RouteSpec) -> str:
 
 
 def registered_sql() -> dict[str, str]:
-    return {spec.key: route_sql(spec) for spec in route_specs()} | {f"{spec.key}__json": json_sql(spec) for spec in json_specs()}
+    return {r.key: route_sql(r) for r in routes()} | {f"{r.key}__json": json_sql(r) for r in routes() if r.family.name in JSON_FAMILIES} | extra_sql()
+
+
+def _route(key: str) -> Route:
+    return {r.key: r for r in routes()}[key]
+
+
+def _cloud(shape: str) -> str:
+    """Customers as items of the unranked top 100, so that the cut is reached."""
+    wide = Family("", UNRANKED, "mostActiveUsers", "user", 100)
+    return _historic(Route(wide, shape))
+
+
+def _ordered(key: str, *order: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {', '.join(order)}) AS position FROM ({route_sql(_route(key))}) answer"
+
+
+def extra_sql() -> dict[str, str]:
+    """Routes answered another way (from facts, from stored cubes, in order, over many items) have the same answers."""
+    out = {}
+    for name in ("averageReply", "averagelikestweet", "averageTweetLength", "averageRetweetsTweet", "totalReplies", "mostUsedHashtags",
+                 "mostUsedHashtagsCloud", "mostTaggedUser", "mostUsedUrls"):
+        out[f"facts_{name}_year_month"] = route_sql(_route(f"{name}__year_month"))
+    for key in ("mostUsedHashtags__year_month_party", "averagelikestweet__year_week", "mosttweetstime__legislatur", "liveSentiment__month",
+                "countTotalRunning__day_party", "liveSource__day", "liveTweets__all"):
+        out["stored_" + key.replace("__", "_")] = route_sql(_route(key))
+    for key in ("mostUsedHashtags__year_month", "liveSource__month"):
+        out["documents_" + key.replace("__", "_")] = route_sql(_route(key))
+    out["ordered_countTweetByMonth_all"] = _ordered("countTweetByMonth__all", "party", "year")
+    out["ordered_mostUsedHashtags_year_month"] = _ordered("mostUsedHashtags__year_month", "party", "month", "rank")
+    out["ordered_mosttweetsday_year_month"] = _ordered("mosttweetsday__year_month", "party", "month", "total DESC", "weekday")
+    out["ordered_countTotalRunning_month"] = _ordered("countTotalRunning__month", "party", "day")
+    out["ordered_liveTweets_party"] = _ordered("liveTweets__party", "key", "n")
+    for shape in ("all", "year_month", "legislatur", "party"):
+        out[f"top100_users_{shape}"] = _cloud(shape)
+    out["allowed_countTweetByMonth_party"] = route_sql(_route("countTweetByMonth__party"))
+    return out

@@ -49,18 +49,6 @@ def write_cube(df: DataFrame, path: str, partition_by: tuple[str, ...] = HISTORI
        .parquet(path))
 
 
-def clear_years(spark: SparkSession, path: str, first: int) -> None:
-    """Remove the stored ``year=`` partitions from ``first`` on. An incremental
-    build writes these years anew, and a dynamic overwrite would leave the
-    partitions that have no rows any more."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for entry in fs.listStatus(root) if fs.exists(root) else ():
-        year = entry.getPath().getName().removeprefix("year=")
-        if year.isdigit() and int(year) >= first:
-            fs.delete(entry.getPath(), True)
-
-
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
     """Read a stored cube (flat or ``_id``-nested) as a flat frame."""
     return flatten_id(spark.read.parquet(path))

@@ -9,6 +9,7 @@ from tests.oracle_compare import compare, duck, type_mismatches
 QUERIES = E.queries()
 SQL = E.oracle_sql()
 ROUTES = [k for k in QUERIES if "__" in k]
+EXTRAS = [k for k in QUERIES if k.startswith(("facts_", "stored_", "documents_", "ordered_", "allowed_", "top100_"))]
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +39,31 @@ def test_route_matches_oracle(spark, con, name):
     ok, msg = compare(df, con, SQL[name])
     assert ok, msg
     assert not type_mismatches(df, con, SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(EXTRAS))
+def test_other_ways_to_an_answer_match_the_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    ok, msg = compare(df, con, SQL[name])
+    assert ok, msg
+    assert not type_mismatches(df, con, SQL[name])
+
+
+def test_the_oracle_states_its_own_values():
+    import ast
+    import inspect
+
+    from cubewise import catalog
+    from cubewise.plans import oracle
+
+    assert len(EXTRAS) == 28
+    tree = ast.parse(inspect.getsource(oracle))
+    assert not [n for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and n.level]  # nothing of the library
+    assert [(f.name, f.cube, f.item, f.n) for f in oracle.FAMILIES] == [(f.name, f.cube, f.item, f.n) for f in catalog.FAMILIES]
+
+
+def test_a_cut_of_100_is_reached(spark):
+    from pyspark.sql import functions as F
+
+    df = QUERIES["top100_users_legislatur"](spark, SF_SMALL)
+    assert df.groupBy("party").count().agg(F.min("count"), F.max("count")).first() == (100, 100)
