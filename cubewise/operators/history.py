@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import stable_round
-from .topn import top_n
+from .topn import pruned_top_n, top_n
 
 GRAINS = ("year", "month", "week")
 
@@ -81,10 +81,16 @@ def top_items(cube: DataFrame, item: str, grain: str, n: int, year: int | None =
 
 
 def all_time_top_items(cube: DataFrame, item: str, n: int, party: str | None = None,
-                       measure: str = "count") -> DataFrame:
+                       measure: str = "count", pruned: bool = False) -> DataFrame:
     """Top ``n`` items per party summed over all periods (the legislative-term view).
 
+    With ``pruned``, for stored yearly cubes of very many items, items that
+    cannot be among the first are left out before the shuffle (see
+    ``topn.pruned_top_n``); the answer is the same.
+
     Columns: ``party, <item>, total``.
     """
+    if pruned:
+        return pruned_top_n(_restrict(cube, None, party), ["party"], ["year"], item, n, measure).select("party", item, "total")
     totals = item_totals(_restrict(cube, None, party), item, ["party"], measure)
     return top_n(totals, ["party"], "total", item, n).select("party", item, "total")

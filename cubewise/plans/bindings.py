@@ -317,6 +317,25 @@ class StoredCubes:
         first, self._schemas[key] = key not in self._schemas, df.schema
         return self._opened(flatten_id(df), collection, grain, first)
 
+    def by_day(self, collection: str) -> DataFrame | None:
+        """The day rollup of an hourly collection, of the same version as the
+        hours; None where there is none, or it was not kept up with them."""
+        name, manifest = day_rollup(collection), self._manifest()
+        if manifest is None or name not in manifest.collections or collection not in manifest.collections:
+            return None
+        if self._days_of(manifest, name) != self._days_of(manifest, collection):
+            return None
+        if self._frames_of != manifest.number:
+            self._frames, self._frames_of = {}, manifest.number
+        if name not in self._frames:
+            self._frames[name] = self._opened(merged(self.versions.frame(manifest, name), manifest.collections[name]), collection, None, False)
+        return self._frames[name]
+
+    @staticmethod
+    def _days_of(manifest: Manifest, name: str) -> set[tuple[str, str]]:
+        """Partitions of a collection and the number of the version that wrote each."""
+        return {(f.rpartition("/")[0], f.rpartition("=")[2].partition("-")[0]) for f in manifest.collections[name].folders}
+
     def _opened(self, df: DataFrame, collection: str, grain: str | None, first: bool) -> DataFrame:
         df = known_keys(df, [c for c in df.columns if c in ITEM_KEYS], self.on_null)
         if first and self.verify_keys and collection in VALUE_CUBES:
@@ -331,6 +350,11 @@ class StoredCubes:
         self._frames.clear()
 
 
+def day_rollup(collection: str) -> str:
+    """Name of the day rollup of an hourly collection."""
+    return f"{collection}ByDay"
+
+
 def merged(rows: DataFrame, held: Collection) -> DataFrame:
     """Stored rows as a cube: one row per key, with its measure. Only a
     collection that was added to needs an aggregate."""

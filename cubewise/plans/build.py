@@ -25,6 +25,8 @@ Bases (grouping sets in brackets):
   mod 10].
 - the latest lists, a bounded top-n per key, straight from events.
 
+Hourly counts are also rolled up by day, for the month routes.
+
 Bases and collections are published together, as one version
 (:mod:`cubewise.sources.versions`): readers see the state before a build or
 after it. Three builds change a published version:
@@ -49,7 +51,7 @@ from ..functions.calendar import Window, day_windows, in_window
 from ..sources.cubes import HISTORIC_PARTITIONS, LIVE_PARTITIONS
 from ..sources.versions import Draft, Scope, Versions
 from . import cubes as B
-from .bindings import NUMBER, SUM, StoredCubes, TableCubes
+from .bindings import NUMBER, SUM, StoredCubes, TableCubes, day_rollup
 
 GRAINS = ("year", "month", "week")
 HOUR = ["party", "year", "month", "day", "hour"]
@@ -177,6 +179,17 @@ def _live_jobs(events: DataFrame):
         yield _only(events, item).select(*HOUR, item, F.col("events").alias("count")), collection, None, count
 
 
+def _day_jobs(events: DataFrame):
+    """(rows, collection, meta) of the day rollups that month routes read instead of hours."""
+    hours, count = _only(events), {"measure": "count"}
+    day = HOUR[:-1]
+    for column, collection in (("events", "metricsByHourAndParty"), ("media", "mediaUsageRunningByHourAndParty")):
+        yield hours.groupBy(*day).agg(F.sum(column).alias("count")), collection, count
+    for item, collection in (("username", "mostActiveRunningByHourAndParty"),
+                             ("source", "sourceRunningByHourAndParty"), ("hashtag", "hashtagsByHourAndParty")):
+        yield _only(events, item).groupBy(*day, item).agg(F.sum("events").alias("count")), collection, count
+
+
 def _with_year(base: DataFrame) -> DataFrame:
     return base if "year" in base.columns else base.withColumn("year", F.year("date").cast("long"))
 
@@ -221,6 +234,15 @@ class _Build:
         with ThreadPoolExecutor(max_workers=self.parallel) as pool:
             self.written += pool.map(write, jobs)
 
+    def day_rollups(self, events: DataFrame, replaces: Scope | None, adds: bool = False) -> None:
+        """Write the day rollups of hourly cubes, beside them in the same version."""
+        def write(job) -> None:
+            rows, collection, meta = job
+            self.draft.write(rows, day_rollup(collection), LIVE_PARTITIONS, replaces, adds, meta)
+
+        with ThreadPoolExecutor(max_workers=self.parallel) as pool:
+            list(pool.map(write, _day_jobs(events)))
+
     def latest(self, windows: tuple[Window, ...] | None, adds: bool = False) -> None:
         """The latest lists, kept as rows (key, ts, oid), at most n per key. An
         incremental build keeps the stored rows outside its windows and adds
@@ -305,6 +327,7 @@ def _roll_up(build: _Build, scope: Scope | None, event_scope: Scope | None, repl
         if event_days:
             events = events.where(F.make_date("year", "month", "day").isin(event_days))
         build.collections(list(_live_jobs(events)), replaces)
+        build.day_rollups(events, replaces[True])
         build.latest(event_windows)
 
 
@@ -330,5 +353,6 @@ def add_rows(late: TableCubes, root: str, parallel: int = 4) -> list[str]:
     lines, orders = lines.drop("year"), orders.drop("year")
     jobs = [j for g in GRAINS for j in (*_historic_jobs(lines, orders, order_day, g), *_hour_of_day_jobs(events, g))]
     build.collections(jobs + list(_live_jobs(events)), {True: None, False: None}, adds=True)
+    build.day_rollups(events, None, adds=True)
     build.latest(None, adds=True)
     return build.publish()

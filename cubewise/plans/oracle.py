@@ -301,5 +301,6 @@ def extra_sql() -> dict[str, str]:
     out["ordered_liveTweets_party"] = _ordered("liveTweets__party", "key", "n")
     for shape in ("all", "year_month", "legislatur", "party"):
         out[f"top100_users_{shape}"] = _cloud(shape)
+    out["top100_users_pruned"] = _cloud("legislatur")
     out["allowed_countTweetByMonth_party"] = route_sql(_route("countTweetByMonth__party"))
     return out

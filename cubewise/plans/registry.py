@@ -142,13 +142,13 @@ def in_order(spec: RouteSpec, cubes: TableCubes) -> DataFrame:
     return rows.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
 
 
-def top_users(cubes: TableCubes, shape: str) -> DataFrame:
+def top_users(cubes: TableCubes | StoredCubes, shape: str, pruned: bool = False) -> DataFrame:
     """The unranked top 100 over an item with far more values than that."""
     n = BY_NAME["mostUsedHashtagsCloud"].n
     grain, one_year, one_party = historic_shape(shape)
     cube = cubes.cube("mostActiveUsers", grain)
     if shape == "legislatur":
-        return all_time_top_items(cube, "user", n)
+        return all_time_top_items(cube, "user", n, pruned=pruned)
     return top_items(cube, "user", grain, n, HISTORIC_YEAR if one_year else None, HISTORIC_PARTY if one_party else None, ranked=False)
 
 
@@ -171,6 +171,7 @@ def extra_queries() -> dict:
         put("ordered", key, lambda spark, sf_dir, s: in_order(s, table_cubes(spark, sf_dir)))
     put("allowed", "countTweetByMonth__party", lambda spark, sf_dir, s: answer(
         table_cubes(spark, sf_dir), s.family.name, s.shape, digits=ORACLE_DIGITS, allowed_parties=(HISTORIC_PARTY, "2-HIGH"), **s.params))
+    out["top100_users_pruned"] = lambda spark, sf_dir: top_users(stored_cubes(spark, sf_dir), "legislatur", pruned=True)
     for shape in WIDE_SHAPES:
         out[f"top100_users_{shape}"] = lambda spark, sf_dir, shape=shape: top_users(table_cubes(spark, sf_dir), shape)
     return out

@@ -71,6 +71,13 @@ def answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None
     return in_route_order(df) if ordered else df
 
 
+def _days(cubes: CubeSource, collection: str) -> DataFrame | None:
+    """Day rows of an hourly cube, where the source keeps them: month routes
+    sum by day, so they need no hours. (Live means weigh each hour alike.)"""
+    by_day = getattr(cubes, "by_day", None)
+    return by_day(collection) if by_day else None
+
+
 def _answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None, party: str | None,
             as_of: dt.date | str | None, allowed_parties: tuple[str, ...] | None, digits: int | None) -> DataFrame:
     fam = family(family_name)
@@ -98,7 +105,9 @@ def _answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None
 
     if fam.group in (LIVE_SUM, LIVE_MEAN, LIVE_ITEMS):
         by_day = shape.startswith("day")
-        cube = cubes.cube(fam.cube, None, day_window(as_of) if by_day else month_window(as_of))
+        cube = None if by_day or fam.group == LIVE_MEAN else _days(cubes, fam.cube)
+        if cube is None:
+            cube = cubes.cube(fam.cube, None, day_window(as_of) if by_day else month_window(as_of))
         if fam.group == LIVE_SUM:
             return day_total(cube, as_of, fam.measure, who) if by_day else \
                 month_by_day(cube, as_of, fam.measure, "sum", who)

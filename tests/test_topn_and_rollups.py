@@ -1,0 +1,106 @@
+"""Pruned top-N, and day rollups behind the month routes."""
+
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from cubewise.operators.history import all_time_top_items, item_totals
+from cubewise.operators.topn import pruned_top_n, top_n
+from cubewise.plans.bindings import StoredCubes, TableCubes, build_all
+from cubewise.plans.registry import route_specs
+from cubewise.sources.versions import Versions
+from tests.conftest import SF_SMALL, rows
+
+MONTHS = ("countTotalRunning__month", "countTotalRunning__month_party", "liveMediaUsage__month", "liveMostActiveUser__month", "liveSource__month",
+          "liveHashtags__month_party", "liveSource__month_party")
+
+
+def skewed(spark, items, parts=4):
+    """Counts of ``items`` items in ``parts`` years: a few are heavy, most are 1 to 3."""
+    i = F.col("id")
+    light = (F.pmod(F.xxhash64(i, F.col("year")), F.lit(3)) + 1).cast("double")
+    heavy = F.when(i % 50_000 == 7, 1000.0 + F.pmod(F.xxhash64(i), F.lit(400))).otherwise(0.0)
+    late = F.when((i % 40_000 == 11) & (F.col("year") == 2000), 3500.0).otherwise(0.0)  # heavy in one year only
+    kept = (F.pmod(F.xxhash64("year", "id"), F.lit(4)) == 0) | (i % 50_000 == 7) | (i % 40_000 == 11)
+    return spark.range(items).withColumn("year", F.explode(F.sequence(F.lit(2000), F.lit(1999 + parts)))).where(kept) \
+        .select(F.when(i % 3 == 0, "a").otherwise("b").alias("party"), F.col("year").cast("long").alias("year"),
+                F.col("id").cast("string").alias("item"), (light + heavy + late).alias("count"))
+
+
+def test_pruned_top_100_of_ten_million_items(spark, scratch):
+    path = os.path.join(scratch, "cube")
+    skewed(spark, 10_000_000).write.parquet(path)
+    cube = spark.read.parquet(path)
+    got = all_time_top_items(cube, "item", 100, pruned=True)
+    full = top_n(item_totals(cube, "item", ["party"]), ["party"], "total", "item", 100).select("party", "item", "total")
+    assert rows(got) == rows(full) and got.count() == 200
+    # the rows that are summed, and so shuffled, are those of the candidates
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    semi = plan.index("LeftSemi")
+    assert "BroadcastHashJoin" in plan[semi - 120:semi] and plan.rindex("hashpartitioning(party", 0, semi) < semi
+    candidates = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LogicalRDD" in x]
+    assert candidates
+    totals = item_totals(cube, "item", ["party"])
+    least = full.groupBy("party").agg(F.min("total").alias("least"))
+    may = cube.join(least, "party").where(F.col("count") >= F.col("least") / 4 * 0.99).select("party", "item").distinct().count()
+    assert may < 1000 < totals.count() // 1000
+
+
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_pruned_equals_full_sums_on_small_cubes(spark, n):
+    """Groups with fewer items than n, ties, parts without some items, zero and null measures."""
+    cube = spark.sql("""select * from values ('a', 2000, 'x', 5.0D), ('a', 2001, 'x', 1.0D), ('a', 2000, 'y', 3.0D), ('a', 2001, 'y', 3.0D), ('a', 2002, 'z', 6.0D),
+        ('a', 2000, 'v', 0.0D), ('a', 2000, 'u', null), ('b', 2001, 'x', 2.0D), ('b', 2002, 'w', 2.0D), ('c', 2002, null, 1.0D)
+        as t(party, year, item, count)""")
+    full = top_n(item_totals(cube.where("count is not null"), "item", ["party"]), ["party"], "total", "item", n)
+    key = lambda df: sorted(map(str, df.select("party", "item", "total", "rank").where("item is not null").collect()))
+    assert key(pruned_top_n(cube, ["party"], ["year"], "item", n)) == key(full)
+    shuffled = pruned_top_n(cube, ["party"], ["year"], "item", n, few=0)  # too many to broadcast
+    assert key(shuffled) == key(full)
+    assert pruned_top_n(cube.limit(0), ["party"], ["year"], "item", n).count() == 0
+
+
+def test_negative_measures_are_refused(spark):
+    cube = spark.createDataFrame([("a", 2000, "x", -1.0), ("a", 2001, "x", 3.0)], "party string, year long, item string, count double")
+    with pytest.raises(Exception, match="negative measure"):
+        pruned_top_n(cube, ["party"], ["year"], "item", 1).collect()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("rolled") / "cubes")
+    build_all(TableCubes(spark, SF_SMALL), root)
+    return StoredCubes(spark, root)
+
+
+def test_month_routes_read_day_rows_only(spark, stored):
+    raw, specs = TableCubes(spark, SF_SMALL), {s.key: s for s in route_specs()}
+    for key in MONTHS:
+        df = specs[key].run(stored)
+        read = {f.split("/cubes/")[1].split("/")[0] for f in df.inputFiles()}
+        assert read and all(name.endswith("ByDay") for name in read), (key, read)
+        assert rows(df) == rows(specs[key].run(raw)), key
+    # a live mean weighs each hour alike: it needs the hours
+    assert all("ByDay" not in f for f in specs["liveSentiment__month"].run(stored).inputFiles())
+
+
+def test_hours_answer_where_their_days_are_not_kept_up(spark, stored, scratch):
+    """A version that changed a day's hours but not its rollup, and a source without rollups."""
+    specs = {s.key: s for s in route_specs()}
+    root = os.path.join(scratch, "cubes")
+    build_all(TableCubes(spark, SF_SMALL), root)
+    versions = Versions(spark, root)
+    draft = versions.draft()
+    hours = "sourceRunningByHourAndParty"
+    one = StoredCubes(spark, root).cube(hours).where("day = 15").withColumn("count", F.col("count") + 1)
+    draft.write(one, hours, ("year", "month", "day"), lambda k: k["day"] == "15", meta={"measure": "count"})
+    draft.publish()
+    cubes = StoredCubes(spark, root)
+    assert cubes.by_day(hours) is None and cubes.by_day("hashtagsByHourAndParty") is not None
+    assert rows(specs["liveSource__month"].run(cubes)) != rows(specs["liveSource__month"].run(stored))
+    # the next build of the day brings both together again
+    build_all(TableCubes(spark, SF_SMALL), root, event_days=[dt.date(2024, 1, 15)])
+    assert StoredCubes(spark, root).by_day(hours) is not None
+    assert rows(specs["liveSource__month"].run(cubes)) == rows(specs["liveSource__month"].run(stored))
