@@ -1,21 +1,28 @@
 """Nearest vectors with an inverted multi-index.
 
-The two halves of the vectors are quantised apart, so ``CENTROIDS`` squared
-cells need only two small codebooks. A query goes through the cells by the
-sum of its halves' scores with their centroids, best first, with a heap, and
-stops where a cell's sum plus an allowance for what quantising leaves away
-falls below the score that the query's last neighbour is expected to have.
-That score is read off a sample, so the rule is the same at every size.
-Entries of visited cells are compared in double precision.
+The two halves of the vectors are quantised apart, so centroids squared cells
+need only two small codebooks, whose size follows the number of rows. What
+quantising leaves away is known for every centroid: the ``QUANTILE`` of the
+residual norms of *all* rows of the index that are assigned to it. A query
+goes through the cells with a heap, by the sum of what its halves can score
+there: the score with the centroid, plus ``ALLOW`` deviations of the score of
+such a residual. So cells of long or badly quantised vectors come early, and
+cells of copies, which leave nothing away, get no allowance. It stops where
+that sum falls below the score that the query's last neighbour is expected to
+have, read off a sample. Entries of visited cells are compared in double
+precision.
 
 Rows and queries meet in blocks: a block of rows holds the cells of a few
-first-half centroids, and large ones are split, as are the queries.
+first-half centroids, and large ones are split, as are the queries. A query is
+sent to the blocks that it visits only. Where vectors have structure, a query
+visits a bounded number of cells, centroids grow with the root of the rows,
+and so what is sent grows with their power of 1.5.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +31,20 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, read_table
 
+#: Centroids of a half: at least, at most, and rows for each cell in between.
 CENTROIDS = 64
-#: Rows that the codebooks are fitted on and scores are estimated from, at most.
+MOST_CENTROIDS = 512
+CELL = 12
+#: Rows that the codebooks are fitted on and scores are estimated from: at most so many, or so many for each centroid.
 SAMPLE = 4096
+EACH = 32
 ROUNDS = 12
 #: First-half centroids of a block, and rows or queries of one, about.
 GROUP = 8
 BLOCK = 4096
-#: Allowance, in standard deviations of a residual's score.
-ALLOW = 3.4
+#: Deviations of a residual's score that a cell is allowed, and the quantile of residual norms that is taken for one.
+ALLOW = 2.1
+QUANTILE = 0.99
 #: Entries that a query visits at least (or all).
 LEAST = 400
 
@@ -41,10 +53,15 @@ LEAST = 400
 class Index:
     first: np.ndarray
     second: np.ndarray
-    counts: np.ndarray
-    residual: float
     sample: np.ndarray
-    rows: int
+    counts: np.ndarray | None = None
+    #: Deviation of the score of a residual with a query half of length 1, for each centroid.
+    spread_first: np.ndarray | None = None
+    spread_second: np.ndarray | None = None
+
+    @property
+    def rows(self) -> int:
+        return int(self.counts.sum())
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -67,39 +84,45 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
     """``vec_id, v`` of the rows of ``vectors(vec_id, embedding)`` that take
-    part: not null, not zero, finite, of the most frequent length."""
+    part: not null, not zero, finite, of this (or else the most frequent) length."""
     v = F.col("embedding").cast("array<double>")
     ok = vectors.select("vec_id", v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0") \
         .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    if length is not None:
+        return ok.where(F.size("v") == length)
     sizes = ok.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return ok.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
 def fit(rows: DataFrame) -> Index | None:
-    """Codebooks from the ``SAMPLE`` rows smallest by a hash of their id."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").collect()
+    """Codebooks from the rows smallest by a hash of their id: ``SAMPLE``, or
+    ``EACH`` for every centroid where there are more."""
+    n = rows.count()
+    k = int(min(MOST_CENTROIDS, max(CENTROIDS, (n / CELL) ** 0.5)))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(SAMPLE, EACH * k)).select("v").collect()
     if not sample:
         return None
     x = np.array([r["v"] for r in sample], np.float64)
     half = x.shape[1] // 2
-    first, second = _kmeans(x[:, :half], CENTROIDS), _kmeans(x[:, half:], CENTROIDS)
-    rest = x - np.concatenate([first[_nearest(x[:, :half], first)], second[_nearest(x[:, half:], second)]], axis=1)
-    return Index(first, second, np.zeros(0), float(np.sqrt((rest * rest).sum(axis=1).mean() / x.shape[1])), x, 0)
+    return Index(_kmeans(x[:, :half], k), _kmeans(x[:, half:], k), x)
 
 
 def visited(q: np.ndarray, index: Index, k: int) -> np.ndarray:
     """Cells (first, second) of one query, as a table of booleans: the
-    multi-sequence traversal by summed score."""
+    multi-sequence traversal by summed reach."""
     half = index.first.shape[1]
-    a, b = index.first @ q[:half], index.second @ q[half:]
+    a = index.first @ q[:half] + ALLOW * float(np.linalg.norm(q[:half])) * index.spread_first
+    b = index.second @ q[half:] + ALLOW * float(np.linalg.norm(q[half:])) * index.spread_second
     oa, ob = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
     a, b = a[oa], b[ob]
     scores = np.sort(index.sample @ q)[::-1]
     rank = -(-k * len(scores) // max(index.rows, 1)) + 1  # one more: the query itself may be in the sample
-    floor = scores[min(rank, len(scores) - 1)] - ALLOW * index.residual * float(np.linalg.norm(q))
+    floor = scores[min(rank, len(scores) - 1)]
     out = np.zeros((len(a), len(b)), bool)
+    # its own cell: there, what quantising leaves away of its neighbours points where its own does
+    out[_nearest(q[None, :half], index.first)[0], _nearest(q[None, half:], index.second)[0]] = True
     heap, entries = [(-(a[0] + b[0]), 0, 0)], 0
     done = np.zeros(len(a), np.int64)  # in row i the first done[i] columns have been visited
     while heap:
@@ -123,11 +146,21 @@ def _assign(index: Index):
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column("v"))
-                yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(_nearest(x[:, :half], index.first), pa.int32()),
-                                       pa.array(_nearest(x[:, half:], index.second), pa.int32())], names=["vec_id", "v", "c1", "c2"])
+                c1, c2 = _nearest(x[:, :half], index.first), _nearest(x[:, half:], index.second)
+                left = [np.linalg.norm(part, axis=1) for part in (x[:, :half] - index.first[c1], x[:, half:] - index.second[c2])]
+                yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(c1, pa.int32()), pa.array(c2, pa.int32()), *map(pa.array, left)],
+                                      names=["vec_id", "v", "c1", "c2", "r1", "r2"])
     return run
 
 
+def _spread(placed: DataFrame, cell: str, residual: str, centroids: np.ndarray) -> np.ndarray:
+    """For each centroid the ``QUANTILE`` of its rows' residual norms, over the root of their length."""
+    out = np.zeros(len(centroids))
+    for r in placed.groupBy(cell).agg(F.percentile_approx(residual, QUANTILE, 1000).alias("x")).collect():  # one row for each centroid
+        out[r[cell]] = r["x"] / max(1, centroids.shape[1]) ** 0.5
+    return out
+
+
 def _probe(index: Index, k: int):
     """A row for each query and group of first-half centroids that it visits."""
     def run(batches):
@@ -188,21 +221,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 2
     another length than most take no part. A vec_id on several rows is
     searched and found as often. Other columns are ignored; without usable
     rows there is no result."""
-    rows, asked = usable(vectors), usable(queries)
+    rows = usable(vectors)
     index = fit(rows)
     if index is None:
         return scratch.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = usable(queries, index.sample.shape[1])
     placed = scratch.save(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v")
-                          .mapInArrow(_assign(index), "vec_id long, v array<double>, c1 int, c2 int"))
+                          .mapInArrow(_assign(index), "vec_id long, v array<double>, c1 int, c2 int, r1 double, r2 double"))
     table = np.zeros((len(index.first), len(index.second)), np.int64)
     for r in placed.groupBy("c1", "c2").count().collect():  # one row for each cell at most
         table[r["c1"], r["c2"]] = r["count"]
-    index = Index(index.first, index.second, table, index.residual, index.sample, int(table.sum()))
+    index = replace(index, counts=table, spread_first=_spread(placed, "c1", "r1", index.first), spread_second=_spread(placed, "c2", "r2", index.second))
     probes = scratch.save(asked.select(F.col("vec_id").cast("long").alias("vec_id"), "v").repartition(scratch.spark.sparkContext.defaultParallelism * 2)
                           .mapInArrow(_probe(index, k), "query_id long, q array<double>, part int, cells binary"))
 
     salts = [max(1, -(-int(table[g:g + GROUP].sum()) // BLOCK)) for g in range(0, len(table), GROUP)]
-    blocks = max(1, -(-probes.groupBy("part").count().agg(F.max("count")).first()[0] // BLOCK)) if table.sum() else 1
+    blocks = max(1, -(-(probes.groupBy("part").count().agg(F.max("count")).first()[0] or 0) // BLOCK))
     part = F.floor(F.col("c1") / GROUP).cast("int")
     left = placed.withColumn("part", part).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.get(F.lit(salts), F.col("part"))).cast("int")) \
         .withColumn("block", F.explode(F.lit(list(range(blocks)))))
