@@ -1,14 +1,15 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram binds three of them:
-the product of the first, rolled twice, the second, rolled once, and the
-third. A text is the bundle (sum) of its trigrams, a language prototype the
-bundle of its training texts; texts are compared with prototypes by cosine,
-after the mean of the prototypes, what all languages have in common, is taken
-off both.
-
-A text's bundle is its trigram counts times the table of trigram vectors, one
-matrix product for a batch of texts.
+Every letter of every script has a random vector of +1 and -1 of its own,
+hashed from its code point. A trigram binds three of them: the product of the
+first, rolled twice, the second, rolled once, and the third. A text is the
+bundle (sum) of its trigrams, a language prototype the bundle of its training
+texts; texts are compared with prototypes by cosine, after the mean of the
+prototypes, what all languages have in common, is taken off both.
+
+A text's bundle is its trigram counts times the vectors of the trigrams that
+its batch holds, in blocks of trigrams: memory does not grow with the number
+of letters that texts are written in.
 """
 
 from __future__ import annotations
@@ -20,35 +21,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as K
 from .scratch import read_table, ship_code
 
 #: Components of a vector.
 DIM = 1024
-#: Letter symbols: 0 is anything but a letter, 1 to 26 are a to z, and other letters share 37.
-SYMBOLS = 64
 UNKNOWN = "und"
+#: Texts that are bundled at a time, letters of them, and trigrams.
 BATCH = 200
+LETTERS = 1_000_000
+BLOCK = 4096
+#: Bits of a code point; a trigram is three of them, 0 for anything but a letter.
+BITS = 21
+_SEED = K.mix(np.arange(1, DIM // 64 + 1, dtype=np.uint64))
 
 
 @lru_cache
 def _letters() -> np.ndarray:
-    """Symbol of every code point."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            out[c] = 27 + c % 37
-    out[97:123] = np.arange(1, 27)
-    return out
+    """Which code points are letters."""
+    return np.array([not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(0x110000)])
 
 
-@lru_cache
-def _vectors() -> np.ndarray:
-    return np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIM))
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """The vector of each code point: the bits of a hash of it, as +1 and -1."""
+    words = K.mix(K.mix(codes.astype(np.uint64) + np.uint64(7))[:, None] ^ _SEED)
+    return np.unpackbits(words.astype("<u8").view(np.uint8), axis=1).view(np.int8) * 2 - 1
 
 
 def trigram_vectors(keys: np.ndarray) -> np.ndarray:
-    v = _vectors()
-    a, b, c = keys // SYMBOLS**2, keys // SYMBOLS % SYMBOLS, keys % SYMBOLS
+    """Bound vectors of trigrams."""
+    parts = [keys >> 2 * BITS, keys >> BITS & (1 << BITS) - 1, keys & (1 << BITS) - 1]
+    codes, at = np.unique(np.concatenate(parts), return_inverse=True)
+    v = letter_vectors(codes)
+    a, b, c = at.reshape(3, -1)
     return (np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]).astype(np.float32)
 
 
@@ -56,24 +61,59 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams (as numbers) around every letter, and the text each is from."""
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer(" ".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sym = np.concatenate(([0], _letters()[code], [0])).astype(np.int64)
+    code = np.concatenate(([0], np.where(_letters()[code], code, 0), [0])).astype(np.int64)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in low), np.int64, len(low)))
-    at = np.flatnonzero(sym[1:-1])
-    keys = (sym[at] * SYMBOLS + sym[at + 1]) * SYMBOLS + sym[at + 2]
+    at = np.flatnonzero(code[1:-1])
+    keys = (code[at] << 2 * BITS) | (code[at + 1] << BITS) | code[at + 2]
     return keys, np.searchsorted(ends, at, side="right")
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams, and the place of each key among them. Few letters
+    make a small table, many are sorted."""
+    mask = (1 << BITS) - 1
+    seen = np.zeros(0x110000, bool)
+    for shift in (2 * BITS, BITS, 0):
+        seen[keys >> shift & mask] = True
+    codes = np.flatnonzero(seen)
+    if len(codes) > 128:
+        return np.unique(keys, return_inverse=True)
+    own = np.zeros(0x110000, np.int64)
+    own[codes] = np.arange(len(codes))
+    n = len(codes)
+    small = (own[keys >> 2 * BITS] * n + own[keys >> BITS & mask]) * n + own[keys & mask]
+    used = np.zeros(n**3, bool)
+    used[small] = True
+    found = np.flatnonzero(used)
+    place = np.zeros(n**3, np.int64)
+    place[found] = np.arange(len(found))
+    return (codes[found // n**2] << 2 * BITS) | (codes[found // n % n] << BITS) | codes[found % n], place[small]
+
+
 def bundles(keys: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """(n, DIM) sums of the trigram vectors of each of n texts or groups."""
+    out = np.zeros((n, DIM), np.float32)
     if not len(keys):
-        return np.zeros((n, DIM), np.float32)
-    seen = np.zeros(SYMBOLS**3, bool)
-    seen[keys] = True
-    distinct = np.flatnonzero(seen)
-    column = np.zeros(SYMBOLS**3, np.int64)
-    column[distinct] = np.arange(len(distinct))
-    counts = np.bincount(of * len(distinct) + column[keys], minlength=n * len(distinct)).reshape(n, -1)
-    return counts.astype(np.float32) @ trigram_vectors(distinct)
+        return out
+    distinct, column = _distinct(keys)
+    if len(distinct) <= BLOCK:
+        counts = np.bincount(of * len(distinct) + column, minlength=n * len(distinct)).reshape(n, -1)
+        return counts.astype(np.float32) @ trigram_vectors(distinct)
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    for a in range(0, len(distinct), BLOCK):
+        b = min(a + BLOCK, len(distinct))
+        i, j = np.searchsorted(column, (a, b))
+        counts = np.bincount(of[i:j] * (b - a) + column[i:j] - a, minlength=n * (b - a)).reshape(n, -1)
+        out += counts.astype(np.float32) @ trigram_vectors(distinct[a:b])
+    return out
+
+
+def _parts(texts: pa.Array):
+    """Runs of up to ``BATCH`` texts of about ``LETTERS`` bytes: first row and texts."""
+    for i, j, _, _ in K.chunks(*K.buffers(texts), LETTERS):
+        for k in range(i, j, BATCH):
+            yield k, texts.slice(k, min(BATCH, j - k)).to_pylist()
 
 
 def _learn(batches):
@@ -124,8 +164,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             best, score = [], []
-            for i in range(0, batch.num_rows, BATCH):
-                part = texts.slice(i, BATCH).to_pylist()
+            for _, part in _parts(texts):
                 keys, of = trigrams(part)
                 x = bundles(keys, of, len(part))
                 size = np.linalg.norm(x, axis=1, keepdims=True)
