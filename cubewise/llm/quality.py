@@ -183,12 +183,13 @@ def _lasso(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray,
 def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     """Fit on the ``sample`` labelled rows (``labels(doc_id, quality)``) that
     are smallest by a hash of their id; only their statistics reach the
-    driver. Rows with a null label or id teach nothing."""
+    driver, of a doc_id on several rows those of the smallest. Rows with a null
+    label or id teach nothing."""
     names = [c for c in stats.columns if c != "doc_id"]
     chosen = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").distinct() \
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = stats.join(chosen, "doc_id").orderBy("doc_id", "quality", *names).limit(2 * sample).collect()
-    x = np.array([[r[n] for n in names] for r in rows], np.float64).reshape(len(rows), len(names))
+    rows = stats.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("of")).orderBy("doc_id", "quality").collect()
+    x = np.array([[r["of"][n] for n in names] for r in rows], np.float64).reshape(len(rows), len(names))
     return fit(x, np.array([r["quality"] for r in rows], np.float64), names)
 
 
