@@ -61,6 +61,8 @@ REACH = 2 * SHINGLES
 BLOCK = 1024
 #: Windows' shingles that are compared at a time.
 PAIRS = 4_000_000
+#: Keys that are broadcast.
+KEYS = 200_000
 #: Passages that are broadcast to be cut out; more are shuffled.
 CUTS = 500_000
 
@@ -532,22 +534,32 @@ def _in_blocks(batches):
 
 
 def _all_runs(batches):
-    """Every run of ``SHINGLES`` shingles that holds an open seed: its hash, text and start."""
+    """Every run of ``SHINGLES`` shingles that holds an open seed: its hash,
+    text and start, and whether it asks for its repeats: no known passage covers it."""
     for batch in batches:
-        keys, docs, starts = [], [], []
-        for sh, doc, seeds in zip(_shingles_of(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("seeds").to_pylist()):
+        keys, docs, starts, asks = [], [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "seeds", "known"))
+        for sh, doc, seeds, known in zip(_shingles_of(batch.column("text")), *columns):
             if len(sh) < SHINGLES:
                 continue
-            wanted = np.zeros(len(sh) + 1, np.int64)
+            n = len(sh) - SHINGLES + 1
+            wanted, covered = np.zeros(len(sh) + 1, np.int64), np.zeros(len(sh) + 1, np.int64)
             for c in seeds:
                 wanted[max(0, c - SHINGLES + 1)] += 1
                 wanted[min(c + 1, len(sh))] -= 1
-            a = np.flatnonzero(np.cumsum(wanted)[:len(sh) - SHINGLES + 1] > 0)
+            for k in known or ():
+                a, b = k["start_word"], k["start_word"] + k["n_words"] - LEAST_WORDS + 1
+                if a < b:
+                    covered[min(a, len(sh))] += 1
+                    covered[min(b, len(sh))] -= 1
+            a = np.flatnonzero(np.cumsum(wanted)[:n] > 0)
             keys.append(_runs(sh)(a, a + SHINGLES))
             docs.append(np.full(len(a), doc, np.int64))
             starts.append(a)
-        cat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (keys, docs, starts)]
-        yield pa.record_batch([pa.array(cat[0].view(np.int64)), pa.array(cat[1], pa.int64()), pa.array(cat[2], pa.int64())], names=["key", "doc_id", "start"])
+            asks.append(np.cumsum(covered)[a] == 0)
+        cat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((keys, np.uint64), (docs, np.int64), (starts, np.int64), (asks, bool))]
+        yield pa.record_batch([pa.array(cat[0].view(np.int64)), pa.array(cat[1], pa.int64()), pa.array(cat[2], pa.int64()), pa.array(cat[3], pa.bool_())],
+                              names=["key", "doc_id", "start", "asks"])
 
 
 _SEEDS = "array<struct<px:long,py:long,kind:int>>"
@@ -564,13 +576,13 @@ def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verif
         return ~F.coalesce(F.exists("known", lambda k: (k["start_word"] <= at) & (at < k["start_word"] + k["n_words"] - (WORDS - 1))), F.lit(False))
 
     left = paired.where("kind > 0 and size > 2").join(known, "doc_id", "left").where(uncovered(F.col("py")))
-    keys = few(scratch.save(left.select("key").distinct()))
+    keys = few(scratch.save(left.select("key").distinct()), KEYS)
     members = shared.where("kind > 0").join(keys, "key").join(known, "doc_id", "left") \
         .select("doc_id", F.struct("kind", "key", "place", uncovered(F.col("place")).alias("open")).alias("member")) \
         .groupBy("doc_id").agg(F.collect_list("member").alias("members"))
     joint = scratch.save(members.mapInArrow(_joint, "key long, doc_id long, place long, open boolean"))
     groups = joint.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")).where("least < most")
-    met = joint.join(few(scratch.save(groups.select("key"))), "key") \
+    met = joint.join(few(scratch.save(groups.select("key")), KEYS), "key") \
         .groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open")).alias("members"))
     # a doc_id on several rows gives the surroundings of each; places beyond a text's end are left out
     around = met.join(base, "doc_id").mapInArrow(_surroundings, "key long, doc_id long, place long, centre int, open boolean, content long, around binary")
@@ -616,12 +628,12 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     windows = scratch.save(base.mapInArrow(_windows, "key long, doc_id long, place long, kind byte"))
     # most windows are in one text: a pass over numbers alone, combined before the shuffle, tells the others
     keys = windows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
-    keys = few(scratch.save(keys.where("leader <> last").select("key", "leader", "size")))
+    keys = few(scratch.save(keys.where("leader <> last").select("key", "leader", "size")), KEYS)
     shared = scratch.save(windows.join(keys, "key"))
     scratch.drop(windows)
     # a join of hot groups can be split, a window over them could not
     leading = shared.where("doc_id = leader").groupBy("key").agg(F.min("place").alias("px"))
-    paired = scratch.save(shared.where("doc_id <> leader").join(few(scratch.save(leading)), "key")
+    paired = scratch.save(shared.where("doc_id <> leader").join(few(scratch.save(leading), KEYS), "key")
                           .select("leader", "doc_id", "px", F.col("place").alias("py"), "key", "size", F.col("kind").cast("int").alias("kind")))
 
     def reach(place, bits: int):
@@ -651,11 +663,15 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     exact_at = paired.where("kind = 0").withColumn("y", F.shiftright("py", 16))
     open_keys = few(scratch.save(exact_at.join(open_at, ["doc_id", "y"], "left_semi").select("key").distinct()))
     open_seeds = shared.where("kind = 0").join(open_keys, "key").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 16)).alias("seeds"))
-    runs = base.join(open_seeds, "doc_id").select("text", "doc_id", "seeds").mapInArrow(_all_runs, "key long, doc_id long, start long")
+    passages = verified.where("n_words > 0").unionByName(more)
+    known = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("known"))
+    runs = base.join(open_seeds.join(known, "doc_id", "left"), "doc_id").select("text", "doc_id", "seeds", "known") \
+        .mapInArrow(_all_runs, "key long, doc_id long, start long, asks boolean")
     runs = scratch.save(runs)
     scratch.drop(shared, paired)
-    firsts = runs.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
-    exact = runs.join(firsts, "key").where("doc_id <> first.doc_id") \
+    firsts = runs.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.when(F.col("asks"), F.col("doc_id"))).alias("last")) \
+        .where("first.doc_id < last")
+    exact = runs.where("asks").join(firsts, "key").where("doc_id <> first.doc_id") \
         .select("doc_id", F.col("start").alias("start_word"), F.lit(LEAST_WORDS).cast("long").alias("n_words"),
                 F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_word"), F.lit(1.0).alias("similarity"))
     # runs that continue each other become one passage
@@ -666,10 +682,6 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .groupBy("doc_id", "source_id", (F.col("start_word") - F.col("source_word")).alias("shift"), "part") \
         .agg(F.min("start_word").alias("start_word"), (F.max("start_word") - F.min("start_word") + LEAST_WORDS).alias("n_words"), F.min("source_word").alias("source_word")) \
         .select("doc_id", "start_word", "n_words", "source_id", "source_word", F.lit(1.0).alias("similarity"))
-    passages = verified.where("n_words > 0").unionByName(more)
-    known = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("known"))
-    inside = F.exists("known", lambda k: (k["start_word"] <= F.col("start_word")) & (F.col("start_word") + F.col("n_words") <= k["start_word"] + k["n_words"]))
-    exact = exact.join(known, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).drop("known")
     return passages.unionByName(exact).distinct()
 
 
