@@ -308,3 +308,30 @@ def test_a_version_is_listed_once(spark, scratch, monkeypatch):
     draft.write(small(spark, 5), "a", ("year",))
     draft.publish()
     assert total(cubes.cube("a")) == 5.0 and len(calls) == 2
+
+
+def test_command_line_of_facts_changes_and_late_rows(spark, scratch, capsys):
+    """Facts, cubes, a change and late events from the command line, against a full build."""
+    from cubewise.__main__ import main
+
+    after_orders, after_lines, moved, gone, lines, own = moved_and_removed()
+    events = table("events")
+    last = pc.equal(pc.day(events["ts"]), 20)
+    early = tables(os.path.join(scratch, "early"), events=events.filter(pc.invert(last)))
+    changed = tables(os.path.join(scratch, "changed"), orders=after_orders, lineitem=after_lines, events=events.filter(pc.invert(last)))
+    late = tables(os.path.join(scratch, "late"), events=events.filter(last), orders=table("orders").slice(0, 0), lineitem=table("lineitem").slice(0, 0))
+    now = tables(os.path.join(scratch, "now"), orders=after_orders, lineitem=after_lines)
+    paths = {}
+    for name, t in (("orders", moved), ("lines", lines), ("deleted-orders", gone.select(["o_orderkey"])), ("deleted-lines", own.select(["l_orderkey", "l_linenumber"]))):
+        paths[name] = os.path.join(scratch, f"{name}.parquet")
+        pq.write_table(t, paths[name])
+    facts, cubes = os.path.join(scratch, "facts"), os.path.join(scratch, "cubes")
+    main(["facts", "--tables", early, "--facts", facts])
+    main(["build", "--tables", early, "--facts", facts, "--cubes", cubes])
+    main(["change", "--tables", changed, "--facts", facts, "--cubes", cubes, *(x for n, p in paths.items() for x in (f"--{n}", p))])
+    main(["late", "--tables", late, "--cubes", cubes])
+    main(["prune", "--root", cubes, "--keep", "1"])
+    assert "version 2 removed" in capsys.readouterr().out
+    got, want = StoredCubes(spark, cubes), TableCubes(spark, now)
+    for spec in route_specs():
+        assert rounded(spec.run(got)) == rounded(spec.run(want)), spec.key
