@@ -57,6 +57,13 @@ def year_window(year: int) -> Window:
     return dt.datetime(year, 1, 1), dt.datetime(year + 1, 1, 1)
 
 
+def iso_year_window(year: int) -> Window:
+    """From the Monday of week 1 to the one of the next year's: an ISO week-year
+    begins and ends up to three days off the calendar year."""
+    first = dt.datetime.fromisocalendar(year, 1, 1)
+    return first, dt.datetime.fromisocalendar(year + 1, 1, 1)
+
+
 def day_window(as_of: dt.date | str | None) -> Window:
     d = as_date(as_of)
     start = dt.datetime(d.year, d.month, d.day)

@@ -78,11 +78,14 @@ class CubeSource(Protocol):
 
 
 class TableCubes:
-    """Cube collections computed from the raw tables under ``base``."""
+    """Cube collections computed from the raw tables under ``base``. With
+    ``weeks="iso"`` the years of week cubes are ISO week-years."""
 
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, weeks: str = B.CALENDAR):
         self.spark = spark
         self.base = base.rstrip("/")
+        self.weeks = weeks
+        B.week_grain(None, weeks)
         self._tables: dict[str, DataFrame] = {}
         self._cubes: dict[tuple, DataFrame] = {}
         self._historic: dict[str, Callable[[str, Window | None], DataFrame]] = {
@@ -197,7 +200,7 @@ class TableCubes:
             if collection in self._historic:
                 if grain not in GRAINS:
                     raise ValueError(f"historic cube {collection!r} needs a grain in {GRAINS}")
-                self._cubes[key] = self._historic[collection](grain, window)
+                self._cubes[key] = self._historic[collection](B.week_grain(grain, self.weeks), window)
             elif collection in self._live:
                 self._cubes[key] = self._live[collection](window)
             else:
@@ -215,8 +218,8 @@ class LateRows(TableCubes):
     of orders that are known already get their party and time from ``known``,
     of which only ``days`` are read."""
 
-    def __init__(self, spark: SparkSession, base: str, known: TableCubes | None = None, days: tuple[Window, ...] = ()):
-        super().__init__(spark, base)
+    def __init__(self, spark: SparkSession, base: str, known: TableCubes | None = None, days: tuple[Window, ...] = (), weeks: str = B.CALENDAR):
+        super().__init__(spark, base, weeks)
         self.known, self.days = known, days
 
     def order_times(self, window: Window | None = None) -> DataFrame:

@@ -62,12 +62,7 @@ TOTAL = "total"
 
 
 def _period(grain: str) -> list[Column]:
-    keys = [F.year("date").cast("long").alias("year")]
-    if grain == "month":
-        keys.append(F.month("date").cast("long").alias("month"))
-    elif grain == "week":
-        keys.append(F.weekofyear("date").cast("long").alias("week"))
-    return keys
+    return B.period_keys(grain, "date")
 
 
 def _by_set(rows: DataFrame, keys: list[str], sets: list[list[str]], items: list[str], *aggs: Column) -> DataFrame:
@@ -152,19 +147,19 @@ def item_rollup(rows: DataFrame, item: str, grain: str, weight: str, item_expr:
 
 def _historic_jobs(lines: DataFrame, orders: DataFrame, order_day: DataFrame, grain: str):
     """(rows, collection, grain, meta) of the cubes over orders and lines."""
-    count = {"measure": "count"}
+    count, name = {"measure": "count"}, "week" if grain == B.ISO_WEEK else grain
     for collection, (_, number) in _value_measures().items():
-        yield value_cube(order_day, collection, grain), collection, grain, count | ({"mean": True} if number is not None else {})
-    yield item_rollup(order_day.where("orders > 0"), "weekday", grain, "orders", F.date_format("date", "EEEE")), "mostTweetsDay", grain, count
-    yield item_rollup(_only(orders, "user"), "user", grain, "orders"), "mostActiveUsers", grain, count
-    yield item_rollup(_only(lines, "hashtag").where("has_part"), "hashtag", grain, "lines"), "hashtags", grain, count
-    yield item_rollup(_only(lines, "url").where("has_part"), "url", grain, "lines"), "urls", grain, count
-    yield item_rollup(_only(lines, "taggedUser"), "taggedUser", grain, "lines"), "mostTaggedUsers", grain, count
+        yield value_cube(order_day, collection, grain), collection, name, count | ({"mean": True} if number is not None else {})
+    yield item_rollup(order_day.where("orders > 0"), "weekday", grain, "orders", F.date_format("date", "EEEE")), "mostTweetsDay", name, count
+    yield item_rollup(_only(orders, "user"), "user", grain, "orders"), "mostActiveUsers", name, count
+    yield item_rollup(_only(lines, "hashtag").where("has_part"), "hashtag", grain, "lines"), "hashtags", name, count
+    yield item_rollup(_only(lines, "url").where("has_part"), "url", grain, "lines"), "urls", name, count
+    yield item_rollup(_only(lines, "taggedUser"), "taggedUser", grain, "lines"), "mostTaggedUsers", name, count
 
 
 def _hour_of_day_jobs(events: DataFrame, grain: str):
     by_day = _only(events).withColumn("date", F.make_date("year", "month", "day"))
-    yield item_rollup(by_day, "hour", grain, "events", F.col("hour")), "mostTweetsTime", grain, {"measure": "count"}
+    yield item_rollup(by_day, "hour", grain, "events", F.col("hour")), "mostTweetsTime", "week" if grain == B.ISO_WEEK else grain, {"measure": "count"}
 
 
 def _live_jobs(events: DataFrame):
@@ -210,6 +205,12 @@ class _Build:
         self.draft: Draft = Versions(src.spark, root).draft()
         self.written: list[str] = []
 
+    def same_weeks(self) -> None:
+        """A version is changed by a source of the same weeks only."""
+        held = self.draft.collections.get(self.target.name("countTotal", "week"))
+        if held is not None and held.meta.get("weeks", B.CALENDAR) != self.src.weeks:
+            raise ValueError(f"the cubes have {held.meta.get('weeks', B.CALENDAR)!r} weeks, not {self.src.weeks!r}: build them in full")
+
     def base(self, name: str, rows: DataFrame, replaces: Scope | None, unchanged: Column | None = None, adds: bool = False) -> None:
         """Write a base, by year and grouping set. Of a replaced year, rows
         for which ``unchanged`` holds are taken from the version before."""
@@ -228,6 +229,7 @@ class _Build:
         def write(job) -> str:
             rows, collection, grain, meta = job
             live = grain is None
+            meta = meta | {"weeks": self.src.weeks} if grain == "week" else meta
             self.draft.write(rows, self.target.name(collection, grain), LIVE_PARTITIONS if live else HISTORIC_PARTITIONS, replaces[live], adds, meta)
             return self.target.path(collection, grain)
 
@@ -273,6 +275,24 @@ def _in_years(years: set[int]) -> Scope:
     return lambda k: k["year"] in {str(y) for y in years}
 
 
+def _since(year: int) -> Scope:
+    return lambda k: k["year"].isdigit() and int(k["year"]) >= year
+
+
+def _iso_scopes(days: list[dt.date] | None, since: dt.date | None) -> tuple[Scope | None, Scope | None, Column | None]:
+    """Of week cubes by ISO week-year: the partitions that a change of these
+    days (or of all since the first day of a year) replaces, the calendar
+    years that hold their days, and the days of these years that count."""
+    year = B.period_keys(B.ISO_WEEK, "date")[0]
+    if since is not None:
+        first = dt.date(since.year, 1, 1).isocalendar().year
+        return _since(first), _since(first - 1), year >= first
+    if days is None:
+        return None, None, None
+    years = {d.isocalendar().year for d in days}
+    return _in_years(years), _in_years({y + k for y in years for k in (-1, 0, 1)}), year.isin(sorted(years))
+
+
 def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | None = None, days: list[dt.date] | None = None,
               event_days: list[dt.date] | None = None) -> list[str]:
     """Publish all 46 collections under ``root`` as one version (read by
@@ -288,13 +308,15 @@ def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | No
     Without any, everything is rebuilt and replaced.
     """
     build = _Build(src, root, parallel)
+    if since is not None or days is not None or event_days is not None:
+        build.same_weeks()
     if days is None and event_days is None:
         windows = None if since is None else ((dt.datetime(since.year, 1, 1), dt.datetime(9999, 1, 1)),)
-        scope: Scope | None = None if since is None else lambda k: k["year"].isdigit() and int(k["year"]) >= since.year
+        scope = None if since is None else _since(since.year)
         build.base(LINES, lines_base(src, windows), scope)
         build.base(ORDERS, orders_base(src, windows), scope)
         build.base(EVENTS, events_base(src, windows), scope)
-        _roll_up(build, scope, scope, {True: scope, False: scope}, windows, windows)
+        _roll_up(build, scope, scope, scope, windows, iso=(_iso_scopes(None, since),) * 2)
         return build.publish()
     days, event_days = sorted(set(days or ())), sorted(set(event_days or ()))
     years, event_years = {d.year for d in days}, {d.year for d in event_days}
@@ -307,30 +329,60 @@ def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | No
         build.base(EVENTS, events_base(src, event_windows), _in_years(event_years), ~F.make_date("year", "month", "day").isin(event_days))
     at = {(str(d.year), str(d.month), str(d.day)) for d in event_days}
     live: Scope = lambda k: (k["year"], k["month"], k["day"]) in at
-    _roll_up(build, _in_years(years) if days else None, _in_years(event_years) if event_days else None, {True: live, False: None},
-             windows, event_windows, bool(days), event_days)
+    _roll_up(build, _in_years(years), _in_years(event_years), live, event_windows, bool(days), event_days,
+             iso=(_iso_scopes(days, None), _iso_scopes(event_days, None)))
     return build.publish()
 
 
-def _roll_up(build: _Build, scope: Scope | None, event_scope: Scope | None, replaces: dict[bool, Scope | None],
-             windows, event_windows, orders_too: bool = True, event_days: list[dt.date] | None = None) -> None:
-    """Write the cubes of the years in ``scope`` from the bases; of ``event_days`` only, the hourly ones."""
+def _roll_up(build: _Build, scope: Scope | None, event_scope: Scope | None, live: Scope | None, event_windows,
+             orders_too: bool = True, event_days: list[dt.date] | None = None, iso=()) -> None:
+    """Write the cubes of the years in ``scope`` from the bases (of week cubes,
+    the years in ``iso``); of ``event_days`` only, the hourly ones."""
+    grains = [B.week_grain(g, build.src.weeks) for g in GRAINS]
+
+    def by_grain(name: str, grain: str, scope: Scope | None, iso) -> tuple[DataFrame, Scope | None]:
+        """Base rows of a grain's years, and the partitions they replace."""
+        if grain != B.ISO_WEEK:
+            return build.rows(name, scope), scope
+        replaced, read, counted = iso
+        rows = build.rows(name, read)
+        if counted is not None:
+            date = rows if "date" in rows.columns else rows.withColumn("date", F.make_date("year", "month", "day"))
+            rows = date.where(counted).select(rows.columns)
+        return rows, replaced
+
     if orders_too:
-        lines, orders = build.rows(LINES, scope), build.rows(ORDERS, scope)
-        build.base(ORDER_DAY, _order_day(lines, orders), scope)
-        order_day = build.rows(ORDER_DAY, scope).drop("year")  # re-derived from the date by each rollup
-        jobs = [j for g in GRAINS for j in _historic_jobs(lines.drop("year"), orders.drop("year"), order_day, g)]
-        build.collections(jobs, {True: None, False: scope})
+        build.base(ORDER_DAY, _order_day(build.rows(LINES, scope), build.rows(ORDERS, scope)), scope)
+        for replaced, own in _alike([(g, by_grain(ORDER_DAY, g, scope, iso[0])[1]) for g in grains]):
+            jobs = []
+            for g in own:
+                # the year partition is re-derived from the date by each rollup
+                lines, orders, order_day = (by_grain(n, g, scope, iso[0])[0].drop("year") for n in (LINES, ORDERS, ORDER_DAY))
+                jobs += _historic_jobs(lines, orders, order_day, g)
+            build.collections(jobs, {True: None, False: replaced})
     if event_days is None or event_days:
+        for replaced, own in _alike([(g, by_grain(EVENTS, g, event_scope, iso[1])[1]) for g in grains]):
+            build.collections([j for g in own for j in _hour_of_day_jobs(by_grain(EVENTS, g, event_scope, iso[1])[0], g)], {True: None, False: replaced})
         events = build.rows(EVENTS, event_scope)
-        build.collections([j for g in GRAINS for j in _hour_of_day_jobs(events, g)], {True: None, False: event_scope})
         if event_days:
             events = events.where(F.make_date("year", "month", "day").isin(event_days))
-        build.collections(list(_live_jobs(events)), replaces)
-        build.day_rollups(events, replaces[True])
+        build.collections(list(_live_jobs(events)), {True: live, False: None})
+        build.day_rollups(events, live)
         build.latest(event_windows)
 
 
+def _alike(grains: list[tuple[str, Scope | None]]) -> list[tuple[Scope | None, list[str]]]:
+    """Grains by the partitions they replace, to be written side by side."""
+    out: list[tuple[Scope | None, list[str]]] = []
+    for grain, scope in grains:
+        own = next((o for s, o in out if s is scope), None)
+        if own is None:
+            out.append((scope, [grain]))
+        else:
+            own.append(grain)
+    return out
+
+
 def add_rows(late: TableCubes, root: str, parallel: int = 4) -> list[str]:
     """Publish a version with rows that came late added to it: ``late`` holds
     just them (see :class:`~cubewise.plans.bindings.LateRows`).
@@ -343,6 +395,7 @@ def add_rows(late: TableCubes, root: str, parallel: int = 4) -> list[str]:
     build = _Build(late, root, parallel)
     if build.draft.base.number == 0:
         raise FileNotFoundError(f"no version is published under {root}")
+    build.same_weeks()
 
     def added(name: str, rows: DataFrame) -> DataFrame:
         build.base(name, rows, None, adds=True)
@@ -351,7 +404,8 @@ def add_rows(late: TableCubes, root: str, parallel: int = 4) -> list[str]:
     lines, orders, events = (added(n, b(late)) for n, b in ((LINES, lines_base), (ORDERS, orders_base), (EVENTS, events_base)))
     order_day = added(ORDER_DAY, _order_day(lines, orders)).drop("year")
     lines, orders = lines.drop("year"), orders.drop("year")
-    jobs = [j for g in GRAINS for j in (*_historic_jobs(lines, orders, order_day, g), *_hour_of_day_jobs(events, g))]
+    grains = [B.week_grain(g, late.weeks) for g in GRAINS]
+    jobs = [j for g in grains for j in (*_historic_jobs(lines, orders, order_day, g), *_hour_of_day_jobs(events, g))]
     build.collections(jobs + list(_live_jobs(events)), {True: None, False: None}, adds=True)
     build.day_rollups(events, None, adds=True)
     build.latest(None, adds=True)

@@ -7,7 +7,8 @@ holding a third of all posts is pre-reduced before the exchange.
 
 Key types: periods are ``bigint`` (calendar year; ISO week of the calendar
 year, so late-December days can fall in week 1 and early-January days in week
-52/53 of the same year), items are ``string``, measures ``double``.
+52/53 of the same year; with ISO week-years, both from that calendar), items
+are ``string``, measures ``double``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,22 @@ from pyspark.sql.types import ArrayType
 from ..catalog import COMBINED_KEY, LATEST_LIST_LENGTH
 
 
+#: Grain of weeks that belong to ISO week-years: 30 December 1997 is in week 1 of 1998.
+ISO_WEEK = "isoweek"
+#: Whether a week belongs to the calendar year of its days, or whole to its ISO week-year.
+CALENDAR, ISO = "calendar", "iso"
+
+
+def week_grain(grain: str | None, weeks: str) -> str | None:
+    """The grain that a cube source with such weeks groups by."""
+    if weeks not in (CALENDAR, ISO):
+        raise ValueError(f"weeks must be {CALENDAR!r} or {ISO!r}")
+    return ISO_WEEK if grain == "week" and weeks == ISO else grain
+
+
 def period_keys(grain: str, ts: str = "ts") -> list[Column]:
+    if grain == ISO_WEEK:
+        return [F.extract(F.lit("YEAROFWEEK"), F.col(ts)).cast("long").alias("year"), F.weekofyear(ts).cast("long").alias("week")]
     keys = [F.year(ts).cast("long").alias("year")]
     if grain == "month":
         keys.append(F.month(ts).cast("long").alias("month"))

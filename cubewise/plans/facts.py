@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import Window, each_window, in_window
 from ..sources.versions import Scope, Versions
 from .bindings import TableCubes
+from .cubes import CALENDAR
 
 MONTH = ("year", "month")
 #: Partition of lines without an order.
@@ -185,8 +186,8 @@ class FactCubes(TableCubes):
     :meth:`refresh`: one consistent state for all cubes.
     """
 
-    def __init__(self, spark: SparkSession, base: str, root: str):
-        super().__init__(spark, base)
+    def __init__(self, spark: SparkSession, base: str, root: str, weeks: str = CALENDAR):
+        super().__init__(spark, base, weeks)
         self.versions = Versions(spark, root)
         self._facts = self._newest()
 

@@ -299,6 +299,9 @@ def extra_sql() -> dict[str, str]:
     out["ordered_mosttweetsday_year_month"] = _ordered("mosttweetsday__year_month", "party", "month", "total DESC", "weekday")
     out["ordered_countTotalRunning_month"] = _ordered("countTotalRunning__month", "party", "day")
     out["ordered_liveTweets_party"] = _ordered("liveTweets__party", "key", "n")
+    for name in ("countTweetByMonth", "averageReply", "averagelikestweet", "mostUsedHashtags", "mosttweetsday"):
+        for shape in ("year_week", "year_week_party"):  # the week's own year, not its day's
+            out[f"iso_{name}_{shape}"] = route_sql(_route(f"{name}__{shape}")).replace("CAST(year(ts) AS BIGINT) AS year", "CAST(isoyear(ts) AS BIGINT) AS year")
     for shape in ("all", "year_month", "legislatur", "party"):
         out[f"top100_users_{shape}"] = _cloud(shape)
     out["top100_users_pruned"] = _cloud("legislatur")

@@ -91,6 +91,7 @@ def table_cubes(spark: SparkSession, sf_dir: str) -> TableCubes:
 
 _FACTS: dict[tuple[int, str], FactCubes] = {}
 _STORED: dict[tuple[int, str], StoredCubes] = {}
+_ISO: dict[tuple[int, str], TableCubes] = {}
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -126,6 +127,15 @@ def document_cubes(spark: SparkSession, sf_dir: str, spec: RouteSpec) -> StoredC
     return stored
 
 
+def iso_cubes(spark: SparkSession, sf_dir: str) -> TableCubes:
+    """Cubes whose weeks belong to ISO week-years."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _ISO or _ISO[key].spark is not spark:
+        _ISO[key] = TableCubes(spark, sf_dir, weeks="iso")
+    return _ISO[key]
+
+
+ISO_FAMILIES = ("countTweetByMonth", "averageReply", "averagelikestweet", "mostUsedHashtags", "mosttweetsday")
 HISTORIC_DOCUMENTS = ("mostUsedHashtags",)
 LINE_FAMILIES = ("averageReply", "averagelikestweet", "averageTweetLength", "averageRetweetsTweet", "totalReplies", "mostUsedHashtags",
                  "mostUsedHashtagsCloud", "mostTaggedUser", "mostUsedUrls")
@@ -172,6 +182,9 @@ def extra_queries() -> dict:
     put("allowed", "countTweetByMonth__party", lambda spark, sf_dir, s: answer(
         table_cubes(spark, sf_dir), s.family.name, s.shape, digits=ORACLE_DIGITS, allowed_parties=(HISTORIC_PARTY, "2-HIGH"), **s.params))
     out["top100_users_pruned"] = lambda spark, sf_dir: top_users(stored_cubes(spark, sf_dir), "legislatur", pruned=True)
+    for name in ISO_FAMILIES:
+        for shape in ("year_week", "year_week_party"):
+            put("iso", f"{name}__{shape}", lambda spark, sf_dir, s: s.run(iso_cubes(spark, sf_dir)))
     for shape in WIDE_SHAPES:
         out[f"top100_users_{shape}"] = lambda spark, sf_dir, shape=shape: top_users(table_cubes(spark, sf_dir), shape)
     return out

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from ..catalog import (COMBINED_KEY, COUNT, LATEST, LIVE_ITEMS, LIVE_MEAN, LIVE_MONTH_TOP_N, LIVE_SUM, RANKED,
                        UNRANKED, check_party, family)
-from ..functions.calendar import day_window, month_window, year_window
+from ..functions.calendar import day_window, iso_year_window, month_window, year_window
 from ..operators.history import all_time_top_items, period_values, top_items
 from ..operators.latest import latest_items
 from ..operators.live import day_leader, day_mean, day_total, month_by_day, month_top_items
 from .bindings import CubeSource
+from .cubes import CALENDAR, ISO
 
 
 def historic_shape(shape: str) -> tuple[str, bool, bool]:
@@ -95,7 +96,9 @@ def _answer(cubes: CubeSource, family_name: str, shape: str, *, year: int | None
         if needs_year and year is None:
             raise ValueError(f"shape {shape!r} needs a year")
         when = year if needs_year else None
-        cube = cubes.cube(fam.cube, grain, year_window(year) if needs_year else None)
+        iso = grain == "week" and getattr(cubes, "weeks", CALENDAR) == ISO
+        window = (iso_year_window(year) if iso else year_window(year)) if needs_year else None
+        cube = cubes.cube(fam.cube, grain, window)
         if fam.group == COUNT:
             return period_values(cube, grain, when, who, measure=fam.measure, digits=digits)
         if shape == "legislatur":
