@@ -81,10 +81,10 @@ class Ensemble:
 
     def score(self) -> Column:
         """Probability of label 1, of the statistics' columns."""
-        total = F.lit(float(self.base))
-        for r in self.rules:
-            total = total + F.when(r.column(), F.lit(float(r.weight))).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+        terms = [F.lit(float(self.base)), *(F.when(r.column(), F.lit(float(r.weight))).otherwise(F.lit(0.0)) for r in self.rules)]
+        while len(terms) > 1:  # added in pairs: a deep expression costs the driver memory for each of its levels
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2:]
+        return 1 / (1 + F.exp(-terms[0]))
 
 
 def _grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, names: list[str]):
