@@ -6,6 +6,7 @@ lost later costs no recomputation, and the files can be read by all.
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -48,11 +49,21 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and broadcasts of what ran before.
+    Its cleaner follows the collection of plans that nothing refers to any
+    more, which a driver with little to do leaves for half an hour: meanwhile
+    they fill executors' disks and the driver's memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """A fresh folder under ``spark.checkpoint.dir`` for one operator run."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        tidy(spark)
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         ship_code(spark)
@@ -67,11 +78,13 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that :meth:`save` returned and that nothing reads any more."""
+        """Remove tables that :meth:`save` returned and that nothing reads any
+        more, and what Spark keeps of plans that are done."""
         jvm = self.spark._jvm
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        tidy(self.spark)
 
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
