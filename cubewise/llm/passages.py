@@ -575,11 +575,13 @@ def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verif
         at = F.shiftright(place, 16)
         return ~F.coalesce(F.exists("known", lambda k: (k["start_word"] <= at) & (at < k["start_word"] + k["n_words"] - (WORDS - 1))), F.lit(False))
 
-    left = paired.where("kind > 0 and size > 2").join(known, "doc_id", "left").where(uncovered(F.col("py")))
-    keys = few(scratch.save(left.select("key").distinct()), KEYS)
-    members = shared.where("kind > 0").join(keys, "key").join(known, "doc_id", "left") \
-        .select("doc_id", F.struct("kind", "key", "place", uncovered(F.col("place")).alias("open")).alias("member")) \
-        .groupBy("doc_id").agg(F.collect_list("member").alias("members"))
+    # gathered by text before they meet what is known of it: one row for each text
+    left = paired.where("kind > 0 and size > 2").groupBy("doc_id").agg(F.collect_list(F.struct("key", "py")).alias("windows")).join(known, "doc_id", "left")
+    open_keys = left.select(F.explode(F.filter("windows", lambda w: uncovered(w["py"]))["key"]).alias("key"))
+    keys = few(scratch.save(open_keys.distinct()), KEYS)
+    members = shared.where("kind > 0").join(keys, "key").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "place")).alias("windows")) \
+        .join(known, "doc_id", "left") \
+        .select("doc_id", F.transform("windows", lambda w: F.struct(w["kind"].alias("kind"), w["key"].alias("key"), w["place"].alias("place"), uncovered(w["place"]).alias("open"))).alias("members"))
     joint = scratch.save(members.mapInArrow(_joint, "key long, doc_id long, place long, open boolean"))
     groups = joint.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")).where("least < most")
     met = joint.join(few(scratch.save(groups.select("key")), KEYS), "key") \
