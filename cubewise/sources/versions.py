@@ -164,20 +164,24 @@ class Draft:
         self._lock = threading.Lock()
 
     def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = (), replaces: Scope | None = None,
-              adds: bool = False, meta: dict | None = None) -> None:
+              adds: bool = False, meta: dict | None = None, clustered: bool = False) -> None:
         """Write ``df`` as partitions of collection ``name``. Partitions for
         which ``replaces`` holds (default: all) are those of ``df`` then, also
         where it has no rows for them; with ``adds`` all stay, and the rows come on top.
 
         The ``rebalance`` hint clusters rows by the partition columns (few
-        files per partition) and lets adaptive execution split a hot one. Each
+        files per partition) and lets adaptive execution split a hot one. Rows
+        that are ``clustered`` come from a shuffle of their own already, in
+        tasks that adaptive execution sized: they are written from these, a file
+        for each task and partition, and do not cross the network again
+        (without adaptive execution, all rows are clustered here). Each
         task commits its own files, so a lost executor re-runs its tasks only.
         Jobs of one draft may write different collections at the same time.
         """
         versions, label = self.versions, f"{self.base.number + 1}-{uuid.uuid4().hex[:8]}"
-        rows = df.withColumn(LABEL, F.lit(label))
-        clustered = rows.hint("rebalance", *partition_by) if partition_by else rows
-        clustered.write.mode("append").partitionBy(*partition_by, LABEL).parquet(f"{versions.root}/{name}")
+        sized = all(versions.spark.conf.get(f"spark.sql.adaptive.{c}", "true") == "true" for c in ("enabled", "coalescePartitions.enabled"))
+        rows = df.hint("rebalance", *partition_by) if partition_by and not (clustered and sized) else df
+        rows.withColumn(LABEL, F.lit(label)).write.mode("append").partitionBy(*partition_by, LABEL).parquet(f"{versions.root}/{name}")
         found = versions._fs().globStatus(versions._path(name, *["*=*"] * len(partition_by), f"{LABEL}={label}")) or ()
         depth = len(partition_by) + 1
         folders = ["/".join(s.getPath().toString().split("/")[-depth:]) for s in found]

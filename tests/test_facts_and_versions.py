@@ -53,6 +53,19 @@ def facts_root(spark, tmp_path_factory):
     return root
 
 
+def test_part_texts_stay_out_of_the_shuffle_of_lines_on_orders(spark, scratch, monkeypatch):
+    from cubewise.sources import versions
+
+    built, write = {}, versions.Draft.write
+    monkeypatch.setattr(versions.Draft, "write", lambda self, df, name, *args, **more: (built.update({name: df}), write(self, df, name, *args, **more))[1])
+    Facts(spark, scratch).build(TableCubes(spark, SF_SMALL))
+    joins = [line for line in built["lines"]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert "p_partkey" in joins[0] and "o_orderkey" in joins[1] and len(joins) == 2  # the first is the outer one
+    held = Versions(spark, scratch).newest().collections["lines"]
+    assert len({f.rpartition("=")[2] for f in held.folders}) == 1  # one label for all partitions
+    assert spark.read.parquet(f"{scratch}/lines").count() == table("lineitem").num_rows
+
+
 def test_facts_answer_every_route_like_raw_tables(spark, facts_root):
     raw, facts = TableCubes(spark, SF_SMALL), FactCubes(spark, SF_SMALL, facts_root)
     for spec in route_specs():
