@@ -81,6 +81,13 @@ class TableCubes:
     """Cube collections computed from the raw tables under ``base``. With
     ``weeks="iso"`` the years of week cubes are ISO week-years."""
 
+    #: Whether lines are stored with their order and part, so that reading some columns of them again is no join.
+    joined = False
+
+    def spans(self, most: int) -> list[Window]:
+        """Windows to count lines in one after another; none: all at once."""
+        return []
+
     def __init__(self, spark: SparkSession, base: str, weeks: str = B.CALENDAR):
         self.spark = spark
         self.base = base.rstrip("/")

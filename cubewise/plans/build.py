@@ -14,7 +14,8 @@ Bases (grouping sets in brackets):
 
 - ``lines``: lineitem joined to orders and (left) to part, which is the only
   pass over lineitem, shuffled twice (on the order key, then the part key;
-  not at all where the rows come from line facts).
+  not at all where the rows come from line facts: then each set is an
+  aggregate of its own, over its columns).
   Sets: [party, date] with line count, quantity, discount and name-length
   sums and the number of lines with a part; [party, date, has_part, brand];
   [party, date, has_part, name]; [party, date, supplier].
@@ -42,6 +43,7 @@ from __future__ import annotations
 
 import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ from pyspark.sql import functions as F
 from ..catalog import LATEST_LIST_LENGTH
 from ..functions.calendar import Window, day_windows, in_window
 from ..sources.cubes import HISTORIC_PARTITIONS, LIVE_PARTITIONS
-from ..sources.versions import Draft, Scope, Versions
+from ..sources.versions import Draft, Scope, Versions, folder_keys
 from . import cubes as B
 from .bindings import NUMBER, SUM, StoredCubes, TableCubes, day_rollup
 
@@ -59,15 +61,37 @@ LINE_ITEMS = ["hashtag", "url", "taggedUser"]
 ORDER_ITEMS = ["user"]
 EVENT_ITEMS = ["username", "source", "hashtag"]
 TOTAL = "total"
+#: Lines, and rows of a base, that are aggregated by item at once, in bytes as
+#: stored (whole years, at least one): their groups stay in the tasks' memory.
+PORTION = 32 << 20
+LINE_PORTION = 96 << 20
 
 
 def _period(grain: str) -> list[Column]:
     return B.period_keys(grain, "date")
 
 
-def _by_set(rows: DataFrame, keys: list[str], sets: list[list[str]], items: list[str], *aggs: Column) -> DataFrame:
+def _by_set(rows: DataFrame, keys: list[str], sets: list[list[str]], items: list[str], *aggs: Column, apart: bool = False) -> DataFrame:
     """One aggregate over grouping sets: ``keys`` alone (set ``total``) and
-    with each of ``sets``. A set is named by the one of ``items`` it holds."""
+    with each of ``sets``. A set is named by the one of ``items`` it holds.
+
+    With ``apart``, an aggregate for each set, which reads its own columns of
+    ``rows`` only, and sums for items what cubes count of them: the first of
+    ``aggs``. Where rows are stored, that is less work than grouping sets: these
+    make a wide row for each set from every row, and all sets' groups share a
+    task's memory, so that an item of very many values makes it spill.
+    """
+    if apart:
+        out = rows.groupBy(*keys).agg(*aggs)
+        columns = {c: rows.schema[c].dataType for s in sets for c in s} | {c: "string" for c in items} | {f.name: f.dataType for f in out.schema if f.name not in keys}
+
+        def named(own: DataFrame, name: str) -> DataFrame:
+            return own.select(*keys, *[(F.col(c) if c in own.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()], F.lit(name).alias("set"))
+
+        out = named(out, TOTAL)
+        for s, name in zip(sets, items, strict=True):
+            out = out.unionByName(named(rows.groupBy(*keys, *s).agg(aggs[0]), name))
+        return out
     extra = list(dict.fromkeys(c for s in sets for c in s))
     out = rows.groupingSets([keys, *[keys + s for s in sets]], *keys, *extra).agg(
         *aggs, *[F.grouping(item).alias(f"g_{item}") for item in items])
@@ -82,7 +106,7 @@ def _only(base: DataFrame, item: str = TOTAL) -> DataFrame:
 
 def lines_base(src: TableCubes, window: Window | tuple[Window, ...] | None = None) -> DataFrame:
     rows = src.line_rows(window).select(
-        "party", F.to_date("ts").alias("date"), "has_part", "hashtag", "url", F.col("l_suppkey").cast("string").alias("taggedUser"),
+        "party", F.to_date("ts").alias("date"), "has_part", "hashtag", "url", F.col("l_suppkey").cast("bigint" if src.joined else "string").alias("taggedUser"),
         "l_quantity", "l_discount", F.length("url").alias("name_len"))
     return _by_set(
         rows, ["party", "date"], [["has_part", "hashtag"], ["has_part", "url"], ["taggedUser"]], LINE_ITEMS,
@@ -90,7 +114,16 @@ def lines_base(src: TableCubes, window: Window | tuple[Window, ...] | None = Non
         F.sum("l_quantity").alias("qty"),
         F.sum(F.col("l_discount") * 100).alias("disc100"),
         F.sum("name_len").alias("name_len"),
-        F.sum(F.col("has_part").cast("int")).alias("parted"))
+        F.sum(F.col("has_part").cast("int")).alias("parted"), apart=src.joined)
+
+
+def line_bases(src: TableCubes, windows: tuple[Window, ...] | None) -> list[DataFrame]:
+    """The lines base in parts, to be written one after another: of as many
+    years each as are counted at once (of raw tables, whose lines have no year
+    before their join, all)."""
+    first = windows[0][0] if windows else dt.datetime.min
+    spans = [(max(start, first), end) for start, end in src.spans(LINE_PORTION) if end > first]
+    return [lines_base(src, (span,)) for span in spans] or [lines_base(src, windows)]
 
 
 def orders_base(src: TableCubes, window: Window | tuple[Window, ...] | None = None) -> DataFrame:
@@ -145,16 +178,17 @@ def item_rollup(rows: DataFrame, item: str, grain: str, weight: str, item_expr:
             .agg(F.sum(weight).cast("double").alias("count")))
 
 
-def _historic_jobs(lines: DataFrame, orders: DataFrame, order_day: DataFrame, grain: str):
-    """(rows, collection, grain, meta) of the cubes over orders and lines."""
+def _historic_jobs(lines: list[DataFrame], orders: list[DataFrame], order_day: DataFrame, grain: str):
+    """(rows, collection, grain, meta) of the cubes over orders and lines, whose
+    bases come in portions that share no period."""
     count, name = {"measure": "count"}, "week" if grain == B.ISO_WEEK else grain
     for collection, (_, number) in _value_measures().items():
         yield value_cube(order_day, collection, grain), collection, name, count | ({"mean": True} if number is not None else {})
     yield item_rollup(order_day.where("orders > 0"), "weekday", grain, "orders", F.date_format("date", "EEEE")), "mostTweetsDay", name, count
-    yield item_rollup(_only(orders, "user"), "user", grain, "orders"), "mostActiveUsers", name, count
-    yield item_rollup(_only(lines, "hashtag").where("has_part"), "hashtag", grain, "lines"), "hashtags", name, count
-    yield item_rollup(_only(lines, "url").where("has_part"), "url", grain, "lines"), "urls", name, count
-    yield item_rollup(_only(lines, "taggedUser"), "taggedUser", grain, "lines"), "mostTaggedUsers", name, count
+    yield [item_rollup(_only(o, "user"), "user", grain, "orders") for o in orders], "mostActiveUsers", name, count
+    yield [item_rollup(_only(li, "hashtag").where("has_part"), "hashtag", grain, "lines") for li in lines], "hashtags", name, count
+    yield [item_rollup(_only(li, "url").where("has_part"), "url", grain, "lines") for li in lines], "urls", name, count
+    yield [item_rollup(_only(li, "taggedUser"), "taggedUser", grain, "lines") for li in lines], "mostTaggedUsers", name, count
 
 
 def _hour_of_day_jobs(events: DataFrame, grain: str):
@@ -211,26 +245,40 @@ class _Build:
         if held is not None and held.meta.get("weeks", B.CALENDAR) != self.src.weeks:
             raise ValueError(f"the cubes have {held.meta.get('weeks', B.CALENDAR)!r} weeks, not {self.src.weeks!r}: build them in full")
 
-    def base(self, name: str, rows: DataFrame, replaces: Scope | None, unchanged: Column | None = None, adds: bool = False) -> None:
+    def base(self, name: str, rows: DataFrame | list[DataFrame], replaces: Scope | None, unchanged: Column | None = None, adds: bool = False) -> None:
         """Write a base, by year and grouping set. Of a replaced year, rows
         for which ``unchanged`` holds are taken from the version before."""
-        rows = _with_year(rows)
+        rows = [_with_year(r) for r in (rows if isinstance(rows, list) else [rows])]
         if unchanged is not None and name in self.draft.collections:
-            rows = rows.unionByName(self.draft.frame(name, replaces).where(unchanged).select(rows.columns))
-        self.draft.write(rows, name, ("year", "set") if "set" in rows.columns else ("year",), replaces, adds)
+            rows.append(self.draft.frame(name, replaces).where(unchanged).select(rows[0].columns))
+            rows = [reduce(DataFrame.unionByName, rows)]
+        by_set = "set" in rows[0].columns
+        self.draft.write(rows, name, ("year", "set") if by_set else ("year",), replaces, adds, clustered=by_set and unchanged is None)
 
     def rows(self, name: str, scope: Scope | None) -> DataFrame:
         return self.draft.frame(name, scope)
 
+    def portions(self, name: str, scope: Scope | None) -> list[DataFrame]:
+        """Rows of a base, in frames of whole years."""
+        def within(some: set[str]) -> Scope:
+            return lambda k: k["year"] in some and (scope is None or scope(k))
+
+        keys = [folder_keys(f) for f in self.draft.collections[name].folders]
+        scopes = [within(some) for some in self.draft.portions(name, "year", PORTION)]
+        return [self.rows(name, own) for own in scopes if any(map(own, keys))] or [self.rows(name, scope)]
+
     def collections(self, jobs, replaces: dict[bool, Scope | None], adds: bool = False) -> None:
         """Write collections; ``replaces`` is given for live and historic ones.
         Rollups read small bases: running their jobs side by side keeps the
-        executors busy instead of paying each small job's latency in turn."""
+        executors busy instead of paying each small job's latency in turn.
+        Historic ones are written as their aggregate's shuffle left them; by
+        day, that would be many small files, so live ones are clustered first."""
         def write(job) -> str:
             rows, collection, grain, meta = job
             live = grain is None
             meta = meta | {"weeks": self.src.weeks} if grain == "week" else meta
-            self.draft.write(rows, self.target.name(collection, grain), LIVE_PARTITIONS if live else HISTORIC_PARTITIONS, replaces[live], adds, meta)
+            self.draft.write(rows, self.target.name(collection, grain), LIVE_PARTITIONS if live else HISTORIC_PARTITIONS, replaces[live], adds, meta,
+                             clustered=not live)
             return self.target.path(collection, grain)
 
         with ThreadPoolExecutor(max_workers=self.parallel) as pool:
@@ -313,7 +361,7 @@ def build_all(src: TableCubes, root: str, parallel: int = 4, since: dt.date | No
     if days is None and event_days is None:
         windows = None if since is None else ((dt.datetime(since.year, 1, 1), dt.datetime(9999, 1, 1)),)
         scope = None if since is None else _since(since.year)
-        build.base(LINES, lines_base(src, windows), scope)
+        build.base(LINES, line_bases(src, windows), scope)
         build.base(ORDERS, orders_base(src, windows), scope)
         build.base(EVENTS, events_base(src, windows), scope)
         _roll_up(build, scope, scope, scope, windows, iso=(_iso_scopes(None, since),) * 2)
@@ -357,8 +405,11 @@ def _roll_up(build: _Build, scope: Scope | None, event_scope: Scope | None, live
             jobs = []
             for g in own:
                 # the year partition is re-derived from the date by each rollup
-                lines, orders, order_day = (by_grain(n, g, scope, iso[0])[0].drop("year") for n in (LINES, ORDERS, ORDER_DAY))
-                jobs += _historic_jobs(lines, orders, order_day, g)
+                # an ISO week can have days of two years: its bases stay in one
+                lines, orders, order_day = ([rows.drop("year") for rows in (
+                    [by_grain(n, g, scope, iso[0])[0]] if g == B.ISO_WEEK or n == ORDER_DAY else build.portions(n, scope))]
+                    for n in (LINES, ORDERS, ORDER_DAY))
+                jobs += _historic_jobs(lines, orders, order_day[0], g)
             build.collections(jobs, {True: None, False: replaced})
     if event_days is None or event_days:
         for replaced, own in _alike([(g, by_grain(EVENTS, g, event_scope, iso[1])[1]) for g in grains]):
@@ -405,7 +456,7 @@ def add_rows(late: TableCubes, root: str, parallel: int = 4) -> list[str]:
     order_day = added(ORDER_DAY, _order_day(lines, orders)).drop("year")
     lines, orders = lines.drop("year"), orders.drop("year")
     grains = [B.week_grain(g, late.weeks) for g in GRAINS]
-    jobs = [j for g in grains for j in (*_historic_jobs(lines, orders, order_day, g), *_hour_of_day_jobs(events, g))]
+    jobs = [j for g in grains for j in (*_historic_jobs([lines], [orders], order_day, g), *_hour_of_day_jobs(events, g))]
     build.collections(jobs + list(_live_jobs(events)), {True: None, False: None}, adds=True)
     build.day_rollups(events, None, adds=True)
     build.latest(None, adds=True)

@@ -215,6 +215,15 @@ class FactCubes(TableCubes):
         # lines without an order are in no window
         return rows.where(F.col("year") > 0) if window is None else rows.where(_months(window) & in_window("ts", window))
 
+    def spans(self, most: int) -> list[Window]:
+        """Windows of whole years that hold all lines, each of years that come
+        to up to ``most`` bytes together; none where a year has no window."""
+        years = [sorted(int(y) for y in some if int(y) > 0) for some in self.versions.portions(self._facts, "lines", "year", most)]
+        years = [some for some in years if some]
+        if any(some[-1] > 9998 for some in years):
+            return []
+        return [(dt.datetime(some[0], 1, 1), dt.datetime(some[-1] + 1, 1, 1)) for some in years]
+
     def orders(self, window: Window | None = None, *extra: str) -> DataFrame:
         return self.fact("orders", window).select("o_orderkey", "party", "ts", *extra)
 

@@ -124,6 +124,22 @@ class Versions:
         df = self.spark.read.schema(schema.add(LABEL, "string")).option("basePath", base).parquet(*(f"{base}/{f}" for f in folders))
         return df.drop(LABEL).select([f.name for f in schema.fields if f.name != LABEL])
 
+    def portions(self, manifest: Manifest, name: str, key: str, most: int) -> list[set[str]]:
+        """Values of the partition key ``key``, in groups: as many neighbours as
+        hold up to ``most`` bytes together, by the sizes of their folders."""
+        fs, sizes = self._fs(), {}
+        for f in manifest.collections[name].folders:
+            value = folder_keys(f)[key]
+            sizes[value] = sizes.get(value, 0) + fs.getContentSummary(self._path(name, f)).getLength()
+        out, room = [], 0
+        for value in sorted(sizes, key=lambda v: (len(v), v)):
+            if not out or sizes[value] > room:
+                out.append(set())
+                room = most
+            out[-1].add(value)
+            room -= sizes[value]
+        return out
+
     # -- writing ---------------------------------------------------------
     def draft(self) -> Draft:
         return Draft(self)
@@ -163,7 +179,7 @@ class Draft:
         self._last: dict[str, str] = {}
         self._lock = threading.Lock()
 
-    def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = (), replaces: Scope | None = None,
+    def write(self, df: DataFrame | list[DataFrame], name: str, partition_by: tuple[str, ...] = (), replaces: Scope | None = None,
               adds: bool = False, meta: dict | None = None, clustered: bool = False) -> None:
         """Write ``df`` as partitions of collection ``name``. Partitions for
         which ``replaces`` holds (default: all) are those of ``df`` then, also
@@ -180,8 +196,10 @@ class Draft:
         """
         versions, label = self.versions, f"{self.base.number + 1}-{uuid.uuid4().hex[:8]}"
         sized = all(versions.spark.conf.get(f"spark.sql.adaptive.{c}", "true") == "true" for c in ("enabled", "coalescePartitions.enabled"))
-        rows = df.hint("rebalance", *partition_by) if partition_by and not (clustered and sized) else df
-        rows.withColumn(LABEL, F.lit(label)).write.mode("append").partitionBy(*partition_by, LABEL).parquet(f"{versions.root}/{name}")
+        frames = df if isinstance(df, list) else [df]
+        for rows in frames:
+            rows = rows.hint("rebalance", *partition_by) if partition_by and not (clustered and sized) else rows
+            rows.withColumn(LABEL, F.lit(label)).write.mode("append").partitionBy(*partition_by, LABEL).parquet(f"{versions.root}/{name}")
         found = versions._fs().globStatus(versions._path(name, *["*=*"] * len(partition_by), f"{LABEL}={label}")) or ()
         depth = len(partition_by) + 1
         folders = ["/".join(s.getPath().toString().split("/")[-depth:]) for s in found]
@@ -190,13 +208,16 @@ class Draft:
             had = self.collections.get(name)
             kept = [] if had is None or (replaces is None and not adds) else \
                 [f for f in had.folders if adds or not replaces(folder_keys(f))]
-            self.collections[name] = Collection(df.schema.json(), tuple(partition_by), tuple(sorted({*kept, *folders})),
+            self.collections[name] = Collection(frames[0].schema.json(), tuple(partition_by), tuple(sorted({*kept, *folders})),
                                                 meta if meta is not None else had.meta if had else {})
 
     def frame(self, name: str, keep: Scope | None = None) -> DataFrame:
         """Rows of a collection as the draft holds them now."""
         return self.versions.frame(Manifest(self.base.number, self.collections), name, keep)
 
+    def portions(self, name: str, key: str, most: int) -> list[set[str]]:
+        return self.versions.portions(Manifest(self.base.number, self.collections), name, key, most)
+
     def own(self, name: str) -> DataFrame:
         """Rows that this draft wrote last to a collection."""
         held, end = self.collections[name], f"{LABEL}={self._last[name]}"

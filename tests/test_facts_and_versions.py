@@ -348,3 +348,38 @@ def test_command_line_of_facts_changes_and_late_rows(spark, scratch, capsys):
     got, want = StoredCubes(spark, cubes), TableCubes(spark, now)
     for spec in route_specs():
         assert rounded(spec.run(got)) == rounded(spec.run(want)), spec.key
+
+
+def test_items_are_counted_a_portion_of_years_at_a_time(spark, scratch, facts_root, monkeypatch):
+    src, raw = FactCubes(spark, SF_SMALL, facts_root), TableCubes(spark, SF_SMALL)
+    assert "Expand" not in plan(build_module.lines_base(src))  # stored lines: no wide row for each set
+    years = {f.split("/")[0] for f in Versions(spark, facts_root).newest().collections["lines"].folders}
+    assert len(build_module.line_bases(src, None)) == 1  # they are few
+    monkeypatch.setattr(build_module, "PORTION", 1)
+    monkeypatch.setattr(build_module, "LINE_PORTION", 1)
+    assert len(build_module.line_bases(src, None)) == len(years - {"year=0"}) > 2
+    root = os.path.join(scratch, "cubes")
+    cubes = (("mostTaggedUsers", "taggedUser"), ("mostActiveUsers", "user"), ("urls", "url"), ("hashtags", "hashtag"))
+
+    def same_as_raw():
+        stored = StoredCubes(spark, root)
+        for collection, item in cubes:
+            for grain in ("year", "month", "week"):
+                keys = dict.fromkeys(("party", "year", grain, item, "count"))
+                assert rows(stored.cube(collection, grain), *keys) == rows(raw.cube(collection, grain), *keys), (collection, grain)
+        assert not any(c.added_to for c in Versions(spark, root).newest().collections.values())
+
+    build_all(src, root)
+    same_as_raw()
+    build_all(src, root, since=dt.date(1997, 5, 1))
+    same_as_raw()
+
+
+def test_historic_cubes_are_written_as_their_aggregate_left_them(spark, scratch, facts_root, monkeypatch):
+    from cubewise.sources import versions
+
+    written, write = {}, versions.Draft.write
+    monkeypatch.setattr(versions.Draft, "write", lambda self, df, name, *args, **more: (written.update({name: more.get("clustered", False)}), write(self, df, name, *args, **more))[1])
+    build_all(FactCubes(spark, SF_SMALL, facts_root), scratch)
+    assert written["mostTaggedUsersByWeek"] and written["mostActiveUsersByYear"] and written[build_module.LINES]
+    assert not written["sourceRunningByHourAndParty"]  # by day: clustered, or it would be many small files
