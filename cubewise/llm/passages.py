@@ -594,11 +594,15 @@ def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verif
     contents = scratch.save(around.groupBy("key", "content").agg(
         F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("latest"), F.max("centre").alias("centre"), F.max("around").alias("around"))
         .select("key", "content", "centre", "around", "first.*", "latest"))
+    # of all surroundings, only where the open ones are is asked for again
+    open_places = scratch.save(around.where("open").select("doc_id", F.col("place").alias("y"), "content"))
+    scratch.drop(around)
     sizes = contents.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("latest").alias("most")).where("least < most")
+    sizes = few(scratch.save(sizes.select("key", "n")), KEYS)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id", "place"), blocks).cast("int")
     # a: the block of the open contents that are compared, b: that of the ones they are compared with
-    dealt = contents.join(sizes.select("key", "n"), "key").withColumn("own", own).withColumn("all", F.sequence(F.lit(0), blocks - 1))
+    dealt = contents.join(sizes, "key").withColumn("own", own).withColumn("all", F.sequence(F.lit(0), blocks - 1))
     opened = F.col("latest").isNotNull()
     asking = F.when(opened, F.transform("all", lambda b: F.struct(F.col("own").alias("a"), b.alias("b"), F.lit(True).alias("asks"), (b == F.col("own")).alias("gives"))))
     giving = F.transform(F.filter("all", lambda a: ~opened | (a != F.col("own"))),
@@ -607,10 +611,10 @@ def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verif
         .select("key", "doc_id", "place", "centre", "around", "content", F.coalesce("latest", "doc_id").alias("latest"), "to.*")
     block = ["key", "a", "b"]
     partners = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_in_blocks, "content long, leader long, x long")
-    partners = partners.join(around.where("open").select("doc_id", F.col("place").alias("y"), "content"), "content").where("leader < doc_id")
+    partners = partners.join(open_places, "content").where("leader < doc_id")
     seed = F.struct(F.shiftleft("x", 16).alias("px"), F.shiftleft("y", 16).alias("py"), F.lit(1).alias("kind"))
     pairs = scratch.save(partners.groupBy("leader", "doc_id").agg(F.collect_set(seed).alias("seeds")))
-    scratch.drop(around, contents)
+    scratch.drop(open_places, contents)
     ids = few(scratch.save(pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).distinct()))
     return pairs, scratch.save(base.join(ids, "doc_id", "left_semi"))
 

@@ -69,12 +69,14 @@ class Scratch:
         ship_code(spark)
 
     def save(self, df: DataFrame) -> DataFrame:
-        """``df`` written once (compressed well, as disk is what such tables cost) and read back."""
+        """``df`` written once (compressed well, as disk is what such tables
+        cost) and read back; the shuffle files behind it are of no use then."""
         self._n += 1
         path = f"{self.path}/{self._n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        tidy(self.spark)
         return out
 
     def drop(self, *tables: DataFrame) -> None:

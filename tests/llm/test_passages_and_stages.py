@@ -192,3 +192,11 @@ def test_pack_stage_on_odd_rows(spark):
         assert (p == o + n) if s == t else p == 0
     assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
     assert stages.pack(spark, docs.limit(0), "").count() == 0
+
+
+def test_a_saved_table_lets_go_of_the_shuffles_behind_it(spark, monkeypatch):
+    from cubewise.llm import scratch as S
+
+    own, asked = S.Scratch(spark, "saved"), []
+    monkeypatch.setattr(S, "tidy", asked.append)
+    assert own.save(spark.range(3)).count() == 3 and asked == [spark]
