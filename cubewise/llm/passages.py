@@ -716,7 +716,9 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with every repeated passage cut out of all documents but the
     first that holds it; other columns and documents stay as they are. Rows
     that share a doc_id are cut alike only where their texts are the same."""
-    found = scratch.save(repeated_passages(docs, scratch).select("doc_id", "start_word", "n_words").distinct())
+    own = Scratch(scratch.spark, "repeats")
+    found = scratch.save(repeated_passages(docs, own).select("doc_id", "start_word", "n_words").distinct())
+    own.clear()
     cuts = found.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("cuts"))
     if found.limit(CUTS + 1).count() <= CUTS:  # two numbers each
         cuts = F.broadcast(cuts)

@@ -82,12 +82,19 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that :meth:`save` returned and that nothing reads any
         more, and what Spark keeps of plans that are done."""
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._remove(df._scratch_path)
         tidy(self.spark)
 
+    def clear(self) -> None:
+        """Remove all tables saved so far, once nothing reads any of them."""
+        self._remove(self.path)
+        tidy(self.spark)
+
+    def _remove(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df`` as a broadcast side if it has at most ``most`` (narrow) rows;

@@ -17,7 +17,10 @@ PERCENT = 80
 
 
 def _without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    gone = few(scratch.save(gone.where("doc_id is not null").select("doc_id").distinct()))
+    """``docs`` without the ids of ``gone``. These are saved apart, and the
+    operator's tables in ``scratch`` removed: later stages need the disk."""
+    gone = few(Scratch(docs.sparkSession, "gone").save(gone.where("doc_id is not null").select("doc_id").distinct()))
+    scratch.clear()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -1,6 +1,7 @@
 """Passages at the edge of similarity, repetitive texts, and stages on tables of any shape."""
 
 import itertools
+import os
 import random
 
 import numpy as np
@@ -200,3 +201,27 @@ def test_a_saved_table_lets_go_of_the_shuffles_behind_it(spark, monkeypatch):
     own, asked = S.Scratch(spark, "saved"), []
     monkeypatch.setattr(S, "tidy", asked.append)
     assert own.save(spark.range(3)).count() == 3 and asked == [spark]
+
+
+def test_stages_leave_only_what_their_rows_are_read_from(spark, small_tables, monkeypatch):
+    """Tables of an operator are gone when its stage returns; the disk is the next one's."""
+    from cubewise.llm import scratch as S
+
+    folder, item, words = small_tables
+    rng, saved, save = random.Random(9), [], S.Scratch.save
+    text = lambda: " ".join(rng.choice(words) for _ in range(70))
+    same = text()
+    docs = spark.createDataFrame([(1, f"{same} {text()}"), (2, f"{text()} {same}"), (3, same), (4, same), (5, f"{text()} {item}"), (6, text())], "doc_id long, text string")
+
+    def recorded(self, df):
+        out = save(self, df)
+        saved.append((out._scratch_path, set(out.columns)))
+        return out
+
+    monkeypatch.setattr(S.Scratch, "save", recorded)
+    for stage, ids in ((stages.near_duplicates, {1, 2, 3, 5, 6}), (stages.repeated_passages, {1, 2, 3, 4, 5, 6}), (stages.benchmark_passages, {1, 2, 3, 4, 6})):
+        saved.clear()
+        out = stage(spark, docs, folder)
+        left = [columns for path, columns in saved if os.path.exists(path.removeprefix("file:"))]
+        assert left and all(c in ({"doc_id"}, {"k", "d"}, {"doc_id", "start_word", "n_words"}) for c in left), left
+        assert {r.doc_id for r in out.collect()} == ids
