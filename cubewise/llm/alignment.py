@@ -5,10 +5,10 @@ byte, both agree; the bytes between two such places are a *group*, and all its
 A tokens are linked with all its B tokens.
 
 A batch of texts is aligned without a loop over texts or tokens: token lists
-are flattened with their parent indices, sizes become ends by a segmented
-cumulative sum, and a hash join on (document, end) finds the places where both
-tokenizers end. Running counts of those places number the groups on either
-side, and a second join, on the group, gives the links. Within a group equal
+are flattened with their parent indices, sizes become ends by a cumulative
+sum, and the ends of both, marked on the bytes of the batch, tell the places
+where both tokenizers end. Running counts of those places number the groups on
+either side, and a hash join on the group gives the links. Within a group equal
 ids are counted before they are joined, so a text in which the two seldom
 agree gives no more rows than it has different id pairs.
 
@@ -22,6 +22,7 @@ frequent.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -41,8 +42,8 @@ HOT = 100_000
 WIDE = 64
 #: A Spark task has a core of its own.
 THREADS = False
-#: Bytes of texts that are aligned together, about.
-CHUNK = 1 << 21
+#: Bytes of texts that are aligned together, about: tables of all their tokens are some fifty times as large.
+CHUNK = 1 << 19
 #: Pairs whose counts a task holds before it gives them, and most pairs of a written row.
 HELD = 500_000
 ROW_PAIRS = 256
@@ -64,7 +65,7 @@ class PieceTokens(PieceCounter):
             self.ids = {}
         for k, ids in zip(rest, self.model.encode([words[k] for k in rest], num_threads=1)):
             # without characters: a space at the end of a text
-            found[k] = self.ids[words[k]] = np.array(ids or [self.lone], np.int32).tobytes()
+            found[k] = self.ids[words[k]] = array("i", ids or [self.lone]).tobytes()
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,13 +163,13 @@ class Aligned:
                 break
             good[np.flatnonzero(good)[np.searchsorted(off, np.flatnonzero(other), side="right") - 1]] = False
             a, b = _of(a, good), _of(b, good)
-        base = np.zeros(self.n, np.int64)
-        base[good] = off[:-1]
-        a, b = (t.append_column("end", _segmented_ends(t, base)).append_column("at", pa.array(np.arange(t.num_rows))) for t in (a, b))
-        common = a.select(["doc", "end", "at"]).join(b.select(["doc", "end", "at"]), ["doc", "end"], join_type="inner", right_suffix="_b", use_threads=THREADS)
-        self.a, group_doc = _grouped(a, common["at"])
-        self.b, _ = _grouped(b, common["at_b"])
-        self.group_doc = group_doc
+        # the bytes of the good texts stand one after the other: a token's end there is its document and its end in it at once
+        ends = [pc.cumulative_sum(t["size"].cast(pa.int64())).to_numpy() for t in (a, b)]
+        marked = np.zeros((2, len(raw) + 1), bool)
+        for side, end in zip(marked, ends):
+            side[end] = True
+        self.a, self.group_doc = _grouped(a, marked[1][ends[0]])
+        self.b, _ = _grouped(b, marked[0][ends[1]])
 
     def per_doc(self, docs) -> np.ndarray:
         return np.bincount(np.asarray(docs), minlength=self.n)
@@ -230,16 +231,9 @@ def _of(tokens: pa.Table, good: np.ndarray) -> pa.Table:
     return tokens if good.all() else tokens.filter(pa.array(good).take(tokens["doc"]))
 
 
-def _segmented_ends(tokens: pa.Table, base: np.ndarray) -> pa.Array:
-    """Byte in its document at which each token ends: a running sum of sizes, less that of the documents before."""
-    return pc.subtract(pc.cumulative_sum(tokens["size"].cast(pa.int64())), pa.array(base).take(tokens["doc"]))
-
-
-def _grouped(tokens: pa.Table, common: pa.ChunkedArray) -> tuple[pa.Table, np.ndarray]:
-    """Tokens with their group: how many common ends lie before. Also the document of each group."""
-    ends = np.zeros(tokens.num_rows, np.int64)
-    ends[common.to_numpy()] = 1
-    return tokens.select(["doc", "id"]).append_column("group", pa.array(np.cumsum(ends) - ends)), tokens["doc"].to_numpy()[ends == 1]
+def _grouped(tokens: pa.Table, common: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """Tokens with their group: how many ``common`` ends lie before. Also the document of each group."""
+    return tokens.select(["doc", "id"]).append_column("group", pa.array(np.cumsum(common) - common)), tokens["doc"].to_numpy()[common]
 
 
 def token_groups(docs: DataFrame, json_name: str = TOKENIZER, model: str = MODEL) -> DataFrame:
@@ -284,7 +278,7 @@ def _counted(json_name: str, model: str):
         return given(held, np.array([held.num_rows]), pa.nulls(1, pa.int64()), kind)
 
     def run(batches):
-        held, kind = None, None
+        held, n_held, kind = [], 0, None
         for batch in batches:
             kind = batch.column(1).type
             for i, j, _, _ in K.chunks(*K.buffers(batch.column(2)), CHUNK):
@@ -298,12 +292,16 @@ def _counted(json_name: str, model: str):
                                        *(pa.nulls(found.n, k) for k in listed)], names=names)
                 yield given(pairs, found.per_doc(pairs["doc"]), part.column(0), kind)
                 own = pairs.group_by(["a", "b"], use_threads=THREADS).aggregate([([], "count_all")]).rename_columns(["a", "b", "links"])
-                held = own if held is None else merged([held, own])
-                if held.num_rows > HELD:
-                    yield counts(held, kind)
-                    held = None
-        if held is not None:
-            yield counts(held, kind)
+                held, n_held = [*held, own], n_held + own.num_rows
+                if n_held > HELD:
+                    held = [merged(held)]
+                    n_held = held[0].num_rows
+                    if n_held > HELD // 2:
+                        yield counts(held[0], kind)
+                        held, n_held = [], 0
+        if held:
+            yield counts(merged(held), kind)
+        pa.default_memory_pool().release_unused()  # the worker stays, and what it holds counts beside Spark's own memory
 
     return run
 

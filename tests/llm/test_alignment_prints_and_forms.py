@@ -84,6 +84,20 @@ def test_pieces_of_a_model_that_joins_words_are_its_own():
     vb.tokenizer.splits = True
 
 
+def test_a_batch_of_long_texts_is_aligned_a_few_at_a_time():
+    """What a task holds does not grow with its batch."""
+    texts = random_texts(800, "abcdefghijklmno    ", 12_000)
+    batch = pa.record_batch([pa.array(range(800)), pa.array(range(800)), pa.array(texts)], names=["row", "doc_id", "text"])
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        rows = [sum(r["n_a"] is not None for r in b.select(["n_a"]).to_pylist()) for b in alignment._counted(alignment.TOKENIZER, alignment.MODEL)([batch])]
+    finally:
+        pa.set_memory_pool(before)
+    assert sum(rows) == 800 and batch.nbytes > 4_000_000
+    assert pool.max_memory() < 64 << 20
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
