@@ -4,7 +4,8 @@ A hash function over a text's shingles has one minimum in every passage. The
 Cartesian tree of the hashes tells, for each shingle, the interval in which it
 is the minimum: a *compact window* stands for all passages inside it that hold
 the shingle. Windows narrower than the passages looked for are left out, so
-about two in ``SHINGLES`` positions remain.
+about two in ``SHINGLES`` positions remain. Equal shingles one after another
+(a word said many times) are one minimum, as their first and last place.
 
 Passages that agree share windows of the same minimum. Windows meet by
 
@@ -50,6 +51,8 @@ SHINGLES = LEAST_WORDS - WORDS + 1
 SIDE = SHINGLES // 2
 #: Further hash functions, whose minima alone are compared.
 MINIMA = 6
+#: Marks the last place of a run of equal shingles in a window's kind.
+LAST = 8
 #: Shingles within which an alignment goes on after a break, on any diagonal.
 BAND = 32
 #: Two passages of at least ``SHINGLES`` that are 0.8 similar have so many in common: m / (2n - m) >= 0.8.
@@ -63,6 +66,8 @@ BLOCK = 1024
 PAIRS = 4_000_000
 #: Keys that are broadcast.
 KEYS = 200_000
+#: Keys that Spark would not broadcast by itself either.
+HASHED = 1_000_000
 #: Passages that are broadcast to be cut out; more are shuffled.
 CUTS = 500_000
 
@@ -87,14 +92,41 @@ def _texts(column):
         yield i, j, at, sh, sat
 
 
-def window_centres(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Compact windows of at least ``width`` in each text: the text, the
-    place of the minimum, and how far the window reaches left and right."""
-    n = np.diff(at)
-    count = np.maximum(n - width + 1, 0)
-    none = np.zeros(0, np.int64)
-    if not count.sum():
-        return none, none, none, none
+def _intervals(at: np.ndarray, width: int) -> np.ndarray:
+    """First place of each interval of ``width`` in each text."""
+    count = np.maximum(np.diff(at) - width + 1, 0)
+    return np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+
+
+def _smaller(value: np.ndarray, first: np.ndarray, last: np.ndarray, text: np.ndarray, step: int) -> np.ndarray:
+    """For each node the nearest one of a smaller value in the same text, ``step`` -1 before
+    or 1 behind it; -1 if there is none as far as ``FAR``."""
+    found = np.full(len(value), -1)
+    k = np.arange(len(value))
+    j = k + step
+    while len(k):
+        ok = (j >= 0) & (j < len(value))
+        k, j = k[ok], j[ok]
+        apart = first[k] - last[j] if step < 0 else first[j] - last[k]
+        ok = (text[j] == text[k]) & (apart <= FAR + 1)
+        k, j = k[ok], j[ok]
+        less = value[j] < value[k]
+        found[k[less]] = j[less]
+        k, j = k[~less], j[~less] + step
+    return found
+
+
+def window_centres(h: np.ndarray, at: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows of at least ``width`` in each text (``first``: see
+    :func:`_intervals`): the text, the place of the minimum, how far the window
+    reaches left and right (as far as ``FAR`` at least), and whether the place
+    is the last of a run. Equal shingles one after another are one minimum. A
+    passage in its window holds the first place of the run, the last one, or
+    lies in it: the first and last place stand for the run, and of a longer one
+    every ``width``-th, which any passage in it holds."""
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(bool)
     bits = np.uint64(int(len(h)).bit_length())
     coded = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # the place breaks ties: the first one wins
     least, have = coded, 1
@@ -102,25 +134,28 @@ def window_centres(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarra
         step = min(have, width - have)
         least = np.minimum(least[:len(least) - step], least[step:])
         have += step
-    first = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    mark = np.zeros(len(h), bool)
-    mark[(least[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
-    centre = np.flatnonzero(mark)
+    centre = (least[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    centre = centre[np.diff(centre, prepend=-1) != 0]  # minima of one interval after another never go back
+    new = np.append(True, h[1:] != h[:-1])  # runs of equal values
+    new[at[(at > 0) & (at < len(h))]] = True
+    centre = centre[new[centre]]
+    begins = np.append(np.flatnonzero(new), len(h))
+    end = begins[np.searchsorted(begins, centre, side="right")] - 1
     text = np.searchsorted(at, centre, side="right") - 1
-    left, right = at[text].copy(), at[text + 1].copy()  # bounds of the text, then of smaller values
     # The nearest smaller values of a node are its ancestors in the Cartesian tree, and so are centres too.
-    value, place, own = coded[centre].tolist(), centre.tolist(), text.tolist()
-    stack: list[int] = []
-    lo, hi = left.tolist(), right.tolist()
-    for k in range(len(place)):
-        if stack and own[stack[-1]] != own[k]:
-            stack.clear()
-        while stack and value[stack[-1]] > value[k]:
-            hi[stack.pop()] = place[k]
-        if stack:
-            lo[k] = place[stack[-1]] + 1
-        stack.append(k)
-    return text, centre, centre - np.array(lo, np.int64), np.array(hi, np.int64) - 1 - centre
+    value = coded[centre]
+    before, behind = _smaller(value, centre, end, text, -1), _smaller(value, centre, end, text, 1)
+    low = np.where(before >= 0, end[before] + 1, np.maximum(at[text], centre - FAR))
+    high = np.where(behind >= 0, centre[behind] - 1, np.minimum(at[text + 1], end + FAR + 1) - 1)
+    size = end - centre
+    more = np.flatnonzero(size)
+    times = (size[more] + width - 1) // width  # places after the first one
+    run = np.repeat(more, times)
+    place = np.minimum(centre[run] + width * (np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times) + 1), end[run])
+    node = np.concatenate((np.arange(len(centre)), run))
+    place = np.concatenate((centre, place))
+    last = (place == end[node]) & (size[node] > 0)
+    return text[node], place, place - low[node], high[node] - place, last
 
 
 def _runs(sh: np.ndarray):
@@ -133,25 +168,27 @@ def _runs(sh: np.ndarray):
 
 
 def _windows(batches):
-    """key, doc_id, place (see :func:`_place`), kind (0: equal shingles, else the hash function)."""
+    """key, doc_id, place (see :func:`_place`), kind (0: equal shingles, else the hash function; ``LAST`` more at the end of a run)."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for i, _, _, sh, at in _texts(batch.column(1)):
             out = []
             hashed = _runs(sh)
+            first = _intervals(at, SHINGLES)
             for f in range(MINIMA + 1):
                 h = K.mix(sh + np.uint64(0x51ED270B * (f + 1)))
-                text, c, left, right = window_centres(h, at, SHINGLES)
+                text, c, left, right, last = window_centres(h, at, first, SHINGLES)
                 place = _place(c - at[text], left, right)
+                kind = f + LAST * last
                 if f:
-                    out.append((K.mix(h[c] + np.uint64(f)), text, place, f))
+                    out.append((K.mix(h[c] + np.uint64(f)), text, place, kind))
                     continue
                 after, before = right >= SIDE, left >= SIDE
-                out.append((hashed(c[after], c[after] + SIDE + 1) ^ np.uint64(0xA5A5), text[after], place[after], 0))
-                out.append((hashed(c[before] - SIDE, c[before] + 1) ^ np.uint64(0x5A5A), text[before], place[before], 0))
-            for key, text, place, kind in out:
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[i + text]), pa.array(place), pa.array(np.full(len(key), kind, np.int8))],
-                                      names=["key", "doc_id", "place", "kind"])
+                out.append((hashed(c[after], c[after] + SIDE + 1) ^ np.uint64(0xA5A5), text[after], place[after], kind[after]))
+                out.append((hashed(c[before] - SIDE, c[before] + 1) ^ np.uint64(0x5A5A), text[before], place[before], kind[before]))
+            key, text, place, kind = (np.concatenate(c) for c in zip(*out))
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[i + text]), pa.array(place), pa.array(kind.astype(np.int8))],
+                                  names=["key", "doc_id", "place", "kind"])
 
 
 def _meetings(group: np.ndarray, kind: np.ndarray, centre: np.ndarray, sides: list[np.ndarray]):
@@ -443,23 +480,35 @@ DRIFT = 2 * REACH // 9 + 1
 
 def _dense(around: list[np.ndarray], centres: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
     """Pairs of windows that may hold a similar passage: a necessary test,
-    made for all pairs at once."""
+    made for all pairs at once, in either direction."""
     width = 2 * REACH + 1
     rows = np.unique(np.concatenate((xs, ys)))
     padded = np.zeros((len(rows), width + 2 * DRIFT), np.int64)  # 0 is no shingle, minima stand in the middle
     for k, r in enumerate(rows.tolist()):
         a = DRIFT + REACH - int(centres[r])
         padded[k, a:a + len(around[r])] = around[r].astype(np.int64) + 1
-    ok = np.zeros(len(xs), bool)
-    for i in range(0, len(xs), 4096):
-        x, y = padded[np.searchsorted(rows, xs[i:i + 4096])], padded[np.searchsorted(rows, ys[i:i + 4096])]
-        y = y[:, DRIFT:DRIFT + width]
-        found = np.zeros(y.shape, bool)
-        for shift in range(2 * DRIFT + 1):
-            found |= x[:, shift:shift + width] == y
-        run = np.cumsum(found & (y > 0), axis=1, dtype=np.int32)
-        ok[i:i + 4096] = (run[:, SHINGLES - 1:] - np.pad(run, ((0, 0), (1, 0)))[:, :width - SHINGLES + 1]).max(axis=1) >= DENSE
-    return ok
+    xs, ys = np.searchsorted(rows, xs), np.searchsorted(rows, ys)
+    first = np.arange(REACH + 1)
+    least = np.maximum(REACH, first + SHINGLES - 1)  # last shingles of the shortest passages from there on that hold the minimum
+    ok = np.arange(len(xs))
+    for xs, ys in ((xs, ys), (ys, xs)):
+        fit = np.zeros(len(ok), bool)
+        for i in range(0, len(ok), 4096):
+            x, y = padded[xs[ok[i:i + 4096]]], padded[ys[ok[i:i + 4096]], DRIFT:DRIFT + width]
+            found = np.zeros(y.shape, bool)
+            for shift in range(2 * DRIFT + 1):
+                found |= x[:, shift:shift + width] == y
+            found &= y > 0
+            run = np.pad(np.cumsum(found, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+            fit[i:i + 4096] = (run[:, SHINGLES:] - run[:, :width - SHINGLES + 1]).max(axis=1) >= DENSE
+            # of all shingles of the passage as many are in common
+            gain = 5 * run - 4 * np.arange(width + 1, dtype=np.int32)
+            best = np.maximum.accumulate(gain[:, ::-1], axis=1)[:, ::-1]
+            fit[i:i + 4096] &= (best[:, least + 1] - gain[:, first]).max(axis=1) >= 0
+        ok = ok[fit]
+    out = np.zeros(len(xs), bool)
+    out[ok] = True
+    return out
 
 
 def _partners(table: pa.Table) -> list[tuple]:
@@ -584,12 +633,12 @@ def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verif
         .select("doc_id", F.transform("windows", lambda w: F.struct(w["kind"].alias("kind"), w["key"].alias("key"), w["place"].alias("place"), uncovered(w["place"]).alias("open"))).alias("members"))
     joint = scratch.save(members.mapInArrow(_joint, "key long, doc_id long, place long, open boolean"))
     groups = joint.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")).where("least < most")
-    met = joint.join(few(scratch.save(groups.select("key")), KEYS), "key") \
-        .groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open")).alias("members"))
+    met = scratch.save(joint.join(few(scratch.save(groups.select("key")), KEYS), "key")
+                       .groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open")).alias("members")))
     # a doc_id on several rows gives the surroundings of each; places beyond a text's end are left out
-    around = met.join(base, "doc_id").mapInArrow(_surroundings, "key long, doc_id long, place long, centre int, open boolean, content long, around binary")
+    around = met.join(base.join(few(met.select("doc_id")), "doc_id", "left_semi"), "doc_id").mapInArrow(_surroundings, "key long, doc_id long, place long, centre int, open boolean, content long, around binary")
     around = scratch.save(around)
-    scratch.drop(joint)
+    scratch.drop(joint, met)
     # windows of one content are compared once: its first document gives, all its open places ask
     contents = scratch.save(around.groupBy("key", "content").agg(
         F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("latest"), F.max("centre").alias("centre"), F.max("around").alias("around"))
@@ -619,6 +668,12 @@ def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verif
     return pairs, scratch.save(base.join(ids, "doc_id", "left_semi"))
 
 
+def _keys(keys: DataFrame) -> DataFrame:
+    """``keys`` as the smaller side of a join with windows: beyond ``HASHED``
+    a shuffled join builds its table from them and does not sort the windows."""
+    return keys.hint("shuffle_hash") if keys.limit(HASHED + 1).count() > HASHED else few(keys, KEYS)
+
+
 def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Passages of more than 50 words of ``docs(doc_id long, text)`` that
     repeat in a document of smaller id: ``doc_id, start_word, n_words,
@@ -634,12 +689,12 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     windows = scratch.save(base.mapInArrow(_windows, "key long, doc_id long, place long, kind byte"))
     # most windows are in one text: a pass over numbers alone, combined before the shuffle, tells the others
     keys = windows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
-    keys = few(scratch.save(keys.where("leader <> last").select("key", "leader", "size")), KEYS)
-    shared = scratch.save(windows.join(keys, "key"))
+    keys = _keys(scratch.save(keys.where("leader <> last").select("key", "leader", "size")))
+    shared = scratch.save(windows.join(keys, "key").withColumn("last", F.col("kind") >= LAST).withColumn("kind", F.col("kind") % LAST))
     scratch.drop(windows)
     # a join of hot groups can be split, a window over them could not
-    leading = shared.where("doc_id = leader").groupBy("key").agg(F.min("place").alias("px"))
-    paired = scratch.save(shared.where("doc_id <> leader").join(few(scratch.save(leading), KEYS), "key")
+    leading = shared.where("doc_id = leader").groupBy("key", "last").agg(F.min("place").alias("px")).select("key", "px")
+    paired = scratch.save(shared.where("doc_id <> leader").join(_keys(scratch.save(leading)), "key")
                           .select("leader", "doc_id", "px", F.col("place").alias("py"), "key", "size", F.col("kind").cast("int").alias("kind")))
 
     def reach(place, bits: int):
@@ -668,10 +723,10 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     open_at = verified.where("n_words = 0").select("doc_id", F.col("start_word").alias("y")).unionByName(cramped.withColumnRenamed("start_word", "y")).distinct()
     exact_at = paired.where("kind = 0").withColumn("y", F.shiftright("py", 16))
     open_keys = few(scratch.save(exact_at.join(open_at, ["doc_id", "y"], "left_semi").select("key").distinct()))
-    open_seeds = shared.where("kind = 0").join(open_keys, "key").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 16)).alias("seeds"))
+    open_seeds = scratch.save(shared.where("kind = 0").join(open_keys, "key").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 16)).alias("seeds")))
     passages = verified.where("n_words > 0").unionByName(more)
     known = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("known"))
-    runs = base.join(open_seeds.join(known, "doc_id", "left"), "doc_id").select("text", "doc_id", "seeds", "known") \
+    runs = base.join(few(open_seeds.select("doc_id")), "doc_id", "left_semi").join(open_seeds.join(known, "doc_id", "left"), "doc_id").select("text", "doc_id", "seeds", "known") \
         .mapInArrow(_all_runs, "key long, doc_id long, start long, asks boolean")
     runs = scratch.save(runs)
     scratch.drop(shared, paired)

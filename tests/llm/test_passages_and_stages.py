@@ -58,6 +58,72 @@ def test_seeds_on_one_way_give_what_each_gives_alone():
                 assert shared[1] >= passages.SHINGLES and shared[3] >= 0.8 and shared[0] <= cy < shared[0] + shared[1]
 
 
+def windows_by_hand(h, width):
+    """Of each run of equal values: its first and last place and every ``width``-th, and how far values are no smaller (equal ones before end it)."""
+    out, a = set(), 0
+    while a < len(h):
+        b = a
+        while b + 1 < len(h) and h[b + 1] == h[a]:
+            b += 1
+        low, high = a, b
+        while low and h[low - 1] > h[a]:
+            low -= 1
+        while high + 1 < len(h) and h[high + 1] >= h[a]:
+            high += 1
+        if high - low + 1 >= width:
+            out |= {(p, min(p - low, passages.FAR), min(high - p, passages.FAR), p == b > a) for p in {a, b, *range(a, b, width)}}
+        a = b + 1
+    return out
+
+
+@pytest.mark.parametrize("width", [5, passages.SHINGLES])
+def test_windows_of_runs(width):
+    rng = np.random.default_rng(width)
+    for most in (1, 3, 120):
+        texts = [np.repeat(rng.integers(1, k, 300), rng.integers(1, most + 1, 300))[:n] for k in (2, 6, 10**6) for n in (0, width - 1, width, 300)]
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        h = passages.K.mix(np.concatenate(texts).astype(np.uint64))
+        text, place, left, right, last = passages.window_centres(h, at, passages._intervals(at, width), width)
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+            own = text == i
+            got = list(zip((place[own] - a).tolist(), np.minimum(left, passages.FAR)[own].tolist(), np.minimum(right, passages.FAR)[own].tolist(), last[own].tolist()))
+            assert len(set(got)) == len(got) and set(got) == windows_by_hand(h[a:b].tolist(), width)
+
+
+def test_repeated_words_make_few_windows():
+    """A word said again and again is one minimum: all its places were windows."""
+    rng = random.Random(12)
+    words = vocabulary(rng)
+    texts = {"one": ["the"] * 20_000, "lines": [w for _ in range(1000) for w in [rng.choice(words[:5])] * 20], "none": [rng.choice(words) for _ in range(20_000)]}
+    for name, most in (("one", 10_000), ("lines", 20_000), ("none", 10_000)):  # of 160,000 shingles hashed (kind 0 counts twice)
+        batch = passages.pa.record_batch([passages.pa.array([1]), passages.pa.array([" ".join(texts[name])])], names=["doc_id", "text"])
+        assert sum(b.num_rows for b in passages._windows([batch])) <= most, name
+
+
+def test_exact_repeats_among_runs_of_words(spark):
+    """All passages of 51 words that an earlier text holds are found, in texts of words said 1 to 70 times."""
+    rng = random.Random(11)
+    words = vocabulary(rng, 12)
+    runs = lambda n: [w for _ in range(n) for w in [rng.choice(words)] * rng.choice([1, 2, 5, 20, 60, 70])]
+    shared = [runs(8) for _ in range(6)]
+    texts = []
+    for _ in range(30):
+        own = rng.choice(shared)
+        a = rng.randrange(len(own))
+        texts.append(runs(3) + own[a:a + rng.randint(51, 150)] + runs(3))
+    rows = passages.repeated_passages(frame(spark, [" ".join(t) for t in texts]), Scratch(spark, "t")).collect()
+    covered = {}
+    for r in rows:
+        assert r.source_id < r.doc_id
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.start_word + r.n_words))
+    before = set()
+    for i, t in enumerate(texts):
+        parts = [tuple(t[a:a + 51]) for a in range(len(t) - 50)]
+        missed = {k for a, p in enumerate(parts) if p in before for k in range(a, a + 51)} - covered.get(i, set())
+        assert not missed, i
+        before.update(parts)
+
+
 def similar_by_hand(texts):
     """Words of later texts that lie in a window of 51 words or up to 60 with an
     equally long window of an earlier text, 0.8 similar."""
