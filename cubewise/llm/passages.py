@@ -422,7 +422,10 @@ def _verify(batches):
         rows = []
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            xs, ys = _shingles_of(part.column("xt")), _shingles_of(part.column("yt"))
+            texts = pa.chunked_array([part.column("xt"), part.column("yt")]).combine_chunks().dictionary_encode()  # a text of many pairs, once
+            once = _shingles_of(texts.dictionary)
+            both = [once[k] for k in texts.indices.to_pylist()]
+            xs, ys = both[:part.num_rows], both[part.num_rows:]
             seeds = part.column("seeds")
             flat, edge = seeds.flatten(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(seeds).to_numpy())))
             px, py, kind = (flat.field(f).to_numpy() for f in ("px", "py", "kind"))
