@@ -26,14 +26,16 @@ Where a minimum is not covered by a verified passage then, its leader was not
 the right one. All windows of such groups meet again under two functions at
 once: within each text the same sweep joins the windows of every two
 functions that a passage can lie in, and their two minima together are the
-key of a new, far smaller group. Its members are compared in blocks, by the
-shingles of their windows. Windows that met by equal shingles but are not
+key of a new, far smaller group. Its members are compared by the shingles of
+their windows, in blocks if there are many. Windows that met by equal shingles but are not
 covered by a verified passage as far as they reach may still repeat in a third
 text: they are resolved exactly, by all their runs of ``SHINGLES`` shingles.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 (pa.compute)
@@ -62,12 +64,17 @@ FAR = 255
 #: Shingles kept on either side of a place whose group is compared in blocks, and rows of a block, about.
 REACH = 2 * SHINGLES
 BLOCK = 1024
-#: Windows' shingles that are compared at a time.
-PAIRS = 4_000_000
+#: Pairs of windows that are compared at a time, and bits by which it is told that two have little in common.
+PAIRS = 1_000_000
+MARKS = 1024
 #: Keys that are broadcast.
 KEYS = 200_000
 #: Keys that Spark would not broadcast by itself either.
 HASHED = 1_000_000
+#: Windows that are packed, or met, at a time; buckets of keys at least; bytes of a bucket that stay in memory.
+HELD = 500_000
+BUCKETS = 1024
+SPOOLED = 1 << 26
 #: Passages that are broadcast to be cut out; more are shuffled.
 CUTS = 500_000
 
@@ -191,6 +198,143 @@ def _windows(batches):
                                   names=["key", "doc_id", "place", "kind"])
 
 
+def _packed_windows(buckets: int):
+    """A function that gives the windows of texts packed by buckets of their keys."""
+    def packed(batches):
+        held, size = [], 0
+        for windows in _windows(batches):
+            held.append(tuple(c.to_numpy() for c in windows.columns))
+            size += windows.num_rows
+            if size >= HELD:
+                yield _packed(held, buckets)
+                held, size = [], 0
+        if size:
+            yield _packed(held, buckets)
+
+    return packed
+
+
+def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of keys: bucket, windows (all keys, then the bytes
+    of all documents and of all places with their kinds, highest ones together)."""
+    key, doc, place, kind = (np.concatenate(c) for c in zip(*held))
+    key = key.view(np.uint64)
+    bucket = (key >> np.uint64(32)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    key, doc, place = key[order], doc[order], (place << 4 | kind.astype(np.int64))[order]
+    edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+    some = np.flatnonzero(np.diff(edge))
+    doc, place = (np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8) for c in (doc, place))
+    rows = [key[i:j].tobytes() + doc[i:j].T.tobytes() + place[i:j].T.tobytes() for i, j in zip(edge[some].tolist(), edge[some + 1].tolist())]
+    return pa.record_batch([pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "windows"])
+
+
+def _unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, doc_id, place with kind."""
+    columns = []
+    for row in rows:
+        n = len(row) // 24
+        raw = np.frombuffer(row, np.uint8)
+        columns.append((raw[:8 * n].view(np.uint64), *(np.ascontiguousarray(raw[c * n:(c + 8) * n].reshape(8, n).T).view(np.int64)[:, 0] for c in (8, 16))))
+    return tuple(np.concatenate(c) for c in zip(*columns))
+
+
+def _grouped(key: np.ndarray, least: np.ndarray, most: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each key the least and the most of its documents and its windows."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[new], np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new), np.add.reduceat(size[order], new)
+
+
+class _Bucket:
+    """The packed rows of a bucket of keys, on disk if they are many (one key may have them all)."""
+
+    def __init__(self):
+        self.file, self.sizes = tempfile.SpooledTemporaryFile(SPOOLED), []
+
+    def add(self, row: bytes) -> None:
+        self.file.write(row)
+        self.sizes.append(len(row))
+
+    def rows(self):
+        self.file.seek(0)
+        for n in self.sizes:
+            yield self.file.read(n)
+
+    def parts(self):
+        """All windows, about ``HELD`` at a time."""
+        rows, size = [], 0
+        for row in self.rows():
+            rows.append(row)
+            size += len(row)
+            if size >= 24 * HELD:
+                yield _unpacked(rows)
+                rows, size = [], 0
+        if rows:
+            yield _unpacked(rows)
+
+    def shared(self):
+        """Rows of the windows whose key several documents have, see :data:`SHARED`."""
+        parts = self.parts
+        if sum(self.sizes) < 24 * HELD:
+            once = list(self.parts())
+            parts = lambda: once
+        groups = None
+        for key, doc, _ in parts():
+            own = _grouped(key, doc, doc, np.ones(len(key), np.int64))
+            groups = _grouped(*(np.concatenate(c) for c in zip(groups, own))) if groups else own
+        several = groups[1] < groups[2]
+        keys, leader, _, count = (g[several] for g in groups)
+        if not len(keys):
+            return
+        none = np.iinfo(np.int64).max
+        px = np.full((2, len(keys)), none)  # the leader's first place of each group: as a minimum alone or as the first one of a run, as the last one of a run
+
+        def met():
+            for key, doc, place in parts():
+                g = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[g] == key
+                g, place = g[hit], place[hit]
+                yield key[hit], doc[hit], place >> 4, place & (LAST - 1), (place & LAST) > 0, g
+
+        for _, doc, place, _, last, g in met():
+            own = doc == leader[g]
+            np.minimum.at(px, (last[own].astype(np.int64), g[own]), place[own])
+        for key, doc, place, kind, last, g in met():
+            given = (px[:, g] < none) & (doc != leader[g])
+            one = np.where(given[0], px[0, g], px[1, g])
+            two = np.flatnonzero(given.all(axis=0))
+            row = np.concatenate((np.arange(len(g)), two))
+            yield pa.record_batch([pa.array(key[row].view(np.int64)), pa.array(leader[g[row]]), pa.array(count[g[row]]), pa.array(doc[row]), pa.array(place[row]), pa.array(kind[row].astype(np.int32)),
+                                   pa.array(np.concatenate((one, px[1, g[two]])), mask=~given.any(axis=0)[row]), pa.array(np.arange(len(row)) >= len(g))],
+                                  names=["key", "leader", "size", "doc_id", "place", "kind", "px", "again"])
+
+
+#: ``px``: a place of the leader, for windows of other documents. One that has two is a row ``again``.
+SHARED = "key long, leader long, size long, doc_id long, place long, kind int, px long, again boolean"
+
+
+def _by_bucket(batches):
+    """Buckets of rows (bucket, packed) that come sorted by bucket."""
+    at, bucket = None, _Bucket()
+    for batch in batches:
+        for number, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if number != at and at is not None:
+                yield bucket
+                bucket = _Bucket()
+            at = number
+            bucket.add(row.as_py())
+    if at is not None:
+        yield bucket
+
+
+def _shared(batches):
+    """The windows that documents share."""
+    for bucket in _by_bucket(batches):
+        yield from bucket.shared()
+
+
 def _meetings(group: np.ndarray, kind: np.ndarray, centre: np.ndarray, sides: list[np.ndarray]):
     """Sweep over windows sorted by ``group`` and ``centre``: pairs (i, j) of
     windows of two functions whose intervals, on all ``sides``, share room for
@@ -235,6 +379,41 @@ def _supported(batches):
                               names=["leader", "doc_id", "seeds"])
 
 
+def _pairs(batches):
+    """:func:`_supported` of seeds that come as rows, sorted by pair."""
+    def given(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        columns = [table.column(c).to_numpy() for c in ("leader", "doc_id", "px", "py", "kind")]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        change = [np.append(True, c[1:] != c[:-1]) for c in columns]
+        new = np.flatnonzero(np.logical_or.reduce(change))  # each seed once
+        pair = np.flatnonzero((change[0] | change[1])[new])
+        leader, doc, px, py, kind = (pa.array(c[new]) for c in columns)
+        seeds = pa.ListArray.from_arrays(pa.array(np.append(pair, len(new)).astype(np.int32)), pa.StructArray.from_arrays([px, py, kind], ["px", "py", "kind"]))
+        return pa.record_batch([leader.take(pa.array(pair)), doc.take(pa.array(pair)), seeds], names=["leader", "doc_id", "seeds"])
+
+    def lists():
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < HELD // 4:
+                continue
+            leader, doc = (batch.column(c).to_numpy() for c in ("leader", "doc_id"))
+            cut = np.flatnonzero((leader[1:] != leader[:-1]) | (doc[1:] != doc[:-1]))
+            if len(cut):  # the last pair may go on
+                yield given([*held[:-1], batch.slice(0, int(cut[-1]) + 1)])
+                held = [batch.slice(int(cut[-1]) + 1)]
+                size = held[0].num_rows
+        if held:
+            yield given(held)
+
+    return _supported(lists())
+
+
 def _joint(batches):
     """Of each text's ``members`` the windows of two functions that a passage
     can lie in both of: key (of both minima), doc_id, place (the first
@@ -300,6 +479,30 @@ def _widest(x: np.ndarray, y: np.ndarray, cx: int, cy: int, a: np.ndarray, b: np
     """The widest stretch around a seed that is similar over both sides
     together: (start in y, shingles, start in x, similarity). ``a`` and ``b``
     are the runs to the left and to the right, counted from the seed, which is in both."""
+    if len(a) * len(b) > 256:
+        return _widest_of_many(x, y, cx, cy, a, b)
+    m, ends = 0, []
+    for i, j, n in b.tolist():
+        m += n
+        ends.append((9 * m - 4 * (i + j + 2 * n), i + n, j + n, m))
+    ends.reverse()
+    best, most, own = None, 0, -1
+    for i, j, n in a.tolist():
+        own += n
+        start = 9 * own - 4 * (i + j + 2 * n - 2)
+        for end, ei, ej, m in ends:  # the last one that is similar
+            if end + start < 0:
+                continue
+            nx, ny, common = ei + i + n - 1, ej + j + n - 1, m + own
+            wx, wy = max(nx, SHINGLES), max(ny, SHINGLES)  # shorter ones are widened by unequal shingles, as far as they stay similar
+            if ny > most and wx <= len(x) and wy <= len(y) and 9 * common >= 4 * (wx + wy):
+                best, most = (min(cy - (j + n) + 1, len(y) - wy), wy, min(cx - (i + n) + 1, len(x) - wx), common / (wx + wy - common)), ny
+            break
+    return best
+
+
+def _widest_of_many(x: np.ndarray, y: np.ndarray, cx: int, cy: int, a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float] | None:
+    """:func:`_widest`, with arrays."""
     m = np.cumsum(b[:, 2])
     ends = 9 * m - 4 * (b[:, 0] + b[:, 1] + 2 * b[:, 2])
     own = np.cumsum(a[:, 2]) - 1
@@ -476,44 +679,143 @@ def _surroundings(batches):
                               names=["key", "doc_id", "place", "centre", "open", "content", "around"])
 
 
+#: What :func:`_surroundings` gives.
+AROUND = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("centre", pa.int32()), ("open", pa.bool_()), ("content", pa.int64()), ("around", pa.binary())])
+
+
+def _packed_surroundings(buckets: int):
+    """A function that gives surroundings packed by buckets of their keys, many in a row."""
+    def pack(held):
+        rows = pa.Table.from_batches(held, AROUND).combine_chunks()
+        bucket = (rows.column("key").to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.int64) % buckets
+        rows = rows.take(pa.array(np.argsort(bucket, kind="stable"))).combine_chunks().to_batches()[0]
+        edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+        some = np.flatnonzero(np.diff(edge))
+        packed = [rows.slice(i, j - i).serialize().to_pybytes() for i, j in zip(edge[some].tolist(), edge[some + 1].tolist())]
+        return pa.record_batch([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
+    def packed(batches):
+        held, size = [], 0
+        for rows in _surroundings(batches):
+            if rows.num_rows:
+                held.append(rows)
+                size += rows.nbytes
+            if size >= SPOOLED // 2:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return packed
+
+
+#: Surroundings, or (``leader`` is not null) places of a document whose surroundings repeat those of place ``x`` of a leader.
+NEAR = "key long, doc_id long, place long, centre int, open boolean, content long, around binary, leader long, x long"
+
+
+def _near(batches):
+    """Partners within all groups of up to ``BLOCK`` contents; surroundings of larger ones are passed on."""
+    def passed(rows):
+        none = pa.nulls(rows.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([*rows.columns, none, none], [*AROUND.names, "leader", "x"])
+
+    for bucket in _by_bucket(batches):
+        parts = (pa.ipc.read_record_batch(pa.py_buffer(row), AROUND) for row in bucket.rows())
+        if sum(bucket.sizes) > SPOOLED:
+            yield from map(passed, parts)
+            continue
+        rows = pa.Table.from_batches(parts, AROUND).combine_chunks()
+        key, docs, places, opened, content = (rows.column(c).to_numpy() for c in ("key", "doc_id", "place", "open", "content"))
+        order = np.lexsort((places, docs, content, key))
+        key, docs, places, opened, content = (c[order] for c in (key, docs, places, opened, content))
+        # of each content its first document and place, the last open one, and a row that has its shingles
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+        least = np.iinfo(np.int64).min
+        latest = np.maximum.reduceat(np.where(opened, docs, least), new)
+        asks = np.logical_or.reduceat(opened, new)
+        has = rows.column("around").combine_chunks().is_valid().to_numpy(zero_copy_only=False)[order]
+        full = np.maximum.reduceat(np.where(has, np.arange(len(order)), -1), new)
+        group = np.flatnonzero(np.append(True, key[new][1:] != key[new][:-1]))
+        n = np.diff(np.append(group, len(new)))
+        two = np.minimum.reduceat(docs[new], group) < np.maximum.reduceat(np.where(asks, latest, least), group)
+        large = two & (n > BLOCK)
+        if large.any():
+            own = np.repeat(np.repeat(large, n), np.diff(np.append(new, len(key))))
+            # sorted back: a batch gives the shingles of a content once
+            for batch in rows.take(pa.array(order[own])).combine_chunks().to_batches():
+                yield passed(batch)
+        some = np.repeat(two & ~large, n)
+        if not some.any():
+            continue
+        at = new[some]
+        shingles = rows.select(["centre", "around"]).take(pa.array(order[full[some]]))
+        table = pa.table({"block": np.repeat(np.arange(len(n)), n)[some], "doc_id": docs[at], "place": places[at], "centre": shingles.column("centre"), "asks": asks[some], "gives": np.ones(len(at), bool),
+                          "latest": np.where(asks, latest, docs[new])[some], "content": content[at], "around": shingles.column("around")})
+        found = _partners(table.combine_chunks())
+        if not found:
+            continue
+        known, leader, x = (np.array(c, np.int64) for c in zip(*sorted(found)))
+        k = np.minimum(np.searchsorted(known, content), len(known) - 1)
+        ok = np.flatnonzero(opened & (known[k] == content) & (leader[k] < docs))
+        none = [pa.nulls(len(ok), t) for t in AROUND.types]
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(docs[ok]), pa.array(places[ok]), *none[3:], pa.array(leader[k[ok]]), pa.array(x[k[ok]])], [*AROUND.names, "leader", "x"])
+
+
 #: Of a similar passage's shingles, four fifths at least are in common; so some ``SHINGLES`` in a row have as many, none further off its diagonal than its unequal ones.
 DENSE = -(-4 * SHINGLES // 5)
 DRIFT = 2 * REACH // 9 + 1
 
 
-def _dense(around: list[np.ndarray], centres: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+def _dense(values: np.ndarray, at: np.ndarray, centres: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
     """Pairs of windows that may hold a similar passage: a necessary test,
-    made for all pairs at once, in either direction."""
+    made for all pairs at once, in either direction. Window k has the shingles
+    ``values[at[k]:at[k + 1]]``."""
     width = 2 * REACH + 1
     rows = np.unique(np.concatenate((xs, ys)))
-    padded = np.zeros((len(rows), width + 2 * DRIFT), np.int64)  # 0 is no shingle, minima stand in the middle
-    for k, r in enumerate(rows.tolist()):
-        a = DRIFT + REACH - int(centres[r])
-        padded[k, a:a + len(around[r])] = around[r].astype(np.int64) + 1
     xs, ys = np.searchsorted(rows, xs), np.searchsorted(rows, ys)
+    size = at[rows + 1] - at[rows]
+    before = np.cumsum(size) - size
+    padded = np.zeros((len(rows), width + 2 * DRIFT), np.uint32)  # 0 is no shingle, minima stand in the middle
+    inside = np.arange(size.sum())
+    start = np.arange(len(rows)) * padded.shape[1] + DRIFT + REACH - centres[rows]
+    padded.reshape(-1)[inside + np.repeat(start - before, size)] = values[inside + np.repeat(at[rows] - before, size)] | np.uint32(1)
     first = np.arange(REACH + 1)
     least = np.maximum(REACH, first + SHINGLES - 1)  # last shingles of the shortest passages from there on that hold the minimum
     ok = np.arange(len(xs))
     for xs, ys in ((xs, ys), (ys, xs)):
         fit = np.zeros(len(ok), bool)
-        for i in range(0, len(ok), 4096):
-            x, y = padded[xs[ok[i:i + 4096]]], padded[ys[ok[i:i + 4096]], DRIFT:DRIFT + width]
+        for i in range(0, len(ok), 256):
+            x, y = padded[xs[ok[i:i + 256]]], padded[ys[ok[i:i + 256]], DRIFT:DRIFT + width]
             found = np.zeros(y.shape, bool)
             for shift in range(2 * DRIFT + 1):
                 found |= x[:, shift:shift + width] == y
             found &= y > 0
-            run = np.pad(np.cumsum(found, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
-            fit[i:i + 4096] = (run[:, SHINGLES:] - run[:, :width - SHINGLES + 1]).max(axis=1) >= DENSE
+            run = np.pad(np.cumsum(found, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
+            fit[i:i + 256] = (run[:, SHINGLES:] - run[:, :width - SHINGLES + 1]).max(axis=1) >= DENSE
             # of all shingles of the passage as many are in common
-            gain = 5 * run - 4 * np.arange(width + 1, dtype=np.int32)
+            gain = 5 * run - 4 * np.arange(width + 1, dtype=np.int16)
             best = np.maximum.accumulate(gain[:, ::-1], axis=1)[:, ::-1]
-            fit[i:i + 4096] &= (best[:, least + 1] - gain[:, first]).max(axis=1) >= 0
+            fit[i:i + 256] &= (best[:, least + 1] - gain[:, first]).max(axis=1) >= 0
         ok = ok[fit]
     out = np.zeros(len(xs), bool)
     out[ok] = True
     return out
 
 
+def _marks(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window a set of ``MARKS`` bits that its shingles mark, and how
+    many shingles marked none of their own. Windows have no more shingles in
+    common, repeated ones counted as often, than bits and those of either."""
+    sets = np.empty((len(at) - 1, MARKS // 64), np.uint64)
+    for i in range(0, len(sets), 1024):
+        edge = at[i:i + 1025]
+        own = values[edge[0]:edge[-1]]
+        bits = np.zeros((len(edge) - 1, MARKS), bool)
+        bits.reshape(-1)[np.repeat(np.arange(len(edge) - 1) * MARKS, np.diff(edge)) + own % np.uint32(MARKS)] = True
+        sets[i:i + 1024] = np.packbits(bits, axis=1).view(np.uint64)
+    return sets, np.diff(at) - np.bitwise_count(sets).sum(axis=1, dtype=np.int64)
+
+
 def _partners(table: pa.Table) -> list[tuple]:
     """For each open content of a block one that repeats it: (content,
     leader, x). Of all that do, the one whose first document is the smallest
@@ -521,42 +823,35 @@ def _partners(table: pa.Table) -> list[tuple]:
     numbered by ``block``."""
     block, docs, places, centres, asks, gives, latest, contents = (
         table.column(c).to_numpy() for c in ("block", "doc_id", "place", "centre", "asks", "gives", "latest", "content"))
-    around = [np.frombuffer(b, np.uint32) for b in table.column("around").to_pylist()]
-    values = np.concatenate(around).astype(np.uint64)
-    owner = np.repeat(np.arange(len(around)), [len(a) for a in around])
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    # the nth time a shingle stands in a window is a feature of its own: equal features count the intersection of multisets
-    new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(values, prepend=values[:1] + np.uint64(1)) != 0))
-    nth = np.arange(len(values)) - np.repeat(new, np.diff(np.append(new, len(values))))
-    feature = K.mix(K.mix(values << np.uint64(16) | nth.astype(np.uint64)) + block[owner].astype(np.uint64))
-    posted = np.argsort(feature, kind="stable")
-    begins = np.flatnonzero(np.diff(feature[posted], prepend=feature[posted[:1]] + np.uint64(1)))
-    size = np.diff(np.append(begins, len(feature)))
-    which = np.empty(len(feature), np.int64)
-    which[posted] = np.repeat(np.arange(len(begins)), size)
-    holder = owner[posted]
-    edge = np.searchsorted(owner, np.arange(len(around) + 1))
-    work = np.concatenate(([0], np.cumsum(size[which])))[edge]
+    around = table.column("around").combine_chunks().cast(pa.large_binary())
+    _, offsets, data = around.buffers()
+    at = np.frombuffer(offsets, np.int64)[around.offset:around.offset + len(around) + 1] // 4
+    values = np.frombuffer(data, np.uint32, at[-1])[at[0]:]
+    at = at - at[0]
+    sets, none = _marks(values, at)
+    begin, end = np.searchsorted(block, block, side="left"), np.searchsorted(block, block, side="right")
     out = []
     asking = np.flatnonzero(asks)
-    while len(asking):
-        n = max(1, min(int(np.searchsorted(np.cumsum(np.diff(work)[asking]), PAIRS)), PAIRS // len(around)))
-        some, asking = asking[:n], asking[n:]
-        own = np.concatenate([np.arange(edge[y], edge[y + 1]) for y in some])
-        times = size[which[own]]
-        near = holder[np.repeat(begins[which[own]] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-        asker = np.repeat(np.repeat(np.arange(len(some)), edge[some + 1] - edge[some]), times)
-        common = np.bincount(asker * len(around) + near, minlength=len(some) * len(around)).reshape(len(some), len(around))
-        ys, xs = np.nonzero(common >= LEAST_COMMON)
-        fit = gives[xs] & (docs[xs] < latest[some[ys]])
-        ys, xs = some[ys[fit]], xs[fit]
-        fit = _dense(around, centres, xs, ys)
+    work = np.cumsum((end - begin)[asking])
+    edges = np.unique(np.append(np.searchsorted(work, np.arange(0, work[-1] if len(work) else 0, PAIRS)), len(asking)))
+    for some in (asking[i:j] for i, j in zip(edges[:-1], edges[1:])):
+        times = (end - begin)[some]
+        ys = np.repeat(some, times)
+        xs = np.arange(times.sum()) + np.repeat(begin[some] - (np.cumsum(times) - times), times)
+        fit = gives[xs] & (docs[xs] < latest[ys])
+        ys, xs = ys[fit], xs[fit]
+        fit = np.zeros(len(ys), bool)
+        for i in range(0, len(ys), 4096):
+            x, y = xs[i:i + 4096], ys[i:i + 4096]
+            common = np.bitwise_count(sets[x] & sets[y]).sum(axis=1, dtype=np.int64)
+            fit[i:i + 4096] = common + np.minimum(none[x], none[y]) >= LEAST_COMMON
+        ys, xs = ys[fit], xs[fit]
+        fit = _dense(values, at, centres, xs, ys)
         ys, xs = ys[fit], xs[fit]
         order = np.lexsort((docs[xs], ys))
         done = -1
         for y, x in zip(ys[order].tolist(), xs[order].tolist()):
-            if y != done and _stretch(around[x], around[y], int(centres[x]), int(centres[y])):
+            if y != done and _stretch(values[at[x]:at[x + 1]], values[at[y]:at[y + 1]], int(centres[x]), int(centres[y])):
                 out.append((int(contents[y]), int(docs[x]), int(places[x])))
                 done = y
     return out
@@ -617,38 +912,18 @@ def _all_runs(batches):
 _SEEDS = "array<struct<px:long,py:long,kind:int>>"
 
 
-def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verified: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs that no leader is in, and their texts. Minima that no verified
-    passage covers are open, unless the leader was the only other one; their
-    groups meet again under two functions, and are compared in blocks."""
-    known = verified.where("n_words > 0").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("known"))
+def _buckets(scratch: Scratch) -> int:
+    return max(BUCKETS, 4 * int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def uncovered(place):
-        at = F.shiftright(place, 16)
-        return ~F.coalesce(F.exists("known", lambda k: (k["start_word"] <= at) & (at < k["start_word"] + k["n_words"] - (WORDS - 1))), F.lit(False))
 
-    # gathered by text before they meet what is known of it: one row for each text
-    left = paired.where("kind > 0 and size > 2").groupBy("doc_id").agg(F.collect_list(F.struct("key", "py")).alias("windows")).join(known, "doc_id", "left")
-    open_keys = left.select(F.explode(F.filter("windows", lambda w: uncovered(w["py"]))["key"]).alias("key"))
-    keys = few(scratch.save(open_keys.distinct()), KEYS)
-    members = shared.where("kind > 0").join(keys, "key").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "place")).alias("windows")) \
-        .join(known, "doc_id", "left") \
-        .select("doc_id", F.transform("windows", lambda w: F.struct(w["kind"].alias("kind"), w["key"].alias("key"), w["place"].alias("place"), uncovered(w["place"]).alias("open"))).alias("members"))
-    joint = scratch.save(members.mapInArrow(_joint, "key long, doc_id long, place long, open boolean"))
-    groups = joint.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")).where("least < most")
-    met = scratch.save(joint.join(few(scratch.save(groups.select("key")), KEYS), "key")
-                       .groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open")).alias("members")))
-    # a doc_id on several rows gives the surroundings of each; places beyond a text's end are left out
-    around = met.join(base.join(few(met.select("doc_id")), "doc_id", "left_semi"), "doc_id").mapInArrow(_surroundings, "key long, doc_id long, place long, centre int, open boolean, content long, around binary")
-    around = scratch.save(around)
-    scratch.drop(joint, met)
+def _in_large_groups(around: DataFrame, scratch: Scratch) -> DataFrame:
+    """Partners of open places, groups being dealt into blocks."""
     # windows of one content are compared once: its first document gives, all its open places ask
     contents = scratch.save(around.groupBy("key", "content").agg(
         F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("latest"), F.max("centre").alias("centre"), F.max("around").alias("around"))
         .select("key", "content", "centre", "around", "first.*", "latest"))
     # of all surroundings, only where the open ones are is asked for again
     open_places = scratch.save(around.where("open").select("doc_id", F.col("place").alias("y"), "content"))
-    scratch.drop(around)
     sizes = contents.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("latest").alias("most")).where("least < most")
     sizes = few(scratch.save(sizes.select("key", "n")), KEYS)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -663,10 +938,41 @@ def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verif
         .select("key", "doc_id", "place", "centre", "around", "content", F.coalesce("latest", "doc_id").alias("latest"), "to.*")
     block = ["key", "a", "b"]
     partners = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_in_blocks, "content long, leader long, x long")
-    partners = partners.join(open_places, "content").where("leader < doc_id")
+    return scratch.save(partners.join(open_places, "content").where("leader < doc_id").select("leader", "doc_id", "x", "y"))
+
+
+def _beyond_leaders(base: DataFrame, shared: DataFrame, paired: DataFrame, verified: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs that no leader is in, and their texts. Minima that no verified
+    passage covers are open, unless the leader was the only other one; their
+    groups meet again under two functions, and are compared in blocks."""
+    known = verified.where("n_words > 0").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("known"))
+
+    def uncovered(place):
+        at = F.shiftright(place, 16)
+        return ~F.coalesce(F.exists("known", lambda k: (k["start_word"] <= at) & (at < k["start_word"] + k["n_words"] - (WORDS - 1))), F.lit(False))
+
+    # gathered by text before they meet what is known of it: one row for each text
+    left = paired.where("kind > 0 and size > 2").groupBy("doc_id").agg(F.collect_list(F.struct("key", "py")).alias("windows")).join(known, "doc_id", "left")
+    open_keys = left.select(F.explode(F.filter("windows", lambda w: uncovered(w["py"]))["key"]).alias("key"))
+    keys = _keys(scratch.save(open_keys.distinct()))
+    members = shared.where("kind > 0").join(keys, "key").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "place")).alias("windows")) \
+        .join(known, "doc_id", "left") \
+        .select("doc_id", F.transform("windows", lambda w: F.struct(w["kind"].alias("kind"), w["key"].alias("key"), w["place"].alias("place"), uncovered(w["place"]).alias("open"))).alias("members"))
+    joint = scratch.save(members.mapInArrow(_joint, "key long, doc_id long, place long, open boolean"))
+    groups = joint.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")).where("least < most")
+    met = scratch.save(joint.join(few(scratch.save(groups.select("key")), KEYS), "key")
+                       .groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open")).alias("members")))
+    # a doc_id on several rows gives the surroundings of each; places beyond a text's end are left out
+    around = met.join(base.join(few(met.select("doc_id")), "doc_id", "left_semi"), "doc_id").mapInArrow(_packed_surroundings(_buckets(scratch)), "bucket int, rows binary")
+    near = scratch.save(around.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_near, NEAR))
+    scratch.drop(joint, met)
+    partners = near.where("leader is not null").select("leader", "doc_id", "x", F.col("place").alias("y"))
+    around = near.where("leader is null").drop("leader", "x")
+    if not around.isEmpty():
+        partners = partners.unionByName(_in_large_groups(around, scratch))
     seed = F.struct(F.shiftleft("x", 16).alias("px"), F.shiftleft("y", 16).alias("py"), F.lit(1).alias("kind"))
     pairs = scratch.save(partners.groupBy("leader", "doc_id").agg(F.collect_set(seed).alias("seeds")))
-    scratch.drop(open_places, contents)
+    scratch.drop(near)
     ids = few(scratch.save(pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).distinct()))
     return pairs, scratch.save(base.join(ids, "doc_id", "left_semi"))
 
@@ -677,6 +983,22 @@ def _keys(keys: DataFrame) -> DataFrame:
     return keys.hint("shuffle_hash") if keys.limit(HASHED + 1).count() > HASHED else few(keys, KEYS)
 
 
+def _copies(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """Documents whose whole text a document of smaller id has too: ``copy``
+    and ``first``, the smallest id with that text. Documents that have several
+    texts are neither."""
+    texts = scratch.save(base.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")))
+    repeated = texts.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest")
+    held = scratch.save(texts.join(few(scratch.save(repeated), KEYS), "digest"))
+    # of each document with a text of several ones, whether it has other texts as well
+    one = F.xxhash64("digest")
+    single = texts.join(few(scratch.save(held.select("doc_id").distinct())), "doc_id", "left_semi") \
+        .groupBy("doc_id").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a = b").select("doc_id")
+    held = held.join(few(scratch.save(single)), "doc_id", "left_semi").distinct()
+    firsts = held.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return scratch.save(held.join(firsts, "digest").where("first < doc_id").select(F.col("doc_id").alias("copy"), "first"))
+
+
 def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Passages of more than 50 words of ``docs(doc_id long, text)`` that
     repeat in a document of smaller id: ``doc_id, start_word, n_words,
@@ -687,26 +1009,40 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Null texts, null ids and texts of up to 50 words hold no passages. Rows
     that share a doc_id are not compared with each other. Repeats within one
-    document are none. An empty table gives no rows."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    windows = scratch.save(base.mapInArrow(_windows, "key long, doc_id long, place long, kind byte"))
-    # most windows are in one text: a pass over numbers alone, combined before the shuffle, tells the others
-    keys = windows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
-    keys = _keys(scratch.save(keys.where("leader <> last").select("key", "leader", "size")))
-    shared = scratch.save(windows.join(keys, "key").withColumn("last", F.col("kind") >= LAST).withColumn("kind", F.col("kind") % LAST))
-    scratch.drop(windows)
-    # a join of hot groups can be split, a window over them could not
-    leading = shared.where("doc_id = leader").groupBy("key", "last").agg(F.min("place").alias("px")).select("key", "px")
-    paired = scratch.save(shared.where("doc_id <> leader").join(_keys(scratch.save(leading)), "key")
-                          .select("leader", "doc_id", "px", F.col("place").alias("py"), "key", "size", F.col("kind").cast("int").alias("kind")))
+    document are none. An empty table gives no rows.
+
+    A text that several documents have is searched once, as that of the first
+    one: it is one passage of each other one, which also has those passages
+    of the first one that leaders are in."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    copies = _copies(rows, scratch)
+    base = rows.join(few(copies.select(F.col("copy").alias("doc_id"))), "doc_id", "left_anti")
+    by_leaders, found = _distinct_passages(base, scratch)
+    firsts = few(scratch.save(copies.select(F.col("first").alias("doc_id")).distinct()))
+    whole = rows.join(firsts, "doc_id", "left_semi").mapInArrow(_words, "first long, n_words long").where(f"n_words >= {LEAST_WORDS}").distinct()
+    zero = F.lit(0).cast("long")
+    whole = copies.join(whole, "first").select(F.col("copy").alias("doc_id"), zero.alias("start_word"), "n_words", F.col("first").alias("source_id"), zero.alias("source_word"), F.lit(1.0).alias("similarity"))
+    again = by_leaders.join(copies.withColumnRenamed("first", "doc_id"), "doc_id").select(F.col("copy").alias("doc_id"), *NAMES[1:])
+    return found.unionByName(whole).unionByName(again)
+
+
+def _distinct_passages(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """:func:`repeated_passages` of texts that are compared with each other:
+    those that leaders are in, and all."""
+    # most windows are in one text: they travel packed, and only the others become rows
+    windows = base.mapInArrow(_packed_windows(_buckets(scratch)), "bucket int, windows binary").repartition("bucket").sortWithinPartitions("bucket")
+    met = scratch.save(windows.mapInArrow(_shared, SHARED))
+    shared = met.where("not again")
+    paired = met.where("px is not null").select("leader", "doc_id", "px", F.col("place").alias("py"), "key", "size", "kind")
 
     def reach(place, bits: int):
         return F.shiftright(place, bits).bitwiseAND(F.lit(FAR))
 
     room = F.least(reach(F.col("px"), 8), reach(F.col("py"), 8)) + F.least(reach(F.col("px"), 0), reach(F.col("py"), 0)) + 1 >= SHINGLES
     cramped = paired.where("kind = 0").where(~room).select("doc_id", F.shiftright("py", 16).alias("start_word"))
-    seeds = paired.where(room).groupBy("leader", "doc_id").agg(F.collect_set(F.struct("px", "py", "kind")).alias("seeds"))
-    pairs = scratch.save(seeds.mapInArrow(_supported, f"leader long, doc_id long, seeds {_SEEDS}"))
+    pair = ["leader", "doc_id"]
+    seeds = paired.where(room).select(*pair, "px", "py", "kind").repartition(*pair).sortWithinPartitions(*pair)
+    pairs = scratch.save(seeds.mapInArrow(_pairs, f"leader long, doc_id long, seeds {_SEEDS}"))
 
     named = pairs.select(F.explode(F.array("leader", "doc_id")).alias("doc_id"))
     suspects = few(scratch.save(named.distinct()))
@@ -732,7 +1068,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     runs = base.join(few(open_seeds.select("doc_id")), "doc_id", "left_semi").join(open_seeds.join(known, "doc_id", "left"), "doc_id").select("text", "doc_id", "seeds", "known") \
         .mapInArrow(_all_runs, "key long, doc_id long, start long, asks boolean")
     runs = scratch.save(runs)
-    scratch.drop(shared, paired)
+    scratch.drop(met)
     firsts = runs.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.when(F.col("asks"), F.col("doc_id"))).alias("last")) \
         .where("first.doc_id < last")
     exact = runs.where("asks").join(firsts, "key").where("doc_id <> first.doc_id") \
@@ -746,7 +1082,15 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .groupBy("doc_id", "source_id", (F.col("start_word") - F.col("source_word")).alias("shift"), "part") \
         .agg(F.min("start_word").alias("start_word"), (F.max("start_word") - F.min("start_word") + LEAST_WORDS).alias("n_words"), F.min("source_word").alias("source_word")) \
         .select("doc_id", "start_word", "n_words", "source_id", "source_word", F.lit(1.0).alias("similarity"))
-    return passages.unionByName(exact).distinct()
+    return verified.where("n_words > 0").distinct(), scratch.save(passages.unionByName(exact).distinct())
+
+
+def _words(batches):
+    """Words of each text."""
+    for batch in batches:
+        raw, off = K.buffers(batch.column("text"))
+        _, _, at = K.word_spans(raw, off, K.SPACE)
+        yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(at).astype(np.int64))], names=["first", "n_words"])
 
 
 def _cut(batches):

@@ -295,3 +295,97 @@ def test_stages_leave_only_what_their_rows_are_read_from(spark, small_tables, mo
         left = [columns for path, columns in saved if os.path.exists(path.removeprefix("file:"))]
         assert left and all(c in ({"doc_id"}, {"k", "d"}, {"doc_id", "start_word", "n_words"}) for c in left), left
         assert {r.doc_id for r in out.collect()} == ids
+
+
+def packed(windows, buckets, at=None):
+    """Rows of buckets of windows (key, doc_id, place, kind), sorted by bucket as Spark gives them."""
+    held = [tuple(np.array(c, t) for c, t in zip(zip(*windows[i:i + 50]), (np.int64, np.int64, np.int64, np.int8))) for i in range(0, len(windows), 50)]
+    rows = passages.pa.Table.from_batches([passages._packed([h], buckets) for h in held]).sort_by("bucket")
+    return rows.to_batches(max_chunksize=7)
+
+
+@pytest.mark.parametrize("held", [500_000, 20])
+def test_windows_meet_in_buckets(held, monkeypatch):
+    monkeypatch.setattr(passages, "HELD", held)
+    monkeypatch.setattr(passages, "SPOOLED", 24 * held)
+    r = random.Random(held)
+    keys = [r.getrandbits(63) - (1 << 62) for _ in range(60)]
+    windows = [(k, r.randrange(-3, 40), r.randrange(1 << 40), r.randrange(7) + passages.LAST * (r.random() < 0.3)) for k in keys + keys[:30] * 5 + keys[:1] * 200]
+    groups = {k: [w for w in windows if w[0] == k] for k in keys}
+    expected = []
+    for k, own in groups.items():
+        leader = min(w[1] for w in own)
+        if leader == max(w[1] for w in own):
+            continue
+        px = [min((p for _, d, p, kind in own if d == leader and (kind >= passages.LAST) == last), default=None) for last in (False, True)]
+        for _, d, p, kind in own:
+            given = [x for x in px if x is not None] if d != leader else []
+            expected += [(k, leader, len(own), d, p, kind % passages.LAST, x, n > 0) for n, x in enumerate(given or [None])]
+    got = [tuple(row.values()) for b in passages._shared(packed(windows, 3)) for row in b.to_pylist()]
+    order = lambda row: tuple((x is not None, x or 0) for x in row)
+    assert sorted(got, key=order) == sorted(expected, key=order)
+
+
+def test_bits_never_hide_shingles_in_common():
+    r = np.random.default_rng(5)
+    windows = [r.integers(0, most, r.integers(47, 190)).astype(np.uint32) for most in [3, 60, 200, 1 << 32] * 10]
+    windows += [np.concatenate((w[:40], w[20:])) for w in windows]
+    at = np.concatenate(([0], np.cumsum([len(w) for w in windows])))
+    sets, none = passages._marks(np.concatenate(windows), at)
+    for i, j in itertools.combinations(range(len(windows)), 2):
+        x, y = (dict(zip(*np.unique(windows[k], return_counts=True))) for k in (i, j))
+        common = sum(min(n, y.get(v, 0)) for v, n in x.items())
+        assert common <= int(np.bitwise_count(sets[i] & sets[j]).sum()) + min(none[i], none[j])
+
+
+def test_open_places_meet_in_buckets_and_in_blocks(spark, monkeypatch):
+    """Copies of a passage with a word changed, of different texts, in two groups, by both ways."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10 ** 6)}" for _ in range(200)]
+    texts, members = [], []
+    for d in range(40):
+        own = list(base)
+        own[r.choice([60, 75, 140])] = f"x{d % 17}"
+        own[:40] = [f"y{d}z{n}" for n in range(40)]
+        texts.append(" ".join(own))
+        members.append([{"key": 7 + d % 2 * (1 << 40), "place": passages._place(100, 60, 60), "open": d % 3 > 0}])
+    kind = passages.pa.list_(passages.pa.struct([("key", passages.pa.int64()), ("place", passages.pa.int64()), ("open", passages.pa.bool_())]))
+    batch = passages.pa.record_batch([passages.pa.array(range(40), passages.pa.int64()), passages.pa.array(members, kind), passages.pa.array(texts)], names=["doc_id", "members", "text"])
+    around = passages.pa.Table.from_batches(passages._surroundings([batch]), passages.AROUND)
+    rows = passages.pa.Table.from_batches(passages._packed_surroundings(4)([batch])).sort_by("bucket")
+    near = [row for b in passages._near(rows.to_batches(max_chunksize=1)) for row in b.to_pylist()]
+    found = {(row["leader"], row["doc_id"], row["x"], row["place"]) for row in near}
+    assert len(found) == len(near) and all(row["key"] is None for row in near)
+    # each open place but those without an earlier one in its group
+    assert {d for _, d, _, _ in found} == {d for d in range(2, 40) if d % 3} and all((d - lead) % 2 == 0 and lead < d and x == y == 100 for lead, d, x, y in found)
+    schema = "key long, doc_id long, place long, centre int, open boolean, content long, around binary"
+    blocks = passages._in_large_groups(spark.createDataFrame([tuple(row.values()) for row in around.to_pylist()], schema), Scratch(spark, "t"))
+    assert {tuple(row) for row in blocks.collect()} == found
+    # groups that are too large, and buckets that are, are passed on whole
+    for name in ("BLOCK", "SPOOLED"):
+        with monkeypatch.context() as m:
+            m.setattr(passages, name, 3)
+            passed = passages.pa.Table.from_batches([b for b in passages._near(rows.to_batches())]).drop_columns(["leader", "x"])
+        for_order = [("doc_id", "ascending")]
+        assert passed.sort_by(for_order).to_pylist() == around.sort_by(for_order).to_pylist()
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    r = random.Random(3)
+    new = lambda n: [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+    first, passage = new(80), new(60)
+    copied = " ".join(new(30) + passage + new(30))
+    docs = [(0, " ".join(first + passage)), (1, copied), (2, copied), (3, copied), (4, copied), (4, " ".join(first)), (5, " ".join(new(20))), (6, " ".join(new(20))), (3, copied)]
+    docs += [(7, docs[6][1]), (8, ""), (9, ""), (None, copied), (10, None)]
+    searched = []
+    distinct_passages = passages._distinct_passages
+    monkeypatch.setattr(passages, "_distinct_passages", lambda base, scratch: (searched.extend(base.collect()), distinct_passages(base, scratch))[1])
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    # a document of two texts is searched with both
+    assert sorted(row["doc_id"] for row in searched) == [0, 1, 4, 4, 5, 6, 8]
+    rows = sorted((row["doc_id"], row["start_word"], row["n_words"], row["source_id"], row["source_word"], row["similarity"]) for row in rows if row["similarity"] == 1)
+    for d in (2, 3):
+        assert (d, 0, 120, 1, 0, 1.0) in rows
+        assert [row[1:] for row in rows if row[0] == d and row[3] == 0] == [row[1:] for row in rows if row[0] == 1]
+    assert (1, 30, 60, 0, 80, 1.0) in rows and any(row[0] == 4 and row[3] == 1 for row in rows) and any(row[0] == 4 and row[3] == 0 for row in rows)
+    assert len(rows) == len(set(rows)) and not [row for row in rows if row[0] > 4]
