@@ -892,7 +892,7 @@ def _all_runs(batches):
             n = len(sh) - SHINGLES + 1
             wanted, covered = np.zeros(len(sh) + 1, np.int64), np.zeros(len(sh) + 1, np.int64)
             for c in seeds:
-                wanted[max(0, c - SHINGLES + 1)] += 1
+                wanted[min(max(0, c - SHINGLES + 1), len(sh))] += 1  # beyond the end: of another text of that doc_id
                 wanted[min(c + 1, len(sh))] -= 1
             for k in known or ():
                 a, b = k["start_word"], k["start_word"] + k["n_words"] - LEAST_WORDS + 1

@@ -389,3 +389,13 @@ def test_equal_texts_are_searched_once(spark, monkeypatch):
         assert [row[1:] for row in rows if row[0] == d and row[3] == 0] == [row[1:] for row in rows if row[0] == 1]
     assert (1, 30, 60, 0, 80, 1.0) in rows and any(row[0] == 4 and row[3] == 1 for row in rows) and any(row[0] == 4 and row[3] == 0 for row in rows)
     assert len(rows) == len(set(rows)) and not [row for row in rows if row[0] > 4]
+
+
+def test_open_seeds_of_another_text_of_the_doc_id():
+    """Open seeds are gathered by doc_id: a shorter text of it has none beyond its end."""
+    text = " ".join(f"w{n}" for n in range(70))
+    columns = [[text, text], [1, 2], [[531], [20, 531]], [None, None]]
+    kinds = [passages.pa.string(), passages.pa.int64(), passages.pa.list_(passages.pa.int64()), passages.pa.list_(passages.pa.struct([("start_word", passages.pa.int64()), ("n_words", passages.pa.int64())]))]
+    batch = passages.pa.record_batch([passages.pa.array(c, k) for c, k in zip(columns, kinds)], names=["text", "doc_id", "seeds", "known"])
+    rows = [row for b in passages._all_runs([batch]) for row in b.to_pylist()]
+    assert {row["doc_id"] for row in rows} == {2} and {row["start"] for row in rows} == set(range(20))
